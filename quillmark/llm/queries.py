@@ -1,4 +1,4 @@
-"""Queries of the corpus operators: op1 to op10, and the pipeline."""
+"""Queries of the corpus operators: op1 to op10."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate, urls
+from .bpe import digests, round_trip
 from .common import small_batches, table
+from .licenses import license_summary
 from .simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,5 +22,24 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Query] = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
-ORACLES: dict[str, str] = {}
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return digests(round_trip(table(spark, sf_dir, "documents")))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return license_summary(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op4_byte_bpe, op7_benchmark_decontamination, op8_license_scans)}
+ORACLES: dict[str, str] = {"op2_url_filters": urls.oracle_sql(), "op7_benchmark_decontamination": decontaminate.oracle_sql()}
