@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, urls
+from . import decontaminate, html, language, lines, urls
 from .bpe import digests, round_trip
 from .common import small_batches, table
 from .licenses import license_summary
@@ -26,11 +26,22 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return digests(round_trip(table(spark, sf_dir, "documents")))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -41,5 +52,10 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_summary(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op4_byte_bpe, op7_benchmark_decontamination, op8_license_scans)}
-ORACLES: dict[str, str] = {"op2_url_filters": urls.oracle_sql(), "op7_benchmark_decontamination": decontaminate.oracle_sql()}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_line_dedup, op4_byte_bpe, op5_html_extraction, op7_benchmark_decontamination, op8_license_scans, op10_language_id)}
+ORACLES: dict[str, str] = {"op2_url_filters": urls.oracle_sql(), "op3_line_dedup": lines.oracle_sql(), "op7_benchmark_decontamination": decontaminate.oracle_sql()}
