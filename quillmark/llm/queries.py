@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, lines, urls
+from . import decontaminate, html, language, lines, lm, urls
 from .bpe import digests, round_trip
 from .common import small_batches, table
 from .licenses import license_summary
 from .simhash import simhash_components
+from .vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,10 +57,15 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_summary(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return lm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_line_dedup, op4_byte_bpe, op5_html_extraction, op7_benchmark_decontamination, op8_license_scans, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_line_dedup, op4_byte_bpe, op5_html_extraction, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_license_scans, op9_lm_scoring, op10_language_id)}
 ORACLES: dict[str, str] = {"op2_url_filters": urls.oracle_sql(), "op3_line_dedup": lines.oracle_sql(), "op7_benchmark_decontamination": decontaminate.oracle_sql()}
