@@ -19,8 +19,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
-
 #: A text longer than this is halved; a match longer than LEAF_BYTES is halved.
 LEAF_CHARS, LEAF_BYTES = 1 << 16, 8
 #: Matches up to MEMO_BYTES are remembered, MEMO_SIZE of them at most.
@@ -215,18 +213,20 @@ def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None
     return encoded.select("id", "ids").mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, data binary")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, ids, data): encoding and then decoding of each text in one pass over the rows; see encode_texts."""
-    encoded = encode_texts(docs, id_col, text_col, path, pattern)
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ids, data, kept columns): encoding and then decoding of each text in one pass; see encode_texts."""
     path, pattern = _vocabulary(path, pattern)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`") for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            data = [c.decode(np.frombuffer(b or b"", dtype="<u4").tolist()) for b in utf8(batch, "ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), pa.array(data, pa.binary())], names=["id", "ids", "data"])
+            ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
+            data = [c.decode(np.frombuffer(b, dtype="<u4").tolist()) for b in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array(data, pa.binary()), *(batch.column(k) for k in keep)], names=["id", "ids", "data", *keep])
 
-    return encoded.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary, data binary")
+    fields = "".join(f", `{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary, data binary{fields}")
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:

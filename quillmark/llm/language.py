@@ -185,13 +185,13 @@ def predict_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
     pieces = read_pieces(path)
     langs, log_p = fit(sample_counts(train), pieces)
     held = docs.sparkSession.sparkContext.broadcast(log_p)
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`") for c in keep))
-    out = [c for c in kept.columns if c not in ("id", "text")]
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__text"), *(F.col(f"`{c}`") for c in keep))
+    out = [c for c in kept.columns if c not in ("id", "__text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(read_pieces(path), held.value)
         for batch in batches:
-            texts = [t if t and LETTER.search(t) else None for t in batch.column("text").to_pylist()]
+            texts = [t if t and LETTER.search(t) else None for t in batch.column("__text").to_pylist()]
             labels, scores = ["und"] * len(texts), [0.0] * len(texts)
             if langs:
                 found = scorer.score([words_of(t) if t else [] for t in texts])

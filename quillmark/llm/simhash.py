@@ -145,6 +145,86 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(by_print, "fp").select("id", "fp", "component")
 
 
-def simhash_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids (id) of the documents that stay: the smallest id of each component."""
-    return simhash_components(docs, id_col, text_col).where("id = component").select("id").distinct()
+#: Independent fingerprints of a document's distinct words that propose partners for the similarity of its shingles,
+#: and the bits out of all of theirs that proposed partners may differ in (unrelated texts differ in about 150).
+PROPOSERS, PROPOSED_BITS = 6, 84
+
+
+def word_set_prints(text: bytes, count: int = PROPOSERS) -> list[int]:
+    """64-bit SimHashes of the distinct words, by count seeds; zeros if there is no word."""
+    words = list(set(space_words(text)))
+    out = []
+    for seed in range(count):
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * bits > len(words), bitorder="little").tobytes(), "little", signed=True))
+    return out
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles; fewer words than size are one shingle, none are no shingle."""
+    words = space_words(text)
+    n = max(1, len(words) - size + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size])) for i in range(n)), np.uint64, n).view(np.int64))
+
+
+def _proposals(classes: DataFrame, small_bucket: int) -> DataFrame:
+    """(src, dst) classes that share a key of a proposing fingerprint and differ in few bits overall.
+
+    Members of buckets over small_bucket are proposed to the smallest and the largest id of each of their buckets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = golay_tables()
+        for batch in batches:
+            prints = np.array(batch.column("prints").to_pylist(), dtype=np.int64).reshape(batch.num_rows, -1)
+            node = batch.column("node").to_numpy()
+            for k in range(prints.shape[1]):
+                rows, keys = golay_keys(prints[:, k].copy().view(np.uint64), tables)
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(k) << 37) | keys), pa.array(node[rows])], names=["key", "node"])
+
+    keyed = stash(classes.select("node", "prints").mapInArrow(run, "key long, node long"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    live = stash(keyed.join(sizes, "key"))
+    few = live.where(F.col("n") <= small_bucket)
+    pairs = few.select("key", F.col("node").alias("src")).join(few.select("key", F.col("node").alias("dst")), "key").where("src < dst").select("src", "dst")
+    many = live.where(F.col("n") > small_bucket)
+    hubs = many.select(F.least("node", "low").alias("src"), F.greatest("node", "low").alias("dst")).unionAll(many.select(F.least("node", "high").alias("src"), F.greatest("node", "high").alias("dst")))
+    pairs = pairs.unionAll(hubs.where("src < dst")).distinct()
+    prints = classes.select("node", "prints")
+    both = pairs.join(prints.toDF("src", "a"), "src").join(prints.toDF("dst", "b"), "dst")
+    apart = sum(F.bit_count(F.element_at("a", k + 1).bitwiseXOR(F.element_at("b", k + 1))) for k in range(PROPOSERS))
+    return both.where(apart <= PROPOSED_BITS).select("src", "dst")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """(id, component) of documents whose size-word shingles have a Jaccard similarity of at least similarity.
+
+    Golay keys of several fingerprints propose partners: one segment agrees wholly and the next in all but two bits.
+    Each link is verified on the whole shingle sets (as 64-bit hashes). Documents with the same words are one class
+    from the start; those without words are one class too. Ids that are null are passed over; an empty table gives
+    an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch, "text")
+            keys = [xxhash.xxh128_digest(b" ".join(space_words(t))) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(list(map(word_set_prints, texts)), pa.list_(pa.int64()))], names=["id", "key", "prints"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t, size).tolist() for t in utf8(batch, "text")], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    keyed = stash(rows.mapInArrow(run, "id long, key binary, prints array<long>"))
+    classes = stash(keyed.groupBy("key").agg(F.min("id").alias("node"), F.min("prints").alias("prints")))
+    pairs = stash(_proposals(classes, small_bucket))
+    asked = pairs.select(F.col("src").alias("id")).unionAll(pairs.select("dst")).distinct()
+    shingles = stash(rows.join(asked, "id").dropDuplicates(["id"]).mapInArrow(sets, "node long, shingles array<long>"))
+    both = pairs.join(shingles.toDF("src", "a"), "src").join(shingles.toDF("dst", "b"), "dst")
+    common = F.size(F.array_intersect("a", "b"))
+    linked = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
+    groups = connected_components(linked)
+    labelled = classes.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    return keyed.join(labelled, "key").select("id", "component")

@@ -65,7 +65,6 @@ def test_nulls_ties_repeats_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("component", F.lit("clash"))
     got = {(r.id, r.component) for r in simhash.simhash_components(docs).collect()}
     assert got == {(1, 1), (2, 1), (None, 1), (3, 3), (4, 3), (5, 5)}
-    assert {r.id for r in simhash.simhash_representatives(docs).collect()} == {1, 3, 5}
     assert simhash.simhash_components(docs.limit(0)).count() == 0
 
 
@@ -75,3 +74,27 @@ def test_large_star_small_star_on_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_similar_components_against_exact_similarity(spark):
+    rng = random.Random(9)
+    docs, origin = [], {}
+    for g in range(25):
+        base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        for _ in range(rng.choice([1, 2, 3, 24])):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                words[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+            origin[len(docs)] = g
+            docs.append((len(docs), " ".join(words)))
+    more = [(900, None), (901, " "), (902, "Two words"), (903, "two  WORDS"), (None, docs[0][1]), (0, docs[0][1]), (904, "a " * 30000)]
+    df = spark.createDataFrame(docs + more, "doc_id long, text string").withColumn("prints", F.lit("clash"))
+    got = simhash.similar_components(df).collect()
+    label = {r.id: r.component for r in got}
+    assert len(got) == len(docs) + len(more) - 1
+    assert (label[901], label[903], label[904]) == (900, 902, 904)
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in docs}
+    true = [(a, b) for a in sets for b in sets if a < b and origin[a] == origin[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(label[a] == label[b] for a, b in true) >= 0.95 * len(true)
+    assert all(origin[i] == origin[c] for i, c in label.items() if i in origin)
+    assert simhash.similar_components(df.limit(0)).count() == 0
