@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: A text longer than this is halved; a match longer than LEAF_BYTES is halved.
 LEAF_CHARS, LEAF_BYTES = 1 << 16, 8
 #: Matches up to MEMO_BYTES are remembered, MEMO_SIZE of them at most.
-MEMO_SIZE, MEMO_BYTES = 400_000, 64
+MEMO_SIZE, MEMO_BYTES = 200_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

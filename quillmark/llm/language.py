@@ -11,10 +11,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .bpe import default_vocabulary, read_ranks
 from .common import fold
@@ -24,7 +26,7 @@ SAMPLE_DOCS, SAMPLE_WORDS = 1500, 20_000
 #: Bytes of the longest piece; rounds of expectation-maximisation; count added to every piece.
 PIECE_BYTES, ROUNDS, ADDED = 12, 3, 0.02
 #: Words kept with their scores by a Python worker; longer words are scored alone.
-MEMO_SIZE, MEMO_BYTES = 500_000, 40
+MEMO_SIZE, MEMO_BYTES = 200_000, 40
 #: A document is rejected below this posterior.
 MIN_SCORE = 0.5
 
@@ -185,13 +187,12 @@ def predict_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
     pieces = read_pieces(path)
     langs, log_p = fit(sample_counts(train), pieces)
     held = docs.sparkSession.sparkContext.broadcast(log_p)
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__text"), *(F.col(f"`{c}`") for c in keep))
-    out = [c for c in kept.columns if c not in ("id", "__text")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(read_pieces(path), held.value)
-        for batch in batches:
-            texts = [t if t and LETTER.search(t) else None for t in batch.column("__text").to_pylist()]
+        for column in batches:
+            texts = [t if t and LETTER.search(t) else None for t in column]
             labels, scores = ["und"] * len(texts), [0.0] * len(texts)
             if langs:
                 found = scorer.score([words_of(t) if t else [] for t in texts])
@@ -200,10 +201,10 @@ def predict_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
                 best = found.argmax(axis=1)
                 labels = [langs[k] if t else "und" for k, t in zip(best.tolist(), texts, strict=True)]
                 scores = [s if t else 0.0 for s, t in zip(found.max(axis=1).tolist(), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), *(batch.column(c) for c in out)], names=["id", "lang_pred", "score", *out])
+            yield pd.DataFrame({"lang_pred": labels, "score": scores})
 
-    fields = "".join(f", `{c}` {kept.schema[c].dataType.simpleString()}" for c in out)
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, lang_pred string, score double{fields}")
+    found = docs.select(F.col(id_col).alias("id"), predict(F.col(text_col).cast("string")).alias("__found"), *(F.col(f"`{c}`") for c in keep))
+    return found.select("id", "__found.lang_pred", "__found.score", *(F.col(f"`{c}`") for c in keep))
 
 
 def held_out(folds: int = 4, at: int = 2):

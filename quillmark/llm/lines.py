@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import md5
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import stash
 
@@ -101,26 +103,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text is one empty line. Text left without any chunk is empty. An empty table gives an empty one.
     """
     gone = repeated_chunks(docs, id_col, text_col).groupBy("id").agg(F.collect_list("pos").alias("__gone")).withColumnRenamed("id", "__id")
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*(f"`{c}`" for c in kept)).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left").drop("__id")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, before, after = [], [], []
-            at = batch.schema.get_field_index(text_col)
-            for t, lost in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-                lines = [] if t is None else t.split(b"\n")
-                before.append(len(lines))
-                if lost:
-                    drop = set(lost)
-                    lines = [x for n, (a, b) in enumerate(chunk_bounds(lines)) if n not in drop for x in lines[a:b]]
-                after.append(before[-1] - len(lines))
-                texts.append(None if t is None else b"\n".join(lines) if lost else t)
-            columns = [pa.array(texts, pa.binary()).cast(batch.schema.field(at).type) if n == at else batch.column(n) for n in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int32()), pa.array(after, pa.int32())], names=[*kept, "n_lines", "n_removed"])
-
-    return joined.mapInArrow(run, f"{schema}, n_lines int, n_removed int")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    joined = docs.select(*kept).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
+
+    @pandas_udf("text string, n int")
+    def without(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, numbers in zip(texts, lost, strict=True):
+            if t is None or numbers is None:
+                out.append((None, 0))
+                continue
+            lines, drop = t.encode().split(b"\n"), set(numbers)
+            left = [x for n, (a, b) in enumerate(chunk_bounds(lines)) if n not in drop for x in lines[a:b]]
+            out.append((b"\n".join(left).decode(), len(lines) - len(left)))
+        return pd.DataFrame(out, columns=["text", "n"])
+
+    # only texts that lose lines go through Python and back
+    text = F.col(f"`{text_col}`")
+    cut = joined.withColumn("__cut", without(F.when(F.col("__gone").isNotNull(), text), F.col("__gone")))
+    whole = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    columns = [F.coalesce(F.when(F.col("__gone").isNotNull(), F.col("__cut.text")), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return cut.select(*columns, whole.cast("int").alias("n_lines"), F.when(F.col("__gone").isNotNull(), F.col("__cut.n")).otherwise(0).alias("n_removed"))
 
 
 def oracle_sql() -> str:
