@@ -24,9 +24,9 @@ from .common import fold
 #: About so many labelled documents of each language are fitted, and so many of their most frequent words.
 SAMPLE_DOCS, SAMPLE_WORDS = 1500, 20_000
 #: Bytes of the longest piece; rounds of expectation-maximisation; count added to every piece.
-PIECE_BYTES, ROUNDS, ADDED = 12, 3, 0.02
-#: Words kept with their scores by a Python worker; longer words are scored alone.
-MEMO_SIZE, MEMO_BYTES = 200_000, 40
+PIECE_BYTES, ROUNDS, ADDED = 8, 3, 0.02
+#: Frequent words whose scores every task holds; further words a task remembers; longer words are scored alone.
+HELD_WORDS, MEMO_SIZE, MEMO_BYTES = 60_000, 150_000, 40
 #: A document is rejected below this posterior.
 MIN_SCORE = 0.5
 
@@ -40,17 +40,36 @@ def words_of(text: str) -> list[bytes]:
     return [b" " + w for w in text.lower().encode().translate(SEPARATE).split()]
 
 
-def read_pieces(path: str) -> dict[bytes, int]:
+class Pieces(dict):
+    """Numbers of pieces; by length also their bytes as sorted integers, for whole batches of words."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        super().__init__(numbers)
+        self.tables = []
+        for n in range(1, PIECE_BYTES + 1):
+            some = sorted((int.from_bytes(p, "big"), i) for p, i in numbers.items() if len(p) == n)
+            self.tables.append((np.array([k for k, _ in some], dtype=np.uint64), np.array([i for _, i in some], dtype=np.int32)))
+
+
+def read_pieces(path: str) -> Pieces:
     kept = sorted(p for p in read_ranks(path) if len(p) <= PIECE_BYTES)
-    return {p: i for i, p in enumerate(kept)}
+    return Pieces({p: i for i, p in enumerate(kept)})
 
 
-def lattice(words: list[bytes], pieces: dict[bytes, int]) -> np.ndarray:
+def lattice(words: list[bytes], pieces: Pieces) -> np.ndarray:
     """(words, length, PIECE_BYTES): number of the piece that ends before position j + 1 and has d + 1 bytes, else the
     count of pieces. All words have the same length."""
     n, none = len(words[0]), len(pieces)
-    rows = [[pieces.get(w[j - d : j + 1], none) if d <= j else none for j in range(n) for d in range(PIECE_BYTES)] for w in words]
-    return np.array(rows, dtype=np.int32).reshape(len(words), n, PIECE_BYTES)
+    letters = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), n).astype(np.uint64)
+    out = np.full((len(words), n, PIECE_BYTES), none, dtype=np.int32)
+    key = letters
+    for d, (keys, numbers) in enumerate(pieces.tables[:n]):
+        if d:  # the byte d places before each end comes in front
+            key = key[:, 1:] + (letters[:, : n - d] << np.uint64(8 * d))
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out[:, d:, d] = np.where(keys[at] == key, numbers[at], none)
+    return out
 
 
 def forward(edges: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -83,7 +102,7 @@ def by_length(words: list[bytes], block: int = 4096) -> Iterator[list[bytes]]:
             yield same[at : at + block]
 
 
-def fit(counts: dict[str, dict[bytes, int]], pieces: dict[bytes, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+def fit(counts: dict[str, dict[bytes, int]], pieces: Pieces, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, log p (pieces, languages)) from word counts of each language."""
     langs, none = sorted(counts), len(pieces)
     table = np.zeros((none, len(langs)), dtype=np.float32)
@@ -108,10 +127,14 @@ def fit(counts: dict[str, dict[bytes, int]], pieces: dict[bytes, int], rounds: i
 class Scorer:
     """Log-likelihoods of words by language, remembered for short words."""
 
-    def __init__(self, pieces: dict[bytes, int], log_p: np.ndarray):
+    def __init__(self, pieces: Pieces, log_p: np.ndarray, known: tuple[list[bytes], np.ndarray] | None = None):
+        """known: words whose scores are held from the start and never forgotten."""
         self.pieces, self.p = pieces, np.vstack([np.exp(log_p.astype(float)), np.zeros((1, log_p.shape[1]))])
-        self.at: dict[bytes, int] = {}
-        self.table = np.zeros((1024, log_p.shape[1]))
+        words, scores = known or ([], np.zeros((0, log_p.shape[1])))
+        self.held = {w: i for i, w in enumerate(words)}
+        self.at = dict(self.held)
+        self.table = np.zeros((len(words) + 1024, log_p.shape[1]))
+        self.table[: len(words)] = scores
 
     def learn(self, words: list[bytes]) -> None:
         for same in by_length(words):
@@ -140,8 +163,8 @@ class Scorer:
 
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
         """(texts, languages) log-likelihoods."""
-        if len(self.at) > MEMO_SIZE:
-            self.at.clear()
+        if len(self.at) > len(self.held) + MEMO_SIZE:
+            self.at = dict(self.held)
         known = self.at
         self.learn(list({w for words in texts for w in words if w not in known}))
         out = np.zeros((len(texts), self.table.shape[1]))
@@ -185,12 +208,18 @@ def predict_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
     """
     path = path or default_vocabulary()[0]
     pieces = read_pieces(path)
-    langs, log_p = fit(sample_counts(train), pieces)
-    held = docs.sparkSession.sparkContext.broadcast(log_p)
+    counts = sample_counts(train)
+    langs, log_p = fit(counts, pieces)
+    total = sum(map(Counter, counts.values()), Counter())
+    frequent = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:HELD_WORDS]]
+    first = Scorer(pieces, log_p)
+    first.learn(frequent)
+    known = (list(first.at), first.table[: len(first.at)].copy())
+    held = docs.sparkSession.sparkContext.broadcast((log_p, known))
 
     @pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(read_pieces(path), held.value)
+        scorer = Scorer(read_pieces(path), *held.value)
         for column in batches:
             texts = [t if t and LETTER.search(t) else None for t in column]
             labels, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -203,6 +232,7 @@ def predict_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
                 scores = [s if t else 0.0 for s, t in zip(found.max(axis=1).tolist(), texts, strict=True)]
             yield pd.DataFrame({"lang_pred": labels, "score": scores})
 
+    predict = predict.asNondeterministic()  # else a filter on the result runs it twice
     found = docs.select(F.col(id_col).alias("id"), predict(F.col(text_col).cast("string")).alias("__found"), *(F.col(f"`{c}`") for c in keep))
     return found.select("id", "__found.lang_pred", "__found.score", *(F.col(f"`{c}`") for c in keep))
 

@@ -118,6 +118,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out.append((b"\n".join(left).decode(), len(lines) - len(left)))
         return pd.DataFrame(out, columns=["text", "n"])
 
+    without = without.asNondeterministic()  # else a filter on the result runs it twice
     # only texts that lose lines go through Python and back
     text = F.col(f"`{text_col}`")
     cut = joined.withColumn("__cut", without(F.when(F.col("__gone").isNotNull(), text), F.col("__gone")))

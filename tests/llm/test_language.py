@@ -18,7 +18,7 @@ def segmentations(word, pieces):
 
 def test_forward_sums_all_segmentations():
     probabilities = {b"a": 0.3, b"b": 0.2, b"ab": 0.1, b"aba": 0.25, b"ba": 0.15}
-    pieces = {x: i for i, x in enumerate(sorted(probabilities))}
+    pieces = lg.Pieces({x: i for i, x in enumerate(sorted(probabilities))})
     table = np.log(np.array([[probabilities[x]] for x in pieces]))
     scorer = lg.Scorer(pieces, table)
     for word in (b"abab", b"aaaa", b"babab"):
@@ -28,7 +28,7 @@ def test_forward_sums_all_segmentations():
 
 
 def test_fitting_raises_the_likelihood():
-    pieces = {x: i for i, x in enumerate(sorted([b"a", b"b", b" ", b"ab", b" a"]))}
+    pieces = lg.Pieces({x: i for i, x in enumerate(sorted([b"a", b"b", b" ", b"ab", b" a"]))})
     counts = {"x": {b" abab": 5, b" ab": 9}}
     likelihood = []
     for rounds in (1, 2, 6):
