@@ -25,6 +25,11 @@ SUB_SPELLING = r"(?i)\(?[a-z]\)|\((i|ii|iii|iv|v|vi|vii|viii|ix|x)\)"
 CHARS_PER_MARK = 90
 
 
+def round6(c: Column) -> Column:
+    """Six decimals; what stands within 1e-12 of half a unit goes up, so that engines agree on ties."""
+    return F.floor(c * 1e6 + 0.500001) / 1e6
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -56,7 +56,7 @@ def final_confidence(top: DataFrame, verdicts: DataFrame, c: Config = DEFAULT) -
     weight = F.when(consulted, c.weight_verdict).otherwise(0.0)
     agreement = F.when(selected, clamp01(F.col("model_confidence"))).otherwise(0.0)
     penalty = F.when(F.col("label_kind") == "CONFLICTING_LABEL", c.label_conflict_penalty).otherwise(0.0)
-    value = F.round(clamp01((1 - weight) * F.col("candidate_score") + weight * agreement - penalty), 6)
+    value = s.round6(clamp01((1 - weight) * F.col("candidate_score") + weight * agreement - penalty))
     out = joined.select(*top.columns, consulted.alias("consulted"), selected.alias("selected"), F.coalesce(F.col("decision") == "NO_MATCH", F.lit(False)).alias("no_match"), F.col("model_confidence").alias("llm_confidence"), value.alias("confidence"))
     return out.withColumn("final_rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("confidence"), "rank")))
 

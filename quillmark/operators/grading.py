@@ -120,7 +120,7 @@ def verify_recommendations(targets: DataFrame, recommendations: DataFrame, c: Co
         F.max("reported_total").alias("reported"),
         F.max("confidence").alias("model_confidence"),
         F.max("total_marks").alias("total"),
-        F.count_if(criterion_outcome(mark, top) == "PARTIAL").alias("partials"),
+        F.count_if(F.coalesce((mark > 0) & (mark < top), F.lit(False))).alias("partials"),
         F.count("max_marks").alias("n_criteria"),
     )
     failure = F.coalesce("fault", F.when(F.col("missing") > 0, "MISSING_CRITERION").when(F.abs(F.col("awarded") - F.col("reported")) > EPS, "INCONSISTENT_TOTAL").when(F.col("awarded") > F.col("total"), "OVER_TOTAL"))
@@ -139,7 +139,7 @@ def grade_answers(targets: DataFrame, answers: DataFrame, recommendations: DataF
     a = answers.select(*KEY, F.col("text").contains("[unclear]").alias("uncertain"), F.col("diagram").alias("drawn"))
     rows = targets.join(a, KEY, "left").join(checked, KEY, "left")
     share = F.when(F.col("n_criteria") > 0, (F.col("n_criteria") - F.col("partials")) / F.col("n_criteria"))
-    sure = F.round(grading_confidence(F.col("source"), F.col("asks"), F.col("drawn"), F.col("uncertain"), F.col("model_confidence"), share, c), 6)
+    sure = s.round6(grading_confidence(F.col("source"), F.col("asks"), F.col("drawn"), F.col("uncertain"), F.col("model_confidence"), share, c))
     failed = F.col("reason").isNull() & (F.col("failure").isNotNull() | F.col("awarded").isNull())
     good = F.col("reason").isNull() & ~failed
     why = F.array_compact(F.array(F.when(sure < c.grade_threshold, "LOW_GRADING_CONFIDENCE"), F.when(F.col("uncertain"), "UNCERTAIN_TRANSCRIPTION"), F.when(F.col("source") == "GENERATED", "GENERATED_RUBRIC"), F.when(F.col("asks") & F.col("drawn"), "DIAGRAM_NOT_ASSESSABLE")))

@@ -128,15 +128,17 @@ def mutual_best(edges: DataFrame) -> DataFrame:
     return edges.withColumn("a", best("answer_id", "question_id")).withColumn("q", best("question_id", "answer_id")).where("a = 1 and q = 1").select(*edges.columns)
 
 
-def greedy_assignment(edges: DataFrame, c: Config = DEFAULT, rounds: int = 50) -> DataFrame:
-    """Baseline: take mutual best edges, remove their ends, and again until no edge is left."""
-    left = edges.where(F.col("confidence") >= c.min_assignment).select("assessment_id", "answer_id", "question_id", "confidence")
-    taken = None
-    for _ in range(rounds):
-        left = left.persist()
-        if left.isEmpty():
-            break
-        now = mutual_best(left).persist()
-        taken = now if taken is None else taken.unionByName(now)
-        left = left.join(now.select("assessment_id", "answer_id"), ["assessment_id", "answer_id"], "left_anti").join(now.select("assessment_id", "question_id"), ["assessment_id", "question_id"], "left_anti")
-    return taken if taken is not None else left
+def greedy_assignment(edges: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """Baseline: the heaviest edge whose ends are free is taken, again and again; ties go to the smaller ids."""
+    good = edges.where(F.col("confidence") >= c.min_assignment).select("assessment_id", "answer_id", "question_id", "confidence")
+
+    def fold(key: object, rows: list[dict]) -> list[dict]:
+        left, right, out = set(), set(), []
+        for r in sorted(rows, key=lambda r: (-r["confidence"], r["answer_id"], r["question_id"])):
+            if r["answer_id"] not in left and r["question_id"] not in right:
+                left.add(r["answer_id"])
+                right.add(r["question_id"])
+                out.append(r)
+        return out
+
+    return fold_blocks(good, "assessment_id", ["answer_id", "question_id"], fold, "assessment_id long, answer_id long, question_id long, confidence double")

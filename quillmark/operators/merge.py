@@ -63,10 +63,10 @@ def same_question_pairs(readings: DataFrame) -> DataFrame:
     """(assessment_id, first, second): equal canonical labels if both have one; else the same page and similar text."""
     key = F.when(F.length(F.trim(F.coalesce("label_raw", F.lit("")))) > 0, parse_label(F.col("label_raw"))["normalized"])
     rows = _tokens(readings).withColumn("key", key).select("assessment_id", "reading_id", "chunk", "page", "key", "tokens")
-    other = rows.select("assessment_id", *(F.col(c).alias(f"b_{c}") for c in ("reading_id", "chunk", "page", "key", "tokens")))
-    by_label = rows.join(other, [rows.assessment_id == other.assessment_id, rows.key == other.b_key]).where("chunk < b_chunk")
-    by_text = rows.join(other, [rows.assessment_id == other.assessment_id, rows.page == other.b_page]).where("chunk < b_chunk and (key is null or b_key is null)").where(F.round(jaccard(F.col("tokens"), F.col("b_tokens")), 6) >= SAME_QUESTION)
-    out = lambda df: df.select(rows.assessment_id, F.col("reading_id").alias("first"), F.col("b_reading_id").alias("second"))
+    other = rows.select(*(F.col(c).alias(f"b_{c}") for c in ("assessment_id", "reading_id", "chunk", "page", "key", "tokens")))
+    by_label = rows.join(other, F.expr("assessment_id = b_assessment_id and key = b_key")).where("chunk < b_chunk")
+    by_text = rows.join(other, F.expr("assessment_id = b_assessment_id and page = b_page")).where("chunk < b_chunk and (key is null or b_key is null)").where(F.round(jaccard(F.col("tokens"), F.col("b_tokens")), 6) >= SAME_QUESTION)
+    out = lambda df: df.select("assessment_id", F.col("reading_id").alias("first"), F.col("b_reading_id").alias("second"))
     return out(by_label).unionByName(out(by_text)).distinct()
 
 

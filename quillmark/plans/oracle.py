@@ -97,7 +97,7 @@ PARTS: dict[str, str] = {
       CASE WHEN v.decision = 'MATCH' AND t.question_id IS NULL THEN 'INVALID_CANDIDATE_ID' END AS reason_code
       FROM fx_v v JOIN gate g ON v.assessment_id = g.assessment_id AND v.answer_id = g.answer_id AND NOT g.decisive LEFT JOIN top3 t ON t.assessment_id = v.assessment_id AND t.answer_id = v.answer_id AND t.question_id = v.question_id""",
     "ranked0": """SELECT t.*, g.decision IS NOT NULL AS consulted, coalesce(g.chosen = t.question_id, false) AS selected, coalesce(g.decision = 'NO_MATCH', false) AS no_match, g.model_confidence AS llm_confidence,
-      round(least(1.0, greatest(0.0, (1 - CASE WHEN g.decision IS NOT NULL THEN CAST(0.3 AS DOUBLE) ELSE 0 END) * candidate_score + CASE WHEN g.decision IS NOT NULL THEN CAST(0.3 AS DOUBLE) ELSE 0 END * CASE WHEN coalesce(g.chosen = t.question_id, false) THEN least(1.0, greatest(0.0, g.model_confidence)) ELSE 0 END - CASE WHEN label_kind = 'CONFLICTING_LABEL' THEN CAST(0.25 AS DOUBLE) ELSE 0 END)), 6) AS confidence
+      floor(least(1.0, greatest(0.0, (1 - CASE WHEN g.decision IS NOT NULL THEN CAST(0.3 AS DOUBLE) ELSE 0 END) * candidate_score + CASE WHEN g.decision IS NOT NULL THEN CAST(0.3 AS DOUBLE) ELSE 0 END * CASE WHEN coalesce(g.chosen = t.question_id, false) THEN least(1.0, greatest(0.0, g.model_confidence)) ELSE 0 END - CASE WHEN label_kind = 'CONFLICTING_LABEL' THEN CAST(0.25 AS DOUBLE) ELSE 0 END)) * 1e6 + 0.500001) / 1e6 AS confidence
       FROM top3 t LEFT JOIN guarded g ON t.assessment_id = g.assessment_id AND t.answer_id = g.answer_id""",
     "ranked": "SELECT *, CAST(row_number() OVER (PARTITION BY assessment_id, answer_id ORDER BY confidence DESC, rank) AS INTEGER) AS final_rank FROM ranked0",
     "edges": "SELECT assessment_id, answer_id, question_id, confidence FROM ranked WHERE confidence >= 0.35",

@@ -41,7 +41,8 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shortlist(spark: SparkSession, d: str) -> DataFrame:
-    return cd.top_k_candidates(scored(spark, d))
+    """Used several times by what follows, so kept; spills to disk if it is large."""
+    return cd.top_k_candidates(scored(spark, d)).persist()
 
 
 def verdicts_of(spark: SparkSession, d: str, top: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def verdicts_of(spark: SparkSession, d: str, top: DataFrame) -> DataFrame:
 
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     top = shortlist(spark, d)
-    return dc.final_confidence(top, verdicts_of(spark, d, top))
+    return dc.final_confidence(top, verdicts_of(spark, d, top)).persist()
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +60,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 def mappings(spark: SparkSession, d: str) -> DataFrame:
     top = shortlist(spark, d)
-    again = dc.final_confidence(top, verdicts_of(spark, d, top))
+    again = dc.final_confidence(top, verdicts_of(spark, d, top)).persist()
     found = mt.mutual_best(again.where("confidence >= 0.35").select("assessment_id", "answer_id", "question_id", "confidence"))
     return dc.build_mappings(fx.answers(spark, d), again, found, dc.decisive_gate(top))
 
@@ -70,10 +71,10 @@ def label_questions(spark: SparkSession, d: str) -> DataFrame:
     return resolved(spark, d).select("question_id", "label_raw", "major", "minor", "roman", "normalized_label", "parent_label", "is_sub", "is_orphan")
 
 
-@query("SELECT answer_id, claimed_label_raw, p_major AS major, p_minor AS minor, p_roman AS roman, p_norm AS normalized, CASE WHEN claimed_label_raw IS NOT NULL THEN p_sub END AS is_sub, CASE WHEN claimed_label_raw IS NOT NULL THEN p_orphan END AS is_orphan FROM a_parsed")
+@query("SELECT answer_id, claimed_label_raw, p_major AS major, p_minor AS minor, p_roman AS roman, p_norm AS normalized, p_sub AS is_sub, p_orphan AS is_orphan FROM a_parsed")
 def label_claims(spark: SparkSession, d: str) -> DataFrame:
     p = fx.answers(spark, d).select("answer_id", "claimed_label_raw", lb.parse_label(F.col("claimed_label_raw")).alias("p"))
-    return p.select("answer_id", "claimed_label_raw", "p.major", "p.minor", "p.roman", "p.normalized", "p.is_sub", "p.is_orphan")
+    return p.select("answer_id", "claimed_label_raw", "p.major", "p.minor", "p.roman", "p.normalized", F.coalesce("p.is_sub", F.lit(False)).alias("is_sub"), F.coalesce("p.is_orphan", F.lit(False)).alias("is_orphan"))
 
 
 @query("SELECT question_id, CAST(question_at AS INTEGER) AS question_at, question_count FROM q_at")
@@ -114,7 +115,7 @@ def link_top_candidates(spark: SparkSession, d: str) -> DataFrame:
     return shortlist(spark, d).select("assessment_id", "answer_id", "question_id", "rank", "candidate_score")
 
 
-@query("SELECT assessment_id, count_if(candidate_score >= 0.9) AS high, count_if(candidate_score >= 0.7 AND candidate_score < 0.9) AS medium, count_if(candidate_score < 0.7) AS low FROM top3 WHERE rank = 1 GROUP BY 1")
+@query("SELECT assessment_id, CAST(count_if(candidate_score >= 0.9) AS BIGINT) AS high, CAST(count_if(candidate_score >= 0.7 AND candidate_score < 0.9) AS BIGINT) AS medium, CAST(count_if(candidate_score < 0.7) AS BIGINT) AS low FROM top3 WHERE rank = 1 GROUP BY 1")
 def link_band_counts(spark: SparkSession, d: str) -> DataFrame:
     return dc.band_counts(shortlist(spark, d))
 
@@ -205,10 +206,15 @@ def decide_mutual_best(spark: SparkSession, d: str) -> DataFrame:
     return mt.mutual_best(edges(spark, d))
 
 
-@query("SELECT m.assessment_id, m.answer_id FROM mutual m JOIN facts f ON m.assessment_id = f.assessment_id AND m.answer_id = f.answer_id WHERE m.question_id <> f.best")
+@query(
+    "SELECT h.assessment_id, h.answer_id FROM held h JOIN facts f ON h.assessment_id = f.assessment_id AND h.answer_id = f.answer_id WHERE h.question_id <> f.best",
+    held="SELECT assessment_id, answer_id, max(question_id) AS question_id FROM edges GROUP BY 1, 2",
+)
 def decide_contested(spark: SparkSession, d: str) -> DataFrame:
+    """Against the assignment of each answer to the last question it has an edge to."""
     r = ranked(spark, d)
-    return dc.contested_answers(r, mt.mutual_best(r.where("confidence >= 0.35").select("assessment_id", "answer_id", "question_id", "confidence")))
+    held = r.where("confidence >= 0.35").groupBy("assessment_id", "answer_id").agg(F.max("question_id").alias("question_id"))
+    return dc.contested_answers(r, held)
 
 
 @query("SELECT * FROM maps")
@@ -226,6 +232,6 @@ def decide_unmapped_answers(spark: SparkSession, d: str) -> DataFrame:
     return dc.unmapped_answers(mappings(spark, d))
 
 
-@query("SELECT assessment_id, count(*) AS answers, count_if(status = 'AUTO_MAPPED') AS auto_mapped, count_if(status = 'REVIEW_REQUIRED') AS review_required, count_if(status = 'HUMAN_REVIEW') AS human_review, count_if(status = 'UNMAPPED') AS unmapped, count_if(consulted) AS consulted FROM maps GROUP BY 1")
+@query("SELECT assessment_id, count(*) AS answers, CAST(count_if(status = 'AUTO_MAPPED') AS BIGINT) AS auto_mapped, CAST(count_if(status = 'REVIEW_REQUIRED') AS BIGINT) AS review_required, CAST(count_if(status = 'HUMAN_REVIEW') AS BIGINT) AS human_review, CAST(count_if(status = 'UNMAPPED') AS BIGINT) AS unmapped, CAST(count_if(consulted) AS BIGINT) AS consulted FROM maps GROUP BY 1")
 def decide_summary(spark: SparkSession, d: str) -> DataFrame:
     return dc.mapping_run_summary(mappings(spark, d))

@@ -107,3 +107,40 @@ def of_events(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", "cast(embedding AS array<double>) AS embedding")
+
+
+#: What is in effect for grading: mostly each answer's own question, some none, some unknown.
+EFFECTIVE = """
+SELECT assessment_id, answer_id, CASE WHEN answer_id % 9 = 0 THEN NULL WHEN answer_id % 23 = 0 THEN -1 ELSE answer_id END AS question_id,
+  CASE WHEN answer_id % 4 = 0 THEN 'HUMAN' ELSE 'AI' END AS mapping_source FROM {answers}"""
+
+#: Criterion marks recommended for each gradeable answer. crit: keys, i (place of the criterion), criterion_id, max_marks.
+RECOMMENDATIONS = """
+SELECT assessment_id, answer_id, ordinal, criterion_id, awarded, sum(awarded) OVER (PARTITION BY assessment_id, answer_id) + CASE WHEN answer_id % 13 = 0 THEN 1 ELSE 0 END AS reported_total,
+  cast(0.4 AS double) + cast(answer_id % 60 AS double) / 100 AS confidence
+FROM (SELECT assessment_id, answer_id, i AS ordinal, criterion_id, awarded FROM {rated} WHERE NOT (i = 2 AND answer_id % 17 = 0)
+  UNION ALL SELECT assessment_id, answer_id, 9, 'cX', cast(1 AS double) FROM {rated} WHERE i = 1 AND answer_id % 19 = 0
+  UNION ALL SELECT assessment_id, answer_id, 8, criterion_id, awarded FROM {rated} WHERE i = 1 AND answer_id % 23 = 5) t"""
+
+RATED = """
+SELECT assessment_id, answer_id, i, criterion_id, least(max_marks, cast(floor(max_marks * (answer_id % 3) / 2) AS double)) + CASE WHEN answer_id % 29 = 0 AND i = 1 THEN cast(0.5 AS double) ELSE cast(0 AS double) END AS awarded FROM {crit}"""
+
+PRIOR = """
+SELECT assessment_id, answer_id, CASE WHEN assessment_id % 5 = 0 THEN answer_id + 1 ELSE answer_id END AS question_id, CASE WHEN answer_id % 14 = 0 THEN 'FAILED' ELSE 'GRADED' END AS status,
+  cast(1 AS double) AS awarded, cast(2 AS double) AS maximum, answer_id % 8 <> 0 AS is_current FROM {answers} WHERE answer_id % 2 = 0"""
+
+#: One model response per reading, with numbers as strings now and then, and kinds that do not exist.
+RESPONSES = """
+SELECT assessment_id, answer_id, chunk, CASE WHEN answer_id % 31 = 0 THEN '{{"answers":' ELSE '{{"answers":[{{"claimedLabelRaw":' || coalesce('"' || label_raw || '"', 'null') || ',"text":"' || text || '","extra":1,"regions":[{{"pageNumber":' || cast(page AS string)
+  || ',"x":' || CASE WHEN answer_id % 5 = 0 THEN '"' || cast(x AS string) || '"' ELSE cast(x AS string) END || ',"y":' || CASE WHEN answer_id % 37 = 0 THEN '"high"' ELSE cast(y AS string) END || ',"width":0.7,"height":0.1,"kind":"'
+  || CASE WHEN answer_id % 6 = 0 THEN 'blob' WHEN diagram THEN 'diagram' ELSE 'text' END || '"}}]}}]}}' END AS body FROM {readings}"""
+
+UPLOADS = """
+SELECT o_orderkey AS document_id, o_custkey AS assessment_id, CASE WHEN o_orderstatus = 'F' THEN 'ANSWER_SHEET' ELSE 'QUESTION_PAPER' END AS type, o_orderdate AS uploaded_at,
+  cast(o_orderkey * 977 % 12000000 AS bigint) * CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE 1 END AS size, 'scan.' || CASE o_orderkey % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'PNG' WHEN 2 THEN 'jpeg' ELSE 'doc' END AS filename,
+  CASE o_orderkey % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/PNG; q=1' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN NULL ELSE 'text/plain' END AS mime,
+  unhex(CASE o_orderkey % 7 WHEN 0 THEN '255044462D312E37' WHEN 1 THEN '89504E470D0A1A0A' WHEN 2 THEN 'FFD8FFE000104A46' WHEN 3 THEN '47494638' WHEN 4 THEN '' ELSE '255044462D' END) AS head FROM {orders}"""
+
+
+def effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EFFECTIVE, answers=answers(spark, sf_dir))
