@@ -171,7 +171,7 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
 def _proposals(classes: DataFrame, small_bucket: int) -> DataFrame:
     """(src, dst) classes that share a key of a proposing fingerprint and differ in few bits overall.
 
-    Members of buckets over small_bucket are proposed to the smallest and the largest id of each of their buckets.
+    Members of buckets over small_bucket are proposed to the smallest id of each of their buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +184,13 @@ def _proposals(classes: DataFrame, small_bucket: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((np.int64(k) << 37) | keys), pa.array(node[rows])], names=["key", "node"])
 
     keyed = stash(classes.select("node", "prints").mapInArrow(run, "key long, node long"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
     live = stash(keyed.join(sizes, "key"))
     few = live.where(F.col("n") <= small_bucket)
     pairs = few.select("key", F.col("node").alias("src")).join(few.select("key", F.col("node").alias("dst")), "key").where("src < dst").select("src", "dst")
     many = live.where(F.col("n") > small_bucket)
-    hubs = many.select(F.least("node", "low").alias("src"), F.greatest("node", "low").alias("dst")).unionAll(many.select(F.least("node", "high").alias("src"), F.greatest("node", "high").alias("dst")))
-    pairs = pairs.unionAll(hubs.where("src < dst")).distinct()
+    hubs = many.select(F.col("low").alias("src"), F.col("node").alias("dst")).where("src < dst")
+    pairs = pairs.unionAll(hubs).distinct()
     prints = classes.select("node", "prints")
     both = pairs.join(prints.toDF("src", "a"), "src").join(prints.toDF("dst", "b"), "dst")
     apart = sum(F.bit_count(F.element_at("a", k + 1).bitwiseXOR(F.element_at("b", k + 1))) for k in range(PROPOSERS))
