@@ -16,6 +16,11 @@ def trimmed(col: Column) -> Column:
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once per row however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def label_tokens(col: Column) -> Column:
     """Runs of letters and of digits, after one leading word such as 'Question' is dropped."""
     bare = F.regexp_replace(F.lower(trimmed(col)), NOISE, "")
@@ -54,27 +59,33 @@ def parse_label(col: Column) -> Column:
     The first number is the major one. After it a single letter is the minor part (even i), a longer roman numeral
     the roman part, other letters a minor part. A lone letter or numeral without a number is an orphan sub-part.
     """
-    tokens = label_tokens(col)
     number = lambda t: t.rlike("^[0-9]+$")
-    at = F.array_position(F.transform(tokens, number), True).cast("int")
-    after = F.when(at > 0, F.filter(F.slice(tokens, at + 1, F.greatest(F.size(tokens), F.lit(1))), lambda t: ~number(t))).otherwise(F.expr("array()").cast("array<string>"))
     first = lambda xs: F.try_element_at(xs, F.lit(1))
-    lone = F.when((at == 0) & (F.size(tokens) == 1), first(tokens))
-    lone_letter, lone_roman = F.when(F.length(lone) == 1, lone), F.when((F.length(lone) > 1) & is_roman(lone), lone)
-    minor = F.coalesce(first(F.filter(after, lambda t: (F.length(t) == 1) | ~is_roman(t))), lone_letter)
-    roman = F.coalesce(first(F.filter(after, lambda t: (F.length(t) > 1) & is_roman(t))), lone_roman)
-    major = F.when(at > 0, F.coalesce(F.try_element_at(tokens, at).try_cast("int"), F.lit(0))).otherwise(0)
-    orphan = lone_letter.isNotNull() | lone_roman.isNotNull()
-    sub = minor.isNotNull() | roman.isNotNull()
-    return F.when(
-        col.isNotNull(),
-        F.struct(
-            major.alias("major"),
-            minor.alias("minor"),
-            roman.alias("roman"),
-            normalized_label(major, minor, roman, col).alias("normalized"),
-            F.when(sub & ~orphan, major.cast("string")).alias("parent"),
+
+    def from_tokens(tokens: Column) -> Column:
+        return let(F.array_position(F.transform(tokens, number), True).cast("int"), lambda at: from_number(tokens, at))
+
+    def from_number(tokens: Column, at: Column) -> Column:
+        after = F.filter(F.slice(tokens, at + 1, F.greatest(F.size(tokens), F.lit(1))), lambda t: ~number(t))
+        lone = F.when((at == 0) & (F.size(tokens) == 1), first(tokens))
+        found = F.struct(
+            F.when(at > 0, F.coalesce(F.try_element_at(tokens, at).try_cast("int"), F.lit(0))).otherwise(0).alias("major"),
+            F.when(at > 0, first(F.filter(after, lambda t: (F.length(t) == 1) | ~is_roman(t)))).otherwise(F.when(F.length(lone) == 1, lone)).alias("minor"),
+            F.when(at > 0, first(F.filter(after, lambda t: (F.length(t) > 1) & is_roman(t)))).otherwise(F.when((F.length(lone) > 1) & is_roman(lone), lone)).alias("roman"),
+            (at == 0).alias("unnumbered"),
+        )
+        return let(found, from_parts)
+
+    def from_parts(p: Column) -> Column:
+        sub = p["minor"].isNotNull() | p["roman"].isNotNull()
+        return F.struct(
+            p["major"].alias("major"),
+            p["minor"].alias("minor"),
+            p["roman"].alias("roman"),
+            normalized_label(p["major"], p["minor"], p["roman"], col).alias("normalized"),
+            F.when(sub & ~p["unnumbered"], p["major"].cast("string")).alias("parent"),
             sub.alias("is_sub"),
-            orphan.alias("is_orphan"),
-        ),
-    )
+            (sub & p["unnumbered"]).alias("is_orphan"),
+        )
+
+    return F.when(col.isNotNull(), let(label_tokens(col), from_tokens))
