@@ -15,7 +15,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import space_words, stash, utf8
@@ -146,8 +146,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 #: Independent fingerprints of a document's distinct words that propose partners for the similarity of its shingles,
-#: and the bits out of all of theirs that proposed partners may differ in (unrelated texts differ in about 150).
-PROPOSERS, PROPOSED_BITS = 6, 84
+#: and the bits out of all of theirs that proposed partners may differ in (unrelated texts differ in about 300).
+PROPOSERS = 12
+PROPOSED_BITS = 14 * PROPOSERS
 
 
 def word_set_prints(text: bytes, count: int = PROPOSERS) -> list[int]:
@@ -168,11 +169,8 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size])) for i in range(n)), np.uint64, n).view(np.int64))
 
 
-def _proposals(classes: DataFrame, small_bucket: int) -> DataFrame:
-    """(src, dst) classes that share a key of a proposing fingerprint and differ in few bits overall.
-
-    Members of buckets over small_bucket are proposed to the smallest id of each of their buckets.
-    """
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, node, n, low): keys of all proposing fingerprints held by n > 1 classes, of which low is the smallest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = golay_tables()
@@ -185,23 +183,46 @@ def _proposals(classes: DataFrame, small_bucket: int) -> DataFrame:
 
     keyed = stash(classes.select("node", "prints").mapInArrow(run, "key long, node long"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    live = stash(keyed.join(sizes, "key"))
+    return stash(keyed.join(sizes, "key"))
+
+
+def _bits_apart() -> Column:
+    return sum(F.bit_count(F.element_at("a", k + 1).bitwiseXOR(F.element_at("b", k + 1))) for k in range(PROPOSERS))
+
+
+def _proposals(classes: DataFrame, live: DataFrame, small_bucket: int) -> DataFrame:
+    """(src, dst) classes that share a bucket and differ in few bits overall; in large buckets one is the smallest."""
     few = live.where(F.col("n") <= small_bucket)
     pairs = few.select("key", F.col("node").alias("src")).join(few.select("key", F.col("node").alias("dst")), "key").where("src < dst").select("src", "dst")
-    many = live.where(F.col("n") > small_bucket)
-    hubs = many.select(F.col("low").alias("src"), F.col("node").alias("dst")).where("src < dst")
+    hubs = live.where(F.col("n") > small_bucket).select(F.col("low").alias("src"), F.col("node").alias("dst")).where("src < dst")
     pairs = pairs.unionAll(hubs).distinct()
     prints = classes.select("node", "prints")
     both = pairs.join(prints.toDF("src", "a"), "src").join(prints.toDF("dst", "b"), "dst")
-    apart = sum(F.bit_count(F.element_at("a", k + 1).bitwiseXOR(F.element_at("b", k + 1))) for k in range(PROPOSERS))
-    return both.where(apart <= PROPOSED_BITS).select("src", "dst")
+    return both.where(_bits_apart() <= PROPOSED_BITS).select("src", "dst")
+
+
+def _left_over(classes: DataFrame, live: DataFrame, groups: DataFrame, small_bucket: int) -> DataFrame:
+    """(src, dst) of large buckets that the smallest ids did not settle.
+
+    Members that are in the component of their bucket's smallest id need no more links among themselves. Each other
+    member is compared with all members of the bucket that are in components other than its own.
+    """
+    many = live.where(F.col("n") > small_bucket).select("key", "node", "low")
+    parts = classes.select("node", "prints").join(groups, "node", "left").select("node", "prints", F.coalesce("component", "node").alias("part"))
+    known = many.join(parts, "node").join(parts.select(F.col("node").alias("low"), F.col("part").alias("low_part")), "low")
+    known = stash(known.select("key", "node", "prints", "part", "low_part"))
+    strays = known.where("part != low_part").select("key", F.col("node").alias("src"), F.col("prints").alias("a"), F.col("part").alias("src_part"))
+    met = strays.join(known.select("key", F.col("node").alias("dst"), F.col("prints").alias("b"), F.col("part").alias("dst_part")), "key")
+    met = met.where((F.col("src_part") != F.col("dst_part")) & (_bits_apart() <= PROPOSED_BITS))
+    return met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """(id, component) of documents whose size-word shingles have a Jaccard similarity of at least similarity.
 
     Golay keys of several fingerprints propose partners: one segment agrees wholly and the next in all but two bits.
-    Each link is verified on the whole shingle sets (as 64-bit hashes). Documents with the same words are one class
+    Members of buckets over small_bucket are proposed to the smallest first; those left outside its component are
+    then compared with the whole bucket, so no link of a bucket is lost and a group's pairs are not listed. Each link is verified on the whole shingle sets (as 64-bit hashes). Documents with the same words are one class
     from the start; those without words are one class too. Ids that are null are passed over; an empty table gives
     an empty result.
     """
@@ -219,12 +240,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     keyed = stash(rows.mapInArrow(run, "id long, key binary, prints array<long>"))
     classes = stash(keyed.groupBy("key").agg(F.min("id").alias("node"), F.min("prints").alias("prints")))
-    pairs = stash(_proposals(classes, small_bucket))
-    asked = pairs.select(F.col("src").alias("id")).unionAll(pairs.select("dst")).distinct()
-    shingles = stash(rows.join(asked, "id").dropDuplicates(["id"]).mapInArrow(sets, "node long, shingles array<long>"))
-    both = pairs.join(shingles.toDF("src", "a"), "src").join(shingles.toDF("dst", "b"), "dst")
-    common = F.size(F.array_intersect("a", "b"))
-    linked = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
-    groups = connected_components(linked)
+    live = _buckets(classes)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stash(pairs)
+        asked = pairs.select(F.col("src").alias("id")).unionAll(pairs.select("dst")).distinct()
+        shingles = stash(rows.join(asked, "id").dropDuplicates(["id"]).mapInArrow(sets, "node long, shingles array<long>"))
+        both = pairs.join(shingles.toDF("src", "a"), "src").join(shingles.toDF("dst", "b"), "dst")
+        common = F.size(F.array_intersect("a", "b"))
+        return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
+
+    groups = connected_components(verified(_proposals(classes, live, small_bucket)))
+    more = verified(_left_over(classes, live, groups, small_bucket))
+    groups = connected_components(groups.toDF("src", "dst").unionAll(more))
     labelled = classes.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     return keyed.join(labelled, "key").select("id", "component")

@@ -98,3 +98,25 @@ def test_similar_components_against_exact_similarity(spark):
     assert sum(label[a] == label[b] for a, b in true) >= 0.95 * len(true)
     assert all(origin[i] == origin[c] for i, c in label.items() if i in origin)
     assert simhash.similar_components(df.limit(0)).count() == 0
+
+
+def test_large_buckets_lose_no_link_when_the_smallest_id_stands_apart(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for n in range(40):  # the first is about 0.7 to the base and most others, the rest 0.78 to 0.95
+        words = list(base)
+        for at in rng.sample(range(200), 7 if n == 0 else rng.choice([1, 2, 3, 4, 5])):
+            words[at] = f"new{n}x{at}"
+        docs.append((n, " ".join(words)))
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in docs}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.id: r.component for r in simhash.similar_components(df, small_bucket=2).collect()}
+    assert got == want
+    assert len(set(want.values())) > 1
