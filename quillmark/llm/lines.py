@@ -12,7 +12,7 @@ from hashlib import md5
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -52,59 +52,67 @@ def passages(text: bytes) -> Iterator[tuple[int, bytes]]:
 def _keys(docs: DataFrame, id_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, pos, keys = [], [], []
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            ids, whole, pos, keys = [], [], [], []
+            for i, w, t in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 for n, body in passages(t) if t else ():
                     ids.append(i)
+                    whole.append(w)
                     pos.append(n)
                     keys.append(md5(body).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(pos, pa.int32()), pa.array(keys, pa.binary())], names=["id", "pos", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(whole, pa.binary()), pa.array(pos, pa.int32()), pa.array(keys, pa.binary())], names=["id", "text_key", "pos", "key"])
 
-    return docs.mapInArrow(run, f"id {id_type}, pos int, key binary")
+    return docs.mapInArrow(run, f"id {id_type}, text_key binary, pos int, key binary")
+
+
+def _text_key(text: Column) -> Column:
+    """128 bits that tell the texts of rows sharing an id apart."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _bodies(marked: DataFrame, id_type: str) -> DataFrame:
-    """(id, pos, key, first, body) of the marked chunks."""
+    """(id, text_key, pos, key, first, body) of the marked chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for i, t, marks in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            rows: list[list] = [[], [], [], [], [], []]
+            for i, w, t, marks in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 want = {m["pos"]: m for m in marks}
                 for n, body in passages(t or b""):
                     if n in want:
-                        for column, v in zip(rows, (i, n, want[n]["key"], want[n]["first"], body), strict=True):
+                        for column, v in zip(rows, (i, w, n, want[n]["key"], want[n]["first"], body), strict=True):
                             column.append(v)
-            types = (batch.schema.field("id").type, pa.int32(), pa.binary(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["id", "pos", "key", "first", "body"])
+            types = (batch.schema.field("id").type, pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["id", "text_key", "pos", "key", "first", "body"])
 
-    return marked.mapInArrow(run, f"id {id_type}, pos int, key binary, first boolean, body binary")
+    return marked.mapInArrow(run, f"id {id_type}, text_key binary, pos int, key binary, first boolean, body binary")
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos): chunks whose bytes also stand at an earlier place, by id and then number of chunk."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, text_key, pos): chunks whose bytes also stand at an earlier place, by id and then number of chunk."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _text_key(F.col(text_col).cast("string")).alias("text_key"))
     id_type = rows.schema["id"].dataType.simpleString()
     keys = stash(_keys(rows, id_type))
     places = keys.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("low"), F.max(F.struct("id", "pos")).alias("high")).where("low < high").select("key", "low")
-    marks = keys.distinct().join(places, "key").select("id", "pos", "key", (F.struct("id", "pos") == F.col("low")).alias("first"))
-    by_doc = marks.groupBy("id").agg(F.collect_list(F.struct("pos", "key", "first")).alias("marks"))
-    marked = rows.join(by_doc.withColumnRenamed("id", "marked"), F.col("id").eqNullSafe(F.col("marked"))).select("id", "text", "marks")
+    marks = keys.distinct().join(places, "key").select("id", "text_key", "pos", "key", (F.struct("id", "pos") == F.col("low")).alias("first"))
+    by_doc = marks.groupBy("id", "text_key").agg(F.collect_list(F.struct("pos", "key", "first")).alias("marks"))
+    marked = rows.join(by_doc.toDF("marked", "marked_key", "marks"), F.col("id").eqNullSafe(F.col("marked")) & (F.col("text_key") == F.col("marked_key"))).select("id", "text_key", "text", "marks")
     bodies = stash(_bodies(marked, id_type))
     firsts = bodies.where("first").select("key", F.col("body").alias("kept")).dropDuplicates(["key"])
-    return bodies.where("not first").join(firsts, "key").where("body = kept").select("id", "pos").distinct()
+    return bodies.where("not first").join(firsts, "key").where("body = kept").select("id", "text_key", "pos").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text column cleaned, and n_lines and n_removed added (existing columns of these names go).
 
-    The first place is that of the smallest id (nulls before all), then the earliest chunk. Rows that repeat an id are
-    one document and get the same result if their texts are equal. A null text stays null, with no lines; an empty
+    The first place is that of the smallest id (nulls before all), then the earliest chunk. Rows that repeat an id
+    with the same text are one document and get the same result; with different texts each loses only its own chunks,
+    and equal chunks of the same id and number share a place, as in the SQL. A null text stays null, with no lines; an empty
     text is one empty line. Text left without any chunk is empty. An empty table gives an empty one.
     """
-    gone = repeated_chunks(docs, id_col, text_col).groupBy("id").agg(F.collect_list("pos").alias("__gone")).withColumnRenamed("id", "__id")
+    gone = repeated_chunks(docs, id_col, text_col).groupBy("id", "text_key").agg(F.collect_list("pos").alias("__gone")).toDF("__id", "__key", "__gone")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*kept).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (_text_key(F.col(f"`{text_col}`").cast("string")) == F.col("__key"))
+    joined = docs.select(*kept).join(gone, same, "left")
 
     @pandas_udf("text string, n int")
     def without(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:

@@ -58,3 +58,15 @@ def test_shared_passage_leaves_all_but_one(spark):
     got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
     assert got[0].n_removed == 0 and all(got[k].n_removed >= 6 for k in range(1, 50))
     assert all(f"start {k}" in got[k].text and f"end {k}" in got[k].text for k in got)
+
+
+def test_rows_that_share_an_id_lose_only_their_own_chunks(spark):
+    shared = "\n".join(f"the shared passage line {k} has words" for k in range(12))
+    rows = [(0, f"start a\n{shared}\nend a")]
+    rows += [(i, f"start {i} {k}\n{shared if k % 2 else other}\nend {i} {k}") for i in (7, 8) for k in range(4) for other in ["\n".join(f"own line {j} of {i} and {k}" for j in range(12))]]
+    # ids that are null come first: the passage stays in the null row that has it earliest
+    rows += [(None, f"null {k}\n" + "\n".join(f"own line {j} of null {k}" for j in range(12))) for k in range(3)] + [(None, "x\n" * 3 + shared), (None, "y\n" * 40 + shared)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str) == brute(rows)
+    lost = [r.text for r in got if "own line" in r.text and r.n_removed]
+    assert not lost and any(r.n_removed for r in got if r.doc_id in (7, 8))
