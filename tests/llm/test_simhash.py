@@ -120,3 +120,20 @@ def test_large_buckets_lose_no_link_when_the_smallest_id_stands_apart(spark):
     got = {r.id: r.component for r in simhash.similar_components(df, small_bucket=2).collect()}
     assert got == want
     assert len(set(want.values())) > 1
+
+
+def test_truncated_and_extended_copies_at_the_threshold_are_all_found(spark):
+    rng = random.Random(12)
+    docs = []
+    for g in range(300):  # pairs of 0.80 to 0.85 whose lengths differ: one is the other cut short or carried on
+        n = rng.randint(60, 500)
+        words = [f"w{min(int(rng.paretovariate(0.6)), 5000)}g{g if rng.random() < 0.5 else 0}" for _ in range(n)]
+        whole = set(simhash.shingle_set(" ".join(words).encode(), 5).tolist())
+        kept = next(m for m in range(n // 2, n) if len(set(simhash.shingle_set(" ".join(words[:m]).encode(), 5).tolist())) >= rng.choice([0.8, 0.82, 0.85]) * len(whole))
+        docs += [(2 * g, " ".join(words[:kept] if g % 2 else words)), (2 * g + 1, " ".join(words if g % 2 else words[:kept]))]
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in docs}
+    assert all(0.8 * len(sets[i] | sets[i + 1]) <= len(sets[i] & sets[i + 1]) for i in range(0, len(docs), 2))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.id: r.component for r in simhash.similar_components(df).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, len(docs), 2)) == 300
+    assert all(c in (i, i - 1) for i, c in got.items())
