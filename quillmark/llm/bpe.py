@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: A text longer than this is halved; a match longer than LEAF_BYTES is halved.
 LEAF_CHARS, LEAF_BYTES = 1 << 16, 8
 #: Matches up to MEMO_BYTES are remembered, MEMO_SIZE of them at most.
@@ -193,7 +195,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], names=["id", "ids"])
 
@@ -206,7 +208,7 @@ def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             data = [c.decode(np.frombuffer(b or b"", dtype="<u4").tolist()) for b in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(data, pa.binary())], names=["id", "data"])
 
@@ -220,7 +222,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
             data = [c.decode(np.frombuffer(b, dtype="<u4").tolist()) for b in ids]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array(data, pa.binary()), *(batch.column(k) for k in keep)], names=["id", "ids", "data", *keep])

@@ -5,25 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
+#: Paths of stashes made while a stage of a pipeline runs, by application.
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """Folder that all executors see: spark.checkpoint.dir; where it is unset, one of our own, in local mode only (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_DIRS:
-            _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-shared-")
-        root = _OWN_DIRS[app]
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own_dir(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/quillmark-{spark.sparkContext.applicationId}"
 
 
+@cache
+def _own_dir(app: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again.
 
@@ -33,27 +40,59 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _SCRATCH.get(spark.sparkContext.applicationId)) is not None:
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a stash that nothing reads any more."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path := getattr(df, "_stash_path", None):
+        _delete(df.sparkSession, path)
+
+
+#: What stages that have returned left for the lazy readers of their results.
+_LEFT: dict[str, list[str]] = {}
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what earlier stages left: their results have been written by now."""
+    for path in _LEFT.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline stage that first deletes the scratch tables of the stage before, whose result has to be written."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        sweep(spark)
+        _SCRATCH[app] = []
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _LEFT.setdefault(app, []).extend(_SCRATCH.pop(app))
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows: rows here are whole texts, so a batch of the default 10,000 could be large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows: rows here are whole texts, of which Python should not hold a whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:

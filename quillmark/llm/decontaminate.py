@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, stash, utf8
+from .common import alnum_words, slices, stash, utf8
 
 #: Bytes of query text in one block, and of the vocabulary that index tasks hold. A larger set of queries is searched
 #: in several blocks; with a larger vocabulary every word is posted, under a 64-bit hash of it.
@@ -34,7 +34,7 @@ def build_index(docs: DataFrame, numbers: dict[bytes, int] | None, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = held.value.get if held.value is not None else lambda w, _: word_hash(w)
-        for batch in batches:
+        for batch in slices(batches, 1000):
             words = [alnum_words(t) for t in utf8(batch, "text")]
             lengths = np.fromiter(map(len, words), np.int64, len(words))
             starts = np.concatenate([[0], np.cumsum(lengths + 1)])  # one empty place between documents
@@ -162,7 +162,7 @@ def _search(index: DataFrame, items: list[tuple[str, list[bytes]]], numbers: dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, names = held.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 yield _hits(Segment(row), row["segment"], windows, names, slop)
 

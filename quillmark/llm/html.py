@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Frequent words of four languages.
 STOP_WORDS = {
     "en": "a about after all an and are as at be been but by can for from had has have he her his i if in is it its more no not of on one or our out she so than that the their them there they this to up was we were what when which who will with would you",
@@ -200,7 +202,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     kept = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(h) if h else "" for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -221,15 +221,15 @@ def predict_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(read_pieces(path), *held.value)
         for column in batches:
-            texts = [t if t and LETTER.search(t) else None for t in column]
-            labels, scores = ["und"] * len(texts), [0.0] * len(texts)
-            if langs:
+            labels, scores = ["und"] * len(column), [0.0] * len(column)
+            for at in range(0, len(column) if langs else 0, 500):  # few whole texts at a time
+                texts = [t if t and LETTER.search(t) else None for t in column.iloc[at : at + 500]]
                 found = scorer.score([words_of(t) if t else [] for t in texts])
                 found = np.exp(found - found.max(axis=1, keepdims=True))
                 found /= found.sum(axis=1, keepdims=True)
                 best = found.argmax(axis=1)
-                labels = [langs[k] if t else "und" for k, t in zip(best.tolist(), texts, strict=True)]
-                scores = [s if t else 0.0 for s, t in zip(found.max(axis=1).tolist(), texts, strict=True)]
+                labels[at : at + 500] = [langs[k] if t else "und" for k, t in zip(best.tolist(), texts, strict=True)]
+                scores[at : at + 500] = [s if t else 0.0 for s, t in zip(found.max(axis=1).tolist(), texts, strict=True)]
             yield pd.DataFrame({"lang_pred": labels, "score": scores})
 
     predict = predict.asNondeterministic()  # else a filter on the result runs it twice

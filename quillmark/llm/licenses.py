@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, utf8
+from .common import alnum_words, slices, utf8
 
 # Phrases (as words) and their labels that count wherever the words stand consecutively.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -112,7 +112,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         scanner = Scanner(base, notices)
         place = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
         span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("edits", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             n, places, notes = [], [], []
             for t in utf8(batch, "text"):
                 words = alnum_words(t)

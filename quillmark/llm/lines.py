@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import stash
+from .common import slices, stash
 
 #: A line ends a chunk once in so many times; the modulus of the rolled hash; words that make a lone line a passage.
 EVERY, MODULUS, LONG_LINE = 2, 1_000_003, 50
@@ -51,7 +51,7 @@ def passages(text: bytes) -> Iterator[tuple[int, bytes]]:
 
 def _keys(docs: DataFrame, id_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, whole, pos, keys = [], [], [], []
             for i, w, t in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 for n, body in passages(t) if t else ():
@@ -73,7 +73,7 @@ def _bodies(marked: DataFrame, id_type: str) -> DataFrame:
     """(id, text_key, pos, key, first, body) of the marked chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[list] = [[], [], [], [], [], []]
             for i, w, t, marks in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 want = {m["pos"]: m for m in marks}

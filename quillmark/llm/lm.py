@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, space_words, stash, utf8
+from .common import fold, slices, space_words, stash, utf8
 
 #: Words that every task holds with their counts; words longer than WORD_BYTES go by a digest.
 HEAD, WORD_BYTES = 150_000, 48
@@ -50,7 +50,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(whole), pa.binary()), pa.array(list(whole.values()), pa.int64())], names=["word", "c"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for t in utf8(batch, "text"):
                 counts.update(space_words(t))
                 if len(counts) > FLUSH:
@@ -187,7 +187,7 @@ def train_model(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS)
             own, rng, seen = Model(voc.unigram).load(held.value), np.random.default_rng(k), 0
             memory = [np.full(x.shape, 1e-6, dtype=np.float32) for x in own.parts()]
             n = voc.before + 1
-            for batch in batches:
+            for batch in slices(batches):
                 ids, starts, _ = voc.encode(utf8(batch, "text"))
                 if not len(ids):
                     continue
@@ -236,7 +236,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = held.value
         probability = Normalised(Model(voc.unigram).load(flat.value))
-        for batch in batches:
+        for batch in slices(batches):
             ids, starts, rest = voc.encode(utf8(batch, "text"))
             u, v, w = voc.classes_of(ids, starts)
             other = w == voc.other

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html, language, lines, lm, urls
 from .bpe import digests, round_trip
-from .common import small_batches, table
+from .common import table
 from .licenses import license_summary
 from .simhash import simhash_components
 from .vectors import near_vectors
@@ -18,7 +18,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
@@ -28,18 +27,15 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return digests(round_trip(table(spark, sf_dir, "documents")))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
@@ -48,22 +44,18 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 1000)
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return license_summary(table(spark, sf_dir, "documents"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return lm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return language.identify(table(spark, sf_dir, "documents"))
 
 

@@ -9,18 +9,16 @@ half way between them decodes to it. A key is thus (segment, its exact bits, cod
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, space_words, stash, utf8
+from .common import slices, space_words, stash, utf8
 from .components import connected_components
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -92,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long): fingerprints as signed longs. Null text counts as empty; an id that is null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.fromiter((fingerprint(t, size) for t in utf8(batch, "text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.view(np.int64))], names=["id", "fp"])
 
@@ -145,131 +143,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lowest = labelled.groupBy("group").agg(F.min("low").alias("component"))
     by_print = labelled.join(lowest, "group").select("fp", "component")
     return prints.join(by_print, "fp").select("id", "fp", "component")
-
-
-#: Cells of the table that tells about how often a shingle occurs, and the multiplier of shingle hashes.
-CELLS, MULTIPLIER = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the word shingles; fewer words than size are one shingle, none are no shingle."""
-    words = space_words(text)
-    if len(words) < size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64).view(np.int64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    n = len(words) - size + 1
-    rolled = np.zeros(n, np.uint64)
-    for k in range(size):
-        rolled = rolled * MULTIPLIER + hashes[k : k + n]
-    return np.unique(rolled.view(np.int64))
-
-
-def rarest(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """So many of the rarest shingles of a set that any two sets of that Jaccard similarity share one (prefix filter).
-
-    Similar sets share similarity * n of the n shingles of either, so among any more than the rest one is shared, if
-    all sets go by one order. That is by the count of a shingle's cell, then by hash; cells only make it cheap.
-    """
-    n = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
-    return shingles[np.argsort(counts[shingles & (CELLS - 1)], kind="stable")[:n]]
-
-
-def _cell_counts(packed: DataFrame) -> np.ndarray:
-    """Sum of the tasks' tables."""
-    one = lambda total, row: total + np.frombuffer(zlib.decompress(row["cells"]), np.int64)
-    return packed.rdd.treeAggregate(np.zeros(CELLS, np.int64), one, lambda a, b: a + b)
-
-
-def _buckets(keyed: DataFrame) -> DataFrame:
-    """(key, node, size, n, low): shingles that are among the rarest of n > 1 classes, of which low is the smallest."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    out = stash(keyed.join(sizes, "key"))
-    discard(keyed)
-    return out
-
-
-def _sizes_fit(a: str, b: str, similarity: float) -> Column:
-    """False where one set is too small for the other."""
-    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-
-
-def _proposals(live: DataFrame, small_bucket: int, similarity: float) -> DataFrame:
-    """(src, dst) classes that share a bucket and have sizes that fit; in large buckets one is the smallest id."""
-    few = live.where(F.col("n") <= small_bucket)
-    pairs = few.select("key", F.col("node").alias("src"), F.col("size").alias("a")).join(few.select("key", F.col("node").alias("dst"), F.col("size").alias("b")), "key")
-    pairs = pairs.where(F.expr("src < dst") & _sizes_fit("a", "b", similarity)).select("src", "dst")
-    hubs = live.where(F.col("n") > small_bucket).select(F.col("low").alias("src"), F.col("node").alias("dst")).where("src < dst")
-    return pairs.unionAll(hubs).distinct()
-
-
-def _left_over(live: DataFrame, groups: DataFrame, small_bucket: int, similarity: float) -> DataFrame:
-    """(src, dst) of large buckets that the smallest ids did not settle.
-
-    Members that are in the component of their bucket's smallest id need no more links among themselves. Each other
-    member is compared with all members of the bucket that are in components other than its own.
-    """
-    many = live.where(F.col("n") > small_bucket).select("key", "node", "size", "low")
-    known = many.join(groups.toDF("node", "found"), "node", "left").join(groups.toDF("low", "low_found"), "low", "left")
-    known = stash(known.select("key", "node", "size", F.coalesce("found", "node").alias("part"), F.coalesce("low_found", "low").alias("low_part")))
-    strays = known.where("part != low_part").select("key", F.col("node").alias("src"), F.col("size").alias("a"), F.col("part").alias("src_part"))
-    met = strays.join(known.select("key", F.col("node").alias("dst"), F.col("size").alias("b"), F.col("part").alias("dst_part")), "key")
-    met = met.where((F.col("src_part") != F.col("dst_part")) & _sizes_fit("a", "b", similarity))
-    return met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """(id, component) of documents whose size-word shingles have a Jaccard similarity of at least similarity.
-
-    Documents that share one of their rarest shingles are partners, and any two of that similarity do (see rarest).
-    Members of buckets over small_bucket are proposed to the smallest first; those left outside its component are
-    then compared with the whole bucket, so no link of a bucket is lost and a group's pairs are not listed. Each link
-    is verified on the whole shingle sets (as 64-bit hashes). Documents with the same words are one class from the
-    start; those without words are one class too. An id with several texts is linked by each of them. Ids that are
-    null are passed over; an empty table gives an empty result.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        names, none = ["id", "key", "cells"], pa.array([], pa.binary())
-        for batch in batches:
-            texts = utf8(batch, "text")
-            for t in texts:
-                np.add.at(cells, shingle_set(t, size) & (CELLS - 1), 1)
-            keys = [xxhash.xxh128_digest(b" ".join(space_words(t))) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.nulls(len(keys), none.type)], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, none.type), pa.array([zlib.compress(cells.tobytes(), 1)], none.type)], names=names)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, size) for t in utf8(batch, "text")]
-            short = [rarest(x, counts, similarity).tolist() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(short, pa.list_(pa.int64())), pa.array(list(map(len, sets)), pa.int32())], names=["node", "keys", "size"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t, size).tolist() for t in utf8(batch, "text")], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    first = stash(rows.mapInArrow(run, "id long, key binary, cells binary"))
-    keyed = first.where("id is not null").select("id", "key")
-    counts = _cell_counts(first.where("cells is not null").select("cells"))
-    classes = stash(keyed.groupBy("key").agg(F.min("id").alias("node")))
-    short = rows.mapInArrow(prefixes, "node long, keys array<long>, size int").join(classes.select("node"), "node", "left_semi")
-    live = _buckets(stash(short.select(F.explode("keys").alias("key"), "node", "size")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stash(pairs)
-        asked = pairs.select(F.col("src").alias("id")).unionAll(pairs.select("dst")).distinct()
-        shingles = stash(rows.join(asked, "id").mapInArrow(sets, "node long, shingles array<long>"))
-        both = pairs.join(shingles.toDF("src", "a"), "src").join(shingles.toDF("dst", "b"), "dst")
-        common = F.size(F.array_intersect("a", "b"))
-        links = stash(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
-        discard(shingles)
-        discard(pairs)
-        return links
-
-    groups = connected_components(verified(_proposals(live, small_bucket, similarity)))
-    more = verified(_left_over(live, groups, small_bucket, similarity))
-    groups = connected_components(groups.toDF("src", "dst").unionAll(more))
-    labelled = classes.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    return keyed.join(labelled, "key").select("id", "component")

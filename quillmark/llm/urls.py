@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Fixed values: (host, path, verdict). The longest rule that fits decides.
 RULES = (
     ("com", "/", "allow"),
@@ -77,7 +79,7 @@ def term_scores(df: DataFrame, id_col: str, url_col: str, weights: dict[str, flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = build_automaton(weights)
-        for batch in batches:
+        for batch in slices(batches):
             hits = [distinct_terms(u or "", machine) for u in batch.column(url_col).to_pylist()]
             strict = [sum(weights[t] >= THRESHOLD for t in h) for h in hits]
             yield pa.RecordBatch.from_arrays(

@@ -74,66 +74,3 @@ def test_large_star_small_star_on_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
-
-
-def test_similar_components_against_exact_similarity(spark):
-    rng = random.Random(9)
-    docs, origin = [], {}
-    for g in range(25):
-        base = [f"w{rng.randrange(4000)}" for _ in range(200)]
-        for _ in range(rng.choice([1, 2, 3, 24])):
-            words = list(base)
-            for _ in range(rng.choice([0, 1, 2, 3])):
-                words[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
-            origin[len(docs)] = g
-            docs.append((len(docs), " ".join(words)))
-    more = [(900, None), (901, " "), (902, "Two words"), (903, "two  WORDS"), (None, docs[0][1]), (0, docs[0][1]), (904, "a " * 30000)]
-    df = spark.createDataFrame(docs + more, "doc_id long, text string").withColumn("prints", F.lit("clash"))
-    got = simhash.similar_components(df).collect()
-    label = {r.id: r.component for r in got}
-    assert len(got) == len(docs) + len(more) - 1
-    assert (label[901], label[903], label[904]) == (900, 902, 904)
-    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in docs}
-    true = [(a, b) for a in sets for b in sets if a < b and origin[a] == origin[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert sum(label[a] == label[b] for a, b in true) >= 0.95 * len(true)
-    assert all(origin[i] == origin[c] for i, c in label.items() if i in origin)
-    assert simhash.similar_components(df.limit(0)).count() == 0
-
-
-def test_large_buckets_lose_no_link_when_the_smallest_id_stands_apart(spark):
-    rng = random.Random(4)
-    base = [f"w{i}" for i in range(200)]
-    docs = []
-    for n in range(40):  # the first is about 0.7 to the base and most others, the rest 0.78 to 0.95
-        words = list(base)
-        for at in rng.sample(range(200), 7 if n == 0 else rng.choice([1, 2, 3, 4, 5])):
-            words[at] = f"new{n}x{at}"
-        docs.append((n, " ".join(words)))
-    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in docs}
-    want = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                    want[a] = want[b] = min(want[a], want[b])
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.id: r.component for r in simhash.similar_components(df, small_bucket=2).collect()}
-    assert got == want
-    assert len(set(want.values())) > 1
-
-
-def test_truncated_and_extended_copies_at_the_threshold_are_all_found(spark):
-    rng = random.Random(12)
-    docs = []
-    for g in range(300):  # pairs of 0.80 to 0.85 whose lengths differ: one is the other cut short or carried on
-        n = rng.randint(60, 500)
-        words = [f"w{min(int(rng.paretovariate(0.6)), 5000)}g{g if rng.random() < 0.5 else 0}" for _ in range(n)]
-        whole = set(simhash.shingle_set(" ".join(words).encode(), 5).tolist())
-        kept = next(m for m in range(n // 2, n) if len(set(simhash.shingle_set(" ".join(words[:m]).encode(), 5).tolist())) >= rng.choice([0.8, 0.82, 0.85]) * len(whole))
-        docs += [(2 * g, " ".join(words[:kept] if g % 2 else words)), (2 * g + 1, " ".join(words if g % 2 else words[:kept]))]
-    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in docs}
-    assert all(0.8 * len(sets[i] | sets[i + 1]) <= len(sets[i] & sets[i + 1]) for i in range(0, len(docs), 2))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.id: r.component for r in simhash.similar_components(df).collect()}
-    assert sum(got[i] == got[i + 1] for i in range(0, len(docs), 2)) == 300
-    assert all(c in (i, i - 1) for i, c in got.items())
