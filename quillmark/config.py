@@ -37,8 +37,6 @@ class Config:
     max_pages: int = 50
     max_dimension: int = 2000
     token_budget: int = 8000
-    buckets: int = 64
-    """Groups that order-dependent folds are dealt over; each holds whole assessments."""
 
     def __post_init__(self) -> None:
         problems = check_config(self)

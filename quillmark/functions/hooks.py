@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StructType
 
 
 def embedder(embed: Callable[[list[str]], list[list[float]]], dims: int):
@@ -40,7 +41,7 @@ def embed_distinct(texts: DataFrame, column: str, run, model: str, dims: int) ->
 
 
 def _each(requests: DataFrame, ask: Callable[[dict], dict | None], schema: str, failed: dict | None) -> DataFrame:
-    names = [x.split()[0] for x in schema.replace("\n", " ").split(",")]
+    names = StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -62,6 +63,18 @@ def adjudicate(requests: DataFrame, ask: Callable[[dict], dict | None]) -> DataF
     return _each(requests, ask, "assessment_id long, answer_id long, decision string, question_id long, model_confidence double", None)
 
 
+RECOMMENDED = "assessment_id long, answer_id long, criteria array<struct<criterion_id: string, awarded: double, reason: string>>, total double, confidence double, feedback string, failure string"
+
+
 def grade(requests: DataFrame, ask: Callable[[dict], dict | None]) -> DataFrame:
-    """(keys, total, confidence, failure): a failed call gives a row that says so, and the others go on."""
-    return _each(requests, ask, "assessment_id long, answer_id long, total double, confidence double, failure string", {"total": None, "confidence": None})
+    """What the model recommends (RECOMMENDED): marks and reason of each criterion, its own total, confidence, feedback.
+
+    A failed call gives a row with a failure and nothing else, and the others go on.
+    """
+    return _each(requests, ask, RECOMMENDED, {"criteria": None, "total": None, "confidence": None, "feedback": None})
+
+
+def recommendation_rows(graded: DataFrame) -> DataFrame:
+    """One row per recommended criterion, as grading.verify_recommendations takes them; failed calls have none."""
+    rows = graded.where("failure is null").select("assessment_id", "answer_id", F.posexplode("criteria").alias("ordinal", "c"), "total", "confidence")
+    return rows.select("assessment_id", "answer_id", "ordinal", "c.criterion_id", "c.awarded", F.col("total").alias("reported_total"), "confidence")

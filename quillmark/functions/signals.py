@@ -136,6 +136,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def answer_embedding_text(text: Column) -> Column:
+    """What is embedded of an answer: its text without white space around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def embedding_key(text: Column, model: str, dims: int) -> Column:
     """Hash under which a text is embedded once: lower case, white space folded."""
     folded = F.regexp_replace(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+", " ")

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +71,7 @@ def distinct_texts(texts: DataFrame, column: str, model: str = "hashed", dims: i
 
 
 def hashed_vectors(texts: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
-    """(id, vector): counts of the words over two letters by hashed bucket, plus a floor, at length one."""
+    """(id, vector): counts of the words over two letters by hashed bucket, plus a floor, at length one. All native."""
     cleaned = F.regexp_replace(F.lower(F.col(text_col)), r"[^a-z0-9\s]", " ")
     words = texts.select(id_col, F.explode(F.filter(F.split(cleaned, r"\s+"), lambda w: F.length(w) > 2)).alias("w"))
     counted = words.groupBy(id_col, "w").count()
@@ -73,3 +80,61 @@ def hashed_vectors(texts: DataFrame, id_col: str, text_col: str, dims: int = 64)
     maps = by_bucket.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) + 0.05)
     return texts.select(id_col).join(maps, id_col, "left").select(id_col, s.l2_normalize(raw).alias("vector"))
+
+
+#: Items that a task compares with at once, and words whose buckets it remembers.
+ITEM_BLOCK, WORD_MEMO = 4096, 200_000
+
+
+def word_counts(text: str, dims: int, memo: dict[str, int]) -> np.ndarray:
+    """The vector of hashed_vectors in numpy. memo: buckets of words seen before."""
+    if len(memo) > WORD_MEMO:
+        memo.clear()
+    out = np.full(dims, 0.05)
+    for w, n in Counter(re.sub(r"[^a-z0-9\s]", " ", text.lower()).split()).items():
+        if len(w) > 2:
+            if (b := memo.get(w)) is None:
+                b = memo[w] = int.from_bytes(sha256(w.encode()).digest()[:4], "big") % dims
+            out[b] += n
+    return out / np.linalg.norm(out)
+
+
+def best_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_col: str = "text", dims: int = 64, block: int = ITEM_BLOCK) -> DataFrame:
+    """(doc_id, item_id, cosine): for each document the item of largest cosine of hashed vectors, rounded to six
+    decimals; ties go to the smallest item.
+
+    Items are a query set: they are taken in blocks of at most block rows, so what a task holds is bounded, and each
+    block is one matrix product with the documents of a batch. A null text counts as empty; items without an id are
+    passed over; without items there is no row; an empty table of documents gives none.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    blocks = -(-texts.count() // block)
+
+    def search(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo: dict[str, int] = {}
+            ids, matrix = held.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    vectors = np.array([word_counts(t or "", dims, memo) for t in part.column("text").to_pylist()])
+                    near = np.floor(vectors @ matrix.T * 1e6 + 0.5) / 1e6
+                    best = near.argmax(axis=1)  # the first: ids ascend
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids[best]), pa.array(near[np.arange(len(best)), best])], names=["doc_id", "item", "cosine"])
+
+        return run
+
+    found = None
+    for b in range(blocks):
+        part = sorted((r.item, r.text) for r in texts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).toLocalIterator())
+        if part:
+            memo: dict[str, int] = {}
+            held = docs.sparkSession.sparkContext.broadcast((np.array([i for i, _ in part]), np.array([word_counts(t, dims, memo) for _, t in part])))
+            one = rows.mapInArrow(search(held), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item long, cosine double")
+            found = one if found is None else found.unionAll(one)
+    if found is None:
+        return rows.where("false").select(F.col("doc_id").alias(doc_id), F.lit(None).cast("long").alias(item_id), F.lit(None).cast("double").alias("cosine"))
+    if blocks > 1:
+        found = found.groupBy("doc_id").agg(F.max(F.struct("cosine", (-F.col("item")).alias("i"))).alias("x")).select("doc_id", (-F.col("x.i")).alias("item"), F.col("x.cosine").alias("cosine"))
+    return found.select(F.col("doc_id").alias(doc_id), F.col("item").alias(item_id), "cosine")

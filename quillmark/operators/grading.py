@@ -157,13 +157,16 @@ def reuse_or_regrade(targets: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def supersede_grades(previous: DataFrame, fresh: DataFrame) -> DataFrame:
-    """History: old current rows of answers graded again stop being current, with a reason; nothing is deleted."""
+    """History: old current rows of answers graded again stop being current, with a reason; nothing is deleted.
+
+    graded_at is carried along where the tables have it, and null where they have not."""
+    at = lambda df: F.col("graded_at") if "graded_at" in df.columns else F.lit(None).cast(previous.schema["graded_at"].dataType if "graded_at" in previous.columns else "date").alias("graded_at")
     new = fresh.select(*KEY, F.col("question_id").alias("new_question"), F.lit(True).alias("again"))
     joined = previous.join(new, KEY, "left")
     hit = F.col("is_current") & F.coalesce("again", F.lit(False))
     reason = F.when(hit, F.when(F.col("question_id").eqNullSafe(F.col("new_question")), "REGRADED").otherwise("MAPPING_CHANGED"))
-    old = joined.select(*KEY, "question_id", "status", "awarded", "maximum", (F.col("is_current") & ~hit).alias("is_current"), reason.alias("superseded_reason"))
-    return old.unionByName(fresh.select(*KEY, "question_id", "status", "awarded", "maximum", F.lit(True).alias("is_current"), F.lit(None).cast("string").alias("superseded_reason")))
+    old = joined.select(*KEY, "question_id", "status", "awarded", "maximum", (F.col("is_current") & ~hit).alias("is_current"), reason.alias("superseded_reason"), at(previous))
+    return old.unionByName(fresh.select(*KEY, "question_id", "status", "awarded", "maximum", F.lit(True).alias("is_current"), F.lit(None).cast("string").alias("superseded_reason"), at(fresh)))
 
 
 def grade_summary(grades: DataFrame, schemes: DataFrame) -> DataFrame:
@@ -181,8 +184,11 @@ def grade_summary(grades: DataFrame, schemes: DataFrame) -> DataFrame:
     return sums.join(left, "assessment_id", "left").withColumn("ungraded", F.coalesce("ungraded", F.lit(0.0))).withColumn("percent", percent)
 
 
-def grade_history(grades: DataFrame) -> DataFrame:
-    return grades.where("not is_current")
+def grade_history(grades: DataFrame, per_question: bool = False) -> DataFrame:
+    """Superseded grades with newest: 1 for the last graded of the assessment, or of each question, and so on; equal
+    times go by answer."""
+    own = Window.partitionBy("assessment_id", *(["question_id"] if per_question else [])).orderBy(F.desc_nulls_last("graded_at"), "answer_id")
+    return grades.where("not is_current").withColumn("newest", F.row_number().over(own))
 
 
 def verdict_label(status: Column, awarded: Column, maximum: Column, reasons: Column) -> Column:

@@ -117,10 +117,12 @@ def parse_recommendations(df: DataFrame, column: str = "body") -> tuple[DataFram
     return good, judged.where("reject_reason is not null").select(*keys, "reject_reason")
 
 
-def scan_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, size, head): only the first bytes of each file stay."""
+def scan_uploads(spark: SparkSession, path: str, c: Config = DEFAULT) -> DataFrame:
+    """(filename, size, head): the first bytes of each file whose size may be accepted; others are not opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("filename"), F.col("length").alias("size"), F.substring("content", 1, 8).alias("head"))
+    fits = F.col("length").between(1, c.max_bytes)
+    opened = files.where(fits).select(F.col("path").alias("filename"), F.col("length").alias("size"), F.substring("content", 1, 8).alias("head"))
+    return opened.unionAll(files.where(~fits).select("path", "length", F.lit(None).cast("binary")))
 
 
 def classify_uploads(df: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -134,7 +136,7 @@ def classify_uploads(df: DataFrame, c: Config = DEFAULT) -> DataFrame:
     lookup = lambda table, key: F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
     by_mime = lookup(MIME_FORMATS, F.lower(F.trim(F.substring_index("mime", ";", 1))))
     by_name = lookup(EXTENSION_FORMATS, F.lower(F.regexp_extract("filename", r"(\.[^.]*)$", 1)))
-    verdict = F.when((F.coalesce("size", F.lit(0)) <= 0) | (F.length("head") == 0), "EMPTY").when(F.col("size") > c.max_bytes, "TOO_LARGE").when(found.isNull(), "UNSUPPORTED").otherwise("ACCEPTED")
+    verdict = F.when((F.coalesce("size", F.lit(0)) <= 0) | F.coalesce(F.length("head") == 0, F.lit(False)), "EMPTY").when(F.col("size") > c.max_bytes, "TOO_LARGE").when(found.isNull(), "UNSUPPORTED").otherwise("ACCEPTED")
     mismatch = F.coalesce(by_mime != found, F.lit(False)) | F.coalesce(by_name != found, F.lit(False))
     ok = F.col("verdict") == "ACCEPTED"
     return df.withColumn("verdict", verdict).withColumn("format", F.when(ok, found)).withColumn("claim_mismatch", F.when(ok, mismatch))

@@ -9,6 +9,7 @@ from ..functions.geometry import iou
 from ..functions.labels import parse_label
 from ..functions.signals import jaccard, text_tokens
 from .matching import fold_blocks
+from .validate import substantive
 
 SAME_PLACE, WEAK_PLACE, WEAK_TEXT, SAME_QUESTION, NEAR = 0.5, 0.15, 0.6, 0.7, 0.02
 
@@ -72,10 +73,19 @@ def same_question_pairs(readings: DataFrame) -> DataFrame:
 
 def group_readings(readings: DataFrame, pairs: DataFrame) -> DataFrame:
     """(assessment_id, reading_id, group_id): in order of chunk and id a reading joins the first group that has a match
-    of it from another chunk, else starts its own. Groups are never joined later."""
+    of it from another chunk, else starts its own. Groups are never joined later.
+
+    A reading without text besides marks of unclear passages (if readings have text) is no duplicate of anything: it
+    passes through as a group of its own, so that validation still sees it. Readings without any match need no fold.
+    """
+    if "text" in readings.columns:
+        real = readings.where(substantive(F.col("text"))).select("assessment_id", "reading_id")
+        for end in ("first", "second"):
+            pairs = pairs.join(real.select("assessment_id", F.col("reading_id").alias(end)), ["assessment_id", end], "left_semi")
     links = pairs.select("assessment_id", "first", "second").unionByName(pairs.select("assessment_id", F.col("second").alias("first"), F.col("first").alias("second")))
     near = links.groupBy("assessment_id", F.col("first").alias("reading_id")).agg(F.collect_set("second").alias("near"))
-    rows = readings.select("assessment_id", "chunk", "reading_id").distinct().join(near, ["assessment_id", "reading_id"], "left")
+    every = readings.select("assessment_id", "chunk", "reading_id").distinct().join(near, ["assessment_id", "reading_id"], "left")
+    rows, alone = every.where("near is not null"), every.where("near is null").select("assessment_id", "reading_id", F.col("reading_id").alias("group_id"))
 
     def fold(key: object, members: list[dict]) -> list[dict]:
         group: dict[int, int] = {}
@@ -87,13 +97,14 @@ def group_readings(readings: DataFrame, pairs: DataFrame) -> DataFrame:
             order.setdefault(group[r["reading_id"]], len(order))
         return [{"assessment_id": key, "reading_id": i, "group_id": g} for i, g in group.items()]
 
-    return fold_blocks(rows, "assessment_id", ["chunk", "reading_id"], fold, "assessment_id long, reading_id long, group_id long")
+    return fold_blocks(rows, "assessment_id", ["chunk", "reading_id"], fold, "assessment_id long, reading_id long, group_id long").unionByName(alone)
 
 
 def fold_answer_group(members: DataFrame) -> DataFrame:
-    """One row per group: the winner has most pages, then the longest text, then the lowest chunk; the label is the
-    winner's, else the first there is. members: group columns with chunk, n_pages, text, label_raw."""
-    best = F.struct(F.col("n_pages"), F.length("text").alias("l"), (-F.col("chunk")).alias("c"), (-F.col("reading_id")).alias("i"))
+    """One row per group: the winner has most of its pages in its own chunk (n_seen), then most pages, then the longest
+    text, then the lowest chunk; the label is the winner's, else the first there is. members: group columns with chunk,
+    n_seen, n_pages, text, label_raw."""
+    best = F.struct(F.col("n_seen"), F.col("n_pages"), F.length(F.trim("text")).alias("l"), (-F.col("chunk")).alias("c"), (-F.col("reading_id")).alias("i"))
     label = F.min_by("label_raw", F.when(F.col("label_raw").isNotNull(), F.struct("chunk", "reading_id")))
     out = members.groupBy("assessment_id", "group_id").agg(F.max_by(F.struct("reading_id", "text", "label_raw"), best).alias("w"), label.alias("l"), F.count("*").alias("n_readings"))
     return out.select("assessment_id", "group_id", F.col("w.reading_id").alias("winner"), F.col("w.text").alias("text"), F.coalesce("w.label_raw", "l").alias("label_raw"), "n_readings")

@@ -34,42 +34,71 @@ def normal_reason(reason: F.Column) -> F.Column:
     return F.nullif(F.trim(reason), F.lit(""))
 
 
-OUTCOMES = "assessment_id long, event_id long, answer_id long, action string, target long, outcome string, status string, final_question_id long"
-
-
-def fold_actions(key: object, rows: list[dict]) -> list[dict]:
-    """Actions of one assessment in order. rows: actions (event_id set) after the reviews (event_id null) they act on."""
-    state: dict[int, dict] = {}
-    questions = set()
-    for r in rows:
-        if r["event_id"] is None:
-            state[r["answer_id"]] = {"status": "PENDING", "action": None, "target": None, "original": r["target"], "now": r["target"]}
-            questions |= set(r["questions"] or ())
-    out = []
-    for r in rows:
-        if r["event_id"] is None:
-            continue
-        own = state.get(r["answer_id"])
-        said = {"assessment_id": key, "event_id": r["event_id"], "answer_id": r["answer_id"], "action": r["action"], "target": r["target"]}
-        if own is None:
-            outcome = "NOT_FOUND"
-        elif own["action"] == r["action"] and (r["action"] != "REMAP" or own["target"] == r["target"]):
+OUTCOMES = "assessment_id long, event_id long, answer_id long, action string, target long, step long, outcome string, status string, final_question_id long"
+
+
+def with_facts(actions: DataFrame, reviews: DataFrame, questions: DataFrame) -> DataFrame:
+    """Adds what an action has to be judged by, so that the fold needs no copies of an assessment's tables: found (there
+    is such a review), original (its question), known (the target exists) and holders (answers that the matcher gave the
+    target to). actions may be a stream; the other two are tables."""
+    own = reviews.select(*KEY, F.lit(True).alias("found"), F.col("original_question_id").alias("original"))
+    there = questions.select("assessment_id", F.col("question_id").alias("target"), F.lit(True).alias("known")).distinct()
+    holders = reviews.where("original_question_id is not null").groupBy("assessment_id", F.col("original_question_id").alias("target")).agg(F.collect_set("answer_id").alias("holders"))
+    return actions.join(own, KEY, "left").join(there, ["assessment_id", "target"], "left").join(holders, ["assessment_id", "target"], "left")
+
+
+class ReviewFold:
+    """The reviews of one assessment as actions arrive, in order; answers without an action so far are not held."""
+
+    def __init__(self, rows: list[tuple[int, str, str | None, int | None, int | None]] = ()):
+        """rows: (answer_id, status, action, target, question now)."""
+        self.state = {r[0]: list(r[1:]) for r in rows}
+        self.holds: dict[int, set[int]] = {}
+        for a, (_, _, _, now) in self.state.items():
+            if now is not None:
+                self.holds.setdefault(now, set()).add(a)
+
+    def taken(self, r: dict) -> bool:
+        """Whether another answer has the target now."""
+        if self.holds.get(r["target"], set()) - {r["answer_id"]}:
+            return True
+        return any(a != r["answer_id"] and a not in self.state for a in (r["holders"] if r["holders"] is not None else ()))
+
+    def apply(self, r: dict) -> tuple[str, str | None, int | None]:
+        """(outcome, status, question) after an action with its facts (with_facts)."""
+        if not r["found"]:
+            return "NOT_FOUND", None, None
+        a, action, target = r["answer_id"], r["action"], r["target"]
+        status, before, to, now = self.state.get(a, ["PENDING", None, None, r["original"]])
+        if before == action and (action != "REMAP" or to == target):
             outcome = "REPEAT"
-        elif own["status"] == "RESOLVED":
+        elif status == "RESOLVED":
             outcome = "CONFLICT_SETTLED"
-        elif r["action"] == "REMAP" and r["target"] is None:
+        elif action == "REMAP" and target is None:
             outcome = "INVALID_TARGET"
-        elif r["action"] == "REMAP" and r["target"] not in questions:
+        elif action == "REMAP" and not r["known"]:
             outcome = "UNKNOWN_QUESTION"
-        elif r["action"] == "REMAP" and any(x["now"] == r["target"] for a, x in state.items() if a != r["answer_id"]):
+        elif action == "REMAP" and self.taken(r):
             outcome = "QUESTION_ALREADY_ASSIGNED"
-        elif own["status"] == "SKIPPED" and r["action"] == "SKIP":
+        elif status == "SKIPPED" and action == "SKIP":
             outcome = "ILLEGAL_TRANSITION"
         else:
-            outcome = "APPLIED"
-            own["status"], own["action"], own["target"] = "SKIPPED" if r["action"] == "SKIP" else "RESOLVED", r["action"], r["target"]
-            own["now"] = None if r["action"] == "REJECT" else r["target"] if r["action"] == "REMAP" else own["original"]
-        out.append({**said, "outcome": outcome, "status": own["status"] if own else None, "final_question_id": own["now"] if own else None})
+            outcome, status = "APPLIED", "SKIPPED" if action == "SKIP" else "RESOLVED"
+            if now is not None:
+                self.holds.get(now, set()).discard(a)
+            now = None if action == "REJECT" else target if action == "REMAP" else r["original"]
+            if now is not None:
+                self.holds.setdefault(now, set()).add(a)
+            self.state[a] = [status, action, target, now]
+        return outcome, status, now
+
+
+def fold_actions(key: object, rows: list[dict]) -> list[dict]:
+    """Actions of one assessment in order, each with its facts."""
+    fold, out = ReviewFold(), []
+    for step, r in enumerate(rows):
+        outcome, status, question = fold.apply(r)
+        out.append({"assessment_id": key, "event_id": r["event_id"], "answer_id": r["answer_id"], "action": r["action"], "target": r["target"], "step": step, "outcome": outcome, "status": status, "final_question_id": question})
     return out
 
 
@@ -79,26 +108,24 @@ def apply_review_actions(reviews: DataFrame, questions: DataFrame, actions: Data
     A repeat of the recorded decision changes nothing; a settled review refuses others; a remap target has to exist
     and be free at that moment. reviews: assessment_id, answer_id, original_question_id for every answer.
     """
-    ids = questions.groupBy("assessment_id").agg(F.collect_set("question_id").alias("questions"))
-    first = F.lit(None).cast("timestamp_ntz")
-    seeds = reviews.join(ids, "assessment_id", "left").select("assessment_id", "answer_id", F.lit(None).cast("long").alias("event_id"), first.alias("ts"), F.lit(None).cast("string").alias("action"), F.col("original_question_id").alias("target"), "questions")
-    log = actions.select("assessment_id", "answer_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "action", "target", F.lit(None).cast("array<long>").alias("questions"))
-    return fold_blocks(seeds.unionByName(log).drop("ts_key"), "assessment_id", ["ts", "event_id"], fold_actions, OUTCOMES)
+    log = actions.select("assessment_id", "answer_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "action", "target")
+    return fold_blocks(with_facts(log, reviews, questions), "assessment_id", ["ts", "event_id"], fold_actions, OUTCOMES)
 
 
 def review_states(reviews: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Reviews with the last applied action: (keys, status, action, target)."""
-    last = outcomes.where("outcome = 'APPLIED'").groupBy(*KEY).agg(F.max_by(F.struct("status", "action", "target", "final_question_id"), "event_id").alias("d"))
+    last = outcomes.where("outcome = 'APPLIED'").groupBy(*KEY).agg(F.max_by(F.struct("status", "action", "target", "final_question_id"), "step").alias("d"))
     return reviews.join(last, KEY, "left").select(*KEY, "original_question_id", F.coalesce("d.status", F.lit("PENDING")).alias("status"), F.col("d.action").alias("action"), F.col("d.target").alias("target"))
 
 
 def simple_review_states(reviews: DataFrame, actions: DataFrame) -> DataFrame:
-    """Same without remaps to check: the first settling action wins, a skip before it is forgotten. All native."""
+    """Same with remaps taken as they come: the first settling action wins, a skip before it is forgotten. All native."""
     settle = F.col("action") != "SKIP"
-    first = actions.where(settle).groupBy(*KEY).agg(F.min_by("action", F.struct("ts", "event_id")).alias("settled"))
+    first = actions.where(settle).groupBy(*KEY).agg(F.min_by(F.struct("action", "target"), F.struct("ts", "event_id")).alias("settled"))
     skips = actions.where(~settle).groupBy(*KEY).agg(F.count("*").alias("skips"))
     joined = reviews.join(first, KEY, "left").join(skips, KEY, "left")
-    return joined.select(*KEY, F.when(F.col("settled").isNotNull(), "RESOLVED").when(F.col("skips") > 0, "SKIPPED").otherwise("PENDING").alias("status"), F.coalesce("settled", F.when(F.col("skips") > 0, "SKIP")).alias("action"))
+    status = F.when(F.col("settled").isNotNull(), "RESOLVED").when(F.col("skips") > 0, "SKIPPED").otherwise("PENDING")
+    return joined.select(*KEY, status.alias("status"), F.coalesce("settled.action", F.when(F.col("skips") > 0, "SKIP")).alias("action"), F.when(F.col("settled.action") == "REMAP", F.col("settled.target")).alias("target"))
 
 
 def effective_mappings(mappings: DataFrame, states: DataFrame) -> DataFrame:
@@ -139,10 +166,33 @@ def review_summary(mappings: DataFrame, states: DataFrame, effective: DataFrame)
     return a.join(r, "assessment_id", "left").join(e, "assessment_id", "left").na.fill(0)
 
 
-def review_items(states: DataFrame, mappings: DataFrame, effective: DataFrame, answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """Wide view in the order to work on: pending, in review, skipped, the rest."""
+def mapping_layers(mappings: DataFrame, states: DataFrame, effective: DataFrame) -> DataFrame:
+    """One row per mapping with its three layers side by side: what the matcher said (ai_), what a reviewer decided
+    (human_, null where nobody looked at it), and what holds (effective_)."""
+    ai = mappings.select(*KEY, F.col("question_id").alias("ai_question_id"), F.col("confidence").alias("ai_confidence"), F.col("band").alias("ai_band"), F.col("reasons").alias("ai_reasons"))
+    human = states.select(*KEY, F.col("status").alias("human_status"), F.col("action").alias("human_action"), F.col("target").alias("human_question_id"))
+    held = effective.select(*KEY, F.col("question_id").alias("effective_question_id"), F.col("source").alias("effective_source"))
+    return ai.join(human, KEY, "left").join(held, KEY, "left")
+
+
+def review_candidates(candidates: DataFrame, questions: DataFrame) -> DataFrame:
+    """(keys, candidates): the shortlist of each answer (top_k at most) in rank order, with label and text of the questions."""
+    q = questions.select("assessment_id", "question_id", "label_raw", F.col("text").alias("question_text"))
+    listed = candidates.join(q, ["assessment_id", "question_id"], "left")
+    return listed.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rank", "question_id", "label_raw", "question_text", "candidate_score", "confidence"))).alias("candidates"))
+
+
+def review_items(states: DataFrame, mappings: DataFrame, effective: DataFrame, answers: DataFrame, questions: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Wide view in the order to work on: pending, in review, skipped, the rest.
+
+    states may bring the review's own snapshot (trigger, original_question_id, original_confidence), which stays;
+    candidates: ranked rows (keys, question_id, rank, candidate_score, confidence) to list with their questions.
+    """
     e = effective.select(*KEY, F.col("question_id").alias("effective_question_id"), "source")
     q = questions.select("assessment_id", F.col("question_id").alias("effective_question_id"), "label_raw")
-    wide = states.join(mappings.select(*KEY, "confidence", "band"), KEY, "left").join(e, KEY, "left").join(answers.select(*KEY, "claimed_label_raw"), KEY, "left").join(q, ["assessment_id", "effective_question_id"], "left")
+    own = answers.select(*KEY, "claimed_label_raw", *(F.col(c).alias(f"answer_{c}") for c in ("text", "page") if c in answers.columns))
+    wide = states.join(mappings.select(*KEY, "confidence", "band"), KEY, "left").join(e, KEY, "left").join(own, KEY, "left").join(q, ["assessment_id", "effective_question_id"], "left")
+    if candidates is not None:
+        wide = wide.join(review_candidates(candidates, questions), KEY, "left")
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ORDER)), F.col("status")), F.lit(0))
     return wide.withColumn("place", F.when(rank > 0, rank).otherwise(len(ORDER) + 1).cast("int"))

@@ -26,33 +26,56 @@ def _judged(df: DataFrame, rules: list[tuple[F.Column, str, str]]) -> DataFrame:
     return df.withColumn("reject_code", code).withColumn("reject_reason", reason)
 
 
-def _region_rules(pages: DataFrame, df: DataFrame) -> tuple[DataFrame, list[tuple[F.Column, str, str]]]:
-    known = pages.select("assessment_id", "page", F.lit(True).alias("page_known")).distinct()
-    rect = [F.col(c) for c in ("x", "y", "width", "height")]
-    rules = [
-        (F.col("page_known").isNull(), "PAGE_OUT_OF_RANGE", "page"),
-        (~valid_rect(*rect), "REJECTED_CANDIDATE", "geometry"),
-        ((F.col("width") <= 0) | (F.col("height") <= 0), "REJECTED_CANDIDATE", "zero area"),
-    ]
-    return df.join(known, ["assessment_id", "page"], "left"), rules
+def _first_fault(regions: F.Column, known: F.Column) -> F.Column:
+    """What is wrong with the first bad region of an array; null if nothing: page, geometry, zero area."""
+    geometry = lambda r: valid_rect(r["x"], r["y"], r["width"], r["height"])
+    fault = lambda r: F.when(~F.coalesce(F.array_contains(known, r["page"]), F.lit(False)), "page").when(~geometry(r), "geometry").when((r["width"] <= 0) | (r["height"] <= 0), "zero area")
+    return F.get(F.filter(F.transform(regions, fault), lambda x: x.isNotNull()), F.lit(0))
+
+
+def _with_regions(readings: DataFrame, pages: DataFrame, column: str) -> tuple[DataFrame, F.Column]:
+    """readings with the pages of their assessment (few), and their regions: the array column, or the one of the row."""
+    known = pages.groupBy("assessment_id").agg(F.collect_set(F.col("page").cast("long")).alias("__known"))
+    named = lambda r: F.struct(r["page"].cast("long").alias("page"), *(r[c].alias(c) for c in ("x", "y", "width", "height")))
+    one = F.array(F.struct(F.col("page").cast("long").alias("page"), *(F.col(c) for c in ("x", "y", "width", "height")))) if column not in readings.columns else F.transform(column, named)
+    return readings.join(known, "assessment_id", "left").withColumn("__fault", _first_fault(one, F.col("__known"))), one
+
+
+def _region_rules(regions: F.Column) -> list[tuple[F.Column, str, str]]:
+    bad = lambda why: F.coalesce(F.col("__fault") == why, F.lit(False))
+    none = F.coalesce(F.size(regions) < 1, F.lit(True))
+    return [(none, "REJECTED_CANDIDATE", "no region"), (bad("page"), "PAGE_OUT_OF_RANGE", "page"), (bad("geometry"), "REJECTED_CANDIDATE", "geometry"), (bad("zero area"), "REJECTED_CANDIDATE", "zero area")]
 
 
 def validate_questions(readings: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) by the first rule broken: label, text, page, marks, rectangle."""
-    joined, region = _region_rules(pages, readings)
+    """(accepted, rejected) by the first rule broken: label, text, page, marks, no rectangle, first bad rectangle.
+
+    readings: page is the question's own; rects, if there is such a column, holds its rectangles (page, x, y, width,
+    height), else the row has one. Empty tables give none, rows whose assessment has no page are rejected.
+    """
+    joined, regions = _with_regions(readings, pages, "rects")
     bad_marks = F.col("marks").isNotNull() & (~finite(F.col("marks")) | (F.col("marks") < 0))
-    rules = [(blank(F.col("label_raw")), "REJECTED_CANDIDATE", "no label"), (blank(F.col("text")), "REJECTED_CANDIDATE", "no text"), region[0], (bad_marks, "REJECTED_CANDIDATE", "marks"), *region[1:]]
+    no_page = ~F.coalesce(F.array_contains("__known", F.col("page").cast("long")), F.lit(False))
+    rules = [(blank(F.col("label_raw")), "REJECTED_CANDIDATE", "no label"), (blank(F.col("text")), "REJECTED_CANDIDATE", "no text"), (no_page, "PAGE_OUT_OF_RANGE", "page"), (bad_marks, "REJECTED_CANDIDATE", "marks"), *_region_rules(regions)]
     return _split(_judged(joined, rules), readings.columns)
 
 
 def validate_answers(readings: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) by the first rule broken: text, all unclear, page, rectangle."""
-    joined, region = _region_rules(pages, readings)
+    """(accepted, rejected) by the first rule broken: text, all unclear, no region, first bad region.
+
+    readings: regions, if there is such a column, holds the regions (page, x, y, width, height), else the row has one.
+    """
+    joined, regions = _with_regions(readings, pages, "regions")
     unclear = F.length(trimmed(F.replace(F.col("text"), F.lit(UNCLEAR), F.lit("")))) == 0
-    rules = [(blank(F.col("text")), "REJECTED_CANDIDATE", "no text"), (unclear, "REJECTED_CANDIDATE", "all unclear"), *region]
+    rules = [(blank(F.col("text")), "REJECTED_CANDIDATE", "no text"), (unclear, "REJECTED_CANDIDATE", "all unclear"), *_region_rules(regions)]
     return _split(_judged(joined, rules), readings.columns)
 
 
+def substantive(text: F.Column) -> F.Column:
+    """Whether text is left once the marks of unclear passages are taken away."""
+    return F.coalesce(F.length(trimmed(F.replace(text, F.lit(UNCLEAR), F.lit("")))) > 0, F.lit(False))
+
+
 def derive_answer_columns(answers: DataFrame, regions: DataFrame) -> DataFrame:
     """Adds the trimmed claim, its canonical key, distinct pages, spans_pages, uncertain and contains_diagram.
 

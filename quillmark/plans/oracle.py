@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.labels import NOISE, ROMAN
+from ..operators.matching import MICRO, TIE_PRIME, TIE_RANGE
 from ..sources import fixtures as fx
 
 Q = "'"
@@ -48,8 +49,8 @@ COS = "list_sum([a * b FOR a, b IN list_zip(x, y)])"
 
 PARTS: dict[str, str] = {
     "fx_base": fx.BASE.format(lineitem="lineitem", part="part"),
-    "fx_q": fx.QUESTIONS.format(base="fx_base"),
-    "fx_a": fx.ANSWERS.format(base="fx_base"),
+    "fx_q": fx.QUESTIONS.format(base="fx_base", embeddings="embeddings"),
+    "fx_a": fx.ANSWERS.format(base="fx_base", embeddings="embeddings"),
     "fx_r": fx.READINGS.format(answers="fx_a"),
     "fx_v": fx.VERDICTS.format(base="fx_base"),
     "fx_rub": fx.RUBRICS.format(questions="fx_q"),
@@ -102,10 +103,23 @@ PARTS: dict[str, str] = {
     "ranked": "SELECT *, CAST(row_number() OVER (PARTITION BY assessment_id, answer_id ORDER BY confidence DESC, rank) AS INTEGER) AS final_rank FROM ranked0",
     "edges": "SELECT assessment_id, answer_id, question_id, confidence FROM ranked WHERE confidence >= 0.35",
     "mutual": "SELECT assessment_id, answer_id, question_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY assessment_id, answer_id ORDER BY confidence DESC, question_id) AS ra, row_number() OVER (PARTITION BY assessment_id, question_id ORDER BY confidence DESC, answer_id) AS rq FROM edges) WHERE ra = 1 AND rq = 1",
+    # best assignment by dynamic programming: one step an answer; a state is the set of taken questions that later answers want
+    "m_edges": f"SELECT assessment_id, answer_id, question_id, confidence, CAST(round(confidence * {MICRO}) AS BIGINT) * {1 << 28} + (answer_id % {TIE_PRIME}) * (question_id % {TIE_PRIME}) % {TIE_PRIME} % {TIE_RANGE} AS w, CAST(1 AS BIGINT) << CAST(question_id - assessment_id * 1000003 - 1 AS INTEGER) AS bit FROM edges",
+    "m_lefts": "SELECT *, coalesce(bit_or(bits) OVER (PARTITION BY assessment_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM (SELECT *, row_number() OVER (PARTITION BY assessment_id ORDER BY answer_id) AS k FROM (SELECT assessment_id, answer_id, bit_or(bit) AS bits FROM m_edges GROUP BY 1, 2))",
+    "m_opts": "SELECT l.assessment_id, k, later, question_id, bit, w FROM m_lefts l JOIN m_edges e ON l.assessment_id = e.assessment_id AND l.answer_id = e.answer_id UNION ALL SELECT assessment_id, k, later, NULL, 0, 0 FROM m_lefts",
+    "m_paths": """SELECT DISTINCT assessment_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS mask, CAST(0 AS BIGINT) AS total, CAST([] AS BIGINT[]) AS path FROM m_lefts
+      UNION ALL SELECT assessment_id, k, mask, max(total), arg_max(path, total) FROM (SELECT p.assessment_id, o.k, (p.mask | o.bit) & o.later AS mask, p.total + o.w AS total, list_append(p.path, o.question_id) AS path
+        FROM m_paths p JOIN m_opts o ON o.assessment_id = p.assessment_id AND o.k = p.k + 1 WHERE p.mask & o.bit = 0) GROUP BY 1, 2, 3""",
+    "m_last": "SELECT assessment_id, unnest(path) AS question_id, generate_subscripts(path, 1) AS k FROM m_paths WHERE (assessment_id, k) IN (SELECT assessment_id, max(k) FROM m_lefts GROUP BY 1)",
+    "assigned": "SELECT e.assessment_id, e.answer_id, e.question_id, e.confidence FROM m_last p JOIN m_lefts l ON p.assessment_id = l.assessment_id AND p.k = l.k JOIN m_edges e ON e.assessment_id = l.assessment_id AND e.answer_id = l.answer_id AND e.question_id = p.question_id",
+    "g_edges": "SELECT *, row_number() OVER (PARTITION BY assessment_id ORDER BY confidence DESC, answer_id, question_id) AS k FROM edges",
+    "g_steps": """SELECT DISTINCT assessment_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS lefts, CAST([] AS BIGINT[]) AS rights, false AS took FROM g_edges
+      UNION ALL SELECT assessment_id, k, CASE WHEN free THEN list_append(lefts, answer_id) ELSE lefts END, CASE WHEN free THEN list_append(rights, question_id) ELSE rights END, free
+        FROM (SELECT e.*, s.lefts, s.rights, NOT list_contains(s.lefts, e.answer_id) AND NOT list_contains(s.rights, e.question_id) AS free FROM g_steps s JOIN g_edges e ON e.assessment_id = s.assessment_id AND e.k = s.k + 1)""",
     "facts": "SELECT assessment_id, answer_id, bool_or(no_match) AS said_none, max(CASE WHEN final_rank = 1 THEN question_id END) AS best FROM ranked GROUP BY 1, 2",
     "maps0": """SELECT a.assessment_id, a.answer_id, r.question_id, r.confidence, r.label_kind, r.label, r.semantic, r.position, r.structure, r.consulted, r.selected, r.no_match, f.said_none, f.best, coalesce(g.decisive, false) AS decisive,
       CASE WHEN r.question_id IS NULL THEN 'LOW' WHEN r.confidence >= 0.9 THEN 'HIGH' WHEN r.confidence >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS band
-      FROM fx_a a LEFT JOIN (SELECT r.* FROM ranked r JOIN mutual m USING (assessment_id, answer_id, question_id)) r ON a.assessment_id = r.assessment_id AND a.answer_id = r.answer_id
+      FROM fx_a a LEFT JOIN (SELECT r.* FROM ranked r JOIN assigned m USING (assessment_id, answer_id, question_id)) r ON a.assessment_id = r.assessment_id AND a.answer_id = r.answer_id
       LEFT JOIN facts f ON a.assessment_id = f.assessment_id AND a.answer_id = f.answer_id LEFT JOIN gate g ON a.assessment_id = g.assessment_id AND a.answer_id = g.answer_id""",
     "maps": """SELECT assessment_id, answer_id, question_id, CASE WHEN question_id IS NULL THEN 'UNMAPPED' WHEN band = 'HIGH' THEN 'AUTO_MAPPED' WHEN band = 'MEDIUM' THEN 'REVIEW_REQUIRED' ELSE 'HUMAN_REVIEW' END AS status, coalesce(confidence, 0.0) AS confidence, band,
       CASE WHEN question_id IS NULL THEN CASE WHEN best IS NULL THEN 'NO_CANDIDATES' WHEN said_none THEN 'LLM_NO_MATCH' ELSE 'BELOW_ASSIGNMENT_THRESHOLD' END || ',NO_MATCH'
@@ -117,7 +131,7 @@ PARTS: dict[str, str] = {
 
 
 def sql(final: str, **more: str) -> str:
-    """The final SELECT with every part that it refers to, in order."""
+    """The final SELECT with every part that it refers to, in order; what is used more than once is computed once."""
     parts = {**PARTS, **more}
     order: list[str] = []
 
@@ -130,5 +144,8 @@ def sql(final: str, **more: str) -> str:
 
     pending: list[str] = []
     need(final)
-    head = ",\n".join(f"{n} AS ({parts[n]})" for n in order)
-    return f"WITH {head}\n{final}" if order else final
+    used = " ".join([final, *(parts[n] for n in order)])
+    often = {n for n in order if len(re.findall(rf"\b{n}\b", used)) > 1}
+    recursive = {n for n in order if re.search(rf"\b{n}\b", parts[n])}
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in often - recursive else ''}({parts[n]})" for n in order)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{head}\n{final}" if order else final

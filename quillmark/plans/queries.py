@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import labels as lb
 from ..functions import signals as s
 from ..operators import candidates as cd
@@ -14,6 +15,7 @@ from ..operators import decide as dc
 from ..operators import labels as lo
 from ..operators import matching as mt
 from ..sources import fixtures as fx
+from ..sources.scratch import stash
 from .oracle import roman_int, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,9 +42,13 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return cd.score_pairs(fx.answers(spark, d), resolved(spark, d), fx.embeddings(spark, d))
 
 
+def top3(spark: SparkSession, d: str) -> DataFrame:
+    return cd.top_k_candidates(scored(spark, d))
+
+
 def shortlist(spark: SparkSession, d: str) -> DataFrame:
-    """Used several times by what follows, so kept; spills to disk if it is large."""
-    return cd.top_k_candidates(scored(spark, d)).persist()
+    """Used several times by what follows, so written once."""
+    return stash(top3(spark, d))
 
 
 def verdicts_of(spark: SparkSession, d: str, top: DataFrame) -> DataFrame:
@@ -51,18 +57,25 @@ def verdicts_of(spark: SparkSession, d: str, top: DataFrame) -> DataFrame:
 
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     top = shortlist(spark, d)
-    return dc.final_confidence(top, verdicts_of(spark, d, top)).persist()
+    return dc.final_confidence(top, verdicts_of(spark, d, top))
+
+
+def edges_of(again: DataFrame) -> DataFrame:
+    return again.where(F.col("confidence") >= DEFAULT.min_assignment).select("assessment_id", "answer_id", "question_id", "confidence")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(spark, d).where("confidence >= 0.35").select("assessment_id", "answer_id", "question_id", "confidence")
+    return edges_of(ranked(spark, d))
 
 
-def mappings(spark: SparkSession, d: str) -> DataFrame:
+def ranked_and_mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     top = shortlist(spark, d)
-    again = dc.final_confidence(top, verdicts_of(spark, d, top)).persist()
-    found = mt.mutual_best(again.where("confidence >= 0.35").select("assessment_id", "answer_id", "question_id", "confidence"))
-    return dc.build_mappings(fx.answers(spark, d), again, found, dc.decisive_gate(top))
+    again = stash(dc.final_confidence(top, verdicts_of(spark, d, top)))
+    return again, dc.build_mappings(fx.answers(spark, d), again, mt.assign_one_to_one(edges_of(again)), dc.decisive_gate(top))
+
+
+def mappings(spark: SparkSession, d: str) -> DataFrame:
+    return ranked_and_mapped(spark, d)[1]
 
 
 # -- labels -------------------------------------------------------------------------------------------------------
@@ -104,6 +117,11 @@ def label_embedding_texts(spark: SparkSession, d: str) -> DataFrame:
     return lo.embedding_texts(resolved(spark, d)).select("question_id", "embedding_text")
 
 
+@query("SELECT answer_id, trim(text) AS embedding_text FROM fx_a")
+def label_answer_texts(spark: SparkSession, d: str) -> DataFrame:
+    return fx.answers(spark, d).select("answer_id", s.answer_embedding_text(F.col("text")).alias("embedding_text"))
+
+
 # -- candidates ---------------------------------------------------------------------------------------------------
 @query("SELECT * FROM pairs")
 def link_score_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -112,12 +130,12 @@ def link_score_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT assessment_id, answer_id, question_id, rank, candidate_score FROM top3")
 def link_top_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return shortlist(spark, d).select("assessment_id", "answer_id", "question_id", "rank", "candidate_score")
+    return top3(spark, d).select("assessment_id", "answer_id", "question_id", "rank", "candidate_score")
 
 
 @query("SELECT assessment_id, CAST(count_if(candidate_score >= 0.9) AS BIGINT) AS high, CAST(count_if(candidate_score >= 0.7 AND candidate_score < 0.9) AS BIGINT) AS medium, CAST(count_if(candidate_score < 0.7) AS BIGINT) AS low FROM top3 WHERE rank = 1 GROUP BY 1")
 def link_band_counts(spark: SparkSession, d: str) -> DataFrame:
-    return dc.band_counts(shortlist(spark, d))
+    return dc.band_counts(top3(spark, d))
 
 
 @query("SELECT answer_id, CAST(answer_at AS INTEGER) AS answer_at, answer_count FROM a_at")
@@ -146,17 +164,28 @@ HASHED = """SELECT id, list(x ORDER BY b) AS v FROM (SELECT ids.id, bs.b, 0.05 +
 )
 def link_hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
     t = fx.frames(spark, d, "documents", "benchmark")
-    docs = cd.hashed_vectors(t["documents"], "doc_id", "text").withColumnRenamed("vector", "a")
-    items = cd.hashed_vectors(t["benchmark"], "item_id", "text").agg(F.collect_list(F.struct("item_id", F.col("vector").alias("v"))).alias("items"))  # a query set of bounded size
-    scored = docs.join(F.broadcast(items)).select("doc_id", F.transform("items", lambda i: F.struct(F.round(s.dot(F.col("a"), i["v"]), 6).alias("c"), (-i["item_id"]).alias("m"))).alias("c"))
-    best = F.array_max("c")
-    return scored.select("doc_id", (-best["m"]).alias("item_id"), best["c"].alias("cosine"))
+    return cd.best_items(t["documents"], t["benchmark"], "doc_id", "item_id")
+
+
+@query("SELECT id AS item_id, array_to_string([printf('%.6f', x / sqrt(list_dot_product(v, v))) FOR x IN v], ',') AS vector FROM iv", iv=HASHED.replace("FROM ids CROSS", "FROM iids CROSS").replace("FROM ids)", "FROM iids)").replace("ids.", "iids.").replace("iiids", "iids"), iids="SELECT item_id AS id, text FROM benchmark")
+def link_item_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = cd.hashed_vectors(fx.frames(spark, d, "benchmark")["benchmark"], "item_id", "text")
+    return v.select("item_id", F.array_join(F.transform("vector", lambda x: F.format_string("%.6f", x)), ",").alias("vector"))
+
+
+@query("SELECT a.vec_id, round(CASE WHEN a.vec_id % 7 = 0 THEN 0 ELSE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) END, 6) AS cosine FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON b.vec_id = a.vec_id + 1")
+def link_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of each vector and the next one; every seventh is taken as zero."""
+    v = fx.embeddings(spark, d)
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    own = F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    return v.join(after, "vec_id").select("vec_id", F.round(s.cosine_similarity(own, F.col("next")), 6).alias("cosine"))
 
 
 # -- decisions ----------------------------------------------------------------------------------------------------
 @query("SELECT * FROM gate")
 def decide_gate(spark: SparkSession, d: str) -> DataFrame:
-    return dc.decisive_gate(shortlist(spark, d))
+    return dc.decisive_gate(top3(spark, d))
 
 
 @query(
@@ -178,31 +207,24 @@ def decide_ranked(spark: SparkSession, d: str) -> DataFrame:
     return ranked(spark, d).select("assessment_id", "answer_id", "question_id", "consulted", "selected", "llm_confidence", "confidence", "final_rank")
 
 
-@query(
-    """SELECT r.assessment_id, round(max(coalesce(x.c, 0) + coalesce(y.c, 0) + coalesce(z.c, 0)), 6) AS total FROM (SELECT assessment_id, list(DISTINCT answer_id ORDER BY answer_id) AS al FROM edges GROUP BY 1 HAVING count(DISTINCT answer_id) <= 3) r
-  JOIN opts x ON x.assessment_id = r.assessment_id AND x.answer_id = al[1] LEFT JOIN opts y ON y.assessment_id = r.assessment_id AND y.answer_id = al[2] LEFT JOIN opts z ON z.assessment_id = r.assessment_id AND z.answer_id = al[3]
-  WHERE (x.q IS NULL OR y.q IS NULL OR x.q <> y.q) AND (x.q IS NULL OR z.q IS NULL OR x.q <> z.q) AND (y.q IS NULL OR z.q IS NULL OR y.q <> z.q) GROUP BY 1""",
-    opts="SELECT assessment_id, answer_id, question_id AS q, confidence AS c FROM edges UNION ALL SELECT DISTINCT assessment_id, answer_id, NULL, 0.0 FROM edges",
-)
+@query("SELECT assessment_id, round(sum(confidence), 6) AS total FROM assigned GROUP BY 1")
 def decide_best_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of the best assignment where an assessment has at most three answers with edges: brute force can check those."""
-    e = edges(spark, d).persist()
-    small = e.groupBy("assessment_id").agg(F.countDistinct("answer_id").alias("n")).where("n <= 3").select("assessment_id")
-    return mt.assign_one_to_one(e).join(small, "assessment_id", "left_semi").groupBy("assessment_id").agg(F.round(F.sum("confidence"), 6).alias("total"))
+    """Totals of the best assignment of every assessment with an edge."""
+    return mt.assign_one_to_one(edges(spark, d)).groupBy("assessment_id").agg(F.round(F.sum("confidence"), 6).alias("total"))
 
 
 @query()
 def decide_all_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of the best assignment of every assessment with an edge; tests compare with brute force."""
-    return mt.assign_one_to_one(edges(spark, d)).groupBy("assessment_id").agg(F.round(F.sum("confidence"), 6).alias("total"))
+    """The same without SQL; a test compares it with brute force."""
+    return decide_best_totals(spark, d)
 
 
-@query()
+@query("SELECT * FROM assigned")
 def decide_assignment(spark: SparkSession, d: str) -> DataFrame:
     return mt.assign_one_to_one(edges(spark, d))
 
 
-@query()
+@query("SELECT e.assessment_id, answer_id, question_id, confidence FROM g_edges e JOIN g_steps s ON e.assessment_id = s.assessment_id AND e.k = s.k AND s.took")
 def decide_greedy(spark: SparkSession, d: str) -> DataFrame:
     return mt.greedy_assignment(edges(spark, d))
 
@@ -212,15 +234,10 @@ def decide_mutual_best(spark: SparkSession, d: str) -> DataFrame:
     return mt.mutual_best(edges(spark, d))
 
 
-@query(
-    "SELECT h.assessment_id, h.answer_id FROM held h JOIN facts f ON h.assessment_id = f.assessment_id AND h.answer_id = f.answer_id WHERE h.question_id <> f.best",
-    held="SELECT assessment_id, answer_id, max(question_id) AS question_id FROM edges GROUP BY 1, 2",
-)
+@query("SELECT h.assessment_id, h.answer_id FROM assigned h JOIN facts f ON h.assessment_id = f.assessment_id AND h.answer_id = f.answer_id WHERE h.question_id <> f.best")
 def decide_contested(spark: SparkSession, d: str) -> DataFrame:
-    """Against the assignment of each answer to the last question it has an edge to."""
-    r = ranked(spark, d)
-    held = r.where("confidence >= 0.35").groupBy("assessment_id", "answer_id").agg(F.max("question_id").alias("question_id"))
-    return dc.contested_answers(r, held)
+    r = stash(ranked(spark, d))
+    return dc.contested_answers(r, mt.assign_one_to_one(edges_of(r)))
 
 
 @query("SELECT * FROM maps")

@@ -24,15 +24,18 @@ JAC = "CASE WHEN len(a.tk) = 0 AND len(b.tk) = 0 THEN 1.0 WHEN len(a.tk) = 0 OR
 PARTS.update(
     pgs="SELECT DISTINCT assessment_id, page FROM fx_q",
     judged="SELECT r.*, CASE WHEN length(trim(text)) = 0 THEN 'REJECTED_CANDIDATE' WHEN length(trim(replace(text, '[unclear]', ''))) = 0 THEN 'REJECTED_CANDIDATE' WHEN p.page IS NULL THEN 'PAGE_OUT_OF_RANGE' WHEN " + BAD_RECT + " THEN 'REJECTED_CANDIDATE' WHEN width <= 0 OR height <= 0 THEN 'REJECTED_CANDIDATE' END AS reject_code, CASE WHEN length(trim(text)) = 0 THEN 'no text' WHEN length(trim(replace(text, '[unclear]', ''))) = 0 THEN 'all unclear' WHEN p.page IS NULL THEN 'page' WHEN " + BAD_RECT + " THEN 'geometry' WHEN width <= 0 OR height <= 0 THEN 'zero area' END AS reject_reason FROM fx_r r LEFT JOIN pgs p ON r.assessment_id = p.assessment_id AND r.page = p.page",
-    rd="SELECT *, answer_id * 10 + chunk AS reading_id, " + TOKENS.format(t="text") + " AS tk FROM fx_r",
+    rd="SELECT *, answer_id * 10007 + chunk AS reading_id, CASE WHEN answer_id % 7 = 0 THEN 2 ELSE 1 END AS n_pages, CASE WHEN answer_id % 7 = 0 AND local_page = 0 THEN 2 ELSE 1 END AS n_seen, " + TOKENS.format(t="text") + " AS tk FROM fx_r",
     dpages="SELECT assessment_id AS document_id, pos AS page FROM fx_base",
-    planned="SELECT document_id, c.chunk, CAST(i - c.chunk * 2 AS INTEGER) AS local_index, page FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY document_id) AS n FROM dpages) d JOIN (SELECT unnest(range(10)) AS chunk) c ON i >= c.chunk * 2 AND i < c.chunk * 2 + 3 AND c.chunk <= greatest(0, ceil((n - 3) / 2.0))",
+    planned="SELECT document_id, chunk, CAST(i - chunk * 2 AS INTEGER) AS local_index, page FROM (SELECT *, unnest([i // 2 - 1, i // 2]) AS chunk FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY document_id) AS n FROM dpages)) WHERE chunk >= 0 AND i < chunk * 2 + 3 AND chunk <= greatest(0, ceil((n - 3) / 2.0))",
     ups=fx.UPLOADS.format(orders="orders"),
 )
 
 
 def with_ids(readings: DataFrame) -> DataFrame:
-    return readings.withColumn("reading_id", F.col("answer_id") * 10 + F.col("chunk"))
+    """Readings with ids of their own; every seventh answer goes on over the next page, which its first chunk holds."""
+    long = F.col("answer_id") % 7 == 0
+    seen = F.when(long & (F.col("local_page") == 0), 2).otherwise(1)
+    return readings.withColumn("reading_id", F.col("answer_id") * 10007 + F.col("chunk")).withColumn("n_pages", F.when(long, 2).otherwise(1)).withColumn("n_seen", seen)
 
 
 def pages_of(spark: SparkSession, d: str) -> DataFrame:
@@ -66,10 +69,11 @@ def ingest_judged_questions(spark: SparkSession, d: str) -> DataFrame:
     return good.select("question_id", F.lit("ok").alias("verdict")).unionAll(bad.select("question_id", "reject_reason"))
 
 
-@query("SELECT answer_id, nullif(trim(claimed_label_raw), '') AS claim, p_norm AS claim_key, contains(text, '[unclear]') AS uncertain, diagram AS contains_diagram, false AS spans_pages FROM a_parsed")
+@query("SELECT answer_id, nullif(trim(claimed_label_raw), '') AS claim, p_norm AS claim_key, contains(text, '[unclear]') AS uncertain, diagram OR answer_id % 14 = 0 AS contains_diagram, answer_id % 7 = 0 AS spans_pages FROM a_parsed")
 def ingest_answer_columns(spark: SparkSession, d: str) -> DataFrame:
     a = fx.answers(spark, d)
     regions = a.select("answer_id", "page", F.when(F.col("diagram"), "diagram").otherwise("text").alias("kind"))
+    regions = regions.unionAll(a.where("answer_id % 7 = 0").select("answer_id", F.col("page") + 1, F.when(F.col("answer_id") % 2 == 0, "diagram").otherwise("text")))
     return vd.derive_answer_columns(a, regions).select("answer_id", "claim", "claim_key", "uncertain", "contains_diagram", "spans_pages")
 
 
@@ -93,6 +97,19 @@ def ingest_all_rejected(spark: SparkSession, d: str) -> DataFrame:
     return vd.all_rejected_assessments(*vd.validate_answers(fx.readings(spark, d), pages_of(spark, d)))
 
 
+@query(
+    "SELECT answer_id, chunk, CASE WHEN length(trim(text)) = 0 THEN 'no text' WHEN length(trim(replace(text, '[unclear]', ''))) = 0 THEN 'all unclear' WHEN answer_id % 13 = 0 THEN 'no region' WHEN reject_reason IS NOT NULL THEN reject_reason WHEN answer_id % 11 = 0 THEN 'page' WHEN answer_id % 17 = 0 THEN 'zero area' WHEN answer_id % 19 = 0 THEN 'geometry' ELSE 'ok' END AS verdict FROM judged"
+)
+def ingest_multi_region_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Readings with no region, or two of which the second may be bad: on an unknown page, flat, or out of bounds."""
+    own = F.struct("page", "x", "y", "width", "height")
+    bad = lambda n: F.col("answer_id") % n == 0
+    second = F.struct(F.when(bad(11), 77).otherwise(F.lit(1)).cast("long").alias("page"), F.lit(0.1).alias("x"), F.lit(0.1).alias("y"), F.when(bad(17), 0.0).otherwise(0.2).alias("width"), F.when(bad(19) & ~bad(17), 1.5).otherwise(0.2).alias("height"))
+    readings = fx.readings(spark, d).withColumn("regions", F.when(bad(13), F.slice(F.array(own), 1, 0)).otherwise(F.array(own, second)))
+    good, rejected = vd.validate_answers(readings, pages_of(spark, d))
+    return good.select("answer_id", "chunk", F.lit("ok").alias("verdict")).unionAll(rejected.select("answer_id", "chunk", "reject_reason"))
+
+
 # -- chunks and merging -------------------------------------------------------------------------------------------
 @query("SELECT * FROM planned")
 def merge_chunk_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +135,7 @@ def merge_same_answers(spark: SparkSession, d: str) -> DataFrame:
     return mg.same_answer_pairs(with_ids(fx.readings(spark, d)))
 
 
-Q_READINGS = "SELECT assessment_id, question_id * 10 + c.chunk AS reading_id, c.chunk, page, CASE WHEN question_id % 5 = 0 THEN '' ELSE label_raw END AS label_raw, CASE WHEN c.chunk = 2 THEN text || ' more' ELSE text END AS text, marks FROM {q} CROSS JOIN (SELECT 1 AS chunk UNION ALL SELECT 2) c"
+Q_READINGS = "SELECT assessment_id, question_id, question_id * 10007 + c.chunk AS reading_id, c.chunk, page, CASE WHEN question_id % 5 = 0 THEN '' ELSE label_raw END AS label_raw, CASE WHEN c.chunk = 2 THEN text || ' more' ELSE text END AS text, marks FROM {q} CROSS JOIN (SELECT 1 AS chunk UNION ALL SELECT 2) c"
 
 
 @query(
@@ -131,36 +148,43 @@ def merge_same_questions(spark: SparkSession, d: str) -> DataFrame:
     return mg.same_question_pairs(spark.sql(Q_READINGS, q=fx.questions(spark, d)))
 
 
-@query()
+@query(
+    "SELECT assessment_id, reading_id, reading_id AS group_id FROM rd WHERE NOT real UNION ALL SELECT assessment_id, unnest(ids) AS reading_id, unnest(groups) AS group_id FROM rd_steps WHERE (assessment_id, k) IN (SELECT assessment_id, max(k) FROM rd_order GROUP BY 1)".replace("NOT real", "length(trim(replace(text, '[unclear]', ''))) = 0"),
+    rd_pairs=f"SELECT a.assessment_id, a.reading_id AS l, b.reading_id AS r, max(round({IOU}, 6)) AS place, max(round({JAC}, 6)) AS likeness FROM rd a JOIN rd b ON a.assessment_id = b.assessment_id AND a.page = b.page AND a.chunk < b.chunk WHERE length(trim(replace(a.text, '[unclear]', ''))) > 0 AND length(trim(replace(b.text, '[unclear]', ''))) > 0 GROUP BY 1, 2, 3",
+    rd_links="SELECT assessment_id, l, r FROM rd_pairs WHERE place >= 0.5 OR place >= 0.15 AND likeness >= 0.6",
+    rd_order="SELECT d.assessment_id, d.reading_id, coalesce(list(x.l) FILTER (WHERE x.l IS NOT NULL), []) AS near, row_number() OVER (PARTITION BY d.assessment_id ORDER BY d.chunk, d.reading_id) AS k FROM (SELECT * FROM rd WHERE length(trim(replace(text, '[unclear]', ''))) > 0) d LEFT JOIN (SELECT assessment_id, l, r FROM rd_links UNION ALL SELECT assessment_id, r, l FROM rd_links) x ON x.assessment_id = d.assessment_id AND x.r = d.reading_id GROUP BY d.assessment_id, d.reading_id, d.chunk",
+    # groups in order of their founders: the first match that belongs to the earliest founder decides
+    rd_steps="SELECT DISTINCT assessment_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ids, CAST([] AS BIGINT[]) AS groups FROM rd_order UNION ALL SELECT o.assessment_id, o.k, list_append(s.ids, o.reading_id), list_append(s.groups, coalesce(s.ids[list_min([list_position(s.ids, s.groups[list_position(s.ids, m)]) FOR m IN o.near IF list_contains(s.ids, m)])], o.reading_id)) FROM rd_steps s JOIN rd_order o ON o.assessment_id = s.assessment_id AND o.k = s.k + 1",
+)
 def merge_groups(spark: SparkSession, d: str) -> DataFrame:
     r = with_ids(fx.readings(spark, d))
     return mg.group_readings(r, mg.same_answer_pairs(r))
 
 
-@query("SELECT assessment_id, answer_id AS group_id, arg_max(reading_id, row(length(text), -chunk)) AS winner, coalesce(arg_max(label_raw, row(length(text), -chunk)), arg_min(label_raw, chunk) FILTER (WHERE label_raw IS NOT NULL)) AS label_raw, count(*) AS n_readings FROM rd GROUP BY 1, 2")
+@query("SELECT assessment_id, answer_id AS group_id, arg_max(reading_id, row(n_seen, n_pages, length(trim(text)), -chunk)) AS winner, coalesce(first(label_raw ORDER BY n_seen DESC, n_pages DESC, length(trim(text)) DESC, chunk), arg_min(label_raw, chunk) FILTER (WHERE label_raw IS NOT NULL)) AS label_raw, count(*) AS n_readings FROM rd GROUP BY 1, 2")
 def merge_folded_answers(spark: SparkSession, d: str) -> DataFrame:
-    members = with_ids(fx.readings(spark, d)).withColumn("group_id", F.col("answer_id")).withColumn("n_pages", F.lit(1))
+    members = with_ids(fx.readings(spark, d)).withColumn("group_id", F.col("answer_id"))
     return mg.fold_answer_group(members).drop("text")
 
 
-@query("SELECT assessment_id, CAST(floor(reading_id / 10.0) AS BIGINT) AS group_id, arg_max(text, row(length(text), -chunk)) AS text, arg_min(marks, chunk) FILTER (WHERE marks IS NOT NULL) AS marks, min(page) AS page FROM qr GROUP BY 1, 2", qr=Q_READINGS.format(q="fx_q"))
+@query("SELECT assessment_id, question_id AS group_id, arg_max(text, row(length(text), -chunk)) AS text, arg_min(marks, chunk) FILTER (WHERE marks IS NOT NULL) AS marks, min(page) AS page FROM qr GROUP BY 1, 2", qr=Q_READINGS.format(q="fx_q"))
 def merge_folded_questions(spark: SparkSession, d: str) -> DataFrame:
-    members = spark.sql(Q_READINGS, q=fx.questions(spark, d)).withColumn("group_id", F.floor(F.col("reading_id") / 10))
+    members = spark.sql(Q_READINGS, q=fx.questions(spark, d)).withColumn("group_id", F.col("question_id"))
     return mg.fold_question_group(members).drop("label_raw")
 
 
-@query("SELECT answer_id, CAST(count(*) AS INTEGER) AS n_read, CAST(CASE WHEN count(*) = 2 AND max(CASE WHEN x > 1 THEN 1 ELSE 0 END) = 0 THEN 1 ELSE count(*) END AS INTEGER) AS n_kept FROM (SELECT DISTINCT answer_id, chunk, x FROM fx_r WHERE x <= 1) GROUP BY 1")
+@query("SELECT answer_id, CAST(count(*) AS INTEGER) AS n_read, CAST(1 AS INTEGER) AS n_kept, round(arg_min(y, chunk), 9) AS kept_y FROM fx_r WHERE x <= 1 GROUP BY 1")
 def merge_deduped_regions(spark: SparkSession, d: str) -> DataFrame:
     region = F.struct("page", "y", "x", "width", "height")
     r = fx.readings(spark, d).where("x <= 1").groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("chunk", region.alias("r")))).alias("rs"))
     regions = F.transform("rs", lambda c: c["r"])
-    return r.select("answer_id", F.size("rs").alias("n_read"), F.size(mg.dedupe_regions(regions)).alias("n_kept"))
+    return r.select("answer_id", F.size("rs").alias("n_read"), F.size(mg.dedupe_regions(regions)).alias("n_kept"), F.round(mg.dedupe_regions(regions)[0]["y"], 9).alias("kept_y"))
 
 
-@query("SELECT r.assessment_id, received, chunks, coalesce(rejected, 0) AS rejected, merged, unlabelled FROM (SELECT assessment_id, count(*) AS received, count(DISTINCT chunk) AS chunks FROM fx_r GROUP BY 1) r LEFT JOIN (SELECT assessment_id, count(*) AS rejected FROM judged WHERE reject_code IS NOT NULL GROUP BY 1) j USING (assessment_id) LEFT JOIN (SELECT assessment_id, CAST(sum(n - 1) AS BIGINT) AS merged, CAST(count_if(l IS NULL) AS BIGINT) AS unlabelled FROM (SELECT assessment_id, answer_id, count(*) AS n, coalesce(arg_max(label_raw, row(length(text), -chunk)), arg_min(label_raw, chunk) FILTER (WHERE label_raw IS NOT NULL)) AS l FROM fx_r GROUP BY 1, 2) GROUP BY 1) m USING (assessment_id)")
+@query("SELECT r.assessment_id, received, chunks, coalesce(rejected, 0) AS rejected, merged, unlabelled FROM (SELECT assessment_id, count(*) AS received, count(DISTINCT chunk) AS chunks FROM fx_r GROUP BY 1) r LEFT JOIN (SELECT assessment_id, count(*) AS rejected FROM judged WHERE reject_code IS NOT NULL GROUP BY 1) j USING (assessment_id) LEFT JOIN (SELECT assessment_id, CAST(sum(n - 1) AS BIGINT) AS merged, CAST(count_if(l IS NULL) AS BIGINT) AS unlabelled FROM (SELECT assessment_id, answer_id, count(*) AS n, coalesce(first(label_raw ORDER BY n_seen DESC, n_pages DESC, length(trim(text)) DESC, chunk), arg_min(label_raw, chunk) FILTER (WHERE label_raw IS NOT NULL)) AS l FROM rd GROUP BY 1, 2) GROUP BY 1) m USING (assessment_id)")
 def merge_metrics(spark: SparkSession, d: str) -> DataFrame:
     r = with_ids(fx.readings(spark, d))
-    merged = mg.fold_answer_group(r.withColumn("group_id", F.col("answer_id")).withColumn("n_pages", F.lit(1)))
+    merged = mg.fold_answer_group(r.withColumn("group_id", F.col("answer_id")))
     return mg.extraction_metrics(r, vd.validate_answers(r, pages_of(spark, d))[1], merged).drop("failed_chunks", "partial")
 
 
@@ -180,7 +204,7 @@ def ingest_rejected_responses(spark: SparkSession, d: str) -> DataFrame:
 VERDICT_BODY = "SELECT answer_id, '{{\"decision\":\"' || CASE WHEN answer_id % 11 = 0 THEN 'MAYBE' ELSE decision END || '\",\"questionId\":\"' || cast(question_id AS string) || '\",\"confidence\":' || CASE WHEN answer_id % 13 = 0 THEN '\"sure\"' ELSE '\"0.5\"' END || '}}' AS body FROM {v}"
 
 
-@query("SELECT answer_id, decision, CAST(question_id AS VARCHAR) AS question_id, 'INSUFFICIENT_EVIDENCE' AS reason_code, CASE WHEN answer_id % 13 = 0 THEN 0.0 ELSE 0.5 END AS model_confidence FROM fx_v WHERE answer_id % 11 <> 0")
+@query("SELECT answer_id, decision, CAST(question_id AS VARCHAR) AS question_id, 'INSUFFICIENT_EVIDENCE' AS reason_code, CAST(CASE WHEN answer_id % 13 = 0 THEN 0 ELSE 0.5 END AS DOUBLE) AS model_confidence FROM fx_v WHERE answer_id % 11 <> 0")
 def ingest_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return ig.parse_verdicts(spark.sql(VERDICT_BODY, v=fx.verdicts(spark, d)))[0]
 

@@ -9,15 +9,25 @@ from ..functions import signals as s
 from ..operators import grading as gr
 from ..operators import review as rv
 from ..sources import fixtures as fx
+from ..sources.scratch import stash
 from .oracle import PARTS, parsed
-from .queries import query, resolved
+from .queries import query, ranked_and_mapped, resolved
 
 PARTS.update(
     am="SELECT *, CASE WHEN confidence >= 0.9 THEN 'HIGH' WHEN confidence >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS band, CASE WHEN question_id IS NULL THEN CASE answer_id % 3 WHEN 0 THEN 'NO_CANDIDATES' WHEN 1 THEN 'LLM_NO_MATCH' ELSE 'NO_MATCH' END WHEN answer_id % 5 = 0 THEN 'CONFLICT_RESOLVED' ELSE 'DIRECT_LABEL_MATCH' END AS reason FROM fx_am",
     trig="SELECT *, CASE WHEN question_id IS NULL THEN CASE reason WHEN 'NO_CANDIDATES' THEN 'NO_CANDIDATES' WHEN 'LLM_NO_MATCH' THEN 'AI_NO_MATCH' ELSE 'UNMAPPED' END WHEN band = 'LOW' THEN 'LOW_CONFIDENCE' WHEN band = 'MEDIUM' THEN 'MEDIUM_CONFIDENCE' WHEN reason = 'CONFLICT_RESOLVED' THEN 'CONFLICT_RESOLVED' END AS trigger FROM am",
-    act="SELECT * FROM fx_act WHERE action <> 'REMAP'",
-    st="SELECT m.assessment_id, m.answer_id, CASE WHEN f.settled IS NOT NULL THEN 'RESOLVED' WHEN k.skips > 0 THEN 'SKIPPED' ELSE 'PENDING' END AS status, coalesce(f.settled, CASE WHEN k.skips > 0 THEN 'SKIP' END) AS action FROM fx_am m LEFT JOIN (SELECT assessment_id, answer_id, arg_min(action, row(ts, event_id)) AS settled FROM act WHERE action <> 'SKIP' GROUP BY 1, 2) f ON m.answer_id = f.answer_id AND m.assessment_id = f.assessment_id LEFT JOIN (SELECT assessment_id, answer_id, count(*) AS skips FROM act WHERE action = 'SKIP' GROUP BY 1, 2) k ON m.answer_id = k.answer_id AND m.assessment_id = k.assessment_id",
-    eff="SELECT m.assessment_id, m.answer_id, CASE WHEN s.action = 'REJECT' THEN NULL ELSE m.question_id END AS question_id, CASE WHEN s.action IN ('ACCEPT', 'REJECT') THEN 'HUMAN' ELSE 'AI' END AS source, CASE WHEN s.action IN ('ACCEPT', 'REJECT') THEN NULL ELSE m.confidence END AS confidence, CASE WHEN s.action IS NOT NULL THEN 'HUMAN' ELSE 'AI' END AS mapping_source FROM fx_am m JOIN st s ON m.answer_id = s.answer_id AND m.assessment_id = s.assessment_id",
+    act="SELECT * FROM fx_act",
+    st="SELECT m.assessment_id, m.answer_id, CASE WHEN f.settled IS NOT NULL THEN 'RESOLVED' WHEN k.skips > 0 THEN 'SKIPPED' ELSE 'PENDING' END AS status, coalesce(f.settled, CASE WHEN k.skips > 0 THEN 'SKIP' END) AS action, CASE WHEN f.settled = 'REMAP' THEN f.wanted END AS target FROM fx_am m LEFT JOIN (SELECT assessment_id, answer_id, arg_min(action, row(ts, event_id)) AS settled, arg_min(target, row(ts, event_id)) AS wanted FROM act WHERE action <> 'SKIP' GROUP BY 1, 2) f ON m.answer_id = f.answer_id AND m.assessment_id = f.assessment_id LEFT JOIN (SELECT assessment_id, answer_id, count(*) AS skips FROM act WHERE action = 'SKIP' GROUP BY 1, 2) k ON m.answer_id = k.answer_id AND m.assessment_id = k.assessment_id",
+    eff="SELECT m.assessment_id, m.answer_id, CASE WHEN s.action = 'REJECT' THEN NULL WHEN s.action = 'REMAP' THEN s.target ELSE m.question_id END AS question_id, CASE WHEN s.action IN ('ACCEPT', 'REJECT', 'REMAP') THEN 'HUMAN' ELSE 'AI' END AS source, CASE WHEN s.action IN ('ACCEPT', 'REJECT', 'REMAP') THEN NULL ELSE m.confidence END AS confidence, CASE WHEN s.action IS NOT NULL THEN 'HUMAN' ELSE 'AI' END AS mapping_source FROM fx_am m JOIN st s ON m.answer_id = s.answer_id AND m.assessment_id = s.assessment_id",
+    # the action log step by step: lists of the five answers of an assessment
+    rv_acts="SELECT *, answer_id - assessment_id * 10 AS i, target - assessment_id * 10 AS t, row_number() OVER (PARTITION BY assessment_id ORDER BY ts, event_id) AS k FROM fx_act",
+    rv_steps="""SELECT assessment_id, CAST(0 AS BIGINT) AS k, list('PENDING') AS sts, list(CAST(NULL AS VARCHAR)) AS acs, list(CAST(NULL AS BIGINT)) AS tgs, list(question_id - assessment_id * 10 ORDER BY answer_id) AS nws, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS answer_id, CAST(NULL AS BIGINT) AS i, '' AS action, CAST(NULL AS BIGINT) AS target, '' AS outcome FROM fx_am GROUP BY 1
+      UNION ALL SELECT assessment_id, k, CASE WHEN outcome = 'APPLIED' THEN [CASE WHEN j = i THEN CASE WHEN action = 'SKIP' THEN 'SKIPPED' ELSE 'RESOLVED' END ELSE sts[j] END FOR j IN [1, 2, 3, 4, 5]] ELSE sts END,
+        CASE WHEN outcome = 'APPLIED' THEN [CASE WHEN j = i THEN action ELSE acs[j] END FOR j IN [1, 2, 3, 4, 5]] ELSE acs END, CASE WHEN outcome = 'APPLIED' THEN [CASE WHEN j = i THEN t ELSE tgs[j] END FOR j IN [1, 2, 3, 4, 5]] ELSE tgs END,
+        CASE WHEN outcome = 'APPLIED' THEN [CASE WHEN j = i THEN CASE action WHEN 'REJECT' THEN NULL WHEN 'REMAP' THEN t ELSE nws[j] END ELSE nws[j] END FOR j IN [1, 2, 3, 4, 5]] ELSE nws END, event_id, answer_id, i, action, target, outcome
+      FROM (SELECT a.assessment_id, a.k, a.event_id, a.answer_id, a.i, a.t, a.action, a.target, s.sts, s.acs, s.tgs, s.nws, CASE WHEN s.acs[a.i] = a.action AND (a.action <> 'REMAP' OR s.tgs[a.i] IS NOT DISTINCT FROM a.t) THEN 'REPEAT' WHEN s.sts[a.i] = 'RESOLVED' THEN 'CONFLICT_SETTLED'
+          WHEN a.action = 'REMAP' AND a.t IS NULL THEN 'INVALID_TARGET' WHEN a.action = 'REMAP' AND a.t NOT BETWEEN 1 AND 6 THEN 'UNKNOWN_QUESTION' WHEN a.action = 'REMAP' AND len([j FOR j IN [1, 2, 3, 4, 5] IF j <> a.i AND s.nws[j] = a.t]) > 0 THEN 'QUESTION_ALREADY_ASSIGNED' ELSE 'APPLIED' END AS outcome
+        FROM rv_steps s JOIN rv_acts a ON a.assessment_id = s.assessment_id AND a.k = s.k + 1)""",
     g_eff=fx.EFFECTIVE.format(answers="fx_a"),
     rub0="SELECT assessment_id, rubric_id, min(label_raw) AS label_raw, min(total_marks) AS total_marks, sum(max_marks) AS sums, bool_or(max_marks <= 0) AS bad FROM fx_rub GROUP BY 1, 2",
     rub1=parsed("rub0", "label_raw"),
@@ -37,7 +47,7 @@ PARTS.update(
     sure="SELECT t.*, c.failure, c.awarded, contains(a.text, '[unclear]') AS uncertain, a.diagram AS drawn, t.reason IS NULL AND c.failure IS NULL AND c.awarded IS NOT NULL AS good, floor(least(1.0, greatest(0.0, CAST(0.3 AS DOUBLE) * (CASE WHEN t.source = 'PROVIDED' THEN CAST(1 AS DOUBLE) ELSE CAST(0.55 AS DOUBLE) END * CASE WHEN asks AND a.diagram THEN CAST(0.6 AS DOUBLE) ELSE 1 END) + CAST(0.25 AS DOUBLE) * CASE WHEN contains(a.text, '[unclear]') THEN CAST(0.4 AS DOUBLE) ELSE 1 END + CAST(0.3 AS DOUBLE) * least(1.0, greatest(0.0, model)) + CAST(0.15 AS DOUBLE) * (CAST(n_criteria - partials AS DOUBLE) / n_criteria * CAST(0.4 AS DOUBLE) + CAST(0.6 AS DOUBLE)))) * 1e6 + 0.500001) / 1e6 AS conf FROM targets t JOIN fx_a a ON t.answer_id = a.answer_id LEFT JOIN checked c ON t.answer_id = c.answer_id",
     grades="SELECT assessment_id, answer_id, question_id, CASE WHEN reason IS NOT NULL THEN 'NOT_GRADEABLE' WHEN NOT good THEN 'FAILED' WHEN conf < 0.75 OR uncertain OR source = 'GENERATED' OR asks AND drawn THEN 'REVIEW_REQUIRED' ELSE 'GRADED' END AS status, CASE WHEN good THEN awarded END AS awarded, CASE WHEN reason IS NULL THEN total_marks END AS maximum, CASE WHEN good THEN conf END AS confidence, CASE WHEN good THEN concat_ws(',', CASE WHEN conf < 0.75 THEN 'LOW_GRADING_CONFIDENCE' END, CASE WHEN uncertain THEN 'UNCERTAIN_TRANSCRIPTION' END, CASE WHEN source = 'GENERATED' THEN 'GENERATED_RUBRIC' END, CASE WHEN asks AND drawn THEN 'DIAGRAM_NOT_ASSESSABLE' END) ELSE coalesce(reason, failure, 'NO_RECOMMENDATION') END AS reasons, source FROM sure",
     prior=fx.PRIOR.format(answers="fx_a"),
-    history="SELECT p.assessment_id, p.answer_id, p.question_id, p.status, p.awarded, p.maximum, p.is_current AND g.answer_id IS NULL AS is_current, CASE WHEN p.is_current AND g.answer_id IS NOT NULL THEN CASE WHEN p.question_id IS NOT DISTINCT FROM g.question_id THEN 'REGRADED' ELSE 'MAPPING_CHANGED' END END AS superseded_reason FROM prior p LEFT JOIN grades g ON p.answer_id = g.answer_id UNION ALL SELECT assessment_id, answer_id, question_id, status, awarded, maximum, true, NULL FROM grades",
+    history="SELECT p.assessment_id, p.answer_id, p.question_id, p.status, p.awarded, p.maximum, p.is_current AND g.answer_id IS NULL AS is_current, p.graded_at, CASE WHEN p.is_current AND g.answer_id IS NOT NULL THEN CASE WHEN p.question_id IS NOT DISTINCT FROM g.question_id THEN 'REGRADED' ELSE 'MAPPING_CHANGED' END END AS superseded_reason FROM prior p LEFT JOIN grades g ON p.answer_id = g.answer_id UNION ALL SELECT assessment_id, answer_id, question_id, status, awarded, maximum, true, NULL, NULL FROM grades",
     verdict="SELECT *, CASE WHEN status = 'FAILED' THEN 'Could not be marked' WHEN status = 'NOT_GRADEABLE' THEN CASE WHEN reasons = 'MARK_SCHEME_UNAVAILABLE' THEN 'No marks to grade against' ELSE 'Not gradeable' END WHEN awarded >= maximum THEN 'Correct' WHEN awarded > 0 THEN 'Partially correct' ELSE 'Incorrect' END AS verdict FROM grades",
 )
 
@@ -51,9 +61,8 @@ def said(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("band", s.confidence_band(F.col("confidence"), DEFAULT)).withColumn("reasons", F.array(reason))
 
 
-def log(spark: SparkSession, d: str, remaps: bool = False) -> DataFrame:
-    actions = fx.of_events(spark, d, fx.ACTIONS)
-    return actions if remaps else actions.where("action != 'REMAP'")
+def log(spark: SparkSession, d: str) -> DataFrame:
+    return fx.of_events(spark, d, fx.ACTIONS)
 
 
 def as_reviews(m: DataFrame) -> DataFrame:
@@ -61,7 +70,7 @@ def as_reviews(m: DataFrame) -> DataFrame:
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
-    return rv.simple_review_states(as_reviews(said(spark, d)), log(spark, d)).withColumn("target", F.lit(None).cast("long"))
+    return rv.simple_review_states(as_reviews(said(spark, d)), log(spark, d))
 
 
 def event_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -81,20 +90,22 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     return rv.build_review_queue(m, existing).select("assessment_id", "answer_id", "status", "trigger")
 
 
-@query()
+@query("SELECT assessment_id, event_id, answer_id, action, target, k - 1 AS step, outcome, sts[i] AS status, nws[i] + assessment_id * 10 AS final_question_id FROM rv_steps WHERE k > 0")
 def review_actions(spark: SparkSession, d: str) -> DataFrame:
-    return rv.apply_review_actions(as_reviews(said(spark, d)), event_questions(spark, d), log(spark, d, True))
+    return rv.apply_review_actions(as_reviews(said(spark, d)), event_questions(spark, d), log(spark, d))
 
 
-@query()
+@query(
+    "SELECT r.assessment_id, r.answer_id, r.event_id, r.action, nws[i] + r.assessment_id * 10 AS final_question_id, nullif(trim(a.reason), '') AS reason, m.question_id AS original_question_id FROM rv_steps r JOIN fx_act a ON r.event_id = a.event_id JOIN fx_am m ON r.assessment_id = m.assessment_id AND r.answer_id = m.answer_id WHERE outcome = 'APPLIED'"
+)
 def review_audit(spark: SparkSession, d: str) -> DataFrame:
-    reviews, actions = as_reviews(said(spark, d)), log(spark, d, True)
+    reviews, actions = as_reviews(said(spark, d)), log(spark, d)
     return rv.audit_events(rv.apply_review_actions(reviews, event_questions(spark, d), actions), reviews, actions)
 
 
 @query("SELECT * FROM st")
 def review_simple_states(spark: SparkSession, d: str) -> DataFrame:
-    return states(spark, d).drop("target")
+    return states(spark, d)
 
 
 @query("SELECT * FROM eff")
@@ -115,11 +126,11 @@ STATUS_LOG = "SELECT answer_id, ts, event_id, CASE action WHEN 'SKIP' THEN 'SKIP
     slog=STATUS_LOG.format(actions="fx_act"),
 )
 def review_illegal_transitions(spark: SparkSession, d: str) -> DataFrame:
-    return rv.illegal_transitions(spark.sql(STATUS_LOG, actions=log(spark, d, True)), "answer_id", start="PENDING")
+    return rv.illegal_transitions(spark.sql(STATUS_LOG, actions=log(spark, d)), "answer_id", start="PENDING")
 
 
 @query(
-    "SELECT a.assessment_id, answers, ai_mapped, pending, skipped, resolved, accept, remap, reject, effective_mapped, human, effective_unmapped FROM (SELECT assessment_id, count(*) AS answers, count(question_id) AS ai_mapped FROM fx_am GROUP BY 1) a JOIN (SELECT assessment_id, CAST(count_if(status = 'PENDING') AS BIGINT) AS pending, CAST(count_if(status = 'SKIPPED') AS BIGINT) AS skipped, CAST(count_if(status = 'RESOLVED') AS BIGINT) AS resolved, CAST(count_if(action = 'ACCEPT') AS BIGINT) AS accept, CAST(0 AS BIGINT) AS remap, CAST(count_if(action = 'REJECT') AS BIGINT) AS reject FROM st GROUP BY 1) s USING (assessment_id) JOIN (SELECT assessment_id, count(question_id) AS effective_mapped, CAST(count_if(source = 'HUMAN') AS BIGINT) AS human, CAST(count_if(question_id IS NULL) AS BIGINT) AS effective_unmapped FROM eff GROUP BY 1) e USING (assessment_id)"
+    "SELECT a.assessment_id, answers, ai_mapped, pending, skipped, resolved, accept, remap, reject, effective_mapped, human, effective_unmapped FROM (SELECT assessment_id, count(*) AS answers, count(question_id) AS ai_mapped FROM fx_am GROUP BY 1) a JOIN (SELECT assessment_id, CAST(count_if(status = 'PENDING') AS BIGINT) AS pending, CAST(count_if(status = 'SKIPPED') AS BIGINT) AS skipped, CAST(count_if(status = 'RESOLVED') AS BIGINT) AS resolved, CAST(count_if(action = 'ACCEPT') AS BIGINT) AS accept, CAST(count_if(action = 'REMAP') AS BIGINT) AS remap, CAST(count_if(action = 'REJECT') AS BIGINT) AS reject FROM st GROUP BY 1) s USING (assessment_id) JOIN (SELECT assessment_id, count(question_id) AS effective_mapped, CAST(count_if(source = 'HUMAN') AS BIGINT) AS human, CAST(count_if(question_id IS NULL) AS BIGINT) AS effective_unmapped FROM eff GROUP BY 1) e USING (assessment_id)"
 )
 def review_counts(spark: SparkSession, d: str) -> DataFrame:
     m, st = said(spark, d), states(spark, d)
@@ -127,13 +138,34 @@ def review_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT s.assessment_id, s.answer_id, s.status, m.band, e.question_id AS effective_question_id, e.source, CAST(CASE s.status WHEN 'PENDING' THEN 1 WHEN 'SKIPPED' THEN 3 ELSE 4 END AS INTEGER) AS place FROM st s JOIN am m ON s.answer_id = m.answer_id AND s.assessment_id = m.assessment_id JOIN eff e ON s.answer_id = e.answer_id AND s.assessment_id = e.assessment_id"
+    "SELECT s.assessment_id, s.answer_id, s.status, m.band, e.question_id AS effective_question_id, e.source, 'Q' || (s.answer_id % 10) AS claimed_label_raw, CASE WHEN e.question_id - e.assessment_id * 10 <= 6 THEN (e.question_id % 10) || '.' END AS label_raw, CAST(CASE s.status WHEN 'PENDING' THEN 1 WHEN 'SKIPPED' THEN 3 ELSE 4 END AS INTEGER) AS place FROM st s JOIN am m ON s.answer_id = m.answer_id AND s.assessment_id = m.assessment_id JOIN eff e ON s.answer_id = e.answer_id AND s.assessment_id = e.assessment_id"
 )
 def review_work_list(spark: SparkSession, d: str) -> DataFrame:
     m, st = said(spark, d), states(spark, d)
-    answers = m.select("assessment_id", "answer_id", F.lit(None).cast("string").alias("claimed_label_raw"))
-    questions = event_questions(spark, d).withColumn("label_raw", F.lit("Q"))
-    return rv.review_items(st, m, rv.effective_mappings(m, st), answers, questions).select("assessment_id", "answer_id", "status", "band", "effective_question_id", "source", "place")
+    answers = m.select("assessment_id", "answer_id", F.concat(F.lit("Q"), F.col("answer_id") % 10).alias("claimed_label_raw"))
+    questions = event_questions(spark, d).withColumn("label_raw", F.concat(F.col("question_id") % 10, F.lit(".")))
+    items = rv.review_items(st, m, rv.effective_mappings(m, st), answers, questions)
+    return items.select("assessment_id", "answer_id", "status", "band", "effective_question_id", "source", "claimed_label_raw", "label_raw", "place")
+
+
+@query("SELECT m.assessment_id, m.answer_id, m.question_id AS ai_question_id, m.confidence AS ai_confidence, m.band AS ai_band, s.status AS human_status, s.action AS human_action, s.target AS human_question_id, e.question_id AS effective_question_id, e.source AS effective_source FROM am m JOIN st s ON m.assessment_id = s.assessment_id AND m.answer_id = s.answer_id JOIN eff e ON m.assessment_id = e.assessment_id AND m.answer_id = e.answer_id")
+def review_layers(spark: SparkSession, d: str) -> DataFrame:
+    m, st = said(spark, d), states(spark, d)
+    return rv.mapping_layers(m, st, rv.effective_mappings(m, st)).drop("ai_reasons")
+
+
+@query(
+    "SELECT m.assessment_id, m.answer_id, CASE WHEN m.question_id IS NULL THEN CASE WHEN contains(m.reasons, 'NO_CANDIDATES') THEN 'NO_CANDIDATES' WHEN contains(m.reasons, 'LLM_NO_MATCH') THEN 'AI_NO_MATCH' ELSE 'UNMAPPED' END WHEN m.band = 'LOW' THEN 'LOW_CONFIDENCE' WHEN m.band = 'MEDIUM' THEN 'MEDIUM_CONFIDENCE' ELSE 'CONFLICT_RESOLVED' END AS trigger, q.label_raw, a.claimed_label_raw, c.shortlist FROM maps m JOIN fx_a a ON a.answer_id = m.answer_id LEFT JOIN fx_q q ON q.question_id = m.question_id LEFT JOIN (SELECT r.answer_id, string_agg(r.question_id || '=' || q.label_raw || '/' || length(q.text) || '/' || CAST(round(r.confidence * 1e6) AS BIGINT), ';' ORDER BY r.final_rank) AS shortlist FROM ranked r JOIN fx_q q ON r.question_id = q.question_id GROUP BY 1) c ON c.answer_id = m.answer_id WHERE m.question_id IS NULL OR m.band <> 'HIGH' OR contains(m.reasons, 'CONFLICT_RESOLVED')"
+)
+def review_item_list(spark: SparkSession, d: str) -> DataFrame:
+    """The queue of the matcher's mappings with each answer's shortlist and its questions."""
+    again, maps = ranked_and_mapped(spark, d)
+    states = rv.build_review_queue(maps)
+    questions = resolved(spark, d).select("assessment_id", "question_id", "label_raw", "text")
+    effective = rv.effective_mappings(maps, states.select("assessment_id", "answer_id", F.lit(None).cast("string").alias("action"), F.lit(None).cast("long").alias("target")))
+    items = rv.review_items(states, maps, effective, fx.answers(spark, d), questions, again.drop("rank").withColumnRenamed("final_rank", "rank"))
+    shown = F.transform("candidates", lambda c: F.concat(c["question_id"].cast("string"), F.lit("="), c["label_raw"], F.lit("/"), F.length(c["question_text"]).cast("string"), F.lit("/"), F.round(c["confidence"] * 1e6).cast("long").cast("string")))
+    return items.select("assessment_id", "answer_id", "trigger", "label_raw", "claimed_label_raw", F.array_join(shown, ";").alias("shortlist"))
 
 
 # -- grading ------------------------------------------------------------------------------------------------------
@@ -142,7 +174,7 @@ def schemes_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def targets_of(spark: SparkSession, d: str) -> DataFrame:
-    return gr.grading_targets(fx.effective(spark, d), resolved(spark, d), schemes_of(spark, d)[0]).persist()
+    return stash(gr.grading_targets(fx.effective(spark, d), resolved(spark, d), schemes_of(spark, d)[0]))
 
 
 def recommendations(spark: SparkSession, targets: DataFrame) -> DataFrame:
@@ -153,11 +185,11 @@ def recommendations(spark: SparkSession, targets: DataFrame) -> DataFrame:
 
 def graded(spark: SparkSession, d: str) -> DataFrame:
     t = targets_of(spark, d)
-    return gr.grade_answers(t, fx.answers(spark, d), recommendations(spark, t)).persist()
+    return gr.grade_answers(t, fx.answers(spark, d), recommendations(spark, t))
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:
-    return gr.supersede_grades(spark.sql(fx.PRIOR, answers=fx.answers(spark, d)), graded(spark, d))
+    return stash(gr.supersede_grades(spark.sql(fx.PRIOR, answers=fx.answers(spark, d)), graded(spark, d)))
 
 
 @query("SELECT assessment_id, question_id, source, total_marks FROM schemes")
@@ -211,9 +243,23 @@ def grade_supersede(spark: SparkSession, d: str) -> DataFrame:
     return history(spark, d)
 
 
-@query("SELECT assessment_id, answer_id, question_id, superseded_reason FROM history WHERE NOT is_current")
+@query("SELECT assessment_id, answer_id, question_id, superseded_reason, CAST(row_number() OVER (PARTITION BY assessment_id ORDER BY graded_at DESC, answer_id) AS INTEGER) AS newest FROM history WHERE NOT is_current")
 def grade_old(spark: SparkSession, d: str) -> DataFrame:
-    return gr.grade_history(history(spark, d)).select("assessment_id", "answer_id", "question_id", "superseded_reason")
+    return gr.grade_history(history(spark, d)).select("assessment_id", "answer_id", "question_id", "superseded_reason", "newest")
+
+
+@query("SELECT assessment_id, answer_id, question_id, CAST(row_number() OVER (PARTITION BY assessment_id, question_id ORDER BY graded_at DESC, answer_id) AS INTEGER) AS newest FROM history WHERE NOT is_current")
+def grade_old_by_question(spark: SparkSession, d: str) -> DataFrame:
+    return gr.grade_history(history(spark, d), per_question=True).select("assessment_id", "answer_id", "question_id", "newest")
+
+
+@query("SELECT r.answer_id, r.criterion_id, r.ordinal, CASE WHEN c.max_marks <= 0 OR r.awarded <= 0 THEN 'NOT_SATISFIED' WHEN r.awarded >= c.max_marks THEN 'SATISFIED' ELSE 'PARTIAL' END AS outcome, floor(r.awarded * 0.7 + 0.5) AS whole, floor(r.awarded * 0.7 * 2 + 0.5) / 2 AS half FROM recs r JOIN crit c ON r.answer_id = c.answer_id AND r.criterion_id = c.criterion_id")
+def grade_criterion_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome of each recommended criterion, and seven tenths of its marks rounded to whole and to half marks."""
+    t = targets_of(spark, d)
+    maximum = t.where("reason is null").select("answer_id", F.explode("criteria").alias("c")).select("answer_id", "c.criterion_id", "c.max_marks")
+    rows, some = recommendations(spark, t).join(maximum, ["answer_id", "criterion_id"]), F.col("awarded") * 0.7
+    return rows.select("answer_id", "criterion_id", "ordinal", gr.criterion_outcome(F.col("awarded"), F.col("max_marks")).alias("outcome"), gr.round_mark(some, "WHOLE").alias("whole"), gr.round_mark(some, "HALF").alias("half"))
 
 
 @query(

@@ -1,37 +1,39 @@
 """Derived inputs: assessments made from orders, by one SQL text that Spark and DuckDB both read.
 
-One order is one assessment; its lines are its questions and answers. Modulus constants only make every branch of
-every rule appear.
+One order is one assessment; its lines are its questions and answers, all of them. Modulus constants only make every
+branch of every rule appear; ids are assessment_id * 1000003 + pos, a prime, so that they do not follow pos alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import stash
+
 BASE = """
 SELECT *, count(*) OVER (PARTITION BY assessment_id) AS n, CASE WHEN l_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS letter
 FROM (SELECT l_orderkey AS assessment_id, l_partkey, l_suppkey, cast(l_quantity AS bigint) AS quantity, l_discount AS discount, l_returnflag AS flag, p_name,
   cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS bigint) AS pos
-  FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) t WHERE pos <= 7"""
+  FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) t"""
 
 QUESTIONS = """
-SELECT assessment_id, assessment_id * 10 + pos AS question_id, pos, n,
+SELECT assessment_id, assessment_id * 1000003 + pos AS question_id, pos, n,
   CASE l_suppkey % 5 WHEN 0 THEN 'Q' || cast(pos AS string) WHEN 1 THEN cast(pos AS string) || '.' WHEN 2 THEN 'Question ' || cast(pos AS string)
     WHEN 3 THEN cast(pos AS string) || ' (' || letter || ')' ELSE '(' || letter || ')' END AS label_raw,
   CASE WHEN l_partkey % 7 = 0 THEN 'Draw a labelled diagram of ' ELSE '' END || p_name AS text,
   CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE cast(1 + l_partkey % 5 AS double) END AS marks,
   cast(1 + floor((pos - 1) / 3.0) AS bigint) AS page, cast(0.1 AS double) AS x, cast(0.1 AS double) + cast(0.25 AS double) * ((pos - 1) % 3) AS y,
-  cast(0.7 AS double) AS width, cast(0.1 AS double) AS height, l_partkey % 500 AS vec_id, l_partkey
+  cast(0.7 AS double) AS width, cast(0.1 AS double) AS height, l_partkey % (SELECT count(*) FROM {embeddings}) AS vec_id, l_partkey
 FROM {base}"""
 
 ANSWERS = """
-SELECT assessment_id, assessment_id * 10 + pos AS answer_id, pos, n,
+SELECT assessment_id, assessment_id * 1000003 + pos AS answer_id, pos, n,
   CASE (l_suppkey + pos) % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Q' || cast(pos AS string) WHEN 2 THEN cast(pos AS string) WHEN 3 THEN '(' || letter || ')'
     WHEN 4 THEN 'Ans ' || cast(pos AS string) || '(' || letter || ')' ELSE 'Q' || cast(1 + pos % 7 AS string) END AS claimed_label_raw,
   repeat(p_name || ' ', cast(1 + quantity % 20 AS int)) || CASE WHEN quantity % 7 = 0 THEN '[unclear]' ELSE '' END AS text,
   flag = 'R' AS diagram, cast(1 + floor((pos - 1) / 3.0) AS bigint) AS page,
   cast(0.1 AS double) AS x, cast(0.1 AS double) + cast(0.25 AS double) * ((pos - 1) % 3) + discount / 10 AS y, cast(0.7 AS double) AS width, cast(0.1 AS double) AS height,
-  CASE WHEN pos % 2 = 0 THEN l_partkey % 500 ELSE (l_partkey + 1) % 500 END AS vec_id
+  (l_partkey + pos % 2) % (SELECT count(*) FROM {embeddings}) AS vec_id
 FROM {base} WHERE l_partkey % 10 <> 3"""
 
 #: Every answer as read by each chunk of two pages (overlap one) that holds its page, with some bad rows.
@@ -41,13 +43,13 @@ SELECT assessment_id, answer_id, chunk, row_number() OVER (PARTITION BY assessme
   CASE WHEN answer_id % 101 = 0 THEN '' WHEN again = 1 THEN substr(text, 1, cast(floor(length(text) * 0.8) AS int)) ELSE text END AS text, diagram,
   CASE WHEN answer_id % 103 = 0 THEN 99 ELSE page END AS page, page - chunk AS local_page,
   CASE WHEN answer_id % 97 = 0 THEN cast(1.4 AS double) ELSE x END AS x, y + CASE WHEN again = 1 THEN cast(0.01 AS double) ELSE cast(0 AS double) END AS y, width, height
-FROM (SELECT a.*, c.chunk, CASE WHEN c.chunk = a.page THEN 0 ELSE 1 END AS again FROM {answers} a JOIN (SELECT 1 AS chunk UNION ALL SELECT 2) c ON a.page = c.chunk OR a.page = c.chunk + 1) t"""
+FROM (SELECT a.*, page - again AS chunk, again FROM {answers} a CROSS JOIN (SELECT 0 AS again UNION ALL SELECT 1) c WHERE page - again >= 1 AND page - again <= greatest(1, floor((n - 1) / 3.0))) t"""
 
 VERDICTS = """
-SELECT assessment_id, assessment_id * 10 + pos AS answer_id, CASE WHEN (assessment_id * 10 + pos) % 7 = 0 THEN 'NO_MATCH' ELSE 'MATCH' END AS decision,
-  assessment_id * 10 + 1 + (pos - 1 + (assessment_id * 10 + pos) % 2) % n AS question_id,
-  cast(0.5 AS double) + cast((assessment_id * 10 + pos) % 50 AS double) / 100 AS model_confidence
-FROM {base} WHERE (assessment_id * 10 + pos) % 3 <> 0"""
+SELECT assessment_id, assessment_id * 1000003 + pos AS answer_id, CASE WHEN (assessment_id * 1000003 + pos) % 7 = 0 THEN 'NO_MATCH' ELSE 'MATCH' END AS decision,
+  assessment_id * 1000003 + 1 + (pos - 1 + (assessment_id * 1000003 + pos) % 2) % n AS question_id,
+  cast(0.5 AS double) + cast((assessment_id * 1000003 + pos) % 50 AS double) / 100 AS model_confidence
+FROM {base} WHERE (assessment_id * 1000003 + pos) % 3 <> 0"""
 
 RUBRICS = """
 SELECT assessment_id, question_id AS rubric_id, CASE l_partkey % 3 WHEN 0 THEN 'QUESTION ' || trim(label_raw) WHEN 1 THEN trim(label_raw) || ' ' ELSE label_raw END AS label_raw,
@@ -77,16 +79,23 @@ def frames(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
+_BASES: dict[tuple[str, str], DataFrame] = {}
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(BASE, **frames(spark, sf_dir, "lineitem", "part"))
+    """Written once for each session and input: all derived tables start from it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BASES:
+        _BASES[key] = stash(spark.sql(BASE, **frames(spark, sf_dir, "lineitem", "part")))
+    return _BASES[key]
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(QUESTIONS, base=base(spark, sf_dir))
+    return spark.sql(QUESTIONS, base=base(spark, sf_dir), **frames(spark, sf_dir, "embeddings"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ANSWERS, base=base(spark, sf_dir))
+    return spark.sql(ANSWERS, base=base(spark, sf_dir), **frames(spark, sf_dir, "embeddings"))
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +136,7 @@ SELECT assessment_id, answer_id, i, criterion_id, least(max_marks, cast(floor(ma
 
 PRIOR = """
 SELECT assessment_id, answer_id, CASE WHEN assessment_id % 5 = 0 THEN answer_id + 1 ELSE answer_id END AS question_id, CASE WHEN answer_id % 14 = 0 THEN 'FAILED' ELSE 'GRADED' END AS status,
-  cast(1 AS double) AS awarded, cast(2 AS double) AS maximum, answer_id % 8 <> 0 AS is_current FROM {answers} WHERE answer_id % 2 = 0"""
+  cast(1 AS double) AS awarded, cast(2 AS double) AS maximum, answer_id % 8 <> 0 AS is_current, cast('2024-01-01' AS date) + cast(answer_id % 300 AS int) AS graded_at FROM {answers} WHERE answer_id % 2 = 0"""
 
 #: One model response per reading, with numbers as strings now and then, and kinds that do not exist.
 RESPONSES = """

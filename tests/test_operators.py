@@ -24,7 +24,8 @@ def brute(w):
 
 
 def total(w):
-    got = mt.best_assignment(w)
+    options = [[(j, round(x * 1_000_000)) for j, x in enumerate(row) if x > 0] for row in w]
+    got = mt.best_assignment(options, w.shape[1])
     used = [j for j in got if j >= 0]
     assert len(used) == len(set(used))
     return sum(w[i, j] for i, j in enumerate(got) if j >= 0)
@@ -34,12 +35,23 @@ def test_best_assignment_equals_brute_force():
     for w, want in (([[0.9, 0.1], [0.2, 0.8]], 1.7), ([[0.92, 0.9], [0.91, 0.3]], 1.81), ([[0.4]], 0.4)):
         assert abs(total(np.array(w)) - want) < 1e-9
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        n, m = rng.integers(1, 5), rng.integers(1, 5)
-        w = np.round(rng.random((n, m)), 2) * (rng.random((n, m)) < 0.7)
+    for _ in range(300):
+        n, m = rng.integers(1, 6), rng.integers(1, 6)
+        w = np.round(rng.random((n, m)), int(rng.integers(1, 3))) * (rng.random((n, m)) < 0.7)
         assert abs(total(w) - brute(w)) < 1e-9
 
 
+def test_assignment_does_not_depend_on_how_an_assessment_is_split(spark):
+    rng = random.Random(3)
+    rows = [(b, b * 100 + a, b * 100 + q, rng.choice([0.4, 0.5, 0.75, 0.9])) for b in range(3) for a in range(30) for q in rng.sample(range(30), 2)]
+    rows += [rows[0], (1, None, 5, 0.9), (1, 5, None, 0.9), (1, 100, 101, None), (9, 1, 1, 0.2)]
+    edges = spark.createDataFrame(rows, "assessment_id long, answer_id long, question_id long, confidence double")
+    whole, split = sorted(mt.assign_one_to_one(edges).collect()), sorted(mt.assign_one_to_one(edges.repartition(7), whole_edges=5).collect())
+    assert whole == split and {r.assessment_id for r in whole} == {0, 1, 2}
+    safe, rest = mt.settle_safe_edges(edges.dropna().where("confidence >= 0.35").distinct())
+    assert set(safe.collect()) <= set(whole) and rest.count() > 0
+
+
 def test_assignment_of_many_blocks_beats_greedy(spark):
     rng = random.Random(2)
     rows = [(b, b * 10 + a, b * 10 + q, round(rng.random(), 3)) for b in range(60) for a in range(4) for q in rng.sample(range(4), 3)]
@@ -83,12 +95,21 @@ def test_groups_join_the_first_match_and_never_merge_later(spark):
     assert got == {10: 10, 20: 20, 30: 10, 40: 40}
 
 
-def test_review_actions_in_order():
-    seeds = [{"event_id": None, "answer_id": a, "target": q, "action": None, "questions": [11, 12, 13]} for a, q in ((1, 11), (2, 12))]
+def test_review_actions_in_order(spark):
+    reviews = spark.createDataFrame([(5, 1, 11), (5, 2, 12)], "assessment_id long, answer_id long, original_question_id long")
+    questions = spark.createDataFrame([(5, q) for q in (11, 12, 13)], "assessment_id long, question_id long")
     acts = [(1, 1, "SKIP", None), (2, 1, "SKIP", None), (3, 1, "REMAP", 12), (4, 1, "REMAP", 99), (5, 2, "REJECT", None), (6, 1, "REMAP", 12), (7, 1, "REMAP", 12), (8, 1, "ACCEPT", None), (9, 7, "ACCEPT", None), (10, 2, "REMAP", None)]
-    rows = seeds + [{"event_id": e, "answer_id": a, "action": x, "target": t, "questions": None} for e, a, x, t in acts]
-    got = [r["outcome"] for r in rv.fold_actions(5, rows)]
-    assert got == ["APPLIED", "REPEAT", "QUESTION_ALREADY_ASSIGNED", "UNKNOWN_QUESTION", "APPLIED", "APPLIED", "REPEAT", "CONFLICT_SETTLED", "NOT_FOUND", "CONFLICT_SETTLED"]
+    log = spark.createDataFrame([(5, a, e, x, t) for e, a, x, t in acts], "assessment_id long, answer_id long, event_id long, action string, target long").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    got = rv.apply_review_actions(reviews, questions, log).orderBy("step").collect()
+    assert [r.outcome for r in got] == ["APPLIED", "REPEAT", "QUESTION_ALREADY_ASSIGNED", "UNKNOWN_QUESTION", "APPLIED", "APPLIED", "REPEAT", "CONFLICT_SETTLED", "NOT_FOUND", "CONFLICT_SETTLED"]
+    states = {r.answer_id: (r.status, r.action, r.target) for r in rv.review_states(reviews, spark.createDataFrame(got, rv.OUTCOMES)).collect()}
+    assert states == {1: ("RESOLVED", "REMAP", 12), 2: ("RESOLVED", "REJECT", None)}
+
+
+def test_unreadable_readings_pass_through(spark):
+    readings = spark.createDataFrame([(1, 10, 0, "a"), (1, 20, 1, "a"), (1, 30, 1, " [unclear] "), (1, 40, 2, None)], "assessment_id long, reading_id long, chunk long, text string")
+    pairs = spark.createDataFrame([(1, 10, 20), (1, 10, 30), (1, 10, 40)], "assessment_id long, first long, second long")
+    assert {r.reading_id: r.group_id for r in mg.group_readings(readings, pairs).collect()} == {10: 10, 20: 10, 30: 30, 40: 40}
 
 
 def test_marks(spark):
@@ -108,6 +129,9 @@ def test_flatten_write_and_public(spark, tmp_path):
     assert ig.public_projection(spark.createDataFrame([(1, "s")], "k long, storage_key string")).columns == ["k"]
     (tmp_path / "up").mkdir()
     (tmp_path / "up" / "x.png").write_bytes(b"%PDF-1.7 body")
+    (tmp_path / "up" / "z.pdf").write_bytes(b"")
+    assert {(r.verdict, r.size) for r in ig.classify_uploads(ig.scan_uploads(spark, str(tmp_path / "up")).withColumn("mime", F.lit(None).cast("string"))).collect()} == {("ACCEPTED", 13), ("EMPTY", 0)}
+    (tmp_path / "up" / "z.pdf").unlink()
     up = ig.classify_uploads(ig.scan_uploads(spark, str(tmp_path / "up")).withColumn("mime", F.lit(None).cast("string"))).first()
     assert (up.verdict, up.format, up.claim_mismatch) == ("ACCEPTED", "PDF", True)
 
@@ -129,6 +153,8 @@ def test_hooks(spark):
     def mark(r):
         if r["answer_id"] == 2:
             raise RuntimeError("down")
-        return {"total": 1.0, "confidence": 0.5, "failure": None}
+        return {"criteria": [{"criterion_id": "c", "awarded": 1.0, "reason": "r"}], "total": 1.0, "confidence": 0.5, "feedback": "f", "failure": None}
 
-    assert {r.answer_id: r.failure for r in hooks.grade(requests, mark).collect()} == {1: None, 2: "down"}
+    graded = hooks.grade(requests, mark)
+    assert {r.answer_id: r.failure for r in graded.collect()} == {1: None, 2: "down"}
+    assert [(r.answer_id, r.criterion_id, r.awarded, r.reported_total) for r in hooks.recommendation_rows(graded).collect()] == [(1, "c", 1.0, 1.0)]

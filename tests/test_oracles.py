@@ -5,7 +5,7 @@ import os
 import pytest
 
 from quillmark.plans import queries as plans
-from quillmark.plans import reading_queries, review_queries  # noqa: F401  register more
+from quillmark.plans import reading_queries, review_queries, surface_queries  # noqa: F401  register more
 
 DATA = "/root/testdata/sf0.001"
 
