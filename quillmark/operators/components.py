@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(low.select("src", F.col("low").alias("dst"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(src, dst longs) -> (node, component): component is the smallest node reachable.
+def connected_components(edges: DataFrame, max_rounds: int = 100, stash: Callable[[DataFrame], DataFrame] = stash) -> DataFrame:
+    """(src, dst of one orderable type) -> (node, component): component is the smallest node reachable.
 
     Only nodes with an edge to another node appear; self loops, repeated edges and edges with a null end count
     for nothing; no edges give no rows. Every round writes its edges to the shared folder, so no lineage builds
-    up and nothing but a count and a checksum reaches the driver.
+    up and nothing but a count and a checksum reaches the driver. stash: what writes them.
     """
     state = stash(edges.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     mark = None
