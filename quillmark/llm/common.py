@@ -2,62 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache, wraps
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from ..sources.scratch import discard  # noqa: F401  used by the operators
+
 #: Paths of stashes made while a stage of a pipeline runs, by application.
 _SCRATCH: dict[str, list[str]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: spark.checkpoint.dir; where it is unset, one of our own, in local mode only (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = _own_dir(spark.sparkContext.applicationId)
-    return f"{root.rstrip('/')}/quillmark-{spark.sparkContext.applicationId}"
-
-
-@cache
-def _own_dir(app: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-shared-")
-
-
 def stash(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again.
-
-    The files survive lost executors, keep column pruning for later readers, and are replicated as the
-    shared store replicates them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if (made := _SCRATCH.get(spark.sparkContext.applicationId)) is not None:
-        made.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
+    """scratch.stash, noted for the stage of a pipeline that runs."""
+    out = scratch.stash(df)
+    if (made := _SCRATCH.get(df.sparkSession.sparkContext.applicationId)) is not None:
+        made.append(out._stash_path)
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a stash that nothing reads any more."""
-    if path := getattr(df, "_stash_path", None):
-        _delete(df.sparkSession, path)
-
-
 #: What stages that have returned left for the lazy readers of their results.
 _LEFT: dict[str, list[str]] = {}
 
@@ -65,7 +32,7 @@ _LEFT: dict[str, list[str]] = {}
 def sweep(spark: SparkSession) -> None:
     """Delete what earlier stages left: their results have been written by now."""
     for path in _LEFT.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+        scratch.delete(spark, path)
 
 
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:

@@ -14,26 +14,47 @@ from .common import alnum_words, slices, utf8
 
 # Phrases (as words) and their labels that count wherever the words stand consecutively.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Short notices (as words), their labels, and the edits allowed in them, counted in characters.
+#: Short notices (as words), their labels, and the edits allowed in them, counted in characters. Names of licenses and
+#: version numbers are marked with a star: they have to stand there as they are, as words of their own.
 NOTICES = (
-    ("released under the mit license", "mit", 3),
+    ("released under the *mit license", "mit", 3),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
-    ("licensed under the apache license version 2 0", "apache-2", 3),
-    ("gnu general public license version 3", "gpl-3", 3),
-    ("gnu general public license version 2", "gpl-2", 0),
-    ("gnu lesser general public license", "lgpl", 3),
-    ("gnu affero general public license", "agpl", 3),
+    ("licensed under the *apache license version *2 0", "apache-2", 3),
+    ("*gnu *general public license version *3", "gpl-3", 3),
+    ("*gnu *general public license version *2", "gpl-2", 3),
+    ("*gnu *lesser general public license", "lgpl", 3),
+    ("*gnu *affero general public license", "agpl", 3),
     ("redistribution and use in source and binary forms", "bsd", 4),
-    ("mozilla public license version 2 0", "mpl-2", 3),
-    ("eclipse public license", "epl", 2),
-    ("creative commons attribution noncommercial", "cc-by-nc", 3),
-    ("creative commons attribution sharealike", "cc-by-sa", 3),
-    ("licensed under cc by nc 4 0", "cc-by-nc", 2),
+    ("*mozilla public license version *2 0", "mpl-2", 3),
+    ("*eclipse public license", "epl", 2),
+    ("creative commons attribution *noncommercial", "cc-by-nc", 3),
+    ("creative commons attribution *sharealike", "cc-by-sa", 3),
+    ("licensed under *cc *by *nc *4 *0", "cc-by-nc", 2),
+    ("licensed under *cc *by *sa *4 *0", "cc-by-sa", 2),
     ("this is free and unencumbered software released into the public domain", "unlicense", 5),
-    ("all rights reserved", "all-rights-reserved", 1),
+    ("*all *rights reserved", "all-rights-reserved", 1),
 )
 
 
+def parts_of(notice: str) -> list[tuple[str, bool]]:
+    """(text, may be edited) of a notice from its first to its last character. Spaces next to a starred word belong to
+    it, so that an edit cannot make it a part of another word."""
+    out: list[tuple[str, bool]] = []
+    for n, w in enumerate(notice.split()):
+        fixed = w.startswith("*")
+        w = w.removeprefix("*")
+        if n and out[-1][1] == (not fixed):
+            out[-1] = (f"{out[-1][0]} {w}", not fixed)
+        elif not n:
+            out.append((w, not fixed))
+        elif fixed:
+            out.append((f" {w}", False))
+        else:
+            out[-1] = (f"{out[-1][0]} ", False)
+            out.append((w, True))
+    return out
+
+
 def seeds(phrase: str, edits: int) -> list[tuple[str, int]]:
     """The phrase in edits + 1 pieces: an occurrence with that many edits holds one of them unchanged."""
     cuts = [round(i * len(phrase) / (edits + 1)) for i in range(edits + 2)]
@@ -42,10 +63,12 @@ def seeds(phrase: str, edits: int) -> list[tuple[str, int]]:
 
 class Scanner:
     def __init__(self, base=BASE, notices=NOTICES):
-        self.base, self.notices = [(f" {p} ", label) for p, label in base], notices
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(p)}){{e<={k}}}") for p, _, k in notices]
+        self.base = [(f" {p} ", label) for p, label in base]
+        self.notices = [(p.replace("*", ""), label, k) for p, label, k in notices]
+        loose = lambda text, k: f"(?:{regex.escape(text)}){{e<={k}}}"
+        self.patterns = [regex.compile("(?b)(?<= )" + "".join(loose(text, k) if free else regex.escape(text) for text, free in parts_of(p)) + "(?= )") for p, _, k in notices]
         by: dict[str, list[tuple[int, int]]] = {}
-        for n, (p, _, k) in enumerate(notices):
+        for n, (p, _, k) in enumerate(self.notices):
             for piece, at in seeds(p, k):
                 by.setdefault(piece, []).append((n, at))
         self.machine = ahocorasick.Automaton()
@@ -55,34 +78,47 @@ class Scanner:
 
     def exact(self, text: str) -> list[tuple[int, str]]:
         """(word, label) of each place where a base phrase's words stand; text is padded with a space on each side."""
-        found = []
+        places = []
         for phrase, label in self.base:
             at = text.find(phrase)
             while at >= 0:
-                found.append((text.count(" ", 0, at + 1) - 1, label))
+                places.append((at, label))
                 at = text.find(phrase, at + 1)
-        return sorted(found)
+        found, word, before = [], 0, 0
+        for at, label in sorted(places):  # spaces are counted once over the text
+            word += text.count(" ", before, at)
+            before = at
+            found.append((word, label))
+        return found
 
     def fuzzy(self, text: str) -> list[dict]:
-        """Verified notices: label, first and last character, words, edits. Windows around seeds that overlap are one."""
+        """Verified notices in order: label, first and last character and word of the padded text without its first
+        space, edits, score. Windows around seeds that overlap are one."""
         windows: dict[int, list[list[int]]] = {}
         for end, (length, where) in self.machine.iter(text):
             for n, at in where:
                 phrase, _, k = self.notices[n]
-                low = end - length + 1 - at - k
+                low = end - length - at - k
                 spans = windows.setdefault(n, [])
-                high = low + len(phrase) + 2 * k
+                high = low + len(phrase) + 2 * k + 2
                 if spans and low <= spans[-1][1] and low >= spans[-1][0]:
                     spans[-1][1] = max(spans[-1][1], high)
                 else:
                     spans.append([max(0, low), high])
         found = []
         for n, spans in windows.items():
-            phrase, label, _ = self.notices[n]
+            phrase, label, most = self.notices[n]
             for low, high in merged(spans):
                 for m in self.patterns[n].finditer(text, low, min(high, len(text))):
-                    first, last = (text.count(" ", 0, i) - 1 for i in (m.start() + 1, m.end()))
-                    found.append({"label": label, "first": m.start(), "last": m.end(), "first_word": max(0, first), "last_word": last, "edits": sum(m.fuzzy_counts), "score": 1 - sum(m.fuzzy_counts) / len(phrase)})
+                    if (edits := sum(m.fuzzy_counts)) <= most:
+                        found.append({"first": m.start() - 1, "last": m.end() - 2, "label": label, "edits": edits, "score": 1 - edits / len(phrase)})
+        found.sort(key=lambda x: (x["first"], x["last"], x["label"]))
+        word = before = 0
+        for x in found:
+            word += text.count(" ", before, x["first"] + 1)
+            before = x["first"] + 1
+            x["first_word"] = word - 1
+            x["last_word"] = word - 1 + text.count(" ", before, x["last"] + 1)
         return found
 
 
