@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-A hash rolled over each two consecutive lines decides whether a chunk ends there, so boundaries depend on nearby lines
-only and an inserted line moves no boundary further on. Chunks of several lines, and single lines of many words, that
-occur in several places are removed everywhere but at the first place, after their bytes have been compared with it.
+A hash rolled over each two consecutive lines decides whether a chunk ends there, and a line of some words is a chunk of
+its own, so boundaries depend on nearby lines only and an inserted line moves no boundary further on. Passages that occur in several places are removed everywhere
+but at the first place, after their bytes have been compared with it. A passage is a chunk of several lines, two
+neighbouring chunks of some words in all (so that short chunks in a row are found as well), or a line of many words.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import slices, stash
+from .common import discard, slices, stash
 
-#: A line ends a chunk once in so many times; the modulus of the rolled hash; words that make a lone line a passage.
-EVERY, MODULUS, LONG_LINE = 2, 1_000_003, 50
+#: A line ends a chunk once in so many times; the modulus of the rolled hash; words that make a line a chunk of its own.
+EVERY, MODULUS, OWN_LINE = 2, 1_000_003, 12
+#: Words that make a lone line, and two neighbouring chunks, a passage.
+LONG_LINE, PAIR_WORDS = 50, 20
 
 
 def line_hash(line: bytes) -> int:
@@ -31,7 +34,11 @@ def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
     out, start, before = [], 0, 0
     for i, line in enumerate(lines):
         h = line_hash(line)
-        if (31 * before + h) % MODULUS % EVERY == 0:
+        own = len(line) >= 2 * OWN_LINE - 1 and len(line.split()) >= OWN_LINE
+        if own and start < i:
+            out.append((start, i))
+            start = i
+        if own or (31 * before + h) % MODULUS % EVERY == 0:
             out.append((start, i + 1))
             start = i + 1
         before = h
@@ -40,28 +47,33 @@ def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def passages(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """(number, bytes) of the chunks that count as passages: two lines or more, or one of LONG_LINE words or more."""
+def passages(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(number of the first chunk, chunks, bytes) of passages: chunks of two lines or more that are not blank, or of one
+    line of LONG_LINE words or more, and pairs of neighbouring chunks of PAIR_WORDS words or more."""
     lines = text.split(b"\n")
-    for n, (a, b) in enumerate(chunk_bounds(lines)):
-        body = b"\n".join(lines[a:b])
-        if b - a > 1 or len(body) >= 2 * LONG_LINE - 1 and len(body.split()) >= LONG_LINE:
-            yield n, body
+    bounds = chunk_bounds(lines)
+    words = [sum(len(x.split()) for x in lines[a:b]) for a, b in bounds]
+    for n, (a, b) in enumerate(bounds):
+        if words[n] and (b - a > 1 or words[n] >= LONG_LINE):
+            yield n, 1, b"\n".join(lines[a:b])
+        if n + 1 < len(bounds) and words[n] + words[n + 1] >= PAIR_WORDS:
+            yield n, 2, b"\n".join(lines[a : bounds[n + 1][1]])
 
 
 def _keys(docs: DataFrame, id_type: str) -> DataFrame:
+    names = ["id", "text_key", "pos", "n", "key"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, whole, pos, keys = [], [], [], []
+            rows: list[list] = [[] for _ in names]
             for i, w, t in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                for n, body in passages(t) if t else ():
-                    ids.append(i)
-                    whole.append(w)
-                    pos.append(n)
-                    keys.append(md5(body).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(whole, pa.binary()), pa.array(pos, pa.int32()), pa.array(keys, pa.binary())], names=["id", "text_key", "pos", "key"])
+                for pos, n, body in passages(t) if t else ():
+                    for column, v in zip(rows, (i, w, pos, n, md5(body).digest()), strict=True):
+                        column.append(v)
+            types = (batch.schema.field("id").type, pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
 
-    return docs.mapInArrow(run, f"id {id_type}, text_key binary, pos int, key binary")
+    return docs.mapInArrow(run, f"id {id_type}, text_key binary, pos int, n int, key binary")
 
 
 def _text_key(text: Column) -> Column:
@@ -70,43 +82,48 @@ def _text_key(text: Column) -> Column:
 
 
 def _bodies(marked: DataFrame, id_type: str) -> DataFrame:
-    """(id, text_key, pos, key, first, body) of the marked chunks."""
+    """(id, text_key, pos, n, key, first, body) of the marked passages."""
+    names = ["id", "text_key", "pos", "n", "key", "first", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[] for _ in names]
             for i, w, t, marks in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                want = {m["pos"]: m for m in marks}
-                for n, body in passages(t or b""):
-                    if n in want:
-                        for column, v in zip(rows, (i, w, n, want[n]["key"], want[n]["first"], body), strict=True):
+                want = {(m["pos"], m["n"]): m for m in marks}
+                for pos, n, body in passages(t or b""):
+                    if m := want.get((pos, n)):
+                        for column, v in zip(rows, (i, w, pos, n, m["key"], m["first"], body), strict=True):
                             column.append(v)
-            types = (batch.schema.field("id").type, pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["id", "text_key", "pos", "key", "first", "body"])
+            types = (batch.schema.field("id").type, pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
 
-    return marked.mapInArrow(run, f"id {id_type}, text_key binary, pos int, key binary, first boolean, body binary")
+    return marked.mapInArrow(run, f"id {id_type}, text_key binary, pos int, n int, key binary, first boolean, body binary")
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, pos): chunks whose bytes also stand at an earlier place, by id and then number of chunk."""
+    """(id, text_key, pos): chunks of passages whose bytes also stand at an earlier place, by id, MD5 of the text and
+    number of chunk."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _text_key(F.col(text_col).cast("string")).alias("text_key"))
     id_type = rows.schema["id"].dataType.simpleString()
     keys = stash(_keys(rows, id_type))
-    places = keys.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("low"), F.max(F.struct("id", "pos")).alias("high")).where("low < high").select("key", "low")
-    marks = keys.distinct().join(places, "key").select("id", "text_key", "pos", "key", (F.struct("id", "pos") == F.col("low")).alias("first"))
-    by_doc = marks.groupBy("id", "text_key").agg(F.collect_list(F.struct("pos", "key", "first")).alias("marks"))
+    place = F.struct("id", "text_key", "pos", "n")
+    places = keys.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("key", "low")
+    marks = keys.distinct().join(places, "key").select("id", "text_key", "pos", "n", "key", (place == F.col("low")).alias("first"))
+    by_doc = marks.groupBy("id", "text_key").agg(F.collect_list(F.struct("pos", "n", "key", "first")).alias("marks"))
     marked = rows.join(by_doc.toDF("marked", "marked_key", "marks"), F.col("id").eqNullSafe(F.col("marked")) & (F.col("text_key") == F.col("marked_key"))).select("id", "text_key", "text", "marks")
     bodies = stash(_bodies(marked, id_type))
+    discard(keys)
     firsts = bodies.where("first").select("key", F.col("body").alias("kept")).dropDuplicates(["key"])
-    return bodies.where("not first").join(firsts, "key").where("body = kept").select("id", "text_key", "pos").distinct()
+    again = bodies.where("not first").join(firsts, "key").where("body = kept")
+    return again.select("id", "text_key", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos")).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text column cleaned, and n_lines and n_removed added (existing columns of these names go).
 
-    The first place is that of the smallest id (nulls before all), then the earliest chunk. Rows that repeat an id
-    with the same text are one document and get the same result; with different texts each loses only its own chunks,
-    and equal chunks of the same id and number share a place, as in the SQL. A null text stays null, with no lines; an empty
+    The first place is that of the smallest id (nulls before all), then MD5 of the text, then the earliest chunk. Rows
+    that repeat an id with the same text are one document and get the same result; rows with different texts are
+    documents of their own. A null text stays null, with no lines; an empty
     text is one empty line. Text left without any chunk is empty. An empty table gives an empty one.
     """
     gone = repeated_chunks(docs, id_col, text_col).groupBy("id", "text_key").agg(F.collect_list("pos").alias("__gone")).toDF("__id", "__key", "__gone")
@@ -137,15 +154,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def oracle_sql() -> str:
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),
-l AS (SELECT rn, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
-h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-b AS (SELECT *, (31 * lag(h, 1, 0) OVER (PARTITION BY rn ORDER BY i) + h) % {MODULUS} % {EVERY} = 0 AS cut FROM h),
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, md5(text) AS text_key, text FROM documents),
+l AS (SELECT rn, doc_id, text_key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {OWN_LINE} AS own FROM l),
+b AS (SELECT *, (31 * lag(h, 1, 0) OVER (PARTITION BY rn ORDER BY i) + h) % {MODULUS} % {EVERY} = 0 OR own OR lead(own, 1, false) OVER (PARTITION BY rn ORDER BY i) AS cut FROM h),
 c AS (SELECT *, coalesce(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY rn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM b),
-k AS (SELECT rn, doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM c GROUP BY rn, doc_id, pos),
-p AS (SELECT * FROM k WHERE n > 1 OR len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) >= {LONG_LINE}),
-f AS (SELECT body, min(row(doc_id, pos)) AS low FROM p GROUP BY body),
-g AS (SELECT rn, pos FROM p JOIN f USING (body) WHERE row(doc_id, pos) > low),
+k AS (SELECT rn, doc_id, text_key, pos, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM c GROUP BY rn, doc_id, text_key, pos),
+w AS (SELECT *, len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) AS words FROM k),
+n2 AS (SELECT *, lead(body) OVER q AS next_body, lead(words) OVER q AS next_words FROM w WINDOW q AS (PARTITION BY rn ORDER BY pos)),
+p AS (SELECT rn, doc_id, text_key, pos, 1 AS m, body FROM w WHERE words > 0 AND (n > 1 OR words >= {LONG_LINE})
+  UNION ALL SELECT rn, doc_id, text_key, pos, 2, body || chr(10) || next_body FROM n2 WHERE words + next_words >= {PAIR_WORDS}),
+f AS (SELECT body, min(row(doc_id, text_key, pos, m)) AS low FROM p GROUP BY body),
+g AS (SELECT DISTINCT rn, unnest(range(CAST(pos AS BIGINT), CAST(pos + m AS BIGINT))) AS pos FROM p JOIN f USING (body) WHERE row(doc_id, text_key, pos, m) > low),
 o AS (SELECT c.rn, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.pos IS NULL), '') AS text
   FROM c LEFT JOIN g ON c.rn = g.rn AND c.pos = g.pos GROUP BY c.rn)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, sha256(coalesce(o.text, '')) AS text_sha256

@@ -1,4 +1,5 @@
 import random
+from hashlib import md5
 
 from pyspark.sql import functions as F
 
@@ -6,11 +7,9 @@ from quillmark.llm import lines
 
 
 def brute(rows):
-    """Kept texts by id; rows of one id are one document."""
-    found = []
-    for i, t in rows:
-        for n, body in lines.passages(t.encode()) if t is not None else ():
-            found.append(((i is not None, i or 0, n), body))
+    """Kept texts by id; rows of one id and text are one document."""
+    own = lambda i, t: (i is not None, i or 0, md5(t.encode()).hexdigest())
+    found = [((*own(i, t), pos, n), body) for i, t in rows if t is not None for pos, n, body in lines.passages(t.encode())]
     first = {}
     for place, body in sorted(found):
         first.setdefault(body, place)
@@ -19,13 +18,9 @@ def brute(rows):
         if t is None:
             out.append((i, None, 0, 0))
             continue
+        gone = {pos + k for pos, n, body in lines.passages(t.encode()) if first[body] != (*own(i, t), pos, n) for k in range(n)}
         ls = t.encode().split(b"\n")
-        kept = []
-        for n, (a, b) in enumerate(lines.chunk_bounds(ls)):
-            body = b"\n".join(ls[a:b])
-            passage = b - a > 1 or len(body.split()) >= lines.LONG_LINE
-            if not passage or first[body] == (i is not None, i or 0, n):
-                kept += ls[a:b]
+        kept = [x for c, (a, b) in enumerate(lines.chunk_bounds(ls)) if c not in gone for x in ls[a:b]]
         out.append((i, b"\n".join(kept).decode(), len(ls), len(ls) - len(kept)))
     return sorted(out, key=str)
 
@@ -70,3 +65,30 @@ def test_rows_that_share_an_id_lose_only_their_own_chunks(spark):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str) == brute(rows)
     lost = [r.text for r in got if "own line" in r.text and r.n_removed]
     assert not lost and any(r.n_removed for r in got if r.doc_id in (7, 8))
+
+
+def test_blank_lines_are_no_passage_and_rows_of_one_id_are_documents(spark):
+    shared = "\n".join(f"the shared passage line {k} has words" for k in range(12))
+    rows = [(1, "\n\n\n\nhello"), (2, "\n\n\n\nworld\n\n\n\n"), (3, shared), (3, f"{shared}\nend"), (4, "x")]
+    got = {r.text: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got["\n\n\n\nhello"] == 0 and got["\n\n\n\nworld\n\n\n\n"] == 0
+    assert sum(len(t.split("\n")) for t in got) < sum(len(t.split("\n")) for _, t in rows) - 6  # one of the two rows of id 3 lost it
+
+
+def test_share_of_short_passages_that_is_removed(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, words, kind = [], {}, {}
+    shapes = [(2, 30), (3, 20), (4, 15), (5, 12), (8, 7), (12, 5)]  # lines, words of each
+    for g in range(150):
+        size, n = kind[g] = shapes[g % 6]
+        passage = "\n".join(line(n) for _ in range(size))
+        rows += [(2 * g + k, f"{line(8)}\n{line(9)}\n{passage}\n{line(8)}") for k in range(2)]
+        words[g] = len(passage.split())
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * g] == rows[2 * g][1] for g in words)
+    for shape, least in zip(shapes, (1, 1, 1, 1, 0.5, 0.5), strict=True):
+        some = [g for g in words if kind[g] == shape]
+        share = sum(len(rows[2 * g + 1][1].split()) - len(got[2 * g + 1].split()) for g in some) / sum(words[g] for g in some)
+        print("lines and words of a line", shape, "share of words removed", round(share, 2))
+        assert share >= least
