@@ -1,8 +1,9 @@
 """Main text of HTML pages by two passes over blocks.
 
-Pass one labels each block on its own: structure (menus, footers, adverts, ... or the article element), share of
-link text, length and share of stop words. Pass two gives ambiguous blocks the label of their nearest decided
-neighbours.
+Pass one labels each block on its own by length, share of link text and share of stop words; elements that say what
+they are (menus, footers, an article) shift the limits or decide. Pass two gives ambiguous blocks the label of their
+nearest decided neighbours. Class names count only as whole names or as compounds of such words (ad, related-posts), not
+where one of them stands among others (related-work), and only on block elements.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social related recommended teaser comment comments commentlist reply replies respond disqus discussion footer masthead toolbar widget widgets login signup register pagination pager skip".split()
 )
 NAMES_OF_HEADERS = frozenset("header topbar".split())
+#: Words that go with those above in the name of a class, and say nothing alone.
+NAME_PARTS = frozenset("area articles bar block box btn button buttons container content footer form group holder inner item items lightbox links list main message node outer panel posts row section site slot stories thread top unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names that make even an article element no part of the text.
+ARTICLE_NAMES = frozenset("comment comments reply ad advert teaser".split())
 #: A start tag closes an open element of these kinds at the top.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Characters of a short and of a long block; shares of link text and of stop words.
@@ -53,16 +59,23 @@ class Block:
         self.parts, self.links, self.bad, self.inside, self.heading = [], 0, bad, inside, heading
 
 
+def says(name: str, known: frozenset[str]) -> bool:
+    """Whether a class name is one of the known words, or a compound of one with others that fit."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p and not p.isdigit()]
+    return any(p in known for p in parts) and all(p in known or p in BAD_NAMES or p in NAME_PARTS for p in parts)
+
+
 def marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """(no part of the text, start of the main text) as an element's name and attributes say."""
     bad, good = tag in BAD_TAGS or tag == "header" and not inside, tag in ("article", "main")
     if attributes.strip():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-        names = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
         role = found.get("role", "").lower()
         if tag not in ("html", "body", "main"):
-            bad |= bool(names & (BAD_NAMES if tag != "article" else {"comment", "comments", "reply", "ad", "advert", "teaser"})) or role in BAD_ROLES
-            bad |= not inside and bool(names & NAMES_OF_HEADERS)
+            if tag in BLOCK_TAGS and tag not in HEADINGS:
+                known = BAD_NAMES if tag != "article" else ARTICLE_NAMES
+                bad |= any(says(n, known) or not inside and says(n, NAMES_OF_HEADERS) for n in names) or role in BAD_ROLES
             bad |= "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         good |= role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
     return bad, good
@@ -73,6 +86,7 @@ def blocks_of(html: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # element, in a bad one, in the main text
     out: list[Block] = []
     current: Block | None = None
+    before_hidden: Block | None = None
     at = in_link = 0
 
     def write(raw: str) -> None:
@@ -101,7 +115,10 @@ def blocks_of(html: str) -> list[Block]:
             elif tag in BLOCK_TAGS or any(x[0] == tag for x in stack):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
+                        hidden = stack[k][1] and not (k and stack[k - 1][1])
                         del stack[k:]
+                        if hidden and tag not in BLOCK_TAGS:
+                            current = before_hidden  # the text around goes on
                         break
                 if tag in BLOCK_TAGS:
                     current, in_link = None, 0
@@ -126,7 +143,7 @@ def blocks_of(html: str) -> list[Block]:
             bad, good = marks(tag, m[3], below[2])
             if tag in BLOCK_TAGS or bad or good:
                 if bad and not below[1] and tag not in BLOCK_TAGS:
-                    current = None
+                    before_hidden, current = current, None
                 stack.append((tag, below[1] or bad, below[2] or good))
     write(html[at:])
     kept = []
@@ -147,7 +164,7 @@ def first_label(b: Block, has_main: bool) -> str:
     n, links = len(b.text), b.links / max(1, len(b.text))
     if b.bad:
         return "bad"
-    if has_main:
+    if has_main:  # inside the article only a block that is nearly all links is in doubt, outside nothing is
         return "bad" if not b.inside else "short" if links > 0.9 else "good"
     if links > LINKS or b.text.startswith(("©", "(c) ", "Copyright ")):
         return "bad"

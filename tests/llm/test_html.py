@@ -1,7 +1,12 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm import html
 
+DATA = "/root/testdata/sf0.001"
+
 LONG = "It was the best of times and it was the worst of times, for all of us who were there in the city and by the sea. " * 3
 PAGE = f"""<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style></head><body>
 <!-- <p>not this</p> --><header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu one</a></li></ul></nav>
@@ -32,6 +37,28 @@ def test_broken_pages():
     assert html.main_text("<" * 20000) == "<" * 20000
 
 
+def test_names_that_only_hold_a_known_word_and_inline_elements_stay():
+    page = f'<article><p>Text with <span class="share">42 percent</span> of it.</p><div class="related-work">Related work is here.</div><p class="notice-of-award">The award.</p><div class="related-posts">Other posts</div><div class="ad-slot-2">Buy</div><p>Seen <span hidden>not</span> here.</p><h2 class="banner">Head</h2><p>{LONG}</p></article>'
+    assert html.main_text(page) == "\n\n".join(["Text with 42 percent of it.", "Related work is here.", "The award.", "Seen here.", "Head", LONG.strip()])
+
+
+def test_pages_without_article_give_the_same_text(spark):
+    """Labelled comparison: the article element is the label, and pages are read again with divs in its place."""
+    if not os.path.isdir(DATA):
+        pytest.skip("no test data")
+    from collections import Counter
+
+    same = missed = extra = 0
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").where("html is not null").collect():
+        want = Counter(html.main_text(r.html).split())
+        got = Counter(html.main_text(r.html.replace("<article", "<div").replace("</article", "</div")).split())
+        same += (want & got).total()
+        missed += (want - got).total()
+        extra += (got - want).total()
+    print("recall", same / (same + missed), "precision", same / (same + extra))
+    assert same / (same + missed) >= 0.95 and same / (same + extra) >= 0.95
+
+
 def test_table(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (1, "u", PAGE), (None, "w", "<p>x</p>"), (4, "l", f"<article>{'<p>word</p>' * 20000}</article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(3))
