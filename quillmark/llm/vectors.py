@@ -195,7 +195,7 @@ def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _build(table: pa.Table) -> pa.Table:
-    table = table.sort_by("node")
+    table = table.sort_by("vector")  # an order that does not depend on how classes are numbered
     node, x = _read(table)
     graph = robust_graph(x)
     return pa.table({"node": pa.array(node), "near": pa.array([node[g[g >= 0]].tolist() for g in graph], pa.list_(pa.int64()))})
@@ -236,7 +236,7 @@ def _search(threshold: float, beam: int):
 def _found(classes: DataFrame, n: int, threshold: float, overlap: int, beam: int, shard_rows: int, block_rows: int) -> DataFrame:
     """(node, links, hub) by class: other vectors linked (size by size), and links that connect what is connected."""
     share = min(1.0, SAMPLE / max(1, n))
-    sample = [np.frombuffer(r.vector) for r in classes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < share * 1_000_000).select("vector").toLocalIterator()]
+    sample = [np.frombuffer(r.vector) for r in classes.where(F.pmod(F.xxhash64("vector"), F.lit(1_000_000)) < share * 1_000_000).select("vector").toLocalIterator()]
     if not sample:
         sample = [np.frombuffer(r.vector) for r in classes.select("vector").limit(1).collect()]
     centres = centres_of(np.array(sample), min(CENTRES, -(-n // shard_rows)))
@@ -244,7 +244,7 @@ def _found(classes: DataFrame, n: int, threshold: float, overlap: int, beam: int
     placed = sharded.select("*", F.explode("shards").alias("shard"))
     blocks = placed.groupBy("shard").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     placed = placed.join(F.broadcast(blocks), "shard")  # a row for each of CENTRES centres at most
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "block").alias("first"), F.greatest(b, "block").alias("second")))
     tasks = placed.withColumn("pair", F.explode(both)).select("node", "size", "vector", "shards", "shard", "block", "pair.first", "pair.second")
     lists = tasks.select("node", "vector", "shard", "first", "second").groupBy("shard", "first", "second").applyInArrow(_build, "node long, near array<long>")
@@ -256,7 +256,7 @@ def _found(classes: DataFrame, n: int, threshold: float, overlap: int, beam: int
 def audit_recall(classes: DataFrame, found: DataFrame, n: int, threshold: float, audited: int = AUDITED) -> float:
     """Share of the links of about so many classes, chosen by hash, that the search found; brute force has them all."""
     share = audited / max(1, n)
-    asked = classes.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).select("node", "vector").collect()
+    asked = classes.where(F.pmod(F.xxhash64("vector", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).select("node", "vector").collect()
     if not asked:
         return 1.0
     held = classes.sparkSession.sparkContext.broadcast((np.array([r.node for r in asked]), np.array([np.frombuffer(r.vector) for r in asked])))
@@ -280,8 +280,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     n_links: other vectors at a cosine of threshold or more; component_id: the smallest id reachable by links.
     Vectors that are null, empty, zero, of another width than most, or have null or non-finite parts, link with
     nothing; so do rows whose id is null. Equal rows are linked with each other. An empty table gives none; columns
-    besides the two are not read. If the audit on a sample finds less than recall, shards overlap more and the beam is
-    wider in a second and third try; the best is kept.
+    besides the two are not read. Rows that share an id are vectors of their own. If the audit on a sample finds less
+    than recall, shards overlap more and the beam is wider in a second and third try; less after those is an error.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     keyed = stash(_classes(rows))
@@ -290,7 +290,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if common is None:
         return keyed.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     usable = usable.where(F.octet_length("vector") == common.w)
-    classes = stash(usable.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("vector").alias("vector")))
+    # numbered by what is written once: an id may stand for several vectors, so it cannot name a class
+    classes = stash(usable.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("size"), F.first("vector").alias("vector")).withColumn("node", F.monotonically_increasing_id()))
     n = classes.count()
     best, best_recall = None, -1.0
     for more in (1, 2, 4):
@@ -302,10 +303,14 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             break
         if found is not best:
             discard(found)
+    else:
+        raise RuntimeError(f"the search found {best_recall:.3f} of the links of the audited vectors, {recall} are asked for")
     links = best.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(best.select(F.col("node").alias("src"), F.col("hub").alias("dst")))
     labelled = classes.join(links, "node", "left").join(groups, "node", "left")
-    labelled = labelled.select(F.col("key").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "node").alias("c"))
+    labelled = labelled.select(F.col("key").alias("of"), "low", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "node").alias("group"))
+    lowest = labelled.groupBy("group").agg(F.min("low").alias("c"))
+    labelled = labelled.join(lowest, "group").select("of", "n", "c")
     out = keyed.select("id", F.when(F.col("id").isNotNull() & (F.octet_length("vector") == common.w), F.col("key")).alias("key")).join(labelled, F.col("key") == F.col("of"), "left")
     component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm import vectors as vs
@@ -25,7 +26,7 @@ def made(seed=1):
     rows += [rows[3]] * 40 + rng.normal(size=(60, 8)).tolist()
     rows += [None, [0.0] * 8, [float("nan")] + [1.0] * 7, [None] + [1.0] * 7, [float("inf")] * 8, [], [1.0, 2.0], [2 * x for x in rows[5]]]
     order = rng.permutation(len(rows))
-    return [(int(k), rows[i]) for k, i in enumerate(order)] + [(None, rows[0]), (3, rows[order[3]])]
+    return [(int(k), rows[i]) for k, i in enumerate(order)] + [(None, rows[0]), (3, rows[order[3]]), (4, rows[order[5]]), (4, rows[order[9]]), (2, rows[order[9]])]
 
 
 def test_equals_brute_force_over_shards_and_blocks(spark):
@@ -56,3 +57,9 @@ def test_search_finds_all_of_a_dense_group():
     exact = x @ x.T >= 0.95
     np.fill_diagonal(exact, False)
     assert (found <= exact).all() and found.sum() >= 0.99 * exact.sum()
+
+
+def test_too_low_a_recall_is_an_error(spark):
+    df = spark.createDataFrame(made(), "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError):
+        vs.near_vectors(df, recall=1.01)
