@@ -66,3 +66,23 @@ def test_long_text_and_hot_passage(spark):
     docs = spark.createDataFrame([(i, passage) for i in range(300)] + [(999, "the " * 50000 + passage)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, passage + " tail")], "item_id long, text string")
     assert {(r.id, r.n_hit) for r in d.benchmark_hits(docs, bench).collect()} == {(i, 30) for i in [*range(300), 999]}
+
+
+def test_proximity_equals_brute_force_however_documents_are_dealt(spark):
+    docs, items = made(3)
+    windows = {}
+    for item, body in items:
+        w = alnum_words((body or "").encode())
+        n = min(3, len(w))
+        for s in range(len(w) - n + 1 if n and item is not None else 0):
+            windows.setdefault(tuple(w[s : s + n]), set()).add(str(item))
+    want = []
+    for i, text in docs:
+        words = alnum_words((text or "").encode())
+        near = lambda p, w: all(x in words[max(0, p - 4) : p + 5] for x in w[1:])  # noqa: E731, B023
+        hits = [(p, w) for p, x in enumerate(words) for w in windows if x == w[0] and near(p, w)]
+        want.append((i, len({p for p, _ in hits}), sorted({k for _, w in hits for k in windows[w]})))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for more, parts in (({}, 1), ({}, 5), ({"vocabulary_bytes": 10}, 3)):
+        got = d.benchmark_hits(df.repartition(parts), bench, size=3, slop=4, **more).collect()
+        assert sorted(((r.id, r.n_hit, list(r["items"])) for r in got), key=str) == sorted(want, key=str)
