@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .bpe import default_vocabulary, read_ranks
-from .common import fold
+from .common import fold, slices
 
-#: About so many labelled documents of each language are fitted, and so many of their most frequent words.
-SAMPLE_DOCS, SAMPLE_WORDS = 1500, 20_000
-#: Bytes of the longest piece; rounds of expectation-maximisation; count added to every piece.
+#: About so many labelled documents of each language are fitted, with all their words.
+SAMPLE_DOCS = 1500
+#: Bytes of pieces that are looked up for whole batches (longer ones are looked up where they can begin); rounds of
+#: expectation-maximisation; count added to every piece.
 PIECE_BYTES, ROUNDS, ADDED = 8, 3, 0.02
-#: Frequent words whose scores every task holds; further words a task remembers; longer words are scored alone.
-HELD_WORDS, MEMO_SIZE, MEMO_BYTES = 60_000, 150_000, 40
+#: Frequent words whose scores every task holds; further words a task remembers; bytes from which on a word is cut.
+HELD_WORDS, MEMO_SIZE, WORD_BYTES = 60_000, 150_000, 36
 #: A document is rejected below this posterior.
 MIN_SCORE = 0.5
 
@@ -36,12 +37,28 @@ SEPARATE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
-    """Lower-case runs of letters and non-ASCII characters, each after a space, as UTF-8."""
-    return [b" " + w for w in text.lower().encode().translate(SEPARATE).split()]
+    """Lower-case runs of letters and non-ASCII characters, each after a space, as UTF-8. Runs of over WORD_BYTES bytes
+    (scripts without spaces) are cut between characters; only the first part has the space."""
+    words = [b" " + w for w in text.lower().encode().translate(SEPARATE).split()]
+    if words and max(map(len, words)) > WORD_BYTES:
+        words = [part for w in words for part in cut_word(w)]
+    return words
+
+
+def cut_word(word: bytes) -> list[bytes]:
+    out = []
+    while len(word) > WORD_BYTES:
+        at = WORD_BYTES
+        while at > 1 and word[at] & 0xC0 == 0x80:
+            at -= 1
+        out.append(word[:at])
+        word = word[at:]
+    return [*out, word]
 
 
 class Pieces(dict):
-    """Numbers of pieces; by length also their bytes as sorted integers, for whole batches of words."""
+    """Numbers of pieces; those of up to PIECE_BYTES by length as sorted integers, for whole batches of words, longer ones
+    by their first PIECE_BYTES bytes."""
 
     def __init__(self, numbers: dict[bytes, int]):
         super().__init__(numbers)
@@ -49,47 +66,74 @@ class Pieces(dict):
         for n in range(1, PIECE_BYTES + 1):
             some = sorted((int.from_bytes(p, "big"), i) for p, i in numbers.items() if len(p) == n)
             self.tables.append((np.array([k for k, _ in some], dtype=np.uint64), np.array([i for _, i in some], dtype=np.int32)))
+        self.long: dict[int, list[tuple[bytes, int]]] = {}
+        for p, i in sorted(numbers.items()):
+            if len(p) > PIECE_BYTES:
+                self.long.setdefault(int.from_bytes(p[:PIECE_BYTES], "big"), []).append((p, i))
+        self.begins = np.array(sorted(self.long), dtype=np.uint64)
 
 
 def read_pieces(path: str) -> Pieces:
-    kept = sorted(p for p in read_ranks(path) if len(p) <= PIECE_BYTES)
-    return Pieces({p: i for i, p in enumerate(kept)})
+    """All pieces of the vocabulary."""
+    return Pieces({p: i for i, p in enumerate(sorted(read_ranks(path)))})
+
 
+class Lattice:
+    """Pieces in words of one length. edges: (words, length, PIECE_BYTES), number of the piece that ends before position
+    j + 1 and has d + 1 bytes, else the count of pieces. long: by end, (words, bytes, numbers) of longer pieces."""
 
-def lattice(words: list[bytes], pieces: Pieces) -> np.ndarray:
-    """(words, length, PIECE_BYTES): number of the piece that ends before position j + 1 and has d + 1 bytes, else the
-    count of pieces. All words have the same length."""
+    def __init__(self, edges: np.ndarray, long: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.edges, self.long, self.shape = edges, long, edges.shape
+
+
+def lattice(words: list[bytes], pieces: Pieces) -> Lattice:
+    """All words have the same length."""
     n, none = len(words[0]), len(pieces)
     letters = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), n).astype(np.uint64)
     out = np.full((len(words), n, PIECE_BYTES), none, dtype=np.int32)
-    key = letters
+    key, found = letters, []
     for d, (keys, numbers) in enumerate(pieces.tables[:n]):
         if d:  # the byte d places before each end comes in front
             key = key[:, 1:] + (letters[:, : n - d] << np.uint64(8 * d))
         if len(keys):
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             out[:, d:, d] = np.where(keys[at] == key, numbers[at], none)
-    return out
+    if n > PIECE_BYTES and len(pieces.begins):  # key has the PIECE_BYTES bytes from each start on
+        at = np.minimum(np.searchsorted(pieces.begins, key), len(pieces.begins) - 1)
+        for i, s in np.argwhere(pieces.begins[at] == key).tolist():
+            found += [(s + len(p), i, len(p), k) for p, k in pieces.long[int(key[i, s])] if words[i].startswith(p, s)]
+    long: dict[int, list[tuple[int, int, int]]] = {}
+    for j, *rest in found:
+        long.setdefault(j, []).append(tuple(rest))
+    return Lattice(out, {j: tuple(np.array(x).T) for j, x in long.items()})
 
 
-def forward(edges: np.ndarray, p: np.ndarray) -> np.ndarray:
+def forward(graph: Lattice, p: np.ndarray) -> np.ndarray:
     """(words, length + 1, languages) sums over all segmentations of each prefix; p: (pieces + 1, languages)."""
+    edges = graph.edges
     words, n, _ = edges.shape
     alpha = np.zeros((words, n + 1, p.shape[1]))
     alpha[:, 0] = 1
     for j in range(1, n + 1):
         for d in range(1, min(j, PIECE_BYTES) + 1):
             alpha[:, j] += alpha[:, j - d] * p[edges[:, j - 1, d - 1]]
+        if j in graph.long:
+            i, d, k = graph.long[j]
+            np.add.at(alpha, (i, j), alpha[i, j - d] * p[k])
     return alpha
 
 
-def backward(edges: np.ndarray, p: np.ndarray) -> np.ndarray:
+def backward(graph: Lattice, p: np.ndarray) -> np.ndarray:
+    edges = graph.edges
     words, n, _ = edges.shape
     beta = np.zeros((words, n + 1, p.shape[1]))
     beta[:, n] = 1
     for j in range(n, 0, -1):
         for d in range(1, min(j, PIECE_BYTES) + 1):
             beta[:, j - d] += beta[:, j] * p[edges[:, j - 1, d - 1]]
+        if j in graph.long:
+            i, d, k = graph.long[j]
+            np.add.at(beta, (i, j - d), beta[i, j] * p[k])
     return beta
 
 
@@ -107,14 +151,16 @@ def fit(counts: dict[str, dict[bytes, int]], pieces: Pieces, rounds: int = ROUND
     langs, none = sorted(counts), len(pieces)
     table = np.zeros((none, len(langs)), dtype=np.float32)
     for k, lang in enumerate(langs):
-        groups = [(lattice(same, pieces), np.array([counts[lang][w] for w in same], dtype=float)) for same in by_length([w for w in counts[lang] if len(w) <= MEMO_BYTES])]
+        groups = [(lattice(same, pieces), np.array([counts[lang][w] for w in same], dtype=float)) for same in by_length(list(counts[lang]))]
         p = np.full(none, 1 / none)
         for _ in range(rounds):
             found = np.zeros(none + 1)
             q = np.append(p, 0)[:, None]
-            for edges, weight in groups:
-                a, b = forward(edges, q)[:, :, 0], backward(edges, q)[:, :, 0]
+            for graph, weight in groups:
+                edges, a, b = graph.edges, forward(graph, q)[:, :, 0], backward(graph, q)[:, :, 0]
                 whole = a[:, -1]
+                for j, (i, d, e) in graph.long.items():
+                    found += np.bincount(e, weights=weight[i] * a[i, j - d] * q[e, 0] * b[i, j] / whole[i], minlength=none + 1)
                 for j in range(1, edges.shape[1] + 1):
                     for d in range(1, min(j, PIECE_BYTES) + 1):
                         e = edges[:, j - 1, d - 1]
@@ -125,7 +171,7 @@ def fit(counts: dict[str, dict[bytes, int]], pieces: Pieces, rounds: int = ROUND
 
 
 class Scorer:
-    """Log-likelihoods of words by language, remembered for short words."""
+    """Log-likelihoods of words by language, which are remembered."""
 
     def __init__(self, pieces: Pieces, log_p: np.ndarray, known: tuple[list[bytes], np.ndarray] | None = None):
         """known: words whose scores are held from the start and never forgotten."""
@@ -138,29 +184,13 @@ class Scorer:
 
     def learn(self, words: list[bytes]) -> None:
         for same in by_length(words):
-            if len(same[0]) <= MEMO_BYTES:
-                scores = np.log(forward(lattice(same, self.pieces), self.p)[:, -1])
-            else:
-                scores = np.array([self.long(w) for w in same])
+            scores = np.log(forward(lattice(same, self.pieces), self.p)[:, -1])
             n = len(self.at)
             while n + len(same) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[n : n + len(same)] = scores
             self.at.update(zip(same, range(n, n + len(same)), strict=True))
 
-    def long(self, word: bytes) -> np.ndarray:
-        """One word of any length: the last few sums, scaled to one at each step."""
-        last, scale = [np.ones(self.p.shape[1])], 0.0
-        for j in range(len(word)):
-            total = 0
-            for d, a in enumerate(reversed(last)):
-                if (e := self.pieces.get(word[j - d : j + 1])) is not None:
-                    total = total + a * self.p[e]
-            top = total.max()
-            last = [a / top for a in last[1 - PIECE_BYTES :]] + [total / top]
-            scale += np.log(top)
-        return np.log(last[-1]) + scale
-
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
         """(texts, languages) log-likelihoods."""
         if len(self.at) > len(self.held) + MEMO_SIZE:
@@ -174,7 +204,7 @@ class Scorer:
         return out
 
 
-def sample_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> dict[str, dict[bytes, int]]:
+def sample_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, dict[bytes, int]]:
     """Word counts by language of about sample_docs documents each, chosen by a hash of the text; docs: text, lang."""
     labelled = docs.where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -184,18 +214,17 @@ def sample_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words:
     chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found: dict[str, Counter] = {}
             for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(w for w in words_of(t) if len(w) <= MEMO_BYTES)
+                found.setdefault(lang, Counter()).update(words_of(t))
             rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
     counted = chosen.select("text", "lang").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[bytes, int]] = {lang: {} for lang in sizes}
-    for lang in sorted(sizes):
-        for r in counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(sample_words).collect():
-            counts[lang][bytes(r.word)] = r.n
+    for r in counted.orderBy("lang", F.desc("n"), "word").toLocalIterator():  # of the bounded sample
+        counts[r.lang][bytes(r.word)] = r.n
     return counts
 
 

@@ -24,7 +24,30 @@ def test_forward_sums_all_segmentations():
     for word in (b"abab", b"aaaa", b"babab"):
         want = math.log(segmentations(word, probabilities))
         assert abs(scorer.score([[word]])[0, 0] - want) < 1e-9
-        assert abs(scorer.long(word)[0] - want) < 1e-9
+
+
+def test_long_pieces_and_long_words_count():
+    probabilities = {bytes([c]): 0.01 for c in b" abcdefghijklmno"} | {b" abcdefghijkl": 0.3, b"bcdefghijklm": 0.2, b"abcdefghi": 0.1, b"abcdefghijkl": 0.05}
+    pieces = lg.Pieces({x: i for i, x in enumerate(sorted(probabilities))})
+    scorer = lg.Scorer(pieces, np.log(np.array([[probabilities[x]] for x in pieces])))
+    words = [b" abcdefghijklmno", b" abcdefghijklaaa", b" bcdefghijklmabc"]
+    got = scorer.score([[w] for w in words])[:, 0]
+    assert np.allclose(got, [math.log(segmentations(w, probabilities)) for w in words])
+    text = "漢字" * 40 + " ab"
+    parts = lg.words_of(text)
+    assert b"".join(parts).decode() == " " + text and max(map(len, parts)) <= lg.WORD_BYTES and all(p.decode() for p in parts)
+    counts = {"x": {w: 3 for w in words}}
+    likelihood = []
+    for rounds in (1, 2, 4):
+        _, table = lg.fit(counts, pieces, rounds)
+        likelihood.append(lg.Scorer(pieces, table).score([[w] for w in words]).sum())
+    assert likelihood == sorted(likelihood)
+
+
+def test_scripts_without_spaces_are_learnt(spark):
+    rows = [(i, "漢字仮名交じり文" * 12, "ja") for i in range(20)] + [(100 + i, "中文书写系统简体" * 12, "zh") for i in range(20)] + [(300, "漢字仮名" * 30, None), (301, "书写系统" * 30, None)]
+    got = {r.doc_id: r.lang_pred for r in lg.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[300], got[301]) == ("ja", "zh")
 
 
 def test_fitting_raises_the_likelihood():
