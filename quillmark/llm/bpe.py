@@ -216,7 +216,12 @@ def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ids, data, kept columns): encoding and then decoding of each text in one pass; see encode_texts."""
+    """(id, ids, data, kept columns): encoding and then decoding of each text in one pass; see encode_texts.
+
+    One row per row of docs, so ids that repeat with other texts are coded each on their own. A kept column may not have
+    the name of a result."""
+    if clash := {"id", "ids", "data"} & set(keep):
+        raise ValueError(f"kept columns have names of results: {sorted(clash)}")
     path, pattern = _vocabulary(path, pattern)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`") for c in keep))
 

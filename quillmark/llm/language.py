@@ -233,8 +233,10 @@ def predict_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
 
     score is the posterior of lang_pred under equal priors. A text that is null or has no letter gives 'und' and 0,
     and so does every text when train has no labelled row. Ties go to the language first by name. Repeated rows give
-    repeated results, an empty table none; texts are read whole.
+    repeated results, an empty table none; texts are read whole. A kept column may not have the name of a result.
     """
+    if clash := {"id", "lang_pred", "score"} & set(keep):
+        raise ValueError(f"kept columns have names of results: {sorted(clash)}")
     path = path or default_vocabulary()[0]
     pieces = read_pieces(path)
     counts = sample_counts(train)

@@ -19,12 +19,20 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: A strict term rejects alone: its weight reaches the threshold.
-STRICT_TERMS = ("porn", "xxx", "hentai", "escort", "casino", "viagra", "cialis", "warez", "keygen", "malware", "phishing", "spam")
-#: A soft term rejects only together with another one.
+# Terms in the order of the alphabet. A strict term rejects alone: its weight reaches the threshold.
+STRICT_TERMS = (
+    "bestiality", "bukkake", "camgirl", "camgirls", "casino", "casinos", "cialis", "creampie", "cumshot", "deepthroat", "erotica", "escort",
+    "escorts", "gangbang", "hardcore-porn", "hentai", "incest", "jackpot-city", "keygen", "levitra", "malware", "milf", "onlyfans", "phishing",
+    "porn", "pornhub", "porno", "pornstar", "redtube", "rolex-replica", "sexcam", "sexcams", "spam", "sportsbook", "threesome", "upskirt",
+    "viagra", "warez", "webcamgirls", "xhamster", "xnxx", "xvideos", "xxx", "youporn",
+)
+#: A soft term says little alone; two different ones reject together.
 SOFT_TERMS = (
-    "adult", "ads", "bet", "bets", "bonus", "cam", "cams", "cheap", "crack", "dating", "farm", "free", "gambling", "hot",
-    "loan", "loans", "nude", "pharmacy", "pill", "pills", "poker", "replica", "sex", "slots", "torrent", "track", "win", "x",
+    "adult", "adults", "amateur", "babes", "baccarat", "betting", "bingo", "blackjack", "blowjob", "bonus", "bonuses", "boobs", "cam", "cams",
+    "cheap", "cheats", "coupon", "crack", "cracked", "dating", "discount", "erotic", "fetish", "gamble", "gambling", "gratis", "hookup", "hot",
+    "jackpot", "kamagra", "lingerie", "loan", "loans", "lottery", "mature", "naked", "nsfw", "nude", "nudes", "nudity", "online-pharmacy",
+    "payday", "pharmacy", "pill", "pills", "poker", "proxy", "replica", "replicas", "roulette", "seo", "serial", "sex", "sexy", "singles",
+    "slot", "slots", "strip", "swingers", "teen", "teens", "tits", "torrent", "torrents", "tramadol", "valium", "voyeur", "wager", "winner", "xanax",
 )
 WEIGHTS = {**{t: 1.0 for t in STRICT_TERMS}, **{t: 0.5 for t in SOFT_TERMS}}
 THRESHOLD = 1.0

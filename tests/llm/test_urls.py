@@ -1,7 +1,11 @@
+import os
+
 from pyspark.sql import functions as F
 
 from quillmark.llm import urls
 
+DATA = "/root/testdata/sf0.01"
+
 
 def test_rules_hosts_and_terms(spark):
     cases = {
@@ -13,7 +17,7 @@ def test_rules_hosts_and_terms(spark):
         "http://x.net/es/": ("x.net", "/es/", "net/es/", "block"),
         "http://xnet/fr/": ("xnet", "/fr/", None, "allow"),
         "http://casino-win.org/a": ("casino-win.org", "/a", None, "block"),
-        "http://casinos.org/a": ("casinos.org", "/a", None, "allow"),
+        "http://mycasino.org/a": ("mycasino.org", "/a", None, "allow"),
         "http://cheap.org/cheap": ("cheap.org", "/cheap", None, "allow"),
         "http://cheap.org/Pills#x://y": ("cheap.org", "/Pills", None, "block"),
         "no scheme": ("", "", None, "allow"),
@@ -38,3 +42,17 @@ def test_terms_equal_a_plain_search():
         u = "".join(rng.choice(parts) for _ in range(8))
         want = {t for t in urls.WEIGHTS if re.search(f"(?<![a-z0-9]){t}(?![a-z0-9])", u.translate({65 + i: 97 + i for i in range(26)}))}
         assert urls.distinct_terms(u, machine) == want
+
+
+def test_innocent_addresses_stay(spark):
+    """No list of words is free of false hits; these are common traps, and the share blocked in the test pages is printed."""
+    paths = ["essex.ac.uk/courses", "scunthorpe.gov.uk/visit", "middlesex.edu/sex-education", "news.org/adult-literacy", "recipes.org/cheap-dinners", "bank.org/loan-calculator", "analysis.org/cocktail-class", "shop.org/hot-water-bottles?ref=x", "farm.org/track/win", "math.org/slot-filling", "museum.org/nude-studies-in-oil"]
+    df = spark.createDataFrame([(i, f"https://{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    assert [r.host for r in urls.filter_urls(df).where("verdict = 'block'").collect()] == []
+    bad = ["free-xxx-tube.org/a", "site.org/poker/bonus", "a.org/nude-teens", "pills.org/cheap", "casino.org/", "x.org/porn?x=1"]
+    df = spark.createDataFrame([(i, f"https://{p}") for i, p in enumerate(bad)], "page_id long, url string")
+    assert urls.filter_urls(df).where("verdict = 'block'").count() == len(bad)
+    if os.path.isdir(DATA):
+        pages = urls.filter_urls(spark.read.parquet(f"{DATA}/pages.parquet")).where("rule is null")
+        blocked, n = pages.where("verdict = 'block'").count(), pages.count()
+        print("pages without a rule", n, "of which blocked", blocked)
