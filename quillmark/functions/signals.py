@@ -99,8 +99,9 @@ def length_compatibility(length: Column, marks: Column) -> Column:
     return F.when(marks.isNull() | (marks <= 0) | (length == 0), NEUTRAL).otherwise(clamp01(0.35 + ratio * 0.55))
 
 
-def subquestion_compatibility(claimed: Column, is_sub: Column) -> Column:
-    return F.when(claimed.isNull(), NEUTRAL).when(claimed.rlike(SUB_SPELLING) == is_sub, 0.75).otherwise(0.4)
+def subquestion_compatibility(claims_sub: Column, is_sub: Column) -> Column:
+    """claims_sub: whether the claim is spelled like a sub-part (SUB_SPELLING); null without a claim."""
+    return F.when(claims_sub.isNull(), NEUTRAL).when(claims_sub == is_sub, 0.75).otherwise(0.4)
 
 
 def structure_score(*parts: Column) -> Column:

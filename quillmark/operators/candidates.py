@@ -8,15 +8,19 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..config import DEFAULT, Config
 from ..functions import signals as s
 from ..functions.labels import parse_label
 from .labels import with_question_index
 
+#: Bytes of vectors that every task may hold.
+VECTOR_BYTES = 64 << 20
 SIGNALS = ("label_kind", "label", "semantic_cosine", "semantic", "position", "structure")
 
 
@@ -26,18 +30,52 @@ def reading_order(answers: DataFrame) -> DataFrame:
     return answers.withColumn("answer_at", F.row_number().over(one.orderBy("page", "y", "x", "text", "answer_id")) - 1).withColumn("answer_count", F.count("*").over(one))
 
 
-def question_features(questions: DataFrame, vectors: DataFrame) -> DataFrame:
-    """What pairs need of a question (resolved labels, page order, vector at length one): computed once, before the join."""
-    indexed = with_question_index(questions).join(vectors.select("vec_id", s.l2_normalize(F.col("embedding")).alias("q_vec")), "vec_id", "left")
+def question_features(questions: DataFrame) -> DataFrame:
+    """What pairs need of a question (resolved labels, page order, id of its vector): computed once, before the join."""
+    indexed = with_question_index(questions)
     return indexed.select(
         "assessment_id", "question_id", "question_at", "question_count", F.col("normalized_label").alias("q_key"), F.col("major").alias("q_major"), F.coalesce("minor", "roman").alias("q_sub"),
-        F.col("is_sub").alias("q_is_sub"), F.col("marks").alias("q_marks"), F.col("text").rlike(s.ASKS_DIAGRAM).alias("q_asks"), "q_vec",
+        F.col("is_sub").alias("q_is_sub"), F.col("marks").alias("q_marks"), F.col("text").rlike(s.ASKS_DIAGRAM).alias("q_asks"), F.col("vec_id").alias("q_vec"),
     )
 
 
-def answer_features(answers: DataFrame, vectors: DataFrame) -> DataFrame:
-    indexed = reading_order(answers).join(vectors.select("vec_id", s.l2_normalize(F.col("embedding")).alias("a_vec")), "vec_id", "left")
-    return indexed.select("assessment_id", "answer_id", "answer_at", "answer_count", F.col("claimed_label_raw").alias("claim"), parse_label(F.col("claimed_label_raw")).alias("parsed"), F.length("text").alias("a_length"), F.col("diagram").alias("drawn"), "a_vec")
+def answer_features(answers: DataFrame) -> DataFrame:
+    claim = F.col("claimed_label_raw")
+    return reading_order(answers).select("assessment_id", "answer_id", "answer_at", "answer_count", claim.alias("claim"), parse_label(claim).alias("parsed"), claim.rlike(s.SUB_SPELLING).alias("a_sub"), F.length("text").alias("a_length"), F.col("diagram").alias("drawn"), F.col("vec_id").alias("a_vec"))
+
+
+def with_cosines(pairs: DataFrame, vectors: DataFrame, held_bytes: int = VECTOR_BYTES) -> DataFrame:
+    """pairs (a_vec, q_vec: ids) with cosine: of the two vectors, 0 where one is missing or zero.
+
+    While all vectors fit held_bytes, tasks hold them as a matrix, and a batch of pairs is one product in numpy; only ids
+    cross to Python. Beyond that, vectors are joined to the pairs and multiplied as arrays.
+    """
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
+    if size.n * max(1, size.dims or 1) * 8 > held_bytes:
+        unit = vectors.select("vec_id", s.l2_normalize(F.col("embedding")).alias("v"))
+        joined = pairs.join(unit.toDF("a_vec", "va"), "a_vec", "left").join(unit.toDF("q_vec", "vq"), "q_vec", "left")
+        return joined.withColumn("cosine", F.coalesce(s.dot(F.col("va"), F.col("vq")), F.lit(0.0))).drop("va", "vq")
+    rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").toPandas()
+    matrix = np.zeros((len(rows) + 1, size.dims or 1))  # the last row stands for a missing vector
+    for i, v in enumerate(rows.embedding):
+        matrix[i] = v
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    order = np.argsort(rows.vec_id.to_numpy(dtype=np.int64), kind="stable")
+    held = pairs.sparkSession.sparkContext.broadcast((rows.vec_id.to_numpy(dtype=np.int64)[order], np.append(order, len(rows)), matrix))
+
+    @pandas_udf("double")
+    def cosine(a: pd.Series, q: pd.Series) -> pd.Series:
+        ids, order, matrix = held.value
+
+        def place(x: pd.Series) -> np.ndarray:
+            wanted = x.fillna(-1).to_numpy(dtype=np.int64)
+            at = np.minimum(np.searchsorted(ids, wanted), max(0, len(ids) - 1))
+            known = x.notna().to_numpy() & (ids[at] == wanted) if len(ids) else np.zeros(len(x), bool)
+            return order[np.where(known, at, len(ids))]
+
+        return pd.Series(np.einsum("ij,ij->i", matrix[place(a)], matrix[place(q)]))
+
+    return pairs.withColumn("cosine", cosine("a_vec", "q_vec"))
 
 
 def score_pairs(answers: DataFrame, questions: DataFrame, vectors: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -45,11 +83,11 @@ def score_pairs(answers: DataFrame, questions: DataFrame, vectors: DataFrame, c:
 
     The join is on the assessment only, so a pair never leaves its block; texts and rectangles do not ride through it.
     """
-    pairs = answer_features(answers, vectors).join(question_features(questions, vectors), "assessment_id")
+    pairs = with_cosines(answer_features(answers).join(question_features(questions), "assessment_id"), vectors)
     kind = s.label_match_kind(F.col("claim"), F.col("parsed"), F.col("parsed.normalized"), F.col("q_key"), F.col("q_major"), F.col("q_sub"), F.col("q_is_sub"))
-    structure = s.structure_score(s.diagram_compatibility(F.col("q_asks"), F.col("drawn")), s.length_compatibility(F.col("a_length"), F.col("q_marks")), s.subquestion_compatibility(F.col("claim"), F.col("q_is_sub")))
+    structure = s.structure_score(s.diagram_compatibility(F.col("q_asks"), F.col("drawn")), s.length_compatibility(F.col("a_length"), F.col("q_marks")), s.subquestion_compatibility(F.col("a_sub"), F.col("q_is_sub")))
     scored = pairs.select(
-        "assessment_id", "answer_id", "question_id", kind.alias("label_kind"), F.round(F.coalesce(s.dot(F.col("a_vec"), F.col("q_vec")), F.lit(0.0)), 6).alias("semantic_cosine"),
+        "assessment_id", "answer_id", "question_id", kind.alias("label_kind"), F.round("cosine", 6).alias("semantic_cosine"),
         s.position_score(F.col("answer_at"), F.col("answer_count"), F.col("question_at"), F.col("question_count")).alias("position"), structure.alias("structure"),
     )
     own = Window.partitionBy("assessment_id", "answer_id")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import hooks
+from quillmark.operators import candidates as cd
 from quillmark.operators import grading as gr
 from quillmark.operators import ingest as ig
 from quillmark.operators import matching as mt
@@ -158,3 +159,22 @@ def test_hooks(spark):
     graded = hooks.grade(requests, mark)
     assert {r.answer_id: r.failure for r in graded.collect()} == {1: None, 2: "down"}
     assert [(r.answer_id, r.criterion_id, r.awarded, r.reported_total) for r in hooks.recommendation_rows(graded).collect()] == [(1, "c", 1.0, 1.0)]
+
+
+def test_cosines_in_numpy_equal_those_of_joined_arrays(spark):
+    vectors = spark.createDataFrame([(1, [3.0, 4.0]), (2, [4.0, 3.0]), (5, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    pairs = spark.createDataFrame([(1, 2), (1, 1), (1, 5), (None, 2), (9, 1)], "a_vec long, q_vec long")
+    for held in (1 << 20, 0):
+        got = {(r.a_vec, r.q_vec): round(r.cosine, 9) for r in cd.with_cosines(pairs, vectors, held).collect()}
+        assert got == {(1, 2): 0.96, (1, 1): 1.0, (1, 5): 0.0, (None, 2): 0.0, (9, 1): 0.0}
+    assert cd.with_cosines(pairs, vectors.limit(0)).where("cosine != 0").count() == 0
+
+
+def test_best_items_in_blocks_equal_native_vectors(spark):
+    docs = spark.createDataFrame([(1, "red apple pie"), (2, "blue sky"), (3, None), (4, "pie pie apple")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "apple pie"), (8, "sky so blue"), (9, "apple pie"), (None, "x")], "item_id long, text string")
+    a, b = (sorted(map(tuple, cd.best_items(docs, items, "doc_id", "item_id", block=n).collect())) for n in (10, 1))
+    assert a == b and [x[1] for x in a if x[0] in (1, 2, 4)] == [7, 8, 7]
+    v = {r.doc_id: np.array(r.vector) for r in cd.hashed_vectors(docs, "doc_id", "text").collect()}
+    assert all(np.allclose(cd.word_counts(t or "", 64, {}), v[i]) for i, t in ((1, "red apple pie"), (3, None)))
+    assert cd.best_items(docs, items.limit(0), "doc_id", "item_id").count() == 0
