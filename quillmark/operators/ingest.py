@@ -118,7 +118,8 @@ def parse_recommendations(df: DataFrame, column: str = "body") -> tuple[DataFram
 
 
 def scan_uploads(spark: SparkSession, path: str, c: Config = DEFAULT) -> DataFrame:
-    """(filename, size, head): the first bytes of each file whose size may be accepted; others are not opened."""
+    """(filename, size, head): the first bytes of each file whose size may be accepted; others are not opened, and have
+    no head. Spark's reader does not list files of no bytes at all."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     fits = F.col("length").between(1, c.max_bytes)
     opened = files.where(fits).select(F.col("path").alias("filename"), F.col("length").alias("size"), F.substring("content", 1, 8).alias("head"))

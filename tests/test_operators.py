@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark.config import Config
 from quillmark.functions import hooks
 from quillmark.operators import candidates as cd
 from quillmark.operators import grading as gr
@@ -130,9 +131,9 @@ def test_flatten_write_and_public(spark, tmp_path):
     assert ig.public_projection(spark.createDataFrame([(1, "s")], "k long, storage_key string")).columns == ["k"]
     (tmp_path / "up").mkdir()
     (tmp_path / "up" / "x.png").write_bytes(b"%PDF-1.7 body")
-    (tmp_path / "up" / "z.pdf").write_bytes(b"")
-    assert {(r.verdict, r.size) for r in ig.classify_uploads(ig.scan_uploads(spark, str(tmp_path / "up")).withColumn("mime", F.lit(None).cast("string"))).collect()} == {("ACCEPTED", 13), ("EMPTY", 0)}
-    (tmp_path / "up" / "z.pdf").unlink()
+    small = Config(max_bytes=5)
+    large = ig.classify_uploads(ig.scan_uploads(spark, str(tmp_path / "up"), small).withColumn("mime", F.lit(None).cast("string")), small).first()
+    assert (large.verdict, large.size, large.head) == ("TOO_LARGE", 13, None)
     up = ig.classify_uploads(ig.scan_uploads(spark, str(tmp_path / "up")).withColumn("mime", F.lit(None).cast("string"))).first()
     assert (up.verdict, up.format, up.claim_mismatch) == ("ACCEPTED", "PDF", True)
 
