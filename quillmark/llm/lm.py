@@ -267,11 +267,15 @@ def find_groups(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         code = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(found[code])], names=["code", "c"])
 
-    rows = texts.select("text").mapInArrow(by_group, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).toPandas()
-    table = np.zeros(len(vocabulary.number) * GROUPS)
-    table[rows.code.to_numpy(dtype=np.int64)] = rows.c.to_numpy(dtype=float)
-    table = table.reshape(-1, GROUPS)
-    return (table / np.maximum(table.sum(axis=0), 1)).argmax(axis=1)
+    found = texts.select("text").mapInArrow(by_group, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    found = stash(found.select(F.floor(F.col("code") / GROUPS).alias("word"), (F.col("code") % GROUPS).alias("g"), "c"))
+    sizes = {r.g: r.n for r in found.groupBy("g").agg(F.sum("c").alias("n")).collect()}
+    share = sum((F.when(F.col("g") == g, F.col("c") / float(n)).otherwise(0.0) for g, n in sorted(sizes.items())), F.lit(0.0))
+    rows = found.groupBy("word").agg(F.max(F.struct(share.alias("share"), (-F.col("g")).alias("g"))).alias("x")).select("word", (-F.col("x.g")).cast("int").alias("g")).toPandas()
+    discard(found)
+    out = np.zeros(len(vocabulary.number), np.int64)  # words that stand in no document of a group go with the first
+    out[rows.word.to_numpy(dtype=np.int64)] = rows.g.to_numpy(dtype=np.int64)
+    return out
 
 
 def count_cells(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
