@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html, language, lines, lm, urls
+from .alignment import alignment
 from .bpe import digests, round_trip
 from .common import table
 from .heapbpe import heap_decode, heap_digests, heap_encode
@@ -60,9 +61,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_heap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap_digests(heap_decode(heap_encode(table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_line_dedup, op4_byte_bpe, op5_html_extraction, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_license_scans, op9_lm_scoring, op10_language_id, op13_heap_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_line_dedup, op4_byte_bpe, op5_html_extraction, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_license_scans, op9_lm_scoring, op10_language_id, op11_tokenizer_alignment, op13_heap_bpe)}
 ORACLES: dict[str, str] = {"op2_url_filters": urls.oracle_sql(), "op3_line_dedup": lines.oracle_sql(), "op7_benchmark_decontamination": decontaminate.oracle_sql()}
