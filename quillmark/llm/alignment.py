@@ -20,6 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from .heapbpe import HeapCodec, byte_letters, newer_letters
 SLICE_BYTES, BLOCK_LINKS, ROW_PAIRS, TASK_PAIRS = 1 << 20, 1 << 21, 1 << 20, 1 << 20
 #: Pairs whose counts are broadcast: 17 bytes each.
 HOT_PAIRS = 1 << 20
+LONG_SPACE = regex.compile(r"\s{1000}")
 #: The mark that stands for a space in pieces.
 PIECE_SPACE = "▁"
 
@@ -45,8 +47,7 @@ class SpacedBytes:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.exact = HeapCodec(spec, pattern)
-        made = [new for _, new in self.exact.rules.values()]
-        if made != sorted(made):
+        if self.exact.made != sorted(self.exact.made):
             raise ValueError("merges have to be in the order of their ids")
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items()}
@@ -54,8 +55,9 @@ class SpacedBytes:
         self.strings = pa.array([self.exact.strings.get(i, b"") for i in range(max(self.exact.strings) + 1)], pa.binary())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts with letters or runs of white space that the fast encoder cannot take go through the exact one."""
         newer = newer_letters()
-        old = lambda t: t.isascii() or not newer.search(t)
+        old = lambda t: (t.isascii() or newer.isdisjoint(t)) and not LONG_SPACE.search(t)
         return [np.array(self.fast.encode_ordinary(" " + t), np.int32) if old(t) else np.frombuffer(self.exact.plain(" " + t), "<u4").astype(np.int32) for t in texts]
 
 

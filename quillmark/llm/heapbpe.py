@@ -36,21 +36,14 @@ def byte_letters() -> list[str]:
 
 
 @cache
-def newer_letters() -> regex.Pattern:
+def newer_letters() -> frozenset[str]:
     """Letters and numbers of newer Unicode versions, known to the regex library but not yet to the tokenizers library.
 
     Only characters that this Python's own, older Unicode data leave unassigned can be such; the tokenizers library's
     splitter is asked about each of them once.
     """
     known, split = regex.compile(r"[\p{L}\p{N}]"), ByteLevel(add_prefix_space=False)
-    spans: list[list[int]] = []
-    for i in range(0x80, 0x110000):
-        if unicodedata.category(c := chr(i)) == "Cn" and known.match(c) and len(split.pre_tokenize_str(f"!{c}")) == 1:
-            if spans and spans[-1][1] == i - 1:
-                spans[-1][1] = i
-            else:
-                spans.append([i, i])
-    return regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]" if spans else "(?!)")
+    return frozenset(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn" and known.match(c) and len(split.pre_tokenize_str("!" + c)) == 1)
 
 
 #: Stands in for newer letters while a text is split: a character of no class.
@@ -85,7 +78,10 @@ class HeapCodec:
         letters = byte_letters()
         self.byte_ids = [vocabulary[c] for c in letters]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rules = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.width = 1 + max(vocabulary.values())
+        #: Rank of each pair of ids (as left * width + right), and the id that each rank makes.
+        self.ranks = {vocabulary[a] * self.width + vocabulary[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocabulary[a + b] for a, b in pairs]
         byte_of = {c: b for b, c in enumerate(letters)}
         as_bytes = lambda t: bytes(map(byte_of.__getitem__, t)) if all(c in byte_of for c in t) else t.encode()
         self.strings = {i: as_bytes(t) for t, i in vocabulary.items()} | {t["id"]: as_bytes(t["content"]) for t in spec["added_tokens"]}
@@ -96,27 +92,27 @@ class HeapCodec:
         self.words = _Words(self.encode_word)
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one word."""
-        rules = self.rules
+        """Ids of one word. Symbol n, which is also the one before the first, is the end: it pairs with nothing, and
+        neither does a symbol that has been merged into the one before it."""
+        rank_of, made, width, n, none = self.ranks.get, self.made, self.width, len(data), -self.width * self.width
         ids = [self.byte_ids[b] for b in data]
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(rule[0], i) for i in range(n - 1) if (rule := rules.get((ids[i], ids[i + 1])))]
+        ids.append(none)
+        before, after = list(range(-1, n)), list(range(1, n + 2))
+        queue = [rank * n + i for i in range(n - 1) if (rank := rank_of(ids[i] * width + ids[i + 1])) is not None]
         heapify(queue)
         while queue:
-            rank, at = heappop(queue)
+            rank, at = divmod(heappop(queue), n)
             right = after[at]
-            if ids[at] < 0 or right >= n or (rule := rules.get((ids[at], ids[right]))) is None or rule[0] != rank:
+            if rank_of(ids[at] * width + ids[right]) != rank:
                 continue  # stale: one of the two has been merged since
-            ids[at], ids[right] = rule[1], -1
+            ids[at], ids[right] = new, none = made[rank], none
             after[at] = beyond = after[right]
-            if beyond < n:
-                before[beyond] = at
-                if rule := rules.get((ids[at], ids[beyond])):
-                    heappush(queue, (rule[0], at))
+            before[beyond] = at
+            if (rank := rank_of(new * width + ids[beyond])) is not None:
+                heappush(queue, rank * n + at)
             left = before[at]
-            if left >= 0 and (rule := rules.get((ids[left], ids[at]))):
-                heappush(queue, (rule[0], left))
+            if (rank := rank_of(ids[left] * width + new)) is not None:
+                heappush(queue, rank * n + left)
         return [i for i in ids if i >= 0]
 
     def encode_word(self, word: str) -> bytes:
@@ -137,9 +133,9 @@ class HeapCodec:
         return b"".join([b"".join(map(words.__getitem__, self.matches(part))) for part in self.chunks(text)])
 
     def matches(self, text: str) -> list[str]:
-        if text.isascii() or not (newer := newer_letters()).search(text):
+        if text.isascii() or (newer := newer_letters()).isdisjoint(text):
             return self.split.findall(text)
-        return [text[slice(*m.span())] for m in self.split.finditer(newer.sub(OTHER, text))]
+        return [text[slice(*m.span())] for m in self.split.finditer("".join([OTHER if c in newer else c for c in text]))]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. Strings of added tokens are those tokens, wherever they stand."""
