@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, lines, lm, urls
+from . import decontaminate, html, language, lines, lm, search, urls
 from .alignment import alignment
 from .bpe import digests, round_trip
 from .common import table
@@ -65,9 +65,14 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 def op13_heap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap_digests(heap_decode(heap_encode(table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_line_dedup, op4_byte_bpe, op5_html_extraction, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_license_scans, op9_lm_scoring, op10_language_id, op11_tokenizer_alignment, op13_heap_bpe)}
-ORACLES: dict[str, str] = {"op2_url_filters": urls.oracle_sql(), "op3_line_dedup": lines.oracle_sql(), "op7_benchmark_decontamination": decontaminate.oracle_sql()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_line_dedup, op4_byte_bpe, op5_html_extraction, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_license_scans, op9_lm_scoring, op10_language_id, op11_tokenizer_alignment, op12_ranked_search, op13_heap_bpe)}
+ORACLES: dict[str, str] = {"op2_url_filters": urls.oracle_sql(), "op3_line_dedup": lines.oracle_sql(), "op7_benchmark_decontamination": decontaminate.oracle_sql(), "op12_ranked_search": search.oracle_sql()}
