@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import hooks
+from ..operators import candidates as cd
 from ..operators import decide as dc
 from ..operators import grading as gr
 from ..operators import ingest as ig
 from ..sources import fixtures as fx
 from ..sources.scratch import shared_dir, stash
 from ..streaming import jobs
-from .queries import query, resolved, shortlist, top3
+from .queries import query, resolved, shortlist
 from .review_queries import as_reviews, event_questions, said, targets_of
 
 
@@ -151,7 +153,7 @@ def events_stream(spark: SparkSession, d: str, query_text: str) -> DataFrame:
 def stream_review_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """The action log run as a stream, with keyed state."""
     found = jobs.stream_review_state(events_stream(spark, d, fx.ACTIONS), as_reviews(said(spark, d)), event_questions(spark, d))
-    return jobs.run_once(found, scratch(spark), "append", scratch(spark)).drop("batch_id")
+    return jobs.run_once(found, scratch(spark), "append", scratch(spark), expires=True).drop("batch_id")
 
 
 @query("SELECT assessment_id, arg_max(stage, row(ts, event_id)) AS stage, CAST(round(arg_max(stage, row(ts, event_id)) / 6.0 * 100) AS INTEGER) AS progress FROM fx_st GROUP BY 1")
@@ -165,14 +167,48 @@ def stream_live_usage(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("minute", F.col("minute").cast("long"))
 
 
+#: Files that one batch of an arriving table may have: as many as there are.
+ALL_FILES = 1_000_000
+
+
+def arriving(spark: SparkSession, rows: DataFrame, parts: int, part: Column, run: Callable[[DataFrame], None]) -> None:
+    """Lets rows come in so many parts, one micro-batch each: run starts a stream over what has come, with one checkpoint."""
+    path = scratch(spark)
+    for k in range(parts):
+        rows.where(part == k).write.mode("append").parquet(path)
+        run(jobs.read_events(spark, path, ALL_FILES))
+
+
 @query("SELECT assessment_id, answer_id, question_id, rank, candidate_score FROM top3")
 def stream_new_answer_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """New lines arrive as a stream; their answers are scored against the questions batch by batch."""
-    path, lines = scratch(spark), table_stream(spark, d, "lineitem")
+    """Answers arrive in three parts that cut through assessments, and are scored against the static questions."""
+    path, checkpoint = scratch(spark), scratch(spark)
+    asked, vectors = stash(resolved(spark, d)), fx.embeddings(spark, d)
+    score = lambda answers: cd.top_k_candidates(cd.score_pairs(answers, asked, vectors)).select("assessment_id", "answer_id", "question_id", "rank", "candidate_score")
+    arriving(spark, fx.answers(spark, d), 3, F.pmod(F.xxhash64("answer_id"), F.lit(3)), lambda rows: jobs.stream_new_answers(rows, score, checkpoint, path))
+    return stash(jobs.new_answer_results(spark, path))
 
-    def score(batch: DataFrame) -> DataFrame:
-        own = batch.select(F.col("l_orderkey").alias("assessment_id")).distinct()
-        return top3(spark, d).join(own, "assessment_id", "left_semi").select("assessment_id", "answer_id", "question_id", "rank", "candidate_score")
 
-    jobs.stream_new_answers(lines, score, scratch(spark), path)
-    return stash(spark.read.parquet(path).drop("batch_id"))
+@query(
+    "SELECT assessment_id, stage, batch_id, asked_at FROM (SELECT *, max(asked_at) OVER (PARTITION BY assessment_id, stage ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT assessment_id, stage, batch_id, max(ts) OVER (PARTITION BY assessment_id, batch_id) AS asked_at FROM (SELECT *, CAST(event_id % 4 AS INTEGER) AS batch_id FROM fx_st))) WHERE before IS NULL OR asked_at > before"
+)
+def stream_incremental_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for stages arrive in four parts, out of order; what has not been done since it was asked for is done."""
+    path, checkpoint = scratch(spark), scratch(spark)
+    requests = spark.sql(fx.STAGES, **fx.frames(spark, d, "events"))
+    arriving(spark, requests, 4, F.col("event_id") % 4, lambda rows: jobs.run_incrementally(rows.select("assessment_id", "stage", "ts"), lambda todo: todo, checkpoint, path))
+    return spark.read.parquet(f"{path}/results").select("assessment_id", "stage", "batch_id", "asked_at")
+
+
+@query(
+    "SELECT provider, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS minute, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS calls, (SELECT count(*) FROM arrived WHERE gone) AS late FROM arrived WHERE NOT gone GROUP BY 1, 2",
+    arrived="SELECT *, coalesce(date_trunc('minute', ts) + INTERVAL 1 MINUTE <= newest - INTERVAL 5 MINUTE, false) AS gone FROM (SELECT u.*, (SELECT max(o.ts) FROM fx_us o WHERE o.event_id % 4 <= u.event_id % 4 - 2) AS newest FROM fx_us u)",
+)
+def stream_late_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Usage arrives in four parts, out of order; rows beyond the watermark are dropped and counted."""
+    path, checkpoint = scratch(spark), scratch(spark)
+    found: list[tuple[DataFrame, int]] = []
+    take = lambda rows: found.append(jobs.usage_with_late_rows(rows, checkpoint, path))
+    arriving(spark, spark.sql(fx.USAGE, **fx.frames(spark, d, "events")), 4, F.col("event_id") % 4, take)
+    late = sum(n for _, n in found)
+    return found[-1][0].select("provider", F.col("minute").cast("long").alias("minute"), "tokens", "calls", F.lit(late).cast("long").alias("late"))
