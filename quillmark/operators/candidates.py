@@ -10,24 +10,27 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..config import DEFAULT, Config
 from ..functions import signals as s
 from ..functions.labels import parse_label
+from ..sources.scratch import stash
 from .labels import with_question_index
+from .scan import WHOLE_ROWS, in_order
 
 #: Bytes of vectors that every task may hold.
 VECTOR_BYTES = 64 << 20
+#: Answers, and questions, of a tile of an assessment that has more pairs than one tile.
+TILE_SIDE = 2048
 SIGNALS = ("label_kind", "label", "semantic_cosine", "semantic", "position", "structure")
 
 
-def reading_order(answers: DataFrame) -> DataFrame:
+def reading_order(answers: DataFrame, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """Adds answer_at (from 0) and answer_count: by page, top, left, text and id within the assessment."""
-    one = Window.partitionBy("assessment_id")
-    return answers.withColumn("answer_at", F.row_number().over(one.orderBy("page", "y", "x", "text", "answer_id")) - 1).withColumn("answer_count", F.count("*").over(one))
+    return in_order(answers, "assessment_id", ["page", "y", "x", "text", "answer_id"], at="answer_at", count="answer_count", whole_rows=whole_rows)
 
 
 def question_features(questions: DataFrame) -> DataFrame:
@@ -78,25 +81,53 @@ def with_cosines(pairs: DataFrame, vectors: DataFrame, held_bytes: int = VECTOR_
     return pairs.withColumn("cosine", cosine("a_vec", "q_vec"))
 
 
-def score_pairs(answers: DataFrame, questions: DataFrame, vectors: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """One row per answer and question of the same assessment, with its signals and candidate score.
+def tiled(answers: DataFrame, questions: DataFrame, side: int) -> DataFrame:
+    """The join of both on the assessment, in tiles of side x side: each answer goes to the tiles of its row of tiles,
+    each question to those of its column, and a tile is a join key of its own. Needs answer_at, question_at and counts."""
+    tiles = lambda n: F.explode(F.sequence(F.lit(0), ((n - 1) / side).cast("int")))
+    own = answers.withColumn("__row", (F.col("answer_at") / side).cast("int")).withColumn("__column", tiles(F.col("__questions")))
+    other = questions.withColumn("__column", (F.col("question_at") / side).cast("int")).withColumn("__row", tiles(F.col("__answers")))
+    return own.drop("__answers", "__questions").join(other.drop("__answers", "__questions"), ["assessment_id", "__row", "__column"]).drop("__row", "__column")
 
-    The join is on the assessment only, so a pair never leaves its block; texts and rectangles do not ride through it.
-    """
-    pairs = with_cosines(answer_features(answers).join(question_features(questions), "assessment_id"), vectors)
+
+def _scored(pairs: DataFrame, low: Column, high: Column, c: Config) -> DataFrame:
+    """Signals and candidate score of pairs with cosine; low and high: the answer's smallest and largest cosine."""
     kind = s.label_match_kind(F.col("claim"), F.col("parsed"), F.col("parsed.normalized"), F.col("q_key"), F.col("q_major"), F.col("q_sub"), F.col("q_is_sub"))
     structure = s.structure_score(s.diagram_compatibility(F.col("q_asks"), F.col("drawn")), s.length_compatibility(F.col("a_length"), F.col("q_marks")), s.subquestion_compatibility(F.col("a_sub"), F.col("q_is_sub")))
     scored = pairs.select(
         "assessment_id", "answer_id", "question_id", kind.alias("label_kind"), F.round("cosine", 6).alias("semantic_cosine"),
-        s.position_score(F.col("answer_at"), F.col("answer_count"), F.col("question_at"), F.col("question_count")).alias("position"), structure.alias("structure"),
+        s.position_score(F.col("answer_at"), F.col("answer_count"), F.col("question_at"), F.col("question_count")).alias("position"), structure.alias("structure"), low.alias("low"), high.alias("high"),
     )
-    own = Window.partitionBy("assessment_id", "answer_id")
-    cosine = F.col("semantic_cosine")
-    scored = scored.withColumn("label", s.label_score(F.col("label_kind"))).withColumn("semantic", s.semantic_score(cosine, F.min(cosine).over(own), F.max(cosine).over(own), c.semantic_floor))
+    scored = scored.withColumn("label", s.label_score(F.col("label_kind"))).withColumn("semantic", s.semantic_score(F.col("semantic_cosine"), F.col("low"), F.col("high"), c.semantic_floor))
     score = F.round(s.candidate_score(F.col("label"), F.col("semantic"), F.col("position"), F.col("structure"), c), 6)
     return scored.select("assessment_id", "answer_id", "question_id", *(F.round(x, 6).alias(x) if x != "label_kind" else F.col(x) for x in SIGNALS), score.alias("candidate_score"))
 
 
+def score_pairs(answers: DataFrame, questions: DataFrame, vectors: DataFrame, c: Config = DEFAULT, side: int = TILE_SIDE) -> DataFrame:
+    """One row per answer and question of the same assessment, with its signals and candidate score.
+
+    The join is on the assessment only, so a pair never leaves its block; texts and rectangles do not ride through it.
+    Sizes are counted first: an assessment of more than side * side pairs is joined in tiles of so many, which spread
+    over all tasks. There the range of an answer's cosines is gathered in a first pass, tile by tile, and goes to the
+    answer before a second one scores: the pairs themselves are not shuffled.
+    """
+    own, asked = answer_features(answers), question_features(questions)
+    cosine = F.round("cosine", 6)
+    sizes = own.groupBy("assessment_id").agg(F.count("*").alias("__answers")).join(asked.groupBy("assessment_id").agg(F.count("*").alias("__questions")), "assessment_id")
+    large = stash(sizes.where(F.col("__answers") * F.col("__questions") > side * side))
+    split = not large.isEmpty()
+    whole = (own.join(large, "assessment_id", "left_anti") if split else own).join(asked, "assessment_id")
+    by_answer = Window.partitionBy("assessment_id", "answer_id")
+    found = _scored(with_cosines(whole, vectors), F.min(cosine).over(by_answer), F.max(cosine).over(by_answer), c)
+    if split:
+        a, q = stash(own.join(large, "assessment_id")), stash(asked.join(large, "assessment_id"))
+        narrow = tiled(a.select("assessment_id", "answer_id", "answer_at", "a_vec", "__answers", "__questions"), q.select("assessment_id", "question_at", "q_vec", "__answers", "__questions"), side)
+        ranges = stash(with_cosines(narrow, vectors).groupBy("assessment_id", "answer_id").agg(F.min(cosine).alias("low"), F.max(cosine).alias("high")))
+        pairs = with_cosines(tiled(a.join(ranges, ["assessment_id", "answer_id"]), q, side), vectors)
+        found = found.unionByName(_scored(pairs, F.col("low"), F.col("high"), c))
+    return found
+
+
 def top_k_candidates(pairs: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
     """Adds rank and keeps the first max(1, k) of each answer: by score, label, cosine, then question id."""
     order = Window.partitionBy("assessment_id", "answer_id").orderBy(F.desc("candidate_score"), F.desc("label"), F.desc("semantic"), "question_id")

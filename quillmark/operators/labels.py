@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import normalized_label, parse_label, roman_to_int
+from .scan import WHOLE_ROWS, in_order
 
 
-def resolve_orphans(questions: DataFrame) -> DataFrame:
+def resolve_orphans(questions: DataFrame, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """Adds major, minor, roman, normalized_label, parent_label, is_sub to rows with label_raw, page, y, question_id.
 
     Within an assessment the last number printed above is carried forward: an orphan '(a)' under 6 becomes 6-a; a row
     without any number, such as OR, only borrows the number for its place in the order.
     """
     parsed = questions.withColumn("p", parse_label(F.col("label_raw")))
-    above = Window.partitionBy("assessment_id").orderBy("page", "y", "question_id").rowsBetween(Window.unboundedPreceding, 0)
-    carried = F.coalesce(F.last(F.when((F.col("p.major") > 0) & ~F.col("p.is_orphan"), F.col("p.major")), ignorenulls=True).over(above), F.lit(0))
-    rows = parsed.withColumn("above", carried)
+    printed = F.when((F.col("p.major") > 0) & ~F.col("p.is_orphan"), F.col("p.major"))
+    rows = in_order(parsed, "assessment_id", ["page", "y", "question_id"], carried={"above": printed}, whole_rows=whole_rows)
+    rows = rows.withColumn("above", F.coalesce("above", F.lit(0)))
     adopted = F.col("p.is_orphan") & (F.col("above") > 0)
     major = F.when(F.col("p.major") > 0, F.col("p.major")).otherwise(F.col("above"))
     return rows.select(
@@ -37,17 +38,16 @@ def question_order() -> list:
     return [F.col("major"), F.col("minor").asc_nulls_first(), roman_to_int(F.col("roman")).asc_nulls_first(), F.col("label_raw"), F.col("question_id")]
 
 
-def with_question_index(questions: DataFrame) -> DataFrame:
+def with_question_index(questions: DataFrame, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """Adds question_at (from 0) and question_count within the assessment."""
-    one = Window.partitionBy("assessment_id")
-    return questions.withColumn("question_at", F.row_number().over(one.orderBy(*question_order())) - 1).withColumn("question_count", F.count("*").over(one))
+    return in_order(questions, "assessment_id", question_order(), at="question_at", count="question_count", whole_rows=whole_rows)
 
 
-def display_numbers(questions: DataFrame) -> DataFrame:
+def display_numbers(questions: DataFrame, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """Adds display_number: the printed number, else the last one above it in order, else the place in the order."""
-    order = Window.partitionBy("assessment_id").orderBy(*question_order())
     own = F.nullif(F.regexp_extract("label_raw", r"([0-9]+)", 1), F.lit(""))
-    return questions.withColumn("display_number", F.coalesce(F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(order).cast("string")))
+    rows = in_order(questions, "assessment_id", question_order(), at="__place", carried={"__above": own}, whole_rows=whole_rows)
+    return rows.withColumn("display_number", F.coalesce("__above", (F.col("__place") + 1).cast("string"))).drop("__place", "__above")
 
 
 def embedding_texts(questions: DataFrame) -> DataFrame:

@@ -123,8 +123,9 @@ def merge_spanning_violations(spark: SparkSession, d: str) -> DataFrame:
     return mg.spanning_violations(pages, mg.plan_chunks(pages, 3, 1), 3)
 
 
-@query("SELECT r.document_id, r.chunk, r.ordinal, p.page AS absolute_page FROM lr r JOIN planned p ON r.document_id = p.document_id AND r.chunk = p.chunk AND r.local_page = p.local_index", lr="SELECT document_id, chunk, page AS ordinal, CASE WHEN page % 5 = 0 THEN 7 ELSE local_index END AS local_page FROM planned")
+@query("SELECT document_id, chunk, page AS ordinal, page AS absolute_page FROM planned WHERE page % 5 <> 0")
 def merge_absolute_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth page is read under a number that its chunk does not have."""
     chunks = mg.plan_chunks(document_pages(spark, d), 3, 1).withColumn("chunk", F.col("chunk").cast("long"))
     readings = chunks.select("document_id", "chunk", F.col("page").alias("ordinal"), F.when(F.col("page") % 5 == 0, 7).otherwise(F.col("local_index")).alias("local_page"))
     return mg.to_absolute_pages(readings, chunks).select("document_id", "chunk", "ordinal", "absolute_page")
