@@ -25,7 +25,7 @@ from .common import slices
 
 #: Texts are split from one white space to another, CHUNK_CHARS or more at a time; words of MEMO_CHARS or fewer are
 #: remembered, MEMO_SIZE of them at most.
-CHUNK_CHARS, MEMO_CHARS, MEMO_SIZE = 1 << 16, 64, 200_000
+CHUNK_CHARS, MEMO_CHARS, MEMO_SIZE = 1 << 16, 64, 600_000
 
 
 def byte_letters() -> list[str]:
@@ -198,6 +198,19 @@ def heap_decode(encoded: DataFrame, path: str | None = None, pattern: str | None
     return encoded.select("id", "ids").mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, ids binary, decoded string")
 
 
+def heap_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(id, ids, decoded): heap_encode and then heap_decode of its ids, in one pass over the texts."""
+    path, pattern = _file(path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = heap_codec(path, pattern)
+        for batch in slices(batches):
+            ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())], names=["id", "ids", "decoded"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
+
+
 def heap_digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of heap_decode's rows."""
     size = (F.octet_length(F.coalesce("ids", F.unhex(F.lit("")))) / 4).cast("long")

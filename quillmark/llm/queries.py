@@ -11,7 +11,7 @@ from . import decontaminate, html, language, lines, lm, search, urls
 from .alignment import alignment
 from .bpe import digests, round_trip
 from .common import table
-from .heapbpe import heap_decode, heap_digests, heap_encode
+from .heapbpe import heap_digests, heap_round_trip
 from .licenses import license_summary
 from .simhash import simhash_components
 from .vectors import near_vectors
@@ -71,7 +71,7 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_heap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heap_digests(heap_decode(heap_encode(table(spark, sf_dir, "documents"))))
+    return heap_digests(heap_round_trip(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_line_dedup, op4_byte_bpe, op5_html_extraction, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_license_scans, op9_lm_scoring, op10_language_id, op11_tokenizer_alignment, op12_ranked_search, op13_heap_bpe)}
