@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..sources.scratch import stash
+from ..sources.scratch import discard, stash
 from .components import connected_components
 
 
@@ -195,17 +196,35 @@ def mutual_best(edges: DataFrame) -> DataFrame:
     return edges.withColumn("a", best("answer_id", "question_id")).withColumn("q", best("question_id", "answer_id")).where("a = 1 and q = 1").select(*edges.columns)
 
 
+#: Rounds whose results are read together before they are written as one table.
+ROUNDS_READ = 16
+
+
 def greedy_assignment(edges: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Baseline: the heaviest edge whose ends are free is taken, again and again; ties go to the smaller ids."""
-    good = edges.where(F.col("confidence") >= c.min_assignment).select("assessment_id", "answer_id", "question_id", "confidence")
-
-    def fold(key: object, rows: list[dict]) -> list[dict]:
-        left, right, out = set(), set(), []
-        for r in sorted(rows, key=lambda r: (-r["confidence"], r["answer_id"], r["question_id"])):
-            if r["answer_id"] not in left and r["question_id"] not in right:
-                left.add(r["answer_id"])
-                right.add(r["question_id"])
-                out.append(r)
-        return out
-
-    return fold_blocks(good, "assessment_id", ["answer_id", "question_id"], fold, "assessment_id long, answer_id long, question_id long, confidence double")
+    """Baseline: the heaviest edge whose ends are free is taken, again and again; ties go to the smaller ids.
+
+    In rounds: an edge that comes first, in this order, at both its ends is taken whatever the others do, so all of
+    these are taken at once, and the next round sees the edges that have both ends free. Edges without ids or confidence
+    are dropped first; a repeated edge counts once. Rounds are as many as the longest chain of edges that wait for one
+    another; each is written, so no lineage builds up.
+    """
+    keys = ["assessment_id", "answer_id", "question_id"]
+    good = edges.where((F.col("confidence") >= c.min_assignment) & F.col("assessment_id").isNotNull() & F.col("answer_id").isNotNull() & F.col("question_id").isNotNull())
+    left = stash(good.groupBy(*keys).agg(F.max("confidence").alias("confidence")))
+    first = F.min(F.struct((-F.col("confidence")).alias("w"), "answer_id", "question_id")).alias("e")
+    rounds: list[DataFrame] = []
+    while True:
+        best = lambda end: left.groupBy("assessment_id", F.col(end).alias("__end")).agg(first).select("assessment_id", "e.*")  # noqa: B023, E731
+        won = stash(best("answer_id").join(best("question_id").drop("w"), keys).select(*keys, (-F.col("w")).alias("confidence")))
+        if won.isEmpty():
+            break
+        free = left
+        for end in ("answer_id", "question_id"):
+            free = free.join(won.select("assessment_id", end), ["assessment_id", end], "left_anti")
+        after = stash(free.select(*left.columns))
+        discard(left)
+        left = after
+        rounds.append(won)
+        if len(rounds) == ROUNDS_READ:
+            rounds = [stash(reduce(DataFrame.unionByName, rounds))]
+    return reduce(DataFrame.unionByName, rounds) if rounds else won

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
 from ..functions.labels import parse_label
 from ..functions.signals import jaccard, text_tokens
-from .matching import fold_blocks
+from ..sources.scratch import discard, stash
+from .matching import ROUNDS_READ
 from .validate import substantive
 
 SAME_PLACE, WEAK_PLACE, WEAK_TEXT, SAME_QUESTION, NEAR = 0.5, 0.15, 0.6, 0.7, 0.02
@@ -47,28 +50,104 @@ def _tokens(df: DataFrame) -> DataFrame:
     return df.withColumn("tokens", text_tokens(F.col("text")))
 
 
-def same_answer_pairs(readings: DataFrame) -> DataFrame:
+#: Rows of a page from which on its pairs are found by keys of their own instead of by all pairs of the page.
+PAGE_ROWS = 256
+PAGE = ["assessment_id", "page"]
+BOX = ["x", "y", "width", "height"]
+
+
+def _pages(rows: DataFrame, page_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of small pages, rows of large ones or None if there are none)."""
+    large = stash(rows.groupBy(*PAGE).agg(F.count("*").alias("__n")).where(F.col("__n") > page_rows).select(*PAGE))
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, PAGE, "left_anti"), rows.join(large, PAGE, "left_semi")
+
+
+def _both(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of rows of equal keys, of which the first is of an earlier chunk; columns of the second start with b_."""
+    other = rows.select(*keys, *(F.col(c).alias(f"b_{c}") for c in rows.columns if c not in keys))
+    return rows.join(other, keys).where("chunk < b_chunk")
+
+
+def in_cells(rows: DataFrame) -> DataFrame:
+    """Each rectangle once for each cell of its page's grid that it meets, with __column, __row and the cell's size.
+
+    Cells are as wide and high as the page's rectangles on average, but no more than there are rectangles; so many small
+    ones make a fine grid, and on average each meets a few cells.
+    """
+    extent = F.abs("width"), F.abs("height")
+    span = lambda low, size: F.max(F.col(low) + F.col(size)) - F.min(low)
+    grid = rows.groupBy(*PAGE).agg(
+        F.greatest(F.avg(extent[0]), span("x", "width") / F.sqrt(F.count("*")), F.lit(1e-9)).alias("__cell_width"),
+        F.greatest(F.avg(extent[1]), span("y", "height") / F.sqrt(F.count("*")), F.lit(1e-9)).alias("__cell_height"),
+    )
+    at = lambda edge, cell: F.floor(edge / F.col(cell))
+    cells = lambda low, size, cell: F.explode(F.sequence(at(F.col(low), cell), at(F.col(low) + F.greatest(F.col(size), F.lit(0.0)), cell)))
+    return rows.join(grid, PAGE).withColumn("__column", cells("x", "width", "__cell_width")).withColumn("__row", cells("y", "height", "__cell_height"))
+
+
+def _place_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of rectangles of a page that overlap: those that meet in a cell, in the one cell that holds the upper left
+    corner of what they share."""
+    pairs = _both(in_cells(rows), [*PAGE, "__column", "__row"])
+    own = (F.floor(F.greatest("x", "b_x") / F.col("__cell_width")) == F.col("__column")) & (F.floor(F.greatest("y", "b_y") / F.col("__cell_height")) == F.col("__row"))
+    overlap = lambda low, size: F.greatest(low, f"b_{low}") < F.least(F.col(low) + F.col(size), F.col(f"b_{low}") + F.col(f"b_{size}"))
+    return pairs.where(own & overlap("x", "width") & overlap("y", "height"))
+
+
+def same_answer_pairs(readings: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """(assessment_id, first, second): readings of different chunks that share a page and a place, or weakly a place and the text.
 
-    readings: one row per region with assessment_id, reading_id, chunk, page, x, y, width, height, text.
+    readings: one row per region with assessment_id, reading_id, chunk, page, x, y, width, height and the reading's text.
+    Pages of up to page_rows regions are compared all with all. On larger ones only rectangles that overlap are, found by
+    the cells of a grid, so what is compared grows with what matches and not with the square of the page. Rectangles
+    that are null or not finite share no place with any.
     """
-    rows = _tokens(readings).select("assessment_id", "page", "reading_id", "chunk", "x", "y", "width", "height", "tokens")
-    other = rows.select("assessment_id", "page", *(F.col(c).alias(f"b_{c}") for c in ("reading_id", "chunk", "x", "y", "width", "height", "tokens")))
-    pairs = rows.join(other, ["assessment_id", "page"]).where("chunk < b_chunk")
-    place = iou(tuple(F.col(c) for c in ("x", "y", "width", "height")), tuple(F.col(f"b_{c}") for c in ("x", "y", "width", "height")))
+    finite = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < 1e9" for c in BOX)
+    rows = _tokens(readings).select(*PAGE, "reading_id", "chunk", *BOX, "tokens").where(finite)
+    small, large = _pages(rows, page_rows)
+    columns = ["assessment_id", "reading_id", "b_reading_id", *BOX, *(f"b_{c}" for c in BOX), "tokens", "b_tokens"]
+    pairs = _both(small, PAGE).select(*columns)
+    if large is not None:
+        pairs = pairs.unionByName(_place_pairs(large).select(*columns))
+    place = iou(tuple(F.col(c) for c in BOX), tuple(F.col(f"b_{c}") for c in BOX))
     best = pairs.groupBy("assessment_id", F.col("reading_id").alias("first"), F.col("b_reading_id").alias("second")).agg(F.max(F.round(place, 6)).alias("place"), F.max(F.round(jaccard(F.col("tokens"), F.col("b_tokens")), 6)).alias("likeness"))
     return best.where((F.col("place") >= SAME_PLACE) | (F.col("place") >= WEAK_PLACE) & (F.col("likeness") >= WEAK_TEXT))
 
 
-def same_question_pairs(readings: DataFrame) -> DataFrame:
-    """(assessment_id, first, second): equal canonical labels if both have one; else the same page and similar text."""
+def _text_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs of rows of a page whose token sets may have a Jaccard similarity of least: they share a token among the
+    rarest of each, as many as the set can miss and one. Each such pair once. Sets without tokens meet one another."""
+    keyed = rows.withColumn("__id", F.struct("reading_id", "chunk"))
+    each = keyed.select(*PAGE, "__id", F.size("tokens").alias("__size"), F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
+    counts = each.groupBy(*PAGE, "token").agg(F.count("*").alias("__held"))
+    rank = F.row_number().over(Window.partitionBy(*PAGE, "__id").orderBy("__held", "token"))
+    prefix = each.join(counts, [*PAGE, "token"]).withColumn("__rank", rank).where(F.col("__rank") <= F.greatest(F.col("__size") - F.ceil(F.col("__size") * F.lit(least)) + 1, F.lit(1)))
+    heads = prefix.select(*PAGE, "token", "__size", F.col("__id.reading_id").alias("reading_id"), F.col("__id.chunk").alias("chunk"))
+    met = _both(heads, [*PAGE, "token"]).where(F.least("__size", "b___size") >= F.lit(least) * F.greatest("__size", "b___size"))
+    return met.select(*PAGE, "reading_id", "chunk", "b_reading_id", "b_chunk").distinct()
+
+
+def same_question_pairs(readings: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """(assessment_id, first, second): equal canonical labels if both have one; else the same page and similar text.
+
+    Texts of pages of up to page_rows rows are compared all with all; on larger pages only those that share one of
+    their rarest tokens, which all pairs of that similarity do.
+    """
     key = F.when(F.length(F.trim(F.coalesce("label_raw", F.lit("")))) > 0, parse_label(F.col("label_raw"))["normalized"])
     rows = _tokens(readings).withColumn("key", key).select("assessment_id", "reading_id", "chunk", "page", "key", "tokens")
-    other = rows.select(*(F.col(c).alias(f"b_{c}") for c in ("assessment_id", "reading_id", "chunk", "page", "key", "tokens")))
-    by_label = rows.join(other, F.expr("assessment_id = b_assessment_id and key = b_key")).where("chunk < b_chunk")
-    by_text = rows.join(other, F.expr("assessment_id = b_assessment_id and page = b_page")).where("chunk < b_chunk and (key is null or b_key is null)").where(F.round(jaccard(F.col("tokens"), F.col("b_tokens")), 6) >= SAME_QUESTION)
+    by_label = _both(rows.where("key is not null").drop("tokens", "page"), ["assessment_id", "key"])
+    small, large = _pages(rows, page_rows)
+    alike = F.round(jaccard(F.col("tokens"), F.col("b_tokens")), 6) >= SAME_QUESTION
     out = lambda df: df.select("assessment_id", F.col("reading_id").alias("first"), F.col("b_reading_id").alias("second"))
-    return out(by_label).unionByName(out(by_text)).distinct()
+    found = out(by_label).unionByName(out(_both(small, PAGE).where("key is null or b_key is null").where(alike)))
+    if large is not None:
+        own = large.select(*PAGE, "reading_id", "chunk", "key", "tokens")
+        met = _text_pairs(own, SAME_QUESTION - 1e-6).join(own, [*PAGE, "reading_id", "chunk"])
+        met = met.join(own.select(*PAGE, *(F.col(c).alias(f"b_{c}") for c in ("reading_id", "chunk", "key", "tokens"))), [*PAGE, "b_reading_id", "b_chunk"])
+        found = found.unionByName(out(met.where("key is null or b_key is null").where(alike)))
+    return found.distinct()
 
 
 def group_readings(readings: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -76,28 +155,35 @@ def group_readings(readings: DataFrame, pairs: DataFrame) -> DataFrame:
     of it from another chunk, else starts its own. Groups are never joined later.
 
     A reading without text besides marks of unclear passages (if readings have text) is no duplicate of anything: it
-    passes through as a group of its own, so that validation still sees it. Readings without any match need no fold.
+    passes through as a group of its own, so that validation still sees it. Readings without any match need no round.
+
+    In rounds: a reading is settled once all readings of earlier chunks that match it are, since nothing else decides
+    its group; of their groups it takes the one whose founder comes first. Rounds are as many as the longest chain of
+    matches through the chunks; each is written, and none holds an assessment in one task.
     """
     if "text" in readings.columns:
         real = readings.where(substantive(F.col("text"))).select("assessment_id", "reading_id")
         for end in ("first", "second"):
             pairs = pairs.join(real.select("assessment_id", F.col("reading_id").alias(end)), ["assessment_id", end], "left_semi")
+    every = readings.groupBy("assessment_id", "reading_id").agg(F.min("chunk").alias("chunk"))
+    place = lambda end: every.select("assessment_id", F.col("reading_id").alias(end), F.struct("chunk", "reading_id").alias(f"at_{end}"))
     links = pairs.select("assessment_id", "first", "second").unionByName(pairs.select("assessment_id", F.col("second").alias("first"), F.col("first").alias("second")))
-    near = links.groupBy("assessment_id", F.col("first").alias("reading_id")).agg(F.collect_set("second").alias("near"))
-    every = readings.select("assessment_id", "chunk", "reading_id").distinct().join(near, ["assessment_id", "reading_id"], "left")
-    rows, alone = every.where("near is not null"), every.where("near is null").select("assessment_id", "reading_id", F.col("reading_id").alias("group_id"))
-
-    def fold(key: object, members: list[dict]) -> list[dict]:
-        group: dict[int, int] = {}
-        chunk = {r["reading_id"]: r["chunk"] for r in members}
-        order: dict[int, int] = {}
-        for r in members:
-            fits = [group[x] for x in r["near"] or () if x in group and chunk[x] != r["chunk"]]
-            group[r["reading_id"]] = min(fits, key=order.__getitem__) if fits else r["reading_id"]
-            order.setdefault(group[r["reading_id"]], len(order))
-        return [{"assessment_id": key, "reading_id": i, "group_id": g} for i, g in group.items()]
-
-    return fold_blocks(rows, "assessment_id", ["chunk", "reading_id"], fold, "assessment_id long, reading_id long, group_id long").unionByName(alone)
+    links = links.join(place("first"), ["assessment_id", "first"]).join(place("second"), ["assessment_id", "second"]).where("at_first.chunk < at_second.chunk")
+    waits = stash(links.select("assessment_id", F.col("second").alias("reading_id"), F.col("first").alias("before")).distinct())
+    settled = stash(every.join(waits, ["assessment_id", "reading_id"], "left_anti").select("assessment_id", "reading_id", F.struct("chunk", "reading_id").alias("founder")))
+    rounds = [settled]
+    while not waits.isEmpty():
+        known = reduce(DataFrame.unionByName, rounds)
+        asked = waits.join(known.select("assessment_id", F.col("reading_id").alias("before"), "founder"), ["assessment_id", "before"], "left")
+        ready = asked.groupBy("assessment_id", "reading_id").agg(F.min("founder").alias("founder"), F.bool_and(F.col("founder").isNotNull()).alias("all"))
+        new = stash(ready.where("all").drop("all"))
+        after = stash(waits.join(new, ["assessment_id", "reading_id"], "left_anti"))
+        discard(waits)
+        waits = after
+        rounds.append(new)
+        if len(rounds) == ROUNDS_READ:
+            rounds = [stash(reduce(DataFrame.unionByName, rounds))]
+    return reduce(DataFrame.unionByName, rounds).select("assessment_id", "reading_id", F.col("founder.reading_id").alias("group_id"))
 
 
 def fold_answer_group(members: DataFrame) -> DataFrame:

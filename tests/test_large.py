@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import candidates as cd
 from quillmark.operators import labels as lo
+from quillmark.operators import matching as mt
+from quillmark.operators import merge as mg
 from quillmark.operators import scan
 from quillmark.plans import queries as plans
 from quillmark.sources import fixtures as fx
@@ -68,3 +70,68 @@ def test_tiles_of_a_large_assessment(spark, hot):
     per = tiles.groupBy("assessment_id", (F.col("answer_at") / 32).cast("int"), (F.col("question_at") / 32).cast("int")).count()
     assert per.agg(F.max("count")).first()[0] == 32 * 32  # the hot assessment is as many keys as it has tiles
     assert tiles.count() == want.count()
+
+
+def page_readings(spark, n=90):
+    """Readings of one large page and of small ones, with equal, near and far rectangles and texts, by three chunks."""
+    words = [f"w{k}" for k in range(12)]
+    data = []
+    for i in range(n):
+        page = 1 if i % 5 else 2 + i % 7
+        k = i * 7919 % 1000
+        text = None if i % 17 == 0 else "" if i % 19 == 0 else " ".join(w for j, w in enumerate(words) if (k >> (j % 10)) & 1 or j > 8)
+        box = [float("nan"), 0.1, 0.1, 0.1] if i % 29 == 0 else [None, 0.1, 0.1, 0.1] if i % 31 == 0 else [k % 7 / 10, k % 11 / 10, (1 + i % 4) / 10, (1 + i % 3) / 20] if i % 23 else [-0.5, -0.5, 3.0, 3.0]
+        data.append((1 + i % 2, i, i % 3, page, *box, text, f"Q{i % 6}" if i % 3 == 1 else None))
+    return spark.createDataFrame(data, "assessment_id long, reading_id long, chunk long, page long, x double, y double, width double, height double, text string, label_raw string").repartition(4)
+
+
+def test_pairs_of_large_pages(spark):
+    r = page_readings(spark, 300)
+    for pairs in (mg.same_answer_pairs, mg.same_question_pairs):
+        want = rows(pairs(r, 1_000_000))
+        assert len(want) > 20
+        for size in (0, 10):
+            assert rows(pairs(r, size)) == want
+        assert pairs(r.where("false"), 0).count() == 0
+
+
+def test_a_grid_compares_what_overlaps(spark):
+    data = [(1, 2 * i + c, c, 1, i % 40 / 40, i // 40 / 40, 0.02, 0.02, f"t{i}", None) for i in range(1600) for c in (0, 1)]
+    r = spark.createDataFrame(data, page_readings(spark, 5).schema)
+    assert mg._place_pairs(r.withColumn("tokens", F.array("text"))).count() < 4 * 1600  # of 2.56 million
+    assert mg.same_answer_pairs(r).count() == 1600
+    assert mg._text_pairs(r.withColumn("tokens", F.array("text")), 0.7).count() == 1600
+
+
+def test_groups_equal_the_fold(spark):
+    r = page_readings(spark, 120).where("text is not null")
+    pairs = spark.createDataFrame([(1 + i % 2, i, j) for i in range(120) for j in range(i + 2, 120, 2) if i % 3 != j % 3 and (i * 31 + j * 17) % 23 == 0], "assessment_id long, first long, second long")
+    got = {(x.assessment_id, x.reading_id): x.group_id for x in mg.group_readings(r.drop("text"), pairs).collect()}
+    near, want = {}, {}
+    for p in pairs.collect():
+        near.setdefault((p.assessment_id, p.first), set()).add(p.second)
+        near.setdefault((p.assessment_id, p.second), set()).add(p.first)
+    order = {}
+    for x in sorted(r.collect(), key=lambda x: (x.assessment_id, x.chunk, x.reading_id)):
+        key = (x.assessment_id, x.reading_id)
+        fits = [want[x.assessment_id, y] for y in near.get(key, ()) if (x.assessment_id, y) in want and y % 3 != x.chunk]
+        want[key] = min(fits, key=lambda g: order[x.assessment_id, g]) if fits else x.reading_id
+        order.setdefault((x.assessment_id, want[key]), len(order))
+    assert got == want
+    assert len(set(want.values())) < 100
+
+
+def test_greedy_rounds_equal_the_loop(spark, monkeypatch):
+    monkeypatch.setattr(mt, "ROUNDS_READ", 3)
+    data = [(a, i, j, 0.3 + (i * 37 + j * 11 + a) % 60 / 100) for a in (1, 2) for i in range(25) for j in range(20) if (i * j + a) % 4 == 0]
+    data += [(3, k, k // 2 + k % 2, 1.0 - k / 100) for k in range(1, 40)]  # a chain: each edge waits for the one before
+    data += [(3, None, 1, 0.9), (3, 1, None, 0.9), (3, 1, 1, None), data[5]]
+    edges = spark.createDataFrame(data, "assessment_id long, answer_id long, question_id long, confidence double").repartition(3)
+    left, right, want = set(), set(), []
+    for a, i, j, w in sorted({d for d in data if None not in d and d[3] >= 0.35}, key=lambda d: (d[0], -d[3], d[1], d[2])):
+        if (a, i) not in left and (a, j) not in right:
+            left.add((a, i))
+            right.add((a, j))
+            want.append((a, i, j, w))
+    assert sorted(map(tuple, mt.greedy_assignment(edges).collect())) == sorted(want)
+    assert mt.greedy_assignment(edges.where("false")).count() == 0
