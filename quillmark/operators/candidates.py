@@ -176,31 +176,43 @@ def best_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, tex
     block is one matrix product with the documents of a batch. A null text counts as empty; items without an id are
     passed over; without items there is no row; an empty table of documents gives none.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema[doc_id].dataType.simpleString()
     texts = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     blocks = -(-texts.count() // block)
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([word_counts(t or "", dims, memo).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["doc_id", "vector"])
+
     def search(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo: dict[str, int] = {}
             ids, matrix = held.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
-                    vectors = np.array([word_counts(t or "", dims, memo) for t in part.column("text").to_pylist()])
+                    vectors = np.frombuffer(b"".join(part.column("vector").to_pylist())).reshape(-1, dims)
                     near = np.floor(vectors @ matrix.T * 1e6 + 0.5) / 1e6
                     best = near.argmax(axis=1)  # the first: ids ascend
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids[best]), pa.array(near[np.arange(len(best)), best])], names=["doc_id", "item", "cosine"])
 
         return run
 
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(hashed, f"doc_id {kind}, vector binary")
+    if blocks > 1:  # hashed once for all blocks
+        rows = stash(rows)
     found = None
     for b in range(blocks):
         part = sorted((r.item, r.text) for r in texts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).toLocalIterator())
         if part:
             memo: dict[str, int] = {}
             held = docs.sparkSession.sparkContext.broadcast((np.array([i for i, _ in part]), np.array([word_counts(t, dims, memo) for _, t in part])))
-            one = rows.mapInArrow(search(held), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item long, cosine double")
+            one = rows.mapInArrow(search(held), f"doc_id {kind}, item long, cosine double")
+            if blocks > 1:  # written, and its items let go, before the next block is read
+                one = stash(one)
+                held.destroy()
             found = one if found is None else found.unionAll(one)
     if found is None:
         return rows.where("false").select(F.col("doc_id").alias(doc_id), F.lit(None).cast("long").alias(item_id), F.lit(None).cast("double").alias("cosine"))

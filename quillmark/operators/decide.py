@@ -116,6 +116,20 @@ def mapping_run_summary(mappings: DataFrame) -> DataFrame:
     )
 
 
+def mapping_run_report(mappings: DataFrame, questions: DataFrame, texts: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """mapping_run_summary with the questions, the different texts that had to be embedded, and the parameters of the run.
+
+    texts: (assessment_id, embedding_key) of all questions and answers; a text that an assessment has twice is embedded
+    once. Assessments without a mapping have no row; null keys are not embedded.
+    """
+    asked = questions.groupBy("assessment_id").agg(F.count("*").alias("questions"))
+    keys = texts.where("embedding_key is not null").distinct().groupBy("assessment_id").agg(F.count("*").alias("embeddings"))
+    out = mapping_run_summary(mappings).join(asked, "assessment_id", "left").join(keys, "assessment_id", "left").na.fill(0, ["questions", "embeddings"])
+    weights = {"label": c.weight_label, "semantic": c.weight_semantic, "position": c.weight_position, "structure": c.weight_structure, "llm": c.weight_verdict}
+    limits = {"high": c.band_high, "medium": c.band_medium, "minimum": c.min_assignment}
+    return out.withColumns({"top_k": F.lit(c.top_k)} | {f"weight_{k}": F.lit(v) for k, v in weights.items()} | {f"threshold_{k}": F.lit(v) for k, v in limits.items()})
+
+
 def band_counts(ranked: DataFrame, c: Config = DEFAULT, score: str = "candidate_score") -> DataFrame:
     """Best candidates per assessment by band."""
     band = s.confidence_band(F.col(score), c)

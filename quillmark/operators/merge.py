@@ -216,8 +216,12 @@ def dedupe_regions(regions: F.Column, questions: bool = False) -> F.Column:
     return F.array_sort(kept)
 
 
-def extraction_metrics(received: DataFrame, rejected: DataFrame, merged: DataFrame, failed_chunks: DataFrame | None = None) -> DataFrame:
-    """Per assessment: readings received, rejected, merged away, unlabelled, chunks, and whether a chunk is missing."""
+def extraction_metrics(received: DataFrame, rejected: DataFrame, merged: DataFrame, failed_chunks: DataFrame | None = None, usage: DataFrame | None = None) -> DataFrame:
+    """Per assessment: readings received, rejected, merged away, unlabelled, chunks, and whether a chunk is missing.
+
+    usage: (assessment_id, prompt_tokens, response_tokens) of each call that reported them, one row a call; adds their
+    sums and total_tokens, null for assessments of which no call did.
+    """
     a = received.groupBy("assessment_id").agg(F.count("*").alias("received"), F.countDistinct("chunk").alias("chunks"))
     r = rejected.groupBy("assessment_id").agg(F.count("*").alias("rejected"))
     m = merged.groupBy("assessment_id").agg(F.sum(F.col("n_readings") - 1).alias("merged"), F.count_if(F.col("label_raw").isNull()).alias("unlabelled"))
@@ -226,4 +230,9 @@ def extraction_metrics(received: DataFrame, rejected: DataFrame, merged: DataFra
         out = out.join(failed_chunks.groupBy("assessment_id").agg(F.count("*").alias("failed_chunks")), "assessment_id", "left")
     else:
         out = out.withColumn("failed_chunks", F.lit(0).cast("long"))
-    return out.na.fill(0).withColumn("partial", F.col("failed_chunks") > 0)
+    out = out.na.fill(0).withColumn("partial", F.col("failed_chunks") > 0)
+    if usage is not None:
+        told = usage.where("prompt_tokens is not null or response_tokens is not null").na.fill(0, ["prompt_tokens", "response_tokens"])
+        sums = told.groupBy("assessment_id").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("response_tokens").alias("response_tokens"))
+        out = out.join(sums.withColumn("total_tokens", F.col("prompt_tokens") + F.col("response_tokens")), "assessment_id", "left")
+    return out

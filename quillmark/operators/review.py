@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .matching import fold_blocks
 
 KEY = ["assessment_id", "answer_id"]
-# Transitions that are allowed.
+# Transitions that are allowed, and the longest reason.
 REVIEW_TRANSITIONS = (("PENDING", "IN_REVIEW"), ("PENDING", "RESOLVED"), ("PENDING", "SKIPPED"), ("IN_REVIEW", "RESOLVED"), ("IN_REVIEW", "SKIPPED"), ("SKIPPED", "IN_REVIEW"), ("SKIPPED", "RESOLVED"))
+DOCUMENT_TRANSITIONS = (("UPLOADED", "PREPARING"), ("UPLOADED", "FAILED"), ("PREPARING", "READY"), ("PREPARING", "FAILED"), ("READY", "PREPARING"), ("FAILED", "PREPARING"))
+ASSESSMENT_TRANSITIONS = (("CREATED", "QUEUED"), ("CREATED", "FAILED"), ("QUEUED", "PROCESSING"), ("QUEUED", "FAILED"), ("PROCESSING", "COMPLETED"), ("PROCESSING", "FAILED"), ("FAILED", "QUEUED"))
+MAX_REASON = 1000
 ORDER = ("PENDING", "IN_REVIEW", "SKIPPED")
 
 
@@ -39,8 +42,11 @@ OUTCOMES = "assessment_id long, event_id long, answer_id long, action string, ta
 
 def with_facts(actions: DataFrame, reviews: DataFrame, questions: DataFrame) -> DataFrame:
     """Adds what an action has to be judged by, so that the fold needs no copies of an assessment's tables: found (there
-    is such a review), original (its question), known (the target exists) and holders (answers that the matcher gave the
-    target to). actions may be a stream; the other two are tables."""
+    is such a review), original (its question), known (the target exists), holders (answers that the matcher gave the
+    target to) and refused (its reason is too long). actions may be a stream, and need not have reasons; the other two
+    are tables."""
+    long = F.coalesce(F.length(normal_reason(F.col("reason"))) > MAX_REASON, F.lit(False)) if "reason" in actions.columns else F.lit(False)
+    actions = actions.withColumn("refused", long).drop("reason")
     own = reviews.select(*KEY, F.lit(True).alias("found"), F.col("original_question_id").alias("original"))
     there = questions.select("assessment_id", F.col("question_id").alias("target"), F.lit(True).alias("known")).distinct()
     holders = reviews.where("original_question_id is not null").groupBy("assessment_id", F.col("original_question_id").alias("target")).agg(F.collect_set("answer_id").alias("holders"))
@@ -66,10 +72,12 @@ class ReviewFold:
 
     def apply(self, r: dict) -> tuple[str, str | None, int | None]:
         """(outcome, status, question) after an action with its facts (with_facts)."""
+        a, action, target = r["answer_id"], r["action"], r["target"]
+        status, before, to, now = self.state.get(a, ["PENDING", None, None, r["original"]] if r["found"] else [None] * 4)
+        if r["refused"]:
+            return "REASON_TOO_LONG", status, now
         if not r["found"]:
             return "NOT_FOUND", None, None
-        a, action, target = r["answer_id"], r["action"], r["target"]
-        status, before, to, now = self.state.get(a, ["PENDING", None, None, r["original"]])
         if before == action and (action != "REMAP" or to == target):
             outcome = "REPEAT"
         elif status == "RESOLVED":
@@ -105,10 +113,11 @@ def fold_actions(key: object, rows: list[dict]) -> list[dict]:
 def apply_review_actions(reviews: DataFrame, questions: DataFrame, actions: DataFrame) -> DataFrame:
     """Outcome of each action of the log, by assessment in (ts, event_id) order; see OUTCOMES.
 
-    A repeat of the recorded decision changes nothing; a settled review refuses others; a remap target has to exist
-    and be free at that moment. reviews: assessment_id, answer_id, original_question_id for every answer.
+    An action with a reason of over MAX_REASON characters is refused before anything is looked at. A repeat of the
+    recorded decision changes nothing; a settled review refuses others; a remap target has to exist and be free at that
+    moment. reviews: assessment_id, answer_id, original_question_id for every answer.
     """
-    log = actions.select("assessment_id", "answer_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "action", "target")
+    log = actions.select("assessment_id", "answer_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "action", "target", *(["reason"] if "reason" in actions.columns else []))
     return fold_blocks(with_facts(log, reviews, questions), "assessment_id", ["ts", "event_id"], fold_actions, OUTCOMES)
 
 
@@ -151,11 +160,12 @@ def illegal_transitions(log: DataFrame, entity: str, allowed=REVIEW_TRANSITIONS,
     return steps.join(F.broadcast(pairs), ["before", "status"], "left_anti").select(entity, "event_id", "before", "status")
 
 
-def audit_events(outcomes: DataFrame, reviews: DataFrame, actions: DataFrame, max_reason: int = 1000) -> DataFrame:
-    """One row per applied action: question before and after, and the trimmed reason; over-long reasons are refused."""
+def audit_events(outcomes: DataFrame, reviews: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row per applied action: question before and after, and the trimmed reason. Actions with over-long reasons have
+    not been applied."""
     applied = outcomes.where("outcome = 'APPLIED'").select("assessment_id", "answer_id", "event_id", "action", "final_question_id")
     reasons = actions.select("event_id", normal_reason(F.col("reason")).alias("reason"))
-    return applied.join(reasons, "event_id").where(F.coalesce(F.length("reason"), F.lit(0)) <= max_reason).join(reviews.select(*KEY, "original_question_id"), KEY)
+    return applied.join(reasons, "event_id").join(reviews.select(*KEY, "original_question_id"), KEY)
 
 
 def review_summary(mappings: DataFrame, states: DataFrame, effective: DataFrame) -> DataFrame:

@@ -258,3 +258,18 @@ def decide_unmapped_answers(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT assessment_id, count(*) AS answers, CAST(count_if(status = 'AUTO_MAPPED') AS BIGINT) AS auto_mapped, CAST(count_if(status = 'REVIEW_REQUIRED') AS BIGINT) AS review_required, CAST(count_if(status = 'HUMAN_REVIEW') AS BIGINT) AS human_review, CAST(count_if(status = 'UNMAPPED') AS BIGINT) AS unmapped, CAST(count_if(consulted) AS BIGINT) AS consulted FROM maps GROUP BY 1")
 def decide_summary(spark: SparkSession, d: str) -> DataFrame:
     return dc.mapping_run_summary(mappings(spark, d))
+
+
+RUN = ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in {"weight_label": DEFAULT.weight_label, "weight_semantic": DEFAULT.weight_semantic, "weight_position": DEFAULT.weight_position, "weight_structure": DEFAULT.weight_structure, "weight_llm": DEFAULT.weight_verdict, "threshold_high": DEFAULT.band_high, "threshold_medium": DEFAULT.band_medium, "threshold_minimum": DEFAULT.min_assignment}.items())
+
+
+@query(
+    f"SELECT m.assessment_id, answers, auto_mapped, review_required, human_review, unmapped, consulted, coalesce(questions, 0) AS questions, coalesce(embeddings, 0) AS embeddings, CAST({DEFAULT.top_k} AS INTEGER) AS top_k, {RUN} FROM ({ORACLES['decide_summary'].rsplit(chr(10), 1)[-1]}) m LEFT JOIN (SELECT assessment_id, count(*) AS questions FROM fx_q GROUP BY 1) q ON q.assessment_id = m.assessment_id LEFT JOIN (SELECT assessment_id, count(DISTINCT {TEXT_KEY}) AS embeddings FROM (SELECT assessment_id, embedding_text AS text FROM q_texts UNION ALL SELECT assessment_id, text FROM fx_a) GROUP BY 1) t ON t.assessment_id = m.assessment_id",
+    q_texts=ORACLES["label_embedding_texts"].rsplit(chr(10), 1)[-1].replace("SELECT q.question_id", "SELECT q.assessment_id, q.question_id", 1),
+)
+def decide_run_report(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of a run with its embedded texts and parameters."""
+    asked = resolved(spark, d)
+    key = s.embedding_key(F.col("embedding_text"), "hashed", 64).alias("embedding_key")
+    texts = lo.embedding_texts(asked).select("assessment_id", key).unionAll(fx.answers(spark, d).select("assessment_id", s.answer_embedding_text(F.col("text")).alias("embedding_text")).select("assessment_id", key))
+    return dc.mapping_run_report(mappings(spark, d), asked, texts)

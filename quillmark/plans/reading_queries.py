@@ -189,6 +189,18 @@ def merge_metrics(spark: SparkSession, d: str) -> DataFrame:
     return mg.extraction_metrics(r, vd.validate_answers(r, pages_of(spark, d))[1], merged).drop("failed_chunks", "partial")
 
 
+USAGE = "SELECT assessment_id, chunk, CASE WHEN min(answer_id) % 3 = 0 THEN NULL ELSE 1600 + 50 * count(*) END AS prompt_tokens, CASE WHEN min(answer_id) % 3 = 0 THEN NULL ELSE cast(sum(length(text)) AS bigint) END AS response_tokens FROM {readings} GROUP BY 1, 2"
+
+
+@query("SELECT r.assessment_id, received, chunks, coalesce(failed_chunks, 0) AS failed_chunks, coalesce(failed_chunks, 0) > 0 AS partial, prompt_tokens, response_tokens, prompt_tokens + response_tokens AS total_tokens FROM (SELECT assessment_id, count(*) AS received, count(DISTINCT chunk) AS chunks FROM fx_r GROUP BY 1) r LEFT JOIN (SELECT assessment_id, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(response_tokens) AS BIGINT) AS response_tokens FROM used GROUP BY 1) u USING (assessment_id) LEFT JOIN (SELECT assessment_id, count(*) AS failed_chunks FROM used WHERE chunk % 4 = 3 GROUP BY 1) f USING (assessment_id)", used=USAGE.format(readings="fx_r"))
+def merge_usage_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics with the tokens that calls reported, some of which reported none; every fourth chunk counts as failed."""
+    r = with_ids(fx.readings(spark, d))
+    used = spark.sql(USAGE, readings=fx.readings(spark, d))
+    merged = mg.fold_answer_group(r.withColumn("group_id", F.col("answer_id")))
+    return mg.extraction_metrics(r, r.where("false"), merged, used.where("chunk % 4 = 3"), used).drop("rejected", "merged", "unlabelled")
+
+
 # -- ingest -------------------------------------------------------------------------------------------------------
 @query("SELECT answer_id, chunk, label_raw AS claimed_label_raw, text, page, round(x, 9) AS x, round(y, 9) AS y, CASE WHEN answer_id % 6 = 0 THEN 'text' WHEN diagram THEN 'diagram' ELSE 'text' END AS kind FROM fx_r WHERE answer_id % 31 <> 0 AND answer_id % 37 <> 0")
 def ingest_answer_responses(spark: SparkSession, d: str) -> DataFrame:

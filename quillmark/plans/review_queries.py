@@ -17,7 +17,9 @@ PARTS.update(
     am="SELECT *, CASE WHEN confidence >= 0.9 THEN 'HIGH' WHEN confidence >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS band, CASE WHEN question_id IS NULL THEN CASE answer_id % 3 WHEN 0 THEN 'NO_CANDIDATES' WHEN 1 THEN 'LLM_NO_MATCH' ELSE 'NO_MATCH' END WHEN answer_id % 5 = 0 THEN 'CONFLICT_RESOLVED' ELSE 'DIRECT_LABEL_MATCH' END AS reason FROM fx_am",
     trig="SELECT *, CASE WHEN question_id IS NULL THEN CASE reason WHEN 'NO_CANDIDATES' THEN 'NO_CANDIDATES' WHEN 'LLM_NO_MATCH' THEN 'AI_NO_MATCH' ELSE 'UNMAPPED' END WHEN band = 'LOW' THEN 'LOW_CONFIDENCE' WHEN band = 'MEDIUM' THEN 'MEDIUM_CONFIDENCE' WHEN reason = 'CONFLICT_RESOLVED' THEN 'CONFLICT_RESOLVED' END AS trigger FROM am",
     act="SELECT * FROM fx_act",
-    st="SELECT m.assessment_id, m.answer_id, CASE WHEN f.settled IS NOT NULL THEN 'RESOLVED' WHEN k.skips > 0 THEN 'SKIPPED' ELSE 'PENDING' END AS status, coalesce(f.settled, CASE WHEN k.skips > 0 THEN 'SKIP' END) AS action, CASE WHEN f.settled = 'REMAP' THEN f.wanted END AS target FROM fx_am m LEFT JOIN (SELECT assessment_id, answer_id, arg_min(action, row(ts, event_id)) AS settled, arg_min(target, row(ts, event_id)) AS wanted FROM act WHERE action <> 'SKIP' GROUP BY 1, 2) f ON m.answer_id = f.answer_id AND m.assessment_id = f.assessment_id LEFT JOIN (SELECT assessment_id, answer_id, count(*) AS skips FROM act WHERE action = 'SKIP' GROUP BY 1, 2) k ON m.answer_id = k.answer_id AND m.assessment_id = k.assessment_id",
+    simple_st="SELECT m.assessment_id, m.answer_id, CASE WHEN f.settled IS NOT NULL THEN 'RESOLVED' WHEN k.skips > 0 THEN 'SKIPPED' ELSE 'PENDING' END AS status, coalesce(f.settled, CASE WHEN k.skips > 0 THEN 'SKIP' END) AS action, CASE WHEN f.settled = 'REMAP' THEN f.wanted END AS target FROM fx_am m LEFT JOIN (SELECT assessment_id, answer_id, arg_min(action, row(ts, event_id)) AS settled, arg_min(target, row(ts, event_id)) AS wanted FROM act WHERE action <> 'SKIP' GROUP BY 1, 2) f ON m.answer_id = f.answer_id AND m.assessment_id = f.assessment_id LEFT JOIN (SELECT assessment_id, answer_id, count(*) AS skips FROM act WHERE action = 'SKIP' GROUP BY 1, 2) k ON m.answer_id = k.answer_id AND m.assessment_id = k.assessment_id",
+    rv_last="SELECT * FROM rv_steps WHERE (assessment_id, k) IN (SELECT assessment_id, max(k) FROM rv_steps GROUP BY 1)",
+    st="SELECT m.assessment_id, m.answer_id, l.sts[m.answer_id - m.assessment_id * 10] AS status, l.acs[m.answer_id - m.assessment_id * 10] AS action, l.tgs[m.answer_id - m.assessment_id * 10] + m.assessment_id * 10 AS target FROM fx_am m JOIN rv_last l ON m.assessment_id = l.assessment_id",
     eff="SELECT m.assessment_id, m.answer_id, CASE WHEN s.action = 'REJECT' THEN NULL WHEN s.action = 'REMAP' THEN s.target ELSE m.question_id END AS question_id, CASE WHEN s.action IN ('ACCEPT', 'REJECT', 'REMAP') THEN 'HUMAN' ELSE 'AI' END AS source, CASE WHEN s.action IN ('ACCEPT', 'REJECT', 'REMAP') THEN NULL ELSE m.confidence END AS confidence, CASE WHEN s.action IS NOT NULL THEN 'HUMAN' ELSE 'AI' END AS mapping_source FROM fx_am m JOIN st s ON m.answer_id = s.answer_id AND m.assessment_id = s.assessment_id",
     # the action log step by step: lists of the five answers of an assessment
     rv_acts="SELECT *, answer_id - assessment_id * 10 AS i, target - assessment_id * 10 AS t, row_number() OVER (PARTITION BY assessment_id ORDER BY ts, event_id) AS k FROM fx_act",
@@ -25,7 +27,7 @@ PARTS.update(
       UNION ALL SELECT assessment_id, k, CASE WHEN outcome = 'APPLIED' THEN [CASE WHEN j = i THEN CASE WHEN action = 'SKIP' THEN 'SKIPPED' ELSE 'RESOLVED' END ELSE sts[j] END FOR j IN [1, 2, 3, 4, 5]] ELSE sts END,
         CASE WHEN outcome = 'APPLIED' THEN [CASE WHEN j = i THEN action ELSE acs[j] END FOR j IN [1, 2, 3, 4, 5]] ELSE acs END, CASE WHEN outcome = 'APPLIED' THEN [CASE WHEN j = i THEN t ELSE tgs[j] END FOR j IN [1, 2, 3, 4, 5]] ELSE tgs END,
         CASE WHEN outcome = 'APPLIED' THEN [CASE WHEN j = i THEN CASE action WHEN 'REJECT' THEN NULL WHEN 'REMAP' THEN t ELSE nws[j] END ELSE nws[j] END FOR j IN [1, 2, 3, 4, 5]] ELSE nws END, event_id, answer_id, i, action, target, outcome
-      FROM (SELECT a.assessment_id, a.k, a.event_id, a.answer_id, a.i, a.t, a.action, a.target, s.sts, s.acs, s.tgs, s.nws, CASE WHEN s.acs[a.i] = a.action AND (a.action <> 'REMAP' OR s.tgs[a.i] IS NOT DISTINCT FROM a.t) THEN 'REPEAT' WHEN s.sts[a.i] = 'RESOLVED' THEN 'CONFLICT_SETTLED'
+      FROM (SELECT a.assessment_id, a.k, a.event_id, a.answer_id, a.i, a.t, a.action, a.target, s.sts, s.acs, s.tgs, s.nws, CASE WHEN length(trim(a.reason)) > 1000 THEN 'REASON_TOO_LONG' WHEN s.acs[a.i] = a.action AND (a.action <> 'REMAP' OR s.tgs[a.i] IS NOT DISTINCT FROM a.t) THEN 'REPEAT' WHEN s.sts[a.i] = 'RESOLVED' THEN 'CONFLICT_SETTLED'
           WHEN a.action = 'REMAP' AND a.t IS NULL THEN 'INVALID_TARGET' WHEN a.action = 'REMAP' AND a.t NOT BETWEEN 1 AND 6 THEN 'UNKNOWN_QUESTION' WHEN a.action = 'REMAP' AND len([j FOR j IN [1, 2, 3, 4, 5] IF j <> a.i AND s.nws[j] = a.t]) > 0 THEN 'QUESTION_ALREADY_ASSIGNED' ELSE 'APPLIED' END AS outcome
         FROM rv_steps s JOIN rv_acts a ON a.assessment_id = s.assessment_id AND a.k = s.k + 1)""",
     g_eff=fx.EFFECTIVE.format(answers="fx_a"),
@@ -70,7 +72,10 @@ def as_reviews(m: DataFrame) -> DataFrame:
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
-    return rv.simple_review_states(as_reviews(said(spark, d)), log(spark, d))
+    """The reviews as the whole action log leaves them, under the rule that a remap target has to be free. Written once:
+    what follows reads it several times."""
+    reviews = as_reviews(said(spark, d))
+    return stash(rv.review_states(reviews, rv.apply_review_actions(reviews, event_questions(spark, d), log(spark, d))).drop("original_question_id"))
 
 
 def event_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -104,10 +109,16 @@ def review_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT * FROM st")
-def review_simple_states(spark: SparkSession, d: str) -> DataFrame:
+def review_states(spark: SparkSession, d: str) -> DataFrame:
     return states(spark, d)
 
 
+@query("SELECT * FROM simple_st")
+def review_simple_states(spark: SparkSession, d: str) -> DataFrame:
+    """Remaps taken as they come."""
+    return rv.simple_review_states(as_reviews(said(spark, d)), log(spark, d))
+
+
 @query("SELECT * FROM eff")
 def review_effective(spark: SparkSession, d: str) -> DataFrame:
     return rv.effective_mappings(said(spark, d), states(spark, d))
@@ -129,6 +140,27 @@ def review_illegal_transitions(spark: SparkSession, d: str) -> DataFrame:
     return rv.illegal_transitions(spark.sql(STATUS_LOG, actions=log(spark, d)), "answer_id", start="PENDING")
 
 
+def listed(*values: object) -> str:
+    return "(" + ", ".join(repr(v) for v in values) + ")"
+
+
+DOCUMENT_LOG = "SELECT user_id AS document_id, ts, event_id, CASE event_id % 5 WHEN 0 THEN 'PREPARING' WHEN 1 THEN 'READY' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'PREPARING' ELSE 'UPLOADED' END AS status FROM {events}"
+ASSESSMENT_LOG = "SELECT user_id AS assessment_id, ts, event_id, CASE event_id % 7 WHEN 0 THEN 'CREATED' WHEN 1 THEN 'QUEUED' WHEN 2 THEN 'PROCESSING' WHEN 3 THEN 'COMPLETED' WHEN 4 THEN 'FAILED' WHEN 5 THEN 'QUEUED' ELSE 'PROCESSING' END AS status FROM {events}"
+ILLEGAL = "SELECT {entity}, event_id, before, status FROM (SELECT *, lag(status, 1, {start}) OVER (PARTITION BY {entity} ORDER BY ts, event_id) AS before FROM slog) WHERE before <> status AND (before, status) NOT IN {allowed}"
+
+
+@query(ILLEGAL.format(entity="document_id", start="'UPLOADED'", allowed=listed(*rv.DOCUMENT_TRANSITIONS)), slog=DOCUMENT_LOG.format(events="events"))
+def review_illegal_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Steps that a document may not take."""
+    return rv.illegal_transitions(fx.of_events(spark, d, DOCUMENT_LOG), "document_id", rv.DOCUMENT_TRANSITIONS, "UPLOADED")
+
+
+@query(ILLEGAL.format(entity="assessment_id", start="'CREATED'", allowed=listed(*rv.ASSESSMENT_TRANSITIONS)), slog=ASSESSMENT_LOG.format(events="events"))
+def review_illegal_assessments(spark: SparkSession, d: str) -> DataFrame:
+    """Steps that an assessment may not take; a completed one takes none."""
+    return rv.illegal_transitions(fx.of_events(spark, d, ASSESSMENT_LOG), "assessment_id", rv.ASSESSMENT_TRANSITIONS, "CREATED")
+
+
 @query(
     "SELECT a.assessment_id, answers, ai_mapped, pending, skipped, resolved, accept, remap, reject, effective_mapped, human, effective_unmapped FROM (SELECT assessment_id, count(*) AS answers, count(question_id) AS ai_mapped FROM fx_am GROUP BY 1) a JOIN (SELECT assessment_id, CAST(count_if(status = 'PENDING') AS BIGINT) AS pending, CAST(count_if(status = 'SKIPPED') AS BIGINT) AS skipped, CAST(count_if(status = 'RESOLVED') AS BIGINT) AS resolved, CAST(count_if(action = 'ACCEPT') AS BIGINT) AS accept, CAST(count_if(action = 'REMAP') AS BIGINT) AS remap, CAST(count_if(action = 'REJECT') AS BIGINT) AS reject FROM st GROUP BY 1) s USING (assessment_id) JOIN (SELECT assessment_id, count(question_id) AS effective_mapped, CAST(count_if(source = 'HUMAN') AS BIGINT) AS human, CAST(count_if(question_id IS NULL) AS BIGINT) AS effective_unmapped FROM eff GROUP BY 1) e USING (assessment_id)"
 )

@@ -61,7 +61,7 @@ ACTIONS = """
 SELECT user_id AS assessment_id, user_id * 10 + 1 + event_id % 5 AS answer_id, event_id, ts,
   CASE event_type WHEN 'click' THEN 'ACCEPT' WHEN 'purchase' THEN 'REMAP' WHEN 'error' THEN 'REJECT' ELSE 'SKIP' END AS action,
   CASE WHEN event_type = 'purchase' THEN user_id * 10 + 1 + event_id % 7 END AS target,
-  CASE WHEN event_id % 3 = 0 THEN '  checked  ' WHEN event_id % 3 = 1 THEN ' ' END AS reason
+  CASE WHEN event_id % 41 = 0 THEN repeat('long ', 201) WHEN event_id % 3 = 0 THEN '  checked  ' WHEN event_id % 3 = 1 THEN ' ' END AS reason
 FROM {events}"""
 
 #: What the matcher said about the answers that actions refer to.
