@@ -125,21 +125,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _text_key(F.col(text_col).cast("string")).alias("text_key"))
     id_type = rows.schema["id"].dataType.simpleString()
     keys = stash(_keys(rows, id_type))
-    place = F.struct("id", "text_key", "pos")
+    place = F.xxhash64("id", "text_key", "pos")  # only tells places apart
     again = keys.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("key")
     marks = keys.join(again, "key", "left_semi").groupBy("id", "text_key").agg(F.collect_set("pos").alias("marks"))
     marked = rows.join(marks.toDF("marked", "marked_key", "marks"), F.col("id").eqNullSafe(F.col("marked")) & (F.col("text_key") == F.col("marked_key"))).select("id", "text_key", "text", "marks")
     found = stash(_windows(marked, id_type))
     discard(keys)
 
+    # bytes are compared by grouping: a key that stands for different bytes would have several groups, and removes nothing
     at = F.struct("id", "text_key", "line", "n")
-    places = found.groupBy("key").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low < high").select("key", "low")
-    judged = stash(found.drop("body").distinct().join(places, "key").withColumn("first", at == F.col("low")))
-    firsts = judged.where("first").select("key", "id", "text_key", "line", "n")
-    same = [found["id"].eqNullSafe(firsts["id"]), *(found[c] == firsts[c] for c in ("text_key", "line", "n", "key"))]
-    bodies = found.join(firsts, same).select(found["key"], found["body"].alias("kept")).dropDuplicates(["key"])
-    own = found.join(bodies, "key").where("body = kept").select("id", "text_key", "line", "n", "key").distinct()
-    copies = judged.where("not first").join(own.withColumnRenamed("id", "own_id"), ["text_key", "line", "n", "key"]).where(F.col("id").eqNullSafe(F.col("own_id"))).drop("own_id")
+    bodies = found.groupBy("key", "body").agg(F.min(at).alias("low"), F.max(at).alias("high")).drop("body")
+    places = bodies.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("bodies")).where("bodies = 1 and low < high").select("key", "low")
+    judged = stash(found.drop("body").distinct().join(places, "key").drop("key").withColumn("first", at == F.col("low")))
+    discard(found)
+    firsts, copies = judged.where("first"), judged.where("not first")
 
     doc = Window.partitionBy("id", "text_key").orderBy("line")
     low = lambda c: F.col(f"low.{c}")
