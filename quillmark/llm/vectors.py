@@ -9,6 +9,7 @@ force, and the search is widened if it finds too little.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import md5
 
@@ -28,6 +29,8 @@ DEGREE, NEAR, CHANCE, ALPHA = 24, 48, 24, 1.2
 BEAM, OVERLAP, SLACK = 24, 2, 0.02
 #: Audited vectors (about), and the recall that must be reached.
 AUDITED, RECALL = 256, 0.9
+#: The coarse hash of the audit: sets of planes, vectors of a bucket at most, rows of all buckets compared (about).
+HASHES, BUCKET, BUCKET_ROWS = 8, 1000, 200_000
 
 
 def unit(vector: list | None, width: int | None = None) -> np.ndarray | None:
@@ -253,12 +256,52 @@ def _found(classes: DataFrame, n: int, threshold: float, overlap: int, beam: int
     return stash(searched)
 
 
-def audit_recall(classes: DataFrame, found: DataFrame, n: int, threshold: float, audited: int = AUDITED) -> float:
-    """Share of the links of about so many classes, chosen by hash, that the search found; brute force has them all."""
+def coarse_links(classes: DataFrame, n: int, threshold: float, wanted: int) -> DataFrame:
+    """(node): about so many classes, or as many as show, that have a link by a coarse hash, whatever the search found.
+
+    Vectors on the same side of a few random planes share a bucket; some buckets, of at most BUCKET vectors, are compared
+    all with all. With HASHES sets of planes nearly every link shows in one; if links are many, few buckets do.
+    """
+    width = classes.agg(F.max(F.octet_length("vector"))).first()[0] // 8
+    bits = max(1, math.ceil(math.log2(max(2, n / 16))))
+    planes = np.random.default_rng(11).normal(size=(HASHES, width, bits))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([np.frombuffer(v) for v in batch.column("vector").to_pylist()])
+                for h in range(HASHES):
+                    yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(((x @ planes[h] > 0) @ powers) * HASHES + h)], names=["node", "bucket"])
+
+    keyed = classes.select("node", "vector").mapInArrow(hashed, "node long, bucket long")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size").between(2, BUCKET))
+    share = min(1.0, BUCKET_ROWS / max(1, n * HASHES))
+    chosen = keyed.join(sizes.where(F.pmod(F.xxhash64("bucket"), F.lit(1_000_000)) < share * 1_000_000), "bucket")
+
+    def linked(table: pa.Table) -> pa.Table:
+        x = np.array([np.frombuffer(v) for v in table.column("vector").to_pylist()])
+        near = x @ x.T >= threshold
+        np.fill_diagonal(near, False)
+        return pa.table({"node": pa.array(table.column("node").to_numpy()[near.any(axis=1)], pa.int64())})
+
+    found = chosen.join(classes.select("node", "vector"), "node").select("bucket", "node", "vector").groupBy("bucket").applyInArrow(linked, "node long")
+    found = stash(found.distinct())
+    share = wanted / max(1, found.count())
+    return found.where(F.pmod(F.xxhash64("node", F.lit(13)), F.lit(1_000_000)) < share * 1_000_000)
+
+
+def audit_recall(classes: DataFrame, found: DataFrame, n: int, threshold: float, audited: int = AUDITED) -> float | None:
+    """Share of the links of audited classes that the search found; brute force has them all. None if there was no link.
+
+    Audited are about so many of all classes, chosen by hash, and about so many of those that have a link by a coarse
+    hash (coarse_links), so that links are measured also where they are rare.
+    """
     share = audited / max(1, n)
-    asked = classes.where(F.pmod(F.xxhash64("vector", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).select("node", "vector").collect()
+    some = classes.where(F.pmod(F.xxhash64("vector", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).select("node")
+    asked = classes.join(some.unionAll(coarse_links(classes, n, threshold, audited)).distinct(), "node").select("node", "vector").collect()
     if not asked:
-        return 1.0
+        return None
     held = classes.sparkSession.sparkContext.broadcast((np.array([r.node for r in asked]), np.array([np.frombuffer(r.vector) for r in asked])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +314,7 @@ def audit_recall(classes: DataFrame, found: DataFrame, n: int, threshold: float,
 
     exact = classes.select("node", "size", "vector").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("exact")).where("exact > 0")
     got = exact.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").agg(F.sum("exact").alias("exact"), F.coalesce(F.sum(F.least("exact", F.coalesce("links", F.lit(0)))), F.lit(0)).alias("got")).first()
-    return got["got"] / got["exact"] if got["exact"] else 1.0
+    return got["got"] / got["exact"] if got["exact"] else None
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, shard_rows: int = SHARD, block_rows: int = BLOCK, recall: float = RECALL) -> DataFrame:
@@ -281,7 +324,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Vectors that are null, empty, zero, of another width than most, or have null or non-finite parts, link with
     nothing; so do rows whose id is null. Equal rows are linked with each other. An empty table gives none; columns
     besides the two are not read. Rows that share an id are vectors of their own. If the audit on a sample finds less
-    than recall, shards overlap more and the beam is wider in a second and third try; less after those is an error.
+    than recall, shards overlap more and the beam is wider in a second and third try; less after those is an error. If
+    the audit sees no link at all, neither in its sample nor by its coarse hash, there is nothing to measure: the result
+    of the last and widest try counts then.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     keyed = stash(_classes(rows))
@@ -293,17 +338,18 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     # numbered by what is written once: an id may stand for several vectors, so it cannot name a class
     classes = stash(usable.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("size"), F.first("vector").alias("vector")).withColumn("node", F.monotonically_increasing_id()))
     n = classes.count()
-    best, best_recall = None, -1.0
+    best, best_recall = None, -2.0
     for more in (1, 2, 4):
         found = _found(classes, n, threshold, OVERLAP * more, BEAM * more, shard_rows, block_rows)
-        got = audit_recall(classes, found, n, threshold)
-        if got > best_recall:
+        measured = audit_recall(classes, found, n, threshold)
+        got = -1.0 if measured is None else measured
+        if got > best_recall or measured is None:
             best, best_recall = found, got
         if got >= recall:
             break
         if found is not best:
             discard(found)
-    else:
+    if 0 <= best_recall < recall:
         raise RuntimeError(f"the search found {best_recall:.3f} of the links of the audited vectors, {recall} are asked for")
     links = best.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(best.select(F.col("node").alias("src"), F.col("hub").alias("dst")))

@@ -63,3 +63,24 @@ def test_too_low_a_recall_is_an_error(spark):
     df = spark.createDataFrame(made(), "vec_id long, embedding array<double>")
     with pytest.raises(RuntimeError):
         vs.near_vectors(df, recall=1.01)
+
+
+def test_the_audit_measures_rare_links(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 16))
+    for k in range(3):  # three links among 200 million pairs
+        x[2 * k + 1] = x[2 * k] + rng.normal(0, 0.02, 16)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = [(i, j) for i in range(0, 6) for j in range(6) if i != j and x[i] @ x[j] >= 0.95]
+    rows = [(i, 1, bytearray(v.tobytes())) for i, v in enumerate(x)]
+    classes = spark.createDataFrame(rows, "node long, size int, vector binary").repartition(4)
+    found = lambda rows: spark.createDataFrame(rows, "node long, links long, hub long")
+    assert vs.audit_recall(classes, found([]), 20_000, 0.95) == 0
+    assert vs.audit_recall(classes, found([(i, 1, j) for i, j in true]), 20_000, 0.95) >= 0.99
+    assert vs.audit_recall(classes.where("node > 6 and node < 500"), found([]), 500, 0.9999) is None
+
+
+def test_unrelated_vectors_have_no_links(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, rng.normal(size=32).tolist()) for k in range(120)], "vec_id long, embedding array<double>")
+    assert all(r.n_links == 0 and r.kept for r in vs.near_vectors(df).collect())
