@@ -2,13 +2,15 @@
 
 Pass one labels each block on its own by length, share of link text and share of stop words; elements that say what
 they are (menus, footers, an article) shift the limits or decide. Pass two gives ambiguous blocks the label of their
-nearest decided neighbours. Class names count only as whole names or as compounds of such words (ad, related-posts), not
-where one of them stands among others (related-work), and only on block elements.
+nearest decided neighbours; in an article, of those in the article. Class names count only as whole names or as compounds
+of such words (ad, related-posts), not where one of them stands among others (related-work), and only on block elements.
+In an article, single names that a text may have for its own parts (discussion, recommended) only put a block in doubt.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -31,7 +33,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW_TAGS = frozenset("script style noscript template textarea title iframe object svg math canvas audio video".split())
+RAW_TAGS = frozenset("script style noscript template textarea title iframe object svg canvas audio video".split())
 BAD_TAGS = frozenset("nav footer aside form button select menu dialog head".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 BAD_NAMES = frozenset(
@@ -41,22 +43,24 @@ NAMES_OF_HEADERS = frozenset("header topbar".split())
 #: Words that go with those above in the name of a class, and say nothing alone.
 NAME_PARTS = frozenset("area articles bar block box btn button buttons container content footer form group holder inner item items lightbox links list main message node outer panel posts row section site slot stories thread top unit wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names that parts of an article may have as well.
+SOFT_NAMES = frozenset("alert discussion menu notice notices promo promotion recommended related replies reply share sharing skip social widget widgets".split())
 #: Names that make even an article element no part of the text.
 ARTICLE_NAMES = frozenset("comment comments reply ad advert teaser".split())
 #: A start tag closes an open element of these kinds at the top.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Characters of a short and of a long block; shares of link text and of stop words.
-SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.4, 0.15, 0.28
+SHORT, LONG, LINKS, LINKS_INSIDE, STOPS_LOW, STOPS_HIGH = 70, 200, 0.4, 0.9, 0.15, 0.28
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class Block:
-    __slots__ = ("parts", "links", "bad", "inside", "heading", "text", "label")
+    __slots__ = ("parts", "links", "bad", "inside", "doubt", "heading", "text", "label")
 
-    def __init__(self, bad: bool, inside: bool, heading: bool):
-        self.parts, self.links, self.bad, self.inside, self.heading = [], 0, bad, inside, heading
+    def __init__(self, bad: bool, inside: bool, doubt: bool, heading: bool):
+        self.parts, self.links, self.bad, self.inside, self.doubt, self.heading = [], 0, bad, inside, doubt, heading
 
 
 def says(name: str, known: frozenset[str]) -> bool:
@@ -65,9 +69,9 @@ def says(name: str, known: frozenset[str]) -> bool:
     return any(p in known for p in parts) and all(p in known or p in BAD_NAMES or p in NAME_PARTS for p in parts)
 
 
-def marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(no part of the text, start of the main text) as an element's name and attributes say."""
-    bad, good = tag in BAD_TAGS or tag == "header" and not inside, tag in ("article", "main")
+def marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """(no part of the text, start of the main text, in doubt) as an element's name and attributes say."""
+    bad, good, doubt = tag in BAD_TAGS or tag == "header" and not inside, tag in ("article", "main"), False
     if attributes.strip():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
@@ -75,15 +79,17 @@ def marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
         if tag not in ("html", "body", "main"):
             if tag in BLOCK_TAGS and tag not in HEADINGS:
                 known = BAD_NAMES if tag != "article" else ARTICLE_NAMES
-                bad |= any(says(n, known) or not inside and says(n, NAMES_OF_HEADERS) for n in names) or role in BAD_ROLES
+                doubt = inside and tag != "p" and any(n in SOFT_NAMES for n in names)
+                bad |= any(says(n, known) and not (inside and n in SOFT_NAMES) or not inside and says(n, NAMES_OF_HEADERS) for n in names) or role in BAD_ROLES
             bad |= "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         good |= role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
-    return bad, good
+    return bad, good, doubt
 
 
 def blocks_of(html: str) -> list[Block]:
     """Blocks in page order, with their text, share of link text and surroundings."""
-    stack: list[tuple[str, bool, bool]] = []  # element, in a bad one, in the main text
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, in a bad one, in the main text, in doubt
+    open_tags: Counter[str] = Counter()
     out: list[Block] = []
     current: Block | None = None
     before_hidden: Block | None = None
@@ -96,8 +102,8 @@ def blocks_of(html: str) -> list[Block]:
         if current is None:
             if not raw.strip():
                 return
-            top = stack[-1] if stack else ("", False, False)
-            current = Block(top[1], top[2], any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in stack[-2:]))
+            top = stack[-1] if stack else ("", False, False, False)
+            current = Block(top[1], top[2], top[3], any(x[0] in HEADINGS for x in stack[-2:]))
             out.append(current)
         current.parts.append(raw)
         if in_link:
@@ -112,10 +118,11 @@ def blocks_of(html: str) -> list[Block]:
         if m[1]:  # end tag
             if tag == "a":
                 in_link = 0
-            elif tag in BLOCK_TAGS or any(x[0] == tag for x in stack):
-                for k in range(len(stack) - 1, -1, -1):
+            elif tag in BLOCK_TAGS or open_tags[tag]:
+                for k in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                     if stack[k][0] == tag:
                         hidden = stack[k][1] and not (k and stack[k - 1][1])
+                        open_tags.subtract(x[0] for x in stack[k:])
                         del stack[k:]
                         if hidden and tag not in BLOCK_TAGS:
                             current = before_hidden  # the text around goes on
@@ -135,16 +142,17 @@ def blocks_of(html: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             current, in_link = None, 0
             if stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ())):
-                stack.pop()
+                open_tags[stack.pop()[0]] -= 1
                 if tag == "tr" and stack and stack[-1][0] == "tr":
-                    stack.pop()
+                    open_tags[stack.pop()[0]] -= 1
         if tag not in VOID_TAGS and (tag in BLOCK_TAGS or m[3].strip()) and tag != "a":
-            below = stack[-1] if stack else ("", False, False)
-            bad, good = marks(tag, m[3], below[2])
+            below = stack[-1] if stack else ("", False, False, False)
+            bad, good, doubt = marks(tag, m[3], below[2])
             if tag in BLOCK_TAGS or bad or good:
                 if bad and not below[1] and tag not in BLOCK_TAGS:
                     before_hidden, current = current, None
-                stack.append((tag, below[1] or bad, below[2] or good))
+                open_tags[tag] += 1
+                stack.append((tag, below[1] or bad, below[2] or good, below[3] or doubt))
     write(html[at:])
     kept = []
     for b in out:
@@ -162,10 +170,12 @@ def stop_share(text: str) -> float:
 def first_label(b: Block, has_main: bool) -> str:
     """good, bad, near (probably good) or short, from the block alone."""
     n, links = len(b.text), b.links / max(1, len(b.text))
-    if b.bad:
+    if b.bad or has_main and not b.inside:
         return "bad"
-    if has_main:  # inside the article only a block that is nearly all links is in doubt, outside nothing is
-        return "bad" if not b.inside else "short" if links > 0.9 else "good"
+    if has_main and b.doubt:  # in the article only what an element's name puts in doubt has to show that it is text
+        return "bad" if links > LINKS else "good" if n >= SHORT and stop_share(b.text) >= STOPS_LOW else "short"
+    if has_main:
+        return "good" if n >= SHORT and links <= LINKS_INSIDE and not b.heading else "short"
     if links > LINKS or b.text.startswith(("©", "(c) ", "Copyright ")):
         return "bad"
     if n < SHORT or b.heading:
@@ -181,16 +191,21 @@ def main_text(html: str) -> str:
     blocks = blocks_of(html)
     usable = sum(len(b.text) for b in blocks if not b.bad)
     has_main = 4 * sum(len(b.text) for b in blocks if b.inside and not b.bad) >= usable > 0
+    if has_main:  # what is around the article, or is something else by its element, says nothing about the article's blocks
+        blocks = [b for b in blocks if b.inside and not b.bad]
     first = [first_label(b, has_main) for b in blocks]
     if "good" not in first:
         best = "near" if "near" in first else "short"
         first = ["good" if x == best else x for x in first]
-    before, after = nearest(first), [*reversed(nearest(first[::-1]))]
+    edge = "good" if has_main else "bad"
+    before, after = nearest(first, edge), [*reversed(nearest(first[::-1], edge))]
     labels = []
     for i, x in enumerate(first):
         (near, a), (far, b) = before[i], after[i]
         if x in ("good", "bad"):
             labels.append(x)
+        elif has_main and not blocks[i].doubt:  # nothing decided against stands in an article but what is in doubt
+            labels.append("good")
         elif x == "near":
             labels.append("good" if "good" in (a, b) else "bad")
         elif a == b:
@@ -200,9 +215,9 @@ def main_text(html: str) -> str:
     return "\n\n".join(b.text for b, x in zip(blocks, labels, strict=True) if x == "good")
 
 
-def nearest(labels: list[str]) -> list[tuple[int, str]]:
-    """(distance, label) of the last decided block before each; far away and bad at the edge."""
-    out, last, at = [], "bad", -(1 << 30)
+def nearest(labels: list[str], edge: str) -> list[tuple[int, str]]:
+    """(distance, label) of the last decided block before each; far away and as edge says at the edge."""
+    out, last, at = [], edge, -(1 << 30)
     for i, x in enumerate(labels):
         out.append((i - at, last))
         if x in ("good", "bad"):

@@ -42,6 +42,21 @@ def test_names_that_only_hold_a_known_word_and_inline_elements_stay():
     assert html.main_text(page) == "\n\n".join(["Text with 42 percent of it.", "Related work is here.", "The award.", "Seen here.", "Head", LONG.strip()])
 
 
+def test_parts_of_an_article_with_doubtful_names():
+    links = '<div class="related"><a href="/1">One other page of the site</a> <a href="/2">Two other pages of the site and more</a> of it</div>'
+    page = f'<body><nav>Menu</nav><article><h2 id="discussion">Discussion</h2><section class="discussion"><p>{LONG}</p><p>Yes.</p></section><div class="box recommended">Recommended dose is 5 mg.</div><p class="social">Social life of bees.</p><p class="widget">A widget.</p><p>Energy holds: <math><mi>E</mi></math> is it.</p>{links}<p>{LONG}</p><p>So.</p><p>It.</p></article><footer>Bye</footer></body>'
+    assert html.main_text(page) == "\n\n".join(["Discussion", LONG.strip(), "Yes.", "Recommended dose is 5 mg.", "Social life of bees.", "A widget.", "Energy holds: E is it.", LONG.strip(), "So.", "It."])
+
+
+def test_very_deep_and_very_long_pages():
+    import time
+
+    began = time.time()
+    assert html.main_text("<div>" * 30000 + f"<p>{LONG}</p>" + "</section>" * 30000 + "</div>" * 30000) == LONG.strip()
+    assert len(html.main_text(f"<article>{'<p>word</p>' * 50000}</article>")) == 6 * 50000 - 2
+    assert time.time() - began < 30
+
+
 def test_pages_without_article_give_the_same_text(spark):
     """Labelled comparison: the article element is the label, and pages are read again with divs in its place."""
     if not os.path.isdir(DATA):
