@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, stash
 from .matching import fold_blocks
+from .scan import WHOLE_ROWS, in_order
 
 KEY = ["assessment_id", "answer_id"]
 # Transitions that are allowed, and the longest reason.
@@ -110,15 +112,86 @@ def fold_actions(key: object, rows: list[dict]) -> list[dict]:
     return out
 
 
-def apply_review_actions(reviews: DataFrame, questions: DataFrame, actions: DataFrame) -> DataFrame:
+#: Actions of an assessment from which on they are judged in rounds instead of one after another.
+WHOLE_ACTIONS = 100_000
+
+
+def apply_review_actions(reviews: DataFrame, questions: DataFrame, actions: DataFrame, whole_actions: int = WHOLE_ACTIONS, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """Outcome of each action of the log, by assessment in (ts, event_id) order; see OUTCOMES.
 
     An action with a reason of over MAX_REASON characters is refused before anything is looked at. A repeat of the
     recorded decision changes nothing; a settled review refuses others; a remap target has to exist and be free at that
-    moment. reviews: assessment_id, answer_id, original_question_id for every answer.
+    moment. reviews: assessment_id, answer_id, original_question_id for every answer. Assessments of up to whole_actions
+    actions are folded one by one, larger ones are judged in rounds (judge_in_rounds); both give the same rows.
     """
     log = actions.select("assessment_id", "answer_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "action", "target", *(["reason"] if "reason" in actions.columns else []))
-    return fold_blocks(with_facts(log, reviews, questions), "assessment_id", ["ts", "event_id"], fold_actions, OUTCOMES)
+    large = stash(log.groupBy("assessment_id").count().where(F.col("count") > whole_actions).select("assessment_id"))
+    if large.isEmpty():
+        return fold_blocks(with_facts(log, reviews, questions), "assessment_id", ["ts", "event_id"], fold_actions, OUTCOMES)
+    small = fold_blocks(with_facts(log.join(large, "assessment_id", "left_anti"), reviews, questions), "assessment_id", ["ts", "event_id"], fold_actions, OUTCOMES)
+    return small.unionByName(judge_in_rounds(log.join(large, "assessment_id", "left_semi"), reviews, questions, whole_rows).select(*small.columns))
+
+
+def judge_in_rounds(log: DataFrame, reviews: DataFrame, questions: DataFrame, whole_rows: int = WHOLE_ROWS) -> DataFrame:
+    """What ReviewFold says of each action, without going through them one by one.
+
+    An answer is settled by its first action that is an acceptance, a rejection, or a remap to a known question that is
+    free. Only the last asks about other answers: how many hold the question at that moment, which follows from when they
+    were settled. So: assume which remaps find their question taken, settle all answers, count who holds what when, and
+    assume again, until nothing changes. What a remap finds depends on earlier actions only, so there is one such state,
+    and after n rounds at least the first n remaps that wait for one another are right. Each round is a few joins and a
+    running sum by question; no task holds an assessment.
+    """
+    facts = with_facts(log, reviews, questions).drop("holders")
+    known = stash(in_order(facts, "assessment_id", ["ts", "event_id"], at="step", whole_rows=whole_rows))
+    valid = known.where("found and not refused")
+    remap = F.coalesce(F.col("action") == "REMAP", F.lit(False))
+    asks = valid.where(remap & F.col("target").isNotNull() & F.coalesce(F.col("known"), F.lit(False))).select(*KEY, "step", "target", "original")
+    others = valid.where(~remap & (F.col("action") != "SKIP")).select(*KEY, "step", "action", F.lit(None).cast("long").alias("target"), "original")
+    held = reviews.where("original_question_id is not null").groupBy("assessment_id", F.col("original_question_id").alias("question")).agg(F.count("*").alias("held"))
+    spot = F.struct("assessment_id", "question").alias("spot")
+
+    def settled(taken: DataFrame) -> DataFrame:
+        """(keys, at, by, to, original): when, how and to which question answers are settled."""
+        free = asks.join(taken, ["assessment_id", "step"], "left_anti").select(*KEY, "step", F.lit("REMAP").alias("action"), "target", "original")
+        return others.unionByName(free).groupBy(*KEY).agg(F.min(F.struct("step", "action", "target", "original")).alias("s")).select(*KEY, F.col("s.step").alias("at"), F.col("s.action").alias("by"), F.col("s.target").alias("to"), F.col("s.original").alias("original"))
+
+    def taken_after(state: DataFrame) -> DataFrame:
+        """(assessment_id, step): remaps that find their question held by another answer."""
+        leaves = state.where("original is not null and (by = 'REJECT' or by = 'REMAP' and `to` != original)").select("assessment_id", F.col("original").alias("question"), F.col("at").alias("step"), F.lit(-1).alias("change"))
+        joins = state.where("by = 'REMAP' and not (`to` <=> original)").select("assessment_id", F.col("to").alias("question"), F.col("at").alias("step"), F.lit(1).alias("change"))
+        # an answer that is settled asks no more, so it holds its own question still when it asks
+        asked = asks.select("assessment_id", F.col("target").alias("question"), "step", F.lit(0).alias("change"), F.coalesce(F.col("original") == F.col("target"), F.lit(False)).cast("int").alias("own"))
+        moves = leaves.unionByName(joins).withColumn("own", F.lit(None).cast("int"))
+        rows = asked.unionByName(moves).withColumn("later", F.col("own").isNull()).select("assessment_id", "question", "step", "change", "own", "later", spot)
+        counted = in_order(rows, "spot", ["step", "later"], summed={"moved": F.col("change")}, whole_rows=whole_rows).where("not later")
+        return counted.join(held, ["assessment_id", "question"], "left").where(F.coalesce("held", F.lit(0)) + F.col("moved") - F.col("own") > 0).select("assessment_id", "step")
+
+    taken, mark = stash(asks.select("assessment_id", "step").where("false")), None
+    while True:
+        state = stash(settled(taken))
+        again = stash(taken_after(state))
+        found = tuple(again.agg(F.count("*"), F.bit_xor(F.xxhash64("assessment_id", "step"))).first())
+        discard(taken)
+        taken = again
+        if found == mark:
+            break
+        mark = found
+        discard(state)
+
+    skipped = valid.where("action = 'SKIP'").groupBy(*KEY).agg(F.min("step").alias("skip"))
+    all_of = known.join(state.drop("original"), KEY, "left").join(skipped, KEY, "left")
+    over = F.col("step") > F.col("at")
+    same = (F.col("action") == F.col("by")) & ((F.col("action") != "REMAP") | F.col("target").eqNullSafe(F.col("to")))
+    skip = F.col("action") == "SKIP"
+    outcome = (
+        F.when(F.col("refused"), "REASON_TOO_LONG").when(F.col("found").isNull(), "NOT_FOUND").when(F.col("step") == F.col("at"), "APPLIED")
+        .when(over, F.when(same, "REPEAT").otherwise("CONFLICT_SETTLED")).when(skip, F.when(F.col("step") == F.col("skip"), "APPLIED").otherwise("REPEAT"))
+        .when(F.col("target").isNull(), "INVALID_TARGET").when(F.col("known").isNull(), "UNKNOWN_QUESTION").otherwise("QUESTION_ALREADY_ASSIGNED")
+    )
+    now = F.when(F.col("step") >= F.col("at"), F.when(F.col("by") == "REJECT", F.lit(None)).when(F.col("by") == "REMAP", F.col("to")).otherwise(F.col("original"))).otherwise(F.col("original"))
+    status = F.when(F.col("found").isNull(), F.lit(None)).when(F.col("step") >= F.col("at"), "RESOLVED").when(F.col("step") >= F.col("skip"), "SKIPPED").otherwise("PENDING")
+    return all_of.select("assessment_id", "event_id", "answer_id", "action", "target", F.col("step").cast("long").alias("step"), outcome.alias("outcome"), status.alias("status"), F.when(F.col("found"), now).alias("final_question_id"))
 
 
 def review_states(reviews: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from quillmark.operators import candidates as cd
 from quillmark.operators import labels as lo
 from quillmark.operators import matching as mt
 from quillmark.operators import merge as mg
+from quillmark.operators import review as rv
 from quillmark.operators import scan
 from quillmark.plans import queries as plans
 from quillmark.sources import fixtures as fx
@@ -135,3 +136,31 @@ def test_greedy_rounds_equal_the_loop(spark, monkeypatch):
             want.append((a, i, j, w))
     assert sorted(map(tuple, mt.greedy_assignment(edges).collect())) == sorted(want)
     assert mt.greedy_assignment(edges.where("false")).count() == 0
+
+
+def test_actions_judged_in_rounds_equal_the_fold(spark):
+    import random
+
+    rng = random.Random(2)
+    reviews = spark.createDataFrame([(a, 100 * a + k, None if k % 7 == 0 else 100 * a + k % 12) for a in range(1, 7) for k in range(15)], "assessment_id long, answer_id long, original_question_id long")
+    questions = spark.createDataFrame([(a, 100 * a + k) for a in range(1, 7) for k in range(20)], "assessment_id long, question_id long")
+    kinds = ["ACCEPT", "REMAP", "REMAP", "REMAP", "REMAP", "REJECT", "SKIP"]
+    log = []
+    for e in range(900):
+        a = rng.choice([1, 1, 1, 2, 3, 4, 5, 6])
+        action = rng.choice(kinds)
+        log.append((a, 100 * a + rng.randrange(16), e, 1000 - e % 97, action, 100 * a + rng.randrange(23) if action == "REMAP" and e % 11 else None, "x" * 1001 if e % 13 == 0 else None))
+    actions = spark.createDataFrame(log, "assessment_id long, answer_id long, event_id long, s long, action string, target long, reason string").withColumn("ts", F.timestamp_seconds("s")).drop("s").repartition(3)
+    want = rv.apply_review_actions(reviews, questions, actions)
+    outcomes = {r.outcome for r in want.select("outcome").distinct().collect()}
+    assert outcomes == {"APPLIED", "REPEAT", "CONFLICT_SETTLED", "INVALID_TARGET", "UNKNOWN_QUESTION", "QUESTION_ALREADY_ASSIGNED", "NOT_FOUND", "REASON_TOO_LONG"}
+    for least, size in ((0, 1_000_000), (200, 40)):
+        assert rows(rv.apply_review_actions(reviews, questions, actions, least, size)) == rows(want)
+
+
+def test_running_sums_of_large_keys(spark):
+    data = [(k, i, None if i % 5 == 0 else i % 7 - 3) for k, n in ((1, 90), (2, 4)) for i in range(n)]
+    df = spark.createDataFrame(data, "k long, id long, v int").repartition(3)
+    want = scan.in_order(df, "k", ["id"], summed={"s": F.col("v")})
+    got = scan.in_order(df, "k", ["id"], summed={"s": F.col("v")}, whole_rows=13)
+    assert rows(got) == rows(want) and got.dtypes == want.dtypes
