@@ -136,6 +136,12 @@ def merge_same_answers(spark: SparkSession, d: str) -> DataFrame:
     return mg.same_answer_pairs(with_ids(fx.readings(spark, d)))
 
 
+@query(f"SELECT * FROM (SELECT a.assessment_id, a.reading_id AS first, b.reading_id AS second, max(round({IOU}, 6)) AS place, max(round({JAC}, 6)) AS likeness FROM rd a JOIN rd b ON a.assessment_id = b.assessment_id AND a.page = b.page AND a.chunk < b.chunk GROUP BY 1, 2, 3) WHERE place >= 0.5 OR place >= 0.15 AND likeness >= 0.6")
+def merge_answers_by_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the plan for large pages, on all pages."""
+    return mg.same_answer_pairs(with_ids(fx.readings(spark, d)), page_rows=0)
+
+
 Q_READINGS = "SELECT assessment_id, question_id, question_id * 10007 + c.chunk AS reading_id, c.chunk, page, CASE WHEN question_id % 5 = 0 THEN '' ELSE label_raw END AS label_raw, CASE WHEN c.chunk = 2 THEN text || ' more' ELSE text END AS text, marks FROM {q} CROSS JOIN (SELECT 1 AS chunk UNION ALL SELECT 2) c"
 
 
@@ -149,6 +155,17 @@ def merge_same_questions(spark: SparkSession, d: str) -> DataFrame:
     return mg.same_question_pairs(spark.sql(Q_READINGS, q=fx.questions(spark, d)))
 
 
+@query(
+    f"SELECT a.assessment_id, a.reading_id AS first, b.reading_id AS second FROM qk a JOIN qk b ON a.assessment_id = b.assessment_id AND a.chunk < b.chunk AND a.k = b.k UNION SELECT a.assessment_id, a.reading_id, b.reading_id FROM qk a JOIN qk b ON a.assessment_id = b.assessment_id AND a.chunk < b.chunk AND a.page = b.page AND (a.k IS NULL OR b.k IS NULL) WHERE round({JAC}, 6) >= 0.7",
+    qr=Q_READINGS.format(q="fx_q"),
+    qp=parsed("qr", "label_raw"),
+    qk="SELECT *, CASE WHEN trim(label_raw) <> '' THEN p_norm END AS k, " + TOKENS.format(t="text") + " AS tk FROM qp",
+)
+def merge_questions_by_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the plan for large pages, on all pages."""
+    return mg.same_question_pairs(spark.sql(Q_READINGS, q=fx.questions(spark, d)), page_rows=0)
+
+
 @query(
     "SELECT assessment_id, reading_id, reading_id AS group_id FROM rd WHERE NOT real UNION ALL SELECT assessment_id, unnest(ids) AS reading_id, unnest(groups) AS group_id FROM rd_steps WHERE (assessment_id, k) IN (SELECT assessment_id, max(k) FROM rd_order GROUP BY 1)".replace("NOT real", "length(trim(replace(text, '[unclear]', ''))) = 0"),
     rd_pairs=f"SELECT a.assessment_id, a.reading_id AS l, b.reading_id AS r, max(round({IOU}, 6)) AS place, max(round({JAC}, 6)) AS likeness FROM rd a JOIN rd b ON a.assessment_id = b.assessment_id AND a.page = b.page AND a.chunk < b.chunk WHERE length(trim(replace(a.text, '[unclear]', ''))) > 0 AND length(trim(replace(b.text, '[unclear]', ''))) > 0 GROUP BY 1, 2, 3",

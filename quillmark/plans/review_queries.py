@@ -100,6 +100,12 @@ def review_actions(spark: SparkSession, d: str) -> DataFrame:
     return rv.apply_review_actions(as_reviews(said(spark, d)), event_questions(spark, d), log(spark, d))
 
 
+@query("SELECT assessment_id, event_id, answer_id, action, target, k - 1 AS step, outcome, sts[i] AS status, nws[i] + assessment_id * 10 AS final_question_id FROM rv_steps WHERE k > 0")
+def review_actions_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the plan for large assessments, for all of them."""
+    return rv.apply_review_actions(as_reviews(said(spark, d)), event_questions(spark, d), log(spark, d), whole_actions=0)
+
+
 @query(
     "SELECT r.assessment_id, r.answer_id, r.event_id, r.action, nws[i] + r.assessment_id * 10 AS final_question_id, nullif(trim(a.reason), '') AS reason, m.question_id AS original_question_id FROM rv_steps r JOIN fx_act a ON r.event_id = a.event_id JOIN fx_am m ON r.assessment_id = m.assessment_id AND r.answer_id = m.answer_id WHERE outcome = 'APPLIED'"
 )
