@@ -164,3 +164,14 @@ def test_running_sums_of_large_keys(spark):
     want = scan.in_order(df, "k", ["id"], summed={"s": F.col("v")})
     got = scan.in_order(df, "k", ["id"], summed={"s": F.col("v")}, whole_rows=13)
     assert rows(got) == rows(want) and got.dtypes == want.dtypes
+
+
+def test_best_items_block_by_block(spark):
+    words = [f"word{k}" for k in range(30)]
+    text = lambda k: " ".join(words[(k * j) % 30] for j in range(1, 4 + k % 5))
+    docs = spark.createDataFrame([(k, text(k)) for k in range(40)] + [(None, None), (3, text(5))], "doc_id long, text string")
+    items = spark.createDataFrame([(k, text(3 * k + 1)) for k in range(17)] + [(None, "x"), (50, None)], "item_id long, text string")
+    want = rows(cd.best_items(docs, items, "doc_id", "item_id"))
+    assert len(want) == 42
+    got = cd.best_items(docs.where("doc_id is not null and not (doc_id = 3 and text != '%s')" % text(3)), items, "doc_id", "item_id", block=4)
+    assert set(rows(got)) <= set(want) and got.count() == 40
