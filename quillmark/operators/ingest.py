@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.geometry import finite
+from ..functions.labels import let
 
 # Formats by leading bytes (hex), MIME type and extension.
 SIGNATURES = (("89504E470D0A1A0A", "PNG"), ("255044462D", "PDF"), ("FFD8FF", "JPEG"))
@@ -43,13 +46,11 @@ def flatten_assessments(df: DataFrame) -> dict[str, DataFrame]:
 
 def number(col: Column) -> Column:
     """A number that may be written as a string; null if it is none or not finite."""
-    value = F.trim(col).try_cast("double")
-    return F.when(finite(value), value)
+    return let(F.trim(col).try_cast("double"), lambda value: F.when(finite(value), value))
 
 
 def page_number(col: Column) -> Column:
-    value = number(col)
-    return F.when((value >= 1) & (value == F.floor(value)), value.cast("int"))
+    return let(number(col), lambda value: F.when((value >= 1) & (value == F.floor(value)), value.cast("int")))
 
 
 NUMBERS = "x: string, y: string, width: string, height: string"
@@ -63,8 +64,22 @@ def _parsed(df: DataFrame, schema: str, column: str) -> DataFrame:
     return df.withColumn("j", F.from_json(F.col(column), schema))
 
 
-def _good_rect(r: Column) -> Column:
-    return number(r["x"]).isNotNull() & number(r["y"]).isNotNull() & number(r["width"]).isNotNull() & number(r["height"]).isNotNull()
+def _judged(df: DataFrame, schema: str, column: str, list_name: str, item: Callable[[Column], Column], bad: Callable[[Column], Column]) -> DataFrame:
+    """df's other columns with found: reject_reason, null if the response is good, and items, each as item makes it of a
+    record of its list. A response is parsed, and its numbers are read, once: found comes out of a generator, behind
+    which no later filter or projection can copy the expression."""
+
+    def judge(items: Column) -> Column:
+        reason = F.when(items.isNull(), "malformed").when(F.exists(items, bad), "invalid item")
+        return F.struct(reason.alias("reject_reason"), items.alias("items"))
+
+    found = let(F.transform(F.from_json(F.col(column), schema)[list_name], item), judge)
+    return df.select(*(c for c in df.columns if c != column), F.explode_outer(F.array(found)).alias("found"))
+
+
+def _broken(rect: Column) -> Column:
+    """Whether a rectangle of _rect lacks its page or a number."""
+    return rect["page"].isNull() | rect["x"].isNull() | rect["y"].isNull() | rect["width"].isNull() | rect["height"].isNull()
 
 
 def _rect(page: Column, r: Column) -> list[Column]:
@@ -74,25 +89,26 @@ def _rect(page: Column, r: Column) -> list[Column]:
 def parse_question_responses(df: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame]:
     """(questions, rejects) of JSON responses. Numbers may be strings; absent marks are null; unknown fields vanish. A
     response with any bad number or missing field is rejected whole, with the reason."""
-    parsed = _parsed(df, QUESTION_RESPONSE, column)
-    bad = lambda q: q["labelRaw"].isNull() | q["text"].isNull() | page_number(q["pageNumber"]).isNull() | (q["marks"].isNotNull() & number(q["marks"]).isNull()) | q["rects"].isNull() | F.exists(q["rects"], lambda r: page_number(r["rectPageNumber"]).isNull() | ~_good_rect(r))
-    judged = parsed.withColumn("reject_reason", F.when(F.col("j.questions").isNull(), "malformed").when(F.exists("j.questions", lambda q: F.coalesce(bad(q), F.lit(True))), "invalid item"))
-    rows = judged.where("reject_reason is null").select(*df.columns, F.posexplode("j.questions").alias("ordinal", "q")).drop(column)
+    item = lambda q: F.struct(
+        q["labelRaw"].alias("label_raw"), q["text"].alias("text"), number(q["marks"]).alias("marks"), q["marks"].isNotNull().alias("marked"), page_number(q["pageNumber"]).alias("page"),
+        F.transform(q["rects"], lambda r: F.struct(*_rect(r["rectPageNumber"], r))).alias("rects"),
+    )
+    bad = lambda q: q["label_raw"].isNull() | q["text"].isNull() | q["page"].isNull() | (q["marked"] & q["marks"].isNull()) | q["rects"].isNull() | F.coalesce(F.exists(q["rects"], _broken), F.lit(False))
+    judged = _judged(df, QUESTION_RESPONSE, column, "questions", item, bad)
     keys = [c for c in df.columns if c != column]
-    good = rows.select(*keys, "ordinal", F.col("q.labelRaw").alias("label_raw"), F.col("q.text").alias("text"), number(F.col("q.marks")).alias("marks"), page_number(F.col("q.pageNumber")).alias("page"), F.transform("q.rects", lambda r: F.struct(*_rect(r["rectPageNumber"], r))).alias("rects"))
-    return good, judged.where("reject_reason is not null").select(*keys, "reject_reason")
+    good = judged.where("found.reject_reason is null").select(*keys, F.posexplode("found.items").alias("ordinal", "q")).select(*keys, "ordinal", *(f"q.{c}" for c in ("label_raw", "text", "marks", "page", "rects")))
+    return good, judged.where("found.reject_reason is not null").select(*keys, "found.reject_reason")
 
 
 def parse_answer_responses(df: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame]:
     """(answers, rejects); a region of an unknown kind is text, an absent label is null."""
-    parsed = _parsed(df, ANSWER_RESPONSE, column)
-    bad = lambda a: a["text"].isNull() | a["regions"].isNull() | F.exists(a["regions"], lambda r: page_number(r["pageNumber"]).isNull() | ~_good_rect(r))
-    judged = parsed.withColumn("reject_reason", F.when(F.col("j.answers").isNull(), "malformed").when(F.exists("j.answers", lambda a: F.coalesce(bad(a), F.lit(True))), "invalid item"))
-    keys = [c for c in df.columns if c != column]
-    rows = judged.where("reject_reason is null").select(*keys, F.posexplode("j.answers").alias("ordinal", "a"))
     kind = lambda r: F.when(r["kind"].isin("text", "diagram"), r["kind"]).otherwise("text").alias("kind")
-    good = rows.select(*keys, "ordinal", F.col("a.claimedLabelRaw").alias("claimed_label_raw"), F.col("a.text").alias("text"), F.transform("a.regions", lambda r: F.struct(*_rect(r["pageNumber"], r), kind(r))).alias("regions"))
-    return good, judged.where("reject_reason is not null").select(*keys, "reject_reason")
+    item = lambda a: F.struct(a["claimedLabelRaw"].alias("claimed_label_raw"), a["text"].alias("text"), F.transform(a["regions"], lambda r: F.struct(*_rect(r["pageNumber"], r), kind(r))).alias("regions"))
+    bad = lambda a: a["text"].isNull() | a["regions"].isNull() | F.coalesce(F.exists(a["regions"], _broken), F.lit(False))
+    judged = _judged(df, ANSWER_RESPONSE, column, "answers", item, bad)
+    keys = [c for c in df.columns if c != column]
+    good = judged.where("found.reject_reason is null").select(*keys, F.posexplode("found.items").alias("ordinal", "a")).select(*keys, "ordinal", "a.claimed_label_raw", "a.text", "a.regions")
+    return good, judged.where("found.reject_reason is not null").select(*keys, "found.reject_reason")
 
 
 def parse_verdicts(df: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame]:
