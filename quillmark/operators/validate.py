@@ -26,25 +26,26 @@ def _judged(df: DataFrame, rules: list[tuple[F.Column, str, str]]) -> DataFrame:
     return df.withColumn("reject_code", code).withColumn("reject_reason", reason)
 
 
-def _first_fault(regions: F.Column, known: F.Column) -> F.Column:
-    """What is wrong with the first bad region of an array; null if nothing: page, geometry, zero area."""
-    geometry = lambda r: valid_rect(r["x"], r["y"], r["width"], r["height"])
-    fault = lambda r: F.when(~F.coalesce(F.array_contains(known, r["page"]), F.lit(False)), "page").when(~geometry(r), "geometry").when((r["width"] <= 0) | (r["height"] <= 0), "zero area")
-    return F.get(F.filter(F.transform(regions, fault), lambda x: x.isNotNull()), F.lit(0))
+def _with_regions(readings: DataFrame, pages: DataFrame, column: str, flags: dict[str, F.Column]) -> DataFrame:
+    """readings with flags, __none (no region) and __fault: what is wrong with the first bad region, the array column or
+    the one of the row; null if nothing: page, geometry, zero area.
 
-
-def _with_regions(readings: DataFrame, pages: DataFrame, column: str) -> tuple[DataFrame, F.Column]:
-    """readings with the pages of their assessment (few), and their regions: the array column, or the one of the row."""
+    All that needs no pages is judged before the pages of the assessment (few) are joined, so that neither texts nor
+    rectangles have to be shuffled unless a caller asks for them.
+    """
     known = pages.groupBy("assessment_id").agg(F.collect_set(F.col("page").cast("long")).alias("__known"))
-    named = lambda r: F.struct(r["page"].cast("long").alias("page"), *(r[c].alias(c) for c in ("x", "y", "width", "height")))
-    one = F.array(F.struct(F.col("page").cast("long").alias("page"), *(F.col(c) for c in ("x", "y", "width", "height")))) if column not in readings.columns else F.transform(column, named)
-    return readings.join(known, "assessment_id", "left").withColumn("__fault", _first_fault(one, F.col("__known"))), one
+    flaw = lambda r: F.when(~valid_rect(r["x"], r["y"], r["width"], r["height"]), "geometry").when((r["width"] <= 0) | (r["height"] <= 0), "zero area")
+    place = lambda r: F.struct(r["page"].cast("long").alias("page"), flaw(r).alias("flaw"))
+    regions = F.col(column) if column in readings.columns else F.array(F.struct("page", "x", "y", "width", "height"))
+    none = F.coalesce(F.size(regions) < 1, F.lit(True))
+    judged = readings.withColumns(flags | {"__none": none, "__places": F.transform(regions, place)}).join(known, "assessment_id", "left")
+    fault = lambda p: F.when(~F.coalesce(F.array_contains("__known", p["page"]), F.lit(False)), "page").otherwise(p["flaw"])
+    return judged.withColumn("__fault", F.get(F.filter(F.transform("__places", fault), lambda x: x.isNotNull()), F.lit(0)))
 
 
-def _region_rules(regions: F.Column) -> list[tuple[F.Column, str, str]]:
+def _region_rules() -> list[tuple[F.Column, str, str]]:
     bad = lambda why: F.coalesce(F.col("__fault") == why, F.lit(False))
-    none = F.coalesce(F.size(regions) < 1, F.lit(True))
-    return [(none, "REJECTED_CANDIDATE", "no region"), (bad("page"), "PAGE_OUT_OF_RANGE", "page"), (bad("geometry"), "REJECTED_CANDIDATE", "geometry"), (bad("zero area"), "REJECTED_CANDIDATE", "zero area")]
+    return [(F.col("__none"), "REJECTED_CANDIDATE", "no region"), (bad("page"), "PAGE_OUT_OF_RANGE", "page"), (bad("geometry"), "REJECTED_CANDIDATE", "geometry"), (bad("zero area"), "REJECTED_CANDIDATE", "zero area")]
 
 
 def validate_questions(readings: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,10 +54,10 @@ def validate_questions(readings: DataFrame, pages: DataFrame) -> tuple[DataFrame
     readings: page is the question's own; rects, if there is such a column, holds its rectangles (page, x, y, width,
     height), else the row has one. Empty tables give none, rows whose assessment has no page are rejected.
     """
-    joined, regions = _with_regions(readings, pages, "rects")
     bad_marks = F.col("marks").isNotNull() & (~finite(F.col("marks")) | (F.col("marks") < 0))
+    joined = _with_regions(readings, pages, "rects", {"__label": blank(F.col("label_raw")), "__text": blank(F.col("text")), "__marks": bad_marks})
     no_page = ~F.coalesce(F.array_contains("__known", F.col("page").cast("long")), F.lit(False))
-    rules = [(blank(F.col("label_raw")), "REJECTED_CANDIDATE", "no label"), (blank(F.col("text")), "REJECTED_CANDIDATE", "no text"), (no_page, "PAGE_OUT_OF_RANGE", "page"), (bad_marks, "REJECTED_CANDIDATE", "marks"), *_region_rules(regions)]
+    rules = [(F.col("__label"), "REJECTED_CANDIDATE", "no label"), (F.col("__text"), "REJECTED_CANDIDATE", "no text"), (no_page, "PAGE_OUT_OF_RANGE", "page"), (F.col("__marks"), "REJECTED_CANDIDATE", "marks"), *_region_rules()]
     return _split(_judged(joined, rules), readings.columns)
 
 
@@ -65,9 +66,9 @@ def validate_answers(readings: DataFrame, pages: DataFrame) -> tuple[DataFrame,
 
     readings: regions, if there is such a column, holds the regions (page, x, y, width, height), else the row has one.
     """
-    joined, regions = _with_regions(readings, pages, "regions")
     unclear = F.length(trimmed(F.replace(F.col("text"), F.lit(UNCLEAR), F.lit("")))) == 0
-    rules = [(blank(F.col("text")), "REJECTED_CANDIDATE", "no text"), (unclear, "REJECTED_CANDIDATE", "all unclear"), *_region_rules(regions)]
+    joined = _with_regions(readings, pages, "regions", {"__text": blank(F.col("text")), "__unclear": unclear})
+    rules = [(F.col("__text"), "REJECTED_CANDIDATE", "no text"), (F.col("__unclear"), "REJECTED_CANDIDATE", "all unclear"), *_region_rules()]
     return _split(_judged(joined, rules), readings.columns)
 
 

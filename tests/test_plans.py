@@ -35,3 +35,14 @@ def test_question_responses_are_parsed_once(spark):
     assert {r.question_id: r.reject_reason for r in bad.collect()} == {3: "invalid item", 4: "invalid item", 5: "malformed"}
 
 
+def test_texts_are_judged_before_pages_are_joined(spark):
+    rows = [(1, 1, "a", 1, 0.1, 0.5), (1, 2, " ", 1, 0.1, 0.5), (1, 3, "[unclear]", 1, 0.1, 0.5), (1, 4, "a", 9, 2.0, 0.5), (1, 5, "a", 1, 2.0, 0.5), (1, 6, "a", 1, 0.1, 0.0), (2, 7, "a", 1, 0.1, 0.5), (1, 8, None, 1, 0.1, 0.5)]
+    readings = spark.createDataFrame([(*r, 0.1, 0.1) for r in rows], "assessment_id long, answer_id long, text string, page long, x double, width double, y double, height double")
+    good, bad = vd.validate_answers(readings, spark.createDataFrame([(1, 1)], "assessment_id long, page long"))
+    for df in (good, bad):
+        above = plan(df.select("answer_id"))
+        assert "Join" in above and not re.search(r"\btext#", above.split("Join")[0])
+    assert [r.answer_id for r in good.collect()] == [1]
+    assert {r.answer_id: r.reject_reason for r in bad.collect()} == {2: "no text", 3: "all unclear", 4: "page", 5: "geometry", 6: "zero area", 7: "page", 8: "no text"}
+
+
