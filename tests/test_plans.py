@@ -46,3 +46,13 @@ def test_texts_are_judged_before_pages_are_joined(spark):
     assert {r.answer_id: r.reject_reason for r in bad.collect()} == {2: "no text", 3: "all unclear", 4: "page", 5: "geometry", 6: "zero area", 7: "page", 8: "no text"}
 
 
+def test_pairs_with_cosines_stay_where_they_are(spark):
+    vectors = [(5, [3.0, 4.0]), (7, [4.0, 3.0]), (9, [0.0, 0.0]), (5, [3.0, 4.0])]
+    pairs = spark.createDataFrame([(0, 5, 5), (1, 5, 7), (2, 9, 7), (3, 5, 6), (4, None, 7), (5, 7, None)], "i long, a_vec long, q_vec long")
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    looked_up = cd.with_cosines(pairs.repartition("i"), table)
+    assert "ArrowEvalPython" not in plan(looked_up)
+    for df in (looked_up, cd.with_cosines(pairs, table, held_bytes=100)):
+        assert np.allclose([r.cosine for r in df.orderBy("i").collect()], [1, 0.96, 0, 0, 0, 0])
+
+
