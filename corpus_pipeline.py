@@ -43,12 +43,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of five-word similarity 0.8 or more: that of smallest id, then MD5 of its text.
+    """Keeps one document of each group of near-duplicates: that of smallest id, then MD5 of its text.
+
+    Linked are documents whose SimHash fingerprints differ in two bits or fewer, by the keys and midpoints of operator 1,
+    and, since such fingerprints cannot promise to find copies that are cut short or carried on, also all documents of
+    five-word similarity 0.8 or more.
 
     Of rows that repeat an id with the same text one stays; different texts of one id are judged each on their own.
     Null and wordless texts are one group. Rows whose id is null stay.
     """
-    found = similar.similar_components(docs)
+    found = similar.similar_components(docs, prints=True)
     judged = stash(found.where("not kept or copies > 1").select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "kept"))
     rows = docs.select(*COLUMNS)
     own = (F.col("doc_id") == F.col("__id")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))) == F.col("__key"))

@@ -60,6 +60,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # workers live on; the next stage's need not find this one's memory taken
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, slices, space_words, stash, utf8
 from .components import connected_components
+from .simhash import fingerprint, fingerprint_links
 
 #: Cells of the table that tells about how often a shingle occurs, and the multiplier of shingle hashes.
 CELLS, MULTIPLIER = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
@@ -74,9 +75,10 @@ def _summed(packed: DataFrame, size: int, kind: type) -> np.ndarray:
     return packed.rdd.treeAggregate(np.zeros(size, kind), one, lambda a, b: a + b)
 
 
-def _keys(rows: DataFrame, size: int) -> DataFrame:
-    """(id, text_key, key, node, cells): MD5 of the text, content key and its start; one row a task has its cells instead."""
-    names = ["id", "text_key", "key", "node", "cells"]
+def _keys(rows: DataFrame, size: int, prints: bool = False) -> DataFrame:
+    """(id, text_key, key, node, fp, cells): MD5 of the text, content key and its start, SimHash fingerprint if prints;
+    one row a task has its cells instead."""
+    names = ["id", "text_key", "key", "node", "fp", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
@@ -87,11 +89,12 @@ def _keys(rows: DataFrame, size: int) -> DataFrame:
             sets = [_shingles(w, size) for w in words]
             cells += np.bincount(np.concatenate(sets) & (CELLS - 1), minlength=CELLS)
             none = pa.nulls(len(keys), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([md5(t).digest() for t in texts], pa.binary()), pa.array(keys, pa.binary()), pa.array(map(node_of, keys), pa.int64()), none], names=names)
-        empty = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())]
+            fps = pa.array(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)) if prints else pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([md5(t).digest() for t in texts], pa.binary()), pa.array(keys, pa.binary()), pa.array(map(node_of, keys), pa.int64()), fps, none], names=names)
+        empty = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())]
         yield pa.RecordBatch.from_arrays([*empty, pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], names=names)
 
-    return rows.mapInArrow(run, "id long, text_key binary, key binary, node long, cells binary")
+    return rows.mapInArrow(run, "id long, text_key binary, key binary, node long, fp long, cells binary")
 
 
 def salts_of(counts: np.ndarray, salt_rows: int) -> np.ndarray:
@@ -304,10 +307,20 @@ def _left_over(known: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("a", "ab").alias("a"), F.greatest("a", "ab").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, small_run: int = SMALL_RUN, salt_rows: int = SALT_ROWS) -> DataFrame:
+def _print_links(first: DataFrame) -> DataFrame:
+    """(src, dst): content keys whose SimHash fingerprints are equal or linked, each fingerprint by its smallest key."""
+    prints = stash(first.where("key is not null").select("fp", "key").distinct())
+    lows = stash(prints.groupBy("fp").agg(F.min("key").alias("low")))
+    equal = prints.join(lows, "fp").where("key != low").select(F.col("key").alias("src"), F.col("low").alias("dst"))
+    near = fingerprint_links(lows).join(lows.toDF("src", "a"), "src").join(lows.toDF("dst", "b"), "dst")
+    return equal.unionAll(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, small_run: int = SMALL_RUN, salt_rows: int = SALT_ROWS, prints: bool = False) -> DataFrame:
     """(id, text_key, copies, component, kept), one row for each id and different text.
 
-    Documents whose size-word shingles have a Jaccard similarity of at least similarity are linked; component is the
+    Documents whose size-word shingles have a Jaccard similarity of at least similarity are linked, and, with prints, also
+    those whose SimHash fingerprints differ in at most two bits (simhash.fingerprint_links); component is the
     smallest id reachable by links, text_key the MD5 of the text, copies how many rows the id has with that text, and
     kept tells the one row of smallest id, then text_key, of each component. Runs over small_run go by their smallest
     document first; what stays outside the largest component then meets a few others, and what is still outside is compared with the
@@ -316,7 +329,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null are passed over; an empty table gives an empty result; other columns of docs are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    first = stash(_keys(rows, size))
+    first = stash(_keys(rows, size, prints))
+    print_links = stash(_print_links(first)) if prints else None
     counts = _summed(first.where("cells is not null").select("cells"), CELLS, np.int64)
     keyed = first.where("id is not null").groupBy("id", "text_key").agg(F.first("key").alias("key"), F.first("node").alias("node"), F.count("*").alias("copies"))
     entries = _entries(rows, size, similarity, counts, salt_rows).repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
@@ -327,7 +341,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = live.where("key is null").select("a", "b").unionAll(members.where("fit").select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(hubs)
     pairs = stash(pairs.where("a < b").distinct())
     whole = _whole_sets(rows, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(members.select("a")), size)
-    groups = connected_components(_verified(whole, pairs, similarity))
+    verified = _verified(whole, pairs, similarity)
+    groups = connected_components(verified.unionAll(print_links) if prints else verified)
     classes = stash(keyed.groupBy("key").agg(F.first("node").alias("node"), F.min(F.struct("id", "text_key")).alias("low")))
     # two classes may start alike: such a node is in no part, so all that it meets is compared
     part = F.when(F.count("*") == 1, F.min(F.coalesce("component", "key"))).otherwise(F.first("key"))
