@@ -56,12 +56,14 @@ PAGE = ["assessment_id", "page"]
 BOX = ["x", "y", "width", "height"]
 
 
-def _pages(rows: DataFrame, page_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of small pages, rows of large ones or None if there are none)."""
-    large = stash(rows.groupBy(*PAGE).agg(F.count("*").alias("__n")).where(F.col("__n") > page_rows).select(*PAGE))
+def _pages(rows: DataFrame, page_rows: int, pairing: F.Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of small pages, rows of large ones or None if there are none). pairing: aggregate of a page that tells
+    whether it can have pairs at all; large pages of which it is not true are in neither."""
+    sizes = rows.groupBy(*PAGE).agg(F.count("*").alias("__n"), (F.lit(True) if pairing is None else pairing).alias("__pairing"))
+    large = stash(sizes.where(F.col("__n") > page_rows).select(*PAGE, "__pairing"))
     if large.isEmpty():
         return rows, None
-    return rows.join(large, PAGE, "left_anti"), rows.join(large, PAGE, "left_semi")
+    return rows.join(large, PAGE, "left_anti"), rows.join(large.where("__pairing").select(*PAGE), PAGE, "left_semi")
 
 
 def _both(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,15 +119,18 @@ def same_answer_pairs(readings: DataFrame, page_rows: int = PAGE_ROWS) -> DataFr
 
 
 def _text_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of rows of a page whose token sets may have a Jaccard similarity of least: they share a token among the
-    rarest of each, as many as the set can miss and one. Each such pair once. Sets without tokens meet one another."""
-    keyed = rows.withColumn("__id", F.struct("reading_id", "chunk"))
-    each = keyed.select(*PAGE, "__id", F.size("tokens").alias("__size"), F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
-    counts = each.groupBy(*PAGE, "token").agg(F.count("*").alias("__held"))
-    rank = F.row_number().over(Window.partitionBy(*PAGE, "__id").orderBy("__held", "token"))
-    prefix = each.join(counts, [*PAGE, "token"]).withColumn("__rank", rank).where(F.col("__rank") <= F.greatest(F.col("__size") - F.ceil(F.col("__size") * F.lit(least)) + 1, F.lit(1)))
-    heads = prefix.select(*PAGE, "token", "__size", F.col("__id.reading_id").alias("reading_id"), F.col("__id.chunk").alias("chunk"))
-    met = _both(heads, [*PAGE, "token"]).where(F.least("__size", "b___size") >= F.lit(least) * F.greatest("__size", "b___size"))
+    """Pairs of rows of a page, one of them without a key, whose token sets may have a Jaccard similarity of least: they
+    share a token among the rarest of each, as many as the set can miss and one. Each such pair once. Sets without tokens
+    meet one another.
+
+    A token of a row is shuffled once to be counted on its page and once to be ranked within its row; only those among
+    the rarest go on to be joined.
+    """
+    each = rows.select(*PAGE, "reading_id", "chunk", F.col("key").isNull().alias("open"), F.size("tokens").alias("__size"), F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
+    held = each.withColumn("__held", F.count("*").over(Window.partitionBy(*PAGE, "token")))
+    rank = F.row_number().over(Window.partitionBy(*PAGE, "reading_id", "chunk").orderBy("__held", "token"))
+    heads = held.withColumn("__rank", rank).where(F.col("__rank") <= F.greatest(F.col("__size") - F.ceil(F.col("__size") * F.lit(least)) + 1, F.lit(1))).drop("__rank", "__held")
+    met = _both(heads, [*PAGE, "token"]).where(F.col("open") | F.col("b_open")).where(F.least("__size", "b___size") >= F.lit(least) * F.greatest("__size", "b___size"))
     return met.select(*PAGE, "reading_id", "chunk", "b_reading_id", "b_chunk").distinct()
 
 
@@ -136,17 +141,20 @@ def same_question_pairs(readings: DataFrame, page_rows: int = PAGE_ROWS) -> Data
     their rarest tokens, which all pairs of that similarity do.
     """
     key = F.when(F.length(F.trim(F.coalesce("label_raw", F.lit("")))) > 0, parse_label(F.col("label_raw"))["normalized"])
-    rows = _tokens(readings).withColumn("key", key).select("assessment_id", "reading_id", "chunk", "page", "key", "tokens")
+    # labels and texts are parsed once: what follows reads the rows up to eight times
+    rows = stash(_tokens(readings).withColumn("key", key).select("assessment_id", "reading_id", "chunk", "page", "key", "tokens"))
     by_label = _both(rows.where("key is not null").drop("tokens", "page"), ["assessment_id", "key"])
-    small, large = _pages(rows, page_rows)
+    # labels have told what they can, so a page pairs by texts only if a row of it has none and chunks differ
+    small, large = _pages(rows, page_rows, F.bool_or(F.col("key").isNull()) & (F.min("chunk") < F.max("chunk")))
     alike = F.round(jaccard(F.col("tokens"), F.col("b_tokens")), 6) >= SAME_QUESTION
     out = lambda df: df.select("assessment_id", F.col("reading_id").alias("first"), F.col("b_reading_id").alias("second"))
     found = out(by_label).unionByName(out(_both(small, PAGE).where("key is null or b_key is null").where(alike)))
     if large is not None:
-        own = large.select(*PAGE, "reading_id", "chunk", "key", "tokens")
-        met = _text_pairs(own, SAME_QUESTION - 1e-6).join(own, [*PAGE, "reading_id", "chunk"])
-        met = met.join(own.select(*PAGE, *(F.col(c).alias(f"b_{c}") for c in ("reading_id", "chunk", "key", "tokens"))), [*PAGE, "b_reading_id", "b_chunk"])
-        found = found.unionByName(out(met.where("key is null or b_key is null").where(alike)))
+        own = stash(large.select(*PAGE, "reading_id", "chunk", "key", "tokens"))
+        sets = own.select(*PAGE, "reading_id", "chunk", "tokens")
+        met = _text_pairs(own, SAME_QUESTION - 1e-6).join(sets, [*PAGE, "reading_id", "chunk"])
+        met = met.join(sets.select(*PAGE, *(F.col(c).alias(f"b_{c}") for c in ("reading_id", "chunk", "tokens"))), [*PAGE, "b_reading_id", "b_chunk"])
+        found = found.unionByName(out(met.where(alike)))
     return found.distinct()
 
 

@@ -56,3 +56,10 @@ def test_pairs_with_cosines_stay_where_they_are(spark):
         assert np.allclose([r.cosine for r in df.orderBy("i").collect()], [1, 0.96, 0, 0, 0, 0])
 
 
+def test_tokens_are_counted_without_a_join_and_only_where_a_row_has_no_label(spark):
+    rows = [(1, 1, k, k % 2, f"common word{k // 2} and more", None if k < 2 else f"Q{k}") for k in range(8)] + [(1, 2, 20 + k, k, "the same text here", f"Q{k}") for k in range(2)] + [(1, 3, 30 + k, 1, "the same text here", None) for k in range(2)]
+    readings = spark.createDataFrame(rows, "assessment_id long, page long, reading_id long, chunk long, text string, label_raw string")
+    tokens = mg._tokens(readings).withColumnRenamed("label_raw", "key")
+    assert plan(mg._text_pairs(tokens, 0.7)).count("Join ") == 1
+    found = sorted(tuple(r) for r in mg.same_question_pairs(readings, page_rows=0).collect())
+    assert found == sorted(tuple(r) for r in mg.same_question_pairs(readings).collect()) == [(1, 0, 1)]
