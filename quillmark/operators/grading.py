@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import signals as s
 from ..functions.geometry import clamp01
-from ..functions.labels import parse_label
+from ..sources.scratch import stash
+from .labels import with_parsed
 
 KEY = ["assessment_id", "answer_id"]
 EPS = 1e-6
@@ -46,7 +47,7 @@ def validate_rubric(marks: Column, total: Column, criteria: Column) -> Column:
 def resolve_rubrics(questions: DataFrame, rubrics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(schemes, unresolved). A rubric belongs to the one question with its canonical label; the first valid rubric of
     a question, by id, counts. Questions left over with marks get one criterion worth them; others get none."""
-    keyed = rubrics.withColumn("key", parse_label(F.col("label_raw"))["normalized"])
+    keyed = with_parsed(rubrics, "label_raw", "__p").withColumn("key", F.col("__p.normalized")).drop("__p")
     q = questions.select("assessment_id", "question_id", F.col("normalized_label").alias("key"), "marks")
     n = F.count("*").over(Window.partitionBy("assessment_id", "key"))
     unique = q.withColumn("n", n)
@@ -59,7 +60,7 @@ def resolve_rubrics(questions: DataFrame, rubrics: DataFrame) -> tuple[DataFrame
     judged = checked.withColumn("first", F.when(single, first))
     # a rubric after the first valid one of its question finds it taken, whatever its own state
     reason = F.when(F.col("n").isNull(), "NO_QUESTION").when(F.col("n") > 1, "AMBIGUOUS_LABEL").when(F.col("first") < F.col("rubric_id"), "ALREADY_CLAIMED").otherwise(F.col("broken"))
-    judged = judged.withColumn("reason", reason)
+    judged = stash(judged.withColumn("reason", reason))  # read three times
     sums = F.aggregate(F.transform("criteria", lambda c: c["max_marks"]), F.lit(0.0), lambda a, x: a + x)
     provided = judged.where("reason is null").select("assessment_id", "question_id", F.lit("PROVIDED").alias("source"), F.coalesce("marks", "total_marks", sums).alias("total_marks"), "criteria")
     rest = questions.join(provided.select("assessment_id", "question_id"), ["assessment_id", "question_id"], "left_anti").where("marks > 0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import signals as s
 from quillmark.operators import candidates as cd
+from quillmark.operators import grading as gr
 from quillmark.operators import labels as lo
 from quillmark.plans import queries as plans
 from quillmark.sources import fixtures as fx
@@ -53,3 +54,9 @@ def test_labels_are_looked_up(spark):
     got = lo.with_parsed(df, "label_raw", "p", long=F.length("label"))
     assert got.columns == ["id", "label_raw", "p", "long"]
     assert {r.id: (r.p.normalized if r.p else None, r.long) for r in got.collect()} == {1: ("1", 2), 2: (None, None), 3: ("1", 2), 4: ("2-a", 5), 5: ("unlabelled", 0)}
+
+
+def test_rubrics_are_judged_once(spark):
+    _, left = gr.resolve_rubrics(plans.resolved(spark, DATA), gr.provided_rubrics(fx.rubrics(spark, DATA)))
+    assert "Window" not in left._jdf.queryExecution().optimizedPlan().toString()
+    assert not left.isEmpty()
