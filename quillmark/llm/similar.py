@@ -22,10 +22,13 @@ from .common import discard, slices, space_words, stash, utf8
 from .components import connected_components
 from .simhash import fingerprint, fingerprint_links
 
-#: Cells of the table that tells about how often a shingle occurs, and the multiplier of shingle hashes.
+#: Cells by which keys are salted, and the multiplier of shingle hashes.
 CELLS, MULTIPLIER = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
+#: Finer cells that tell about how often a shingle occurs, counted in parts. A shingle that n documents share stands out
+#: once n passes a few roots of a cell's mean, so runs of documents that are not alike grow with that root only.
+FINE, PART = 1 << 22, 1 << 16
 #: Runs (documents that share a key) of up to SMALL_RUN are paired; a key is salted so that about SALT_ROWS stay together.
-SMALL_RUN, SALT_ROWS = 16, 1 << 12
+SMALL_RUN, SALT_ROWS = 4, 1 << 12
 #: Longs of parities, and documents ahead in a run that those outside its largest part meet before they meet all.
 WORDS, AHEAD = 8, 8
 PARITIES = [f"p{i}" for i in range(WORDS)]
@@ -56,7 +59,7 @@ def rarest(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.nd
     all sets go by one order. That is by the count of a shingle's cell, then by hash; cells only make it cheap.
     """
     n = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
-    return shingles[np.argsort(counts[shingles & (CELLS - 1)], kind="stable")[:n]]
+    return shingles[np.argsort(counts[shingles & (len(counts) - 1)], kind="stable")[:n]]
 
 
 def content_key(words: list[bytes]) -> bytes:
@@ -69,30 +72,47 @@ def node_of(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
 
-def _summed(packed: DataFrame, size: int, kind: type) -> np.ndarray:
-    """Sum of the tasks' compressed tables of one bounded size."""
-    one = lambda total, row: total + np.frombuffer(zlib.decompress(row["cells"]), kind)
-    return packed.rdd.treeAggregate(np.zeros(size, kind), one, lambda a, b: a + b)
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The tasks' compressed counts of the fine cells (node: number of the part, cells) added up, part by part."""
+    names = ["node", "cells"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for node, cells in zip(batch.column("node").to_pylist(), batch.column("cells"), strict=True):
+                sums[node] = sums.get(node, np.uint32(0)) + np.frombuffer(zlib.decompress(cells.as_buffer()), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zlib.compress(c.tobytes(), 1) for c in sums.values()], pa.binary())], names=names)
+
+    total = np.zeros(FINE, np.uint32)
+    for r in parts.repartition("node").mapInArrow(run, "node long, cells binary").collect():
+        total[r["node"] * PART : (r["node"] + 1) * PART] = np.frombuffer(zlib.decompress(r["cells"]), np.uint32)
+    return total
+
+
+def steps_of(fine: np.ndarray) -> np.ndarray:
+    """A byte for each count, 16 steps for each doubling: all that the order of shingles needs."""
+    return np.minimum(16 * np.log2(1 + fine.astype(np.float32)), 255).astype(np.uint8)
 
 
 def _keys(rows: DataFrame, size: int, prints: bool = False) -> DataFrame:
     """(id, text_key, key, node, fp, cells): MD5 of the text, content key and its start, SimHash fingerprint if prints;
-    one row a task has its cells instead."""
+    rows of each task at the end have its cells instead, with the number of the part as node."""
     names = ["id", "text_key", "key", "node", "fp", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(FINE, np.uint32)
         for batch in slices(batches):
             texts = utf8(batch, "text")
             words = [space_words(t) for t in texts]
             keys = [content_key(w) for w in words]
             sets = [_shingles(w, size) for w in words]
-            cells += np.bincount(np.concatenate(sets) & (CELLS - 1), minlength=CELLS)
+            np.add.at(cells, np.concatenate(sets) & (FINE - 1), np.uint32(1))
             none = pa.nulls(len(keys), pa.binary())
             fps = pa.array(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)) if prints else pa.nulls(len(keys), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([md5(t).digest() for t in texts], pa.binary()), pa.array(keys, pa.binary()), pa.array(map(node_of, keys), pa.int64()), fps, none], names=names)
-        empty = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*empty, pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], names=names)
+        parts = [zlib.compress(c.tobytes(), 1) for c in cells.reshape(-1, PART)]
+        n = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.int64()), pa.array(parts, pa.binary())], names=names)
 
     return rows.mapInArrow(run, "id long, text_key binary, key binary, node long, fp long, cells binary")
 
@@ -102,10 +122,9 @@ def salts_of(counts: np.ndarray, salt_rows: int) -> np.ndarray:
     return np.maximum(counts - 4 * int(counts.mean()), 0) // salt_rows + 1
 
 
-def _entries(rows: DataFrame, size: int, similarity: float, counts: np.ndarray, salt_rows: int) -> DataFrame:
+def _entries(rows: DataFrame, size: int, similarity: float, steps: np.ndarray, salts: np.ndarray) -> DataFrame:
     """(key, salt, node, at): the prefix of each text; at has the size of its set above and the key's position below
     the 32nd bit. Keys of frequent cells are salted by node. Copies within a task are taken once."""
-    salts = salts_of(counts, salt_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -118,7 +137,7 @@ def _entries(rows: DataFrame, size: int, similarity: float, counts: np.ndarray,
                     continue
                 seen.add(node)
                 shingles = _shingles(words, size)
-                first = rarest(shingles, counts, similarity)
+                first = rarest(shingles, steps, similarity)
                 keys.append(first)
                 nodes.append(np.full(len(first), node, np.int64))
                 ats.append((len(shingles) << 32) + np.arange(len(first), dtype=np.int64))
@@ -280,17 +299,18 @@ def _may_be(a: str, b: str, similarity: float) -> Column:
 
 def _strays(members: DataFrame, parts: DataFrame) -> DataFrame:
     """members with part and stray, of the keys that have a stray: a document outside the largest part of its key."""
-    own = members.join(parts.toDF("a", "part"), "a")
-    main = own.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    known = own.join(main, "key").withColumn("stray", F.col("part") != F.col("main")).drop("main")
-    return known.join(known.where("stray").select("key").distinct(), "key", "left_semi")
+    own = stash(members.join(parts.toDF("a", "part"), "a"))
+    main = own.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    known = stash(own.join(main, "key").withColumn("stray", F.col("part") != F.col("main")).drop("main"))
+    discard(own)
+    return known
 
 
 def _neighbours(known: DataFrame, similarity: float) -> DataFrame:
     """Candidates (a, b): each document and the next AHEAD of its run in an order by hash, if one is a stray."""
     run = Window.partitionBy("key", "b").orderBy(F.xxhash64("a", "key"), "a")
     own = ("a", "at", "part", "stray", *PARITIES)
-    ahead = F.array(*(F.lead(F.struct(*own), n).over(run) for n in range(1, AHEAD + 1)))
+    ahead = F.array_compact(F.array(*(F.lead(F.struct(*own), n).over(run) for n in range(1, AHEAD + 1))))
     both = known.select(*own, ahead.alias("x")).select(*own, F.explode("x").alias("x")).select(*own, *(F.col(f"x.{c}").alias(f"{c}b") for c in own))
     good = both.where((F.col("part") != F.col("partb")) & (F.col("stray") | F.col("strayb")) & _may_be("at", "atb", similarity))
     return good.select(F.least("a", "ab").alias("a"), F.greatest("a", "ab").alias("b")).distinct()
@@ -331,10 +351,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     first = stash(_keys(rows, size, prints))
     print_links = stash(_print_links(first)) if prints else None
-    counts = _summed(first.where("cells is not null").select("cells"), CELLS, np.int64)
+    fine = _summed(first.where("cells is not null").select("node", "cells"))
+    salts = salts_of(fine.reshape(-1, CELLS).sum(axis=0, dtype=np.int64), salt_rows)
     keyed = first.where("id is not null").groupBy("id", "text_key").agg(F.first("key").alias("key"), F.first("node").alias("node"), F.count("*").alias("copies"))
-    entries = _entries(rows, size, similarity, counts, salt_rows).repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
-    live = stash(_meet(entries, similarity, small_run, salts_of(counts, salt_rows)))
+    entries = _entries(rows, size, similarity, steps_of(fine), salts).repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
+    live = stash(_meet(entries, similarity, small_run, salts))
     members = live.where("key is not null")
     tops = members.groupBy("key", "b").count().groupBy("key").agg(F.min("b").alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top")
     hubs = members.select("key", "b").distinct().join(tops, "key").select(F.col("top").alias("a"), "b")
@@ -346,17 +367,22 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stash(keyed.groupBy("key").agg(F.first("node").alias("node"), F.min(F.struct("id", "text_key")).alias("low")))
     # two classes may start alike: such a node is in no part, so all that it meets is compared
     part = F.when(F.count("*") == 1, F.min(F.coalesce("component", "key"))).otherwise(F.first("key"))
-    marked = members.select("key", "b", "a", "at").join(whole.select(F.col("node").alias("a"), *PARITIES), "a")
+    done = [live, pairs, whole]
+    marked, odd = members.select("key", "b", "a", "at"), whole.select(F.col("node").alias("a"), *PARITIES)
     for propose in (_neighbours, _left_over):
         parts = classes.join(groups.toDF("key", "component"), "key", "left").groupBy("node").agg(part.alias("part"))
-        known = stash(_strays(marked, parts))
+        known = _strays(marked, parts)
         if known.isEmpty():
             break
+        if propose is _neighbours:  # parts only grow together, so no other key can have a stray later
+            done.append(known)
+            known = stash(known.join(odd, "a"))
+            marked = known.drop("part", "stray")
+        done.append(known)
         more = _verified(whole, propose(known, similarity), similarity)
-        discard(known)
         if not more.isEmpty():
             groups = connected_components(groups.toDF("src", "dst").unionAll(more))
-    for table in (live, pairs, whole):
+    for table in done:
         discard(table)
     labelled = classes.join(groups.toDF("key", "component"), "key", "left").select("key", "low", F.coalesce("component", "key").alias("group"))
     lowest = labelled.groupBy("group").agg(F.min("low").alias("first"))
