@@ -9,7 +9,7 @@ from ..functions import signals as s
 from ..operators import grading as gr
 from ..operators import review as rv
 from ..sources import fixtures as fx
-from ..sources.scratch import stash
+from ..sources.scratch import discard, stash
 from .oracle import PARTS, parsed
 from .queries import query, ranked_and_mapped, resolved
 
@@ -203,7 +203,9 @@ def review_item_list(spark: SparkSession, d: str) -> DataFrame:
     effective = rv.effective_mappings(maps, states.select("assessment_id", "answer_id", F.lit(None).cast("string").alias("action"), F.lit(None).cast("long").alias("target")))
     items = rv.review_items(states, maps, effective, fx.answers(spark, d), questions, again.drop("rank").withColumnRenamed("final_rank", "rank"))
     shown = F.transform("candidates", lambda c: F.concat(c["question_id"].cast("string"), F.lit("="), c["label_raw"], F.lit("/"), F.length(c["question_text"]).cast("string"), F.lit("/"), F.round(c["confidence"] * 1e6).cast("long").cast("string")))
-    return items.select("assessment_id", "answer_id", "trigger", "label_raw", "claimed_label_raw", F.array_join(shown, ";").alias("shortlist"))
+    out = stash(items.select("assessment_id", "answer_id", "trigger", "label_raw", "claimed_label_raw", F.array_join(shown, ";").alias("shortlist")), fx.dealing(spark, d), bucketed=False)
+    discard(again)
+    return out
 
 
 # -- grading ------------------------------------------------------------------------------------------------------
