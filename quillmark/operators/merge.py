@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import iou
 from ..functions.labels import parse_label
 from ..functions.signals import jaccard, text_tokens
-from ..sources.scratch import discard, stash
+from ..sources.scratch import Dealing, discard, stash
 from .matching import ROUNDS_READ
 from .validate import substantive
 
@@ -56,11 +56,11 @@ PAGE = ["assessment_id", "page"]
 BOX = ["x", "y", "width", "height"]
 
 
-def _pages(rows: DataFrame, page_rows: int, pairing: F.Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+def _pages(rows: DataFrame, page_rows: int, pairing: F.Column | None = None, dealt: Dealing | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(rows of small pages, rows of large ones or None if there are none). pairing: aggregate of a page that tells
     whether it can have pairs at all; large pages of which it is not true are in neither."""
     sizes = rows.groupBy(*PAGE).agg(F.count("*").alias("__n"), (F.lit(True) if pairing is None else pairing).alias("__pairing"))
-    large = stash(sizes.where(F.col("__n") > page_rows).select(*PAGE, "__pairing"))
+    large = stash(sizes.where(F.col("__n") > page_rows).select(*PAGE, "__pairing"), dealt)
     if large.isEmpty():
         return rows, None
     return rows.join(large, PAGE, "left_anti"), rows.join(large.where("__pairing").select(*PAGE), PAGE, "left_semi")
@@ -124,9 +124,10 @@ def _text_pairs(rows: DataFrame, least: float) -> DataFrame:
     meet one another.
 
     A token of a row is shuffled once to be counted on its page and once to be ranked within its row; only those among
-    the rarest go on to be joined.
+    the rarest go on to be joined. Rows without a column key have none.
     """
-    each = rows.select(*PAGE, "reading_id", "chunk", F.col("key").isNull().alias("open"), F.size("tokens").alias("__size"), F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
+    open_ = F.col("key").isNull() if "key" in rows.columns else F.lit(True)
+    each = rows.select(*PAGE, "reading_id", "chunk", open_.alias("open"), F.size("tokens").alias("__size"), F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
     held = each.withColumn("__held", F.count("*").over(Window.partitionBy(*PAGE, "token")))
     rank = F.row_number().over(Window.partitionBy(*PAGE, "reading_id", "chunk").orderBy("__held", "token"))
     heads = held.withColumn("__rank", rank).where(F.col("__rank") <= F.greatest(F.col("__size") - F.ceil(F.col("__size") * F.lit(least)) + 1, F.lit(1))).drop("__rank", "__held")
@@ -134,23 +135,24 @@ def _text_pairs(rows: DataFrame, least: float) -> DataFrame:
     return met.select(*PAGE, "reading_id", "chunk", "b_reading_id", "b_chunk").distinct()
 
 
-def same_question_pairs(readings: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def same_question_pairs(readings: DataFrame, page_rows: int = PAGE_ROWS, dealt: Dealing | None = None) -> DataFrame:
     """(assessment_id, first, second): equal canonical labels if both have one; else the same page and similar text.
 
     Texts of pages of up to page_rows rows are compared all with all; on larger pages only those that share one of
-    their rarest tokens, which all pairs of that similarity do.
+    their rarest tokens, which all pairs of that similarity do. dealt: how readings are dealt, by assessment; what comes
+    back is to be written with it.
     """
     key = F.when(F.length(F.trim(F.coalesce("label_raw", F.lit("")))) > 0, parse_label(F.col("label_raw"))["normalized"])
     # labels and texts are parsed once: what follows reads the rows up to eight times
-    rows = stash(_tokens(readings).withColumn("key", key).select("assessment_id", "reading_id", "chunk", "page", "key", "tokens"))
+    rows = stash(_tokens(readings).withColumn("key", key).select("assessment_id", "reading_id", "chunk", "page", "key", "tokens"), dealt)
     by_label = _both(rows.where("key is not null").drop("tokens", "page"), ["assessment_id", "key"])
     # labels have told what they can, so a page pairs by texts only if a row of it has none and chunks differ
-    small, large = _pages(rows, page_rows, F.bool_or(F.col("key").isNull()) & (F.min("chunk") < F.max("chunk")))
+    small, large = _pages(rows, page_rows, F.bool_or(F.col("key").isNull()) & (F.min("chunk") < F.max("chunk")), dealt)
     alike = F.round(jaccard(F.col("tokens"), F.col("b_tokens")), 6) >= SAME_QUESTION
     out = lambda df: df.select("assessment_id", F.col("reading_id").alias("first"), F.col("b_reading_id").alias("second"))
     found = out(by_label).unionByName(out(_both(small, PAGE).where("key is null or b_key is null").where(alike)))
     if large is not None:
-        own = stash(large.select(*PAGE, "reading_id", "chunk", "key", "tokens"))
+        own = stash(large.select(*PAGE, "reading_id", "chunk", "key", "tokens"), dealt)
         sets = own.select(*PAGE, "reading_id", "chunk", "tokens")
         met = _text_pairs(own, SAME_QUESTION - 1e-6).join(sets, [*PAGE, "reading_id", "chunk"])
         met = met.join(sets.select(*PAGE, *(F.col(c).alias(f"b_{c}") for c in ("reading_id", "chunk", "tokens"))), [*PAGE, "b_reading_id", "b_chunk"])

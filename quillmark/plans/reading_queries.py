@@ -12,6 +12,7 @@ from ..operators import ingest as ig
 from ..operators import merge as mg
 from ..operators import validate as vd
 from ..sources import fixtures as fx
+from ..sources.scratch import stash
 from ..streaming import jobs
 from .oracle import PARTS, parsed
 from .queries import query, resolved
@@ -145,6 +146,11 @@ def merge_answers_by_cells(spark: SparkSession, d: str) -> DataFrame:
 Q_READINGS = "SELECT assessment_id, question_id, question_id * 10007 + c.chunk AS reading_id, c.chunk, page, CASE WHEN question_id % 5 = 0 THEN '' ELSE label_raw END AS label_raw, CASE WHEN c.chunk = 2 THEN text || ' more' ELSE text END AS text, marks FROM {q} CROSS JOIN (SELECT 1 AS chunk UNION ALL SELECT 2) c"
 
 
+def question_pairs(spark: SparkSession, d: str, **how: int) -> DataFrame:
+    dealt = fx.dealing(spark, d)
+    return stash(mg.same_question_pairs(spark.sql(Q_READINGS, q=fx.questions(spark, d)), dealt=dealt, **how), dealt, bucketed=False)
+
+
 @query(
     f"SELECT a.assessment_id, a.reading_id AS first, b.reading_id AS second FROM qk a JOIN qk b ON a.assessment_id = b.assessment_id AND a.chunk < b.chunk AND a.k = b.k UNION SELECT a.assessment_id, a.reading_id, b.reading_id FROM qk a JOIN qk b ON a.assessment_id = b.assessment_id AND a.chunk < b.chunk AND a.page = b.page AND (a.k IS NULL OR b.k IS NULL) WHERE round({JAC}, 6) >= 0.7",
     qr=Q_READINGS.format(q="fx_q"),
@@ -152,7 +158,7 @@ Q_READINGS = "SELECT assessment_id, question_id, question_id * 10007 + c.chunk A
     qk="SELECT *, CASE WHEN trim(label_raw) <> '' THEN p_norm END AS k, " + TOKENS.format(t="text") + " AS tk FROM qp",
 )
 def merge_same_questions(spark: SparkSession, d: str) -> DataFrame:
-    return mg.same_question_pairs(spark.sql(Q_READINGS, q=fx.questions(spark, d)))
+    return question_pairs(spark, d)
 
 
 @query(
@@ -163,7 +169,7 @@ def merge_same_questions(spark: SparkSession, d: str) -> DataFrame:
 )
 def merge_questions_by_tokens(spark: SparkSession, d: str) -> DataFrame:
     """The same by the plan for large pages, on all pages."""
-    return mg.same_question_pairs(spark.sql(Q_READINGS, q=fx.questions(spark, d)), page_rows=0)
+    return question_pairs(spark, d, page_rows=0)
 
 
 @query(
