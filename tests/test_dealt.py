@@ -55,7 +55,7 @@ def test_tables_with_a_large_assessment_are_not_dealt(spark):
     other = f"{DATA}/."
     assert fx._base(spark, other, whole_rows=1)[1] is None and fx.dealing(spark, DATA) is not None
     queries = {**plans.QUERIES}
-    for name in ("decide_run_report", "review_item_list", "merge_questions_by_tokens", "stream_new_answer_candidates"):
+    for name in ("review_item_list", "merge_questions_by_tokens"):
         assert rows(queries[name](spark, DATA)) == rows(queries[name](spark, other)), name
 
 
@@ -72,7 +72,20 @@ def test_vectors_are_held_once_and_in_single_precision(spark, monkeypatch):
     best = cd.best_candidates(a, q, v, side=2)
     assert len(held) == 1  # for whole assessments and for those in tiles
     assert rows(best) == rows(cd.best_candidates(a, q, v))
-    assert rows(best) == rows(cd.best_candidates(a, q, v, side=2, together=True))
+    dealt = fx.dealing(spark, DATA)
+    assert rows(best) == rows(scratch.stash(cd.best_candidates(a, q, v, side=2, together=True, dealt=dealt), dealt))
+    assert rows(cd.score_pairs(a, q, v)) == rows(cd.score_pairs(a, q, v, side=3, dealt=dealt))
+
+
+def test_tiles_are_not_shuffled_and_their_large_assessments_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(cd, "LISTED", 10)
+    best = plans.QUERIES["link_tiled_candidates"](spark, DATA)
+    assert "Exchange hashpartitioning" not in physical(best) and len(best.inputFiles()) > 0
+    written, stash = [], scratch.stash
+    monkeypatch.setattr(cd, "stash", lambda df, *x, **y: written.append(physical(df)) or stash(df, *x, **y))
+    plans.QUERIES["link_tiled_candidates"](spark, DATA)
+    # without the hint the tables of these would be broadcast: they are small here
+    assert [p.count("SortMergeJoin") >= 2 for p in written if "ArrowEvalPython" in p] == [True, True]
 
 
 def test_held_vectors_of_both_precisions(spark):
@@ -84,3 +97,8 @@ def test_held_vectors_of_both_precisions(spark):
         assert length[[0, 2]].tolist() == [value, 5.0] and length[1] > 0
     ids, matrix, length = cd._held_vectors(table.limit(0))
     assert len(ids) == 0 and matrix.shape == (1, 1) and len(length) == 1
+
+
+def test_token_pairs_of_rows_without_a_column_key(spark):
+    r = spark.createDataFrame([(1, 1, k, k % 2, ["same", "words"]) for k in range(2)], "assessment_id long, page long, reading_id long, chunk long, tokens array<string>")
+    assert mg._text_pairs(r, 0.7).count() == 1
